@@ -84,3 +84,34 @@ PIPELINE = (SPLIT, SENT_CLEAN, LEX, TOK_CLEAN, SUMS, RAW, DOC_LEVEL)
 
 def level_expr(x: str) -> str:
     return f"CAST(least(greatest(round_even({x}, 0), 0), 18) + 1 AS INTEGER)"
+
+
+def sparse_pairs(table: str = "lineitem") -> str:
+    return f"""pairs AS (
+  SELECT CAST([1, 2, 5, 9, 19][(l_orderkey % 5) + 1] AS BIGINT) AS gold,
+         CAST([1, 3, 5, 9, 18][((l_orderkey + l_linenumber) % 5) + 1] AS BIGINT) AS pred
+  FROM {table})"""
+
+
+DOC_PAIRS = """pairs AS (
+  SELECT CAST(g.label AS BIGINT) AS gold, CAST(f.level AS BIGINT) AS pred
+  FROM filled f JOIN gold g ON f.doc_id = g.doc_id)"""
+
+
+def kappa_select(observed: bool, scale: str = "") -> str:
+    """QWK over ``pairs(gold, pred)`` from exact HUGEINT moments."""
+    if observed:
+        ranks = """labs AS (
+  SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS HUGEINT) AS r
+  FROM (SELECT gold AS v FROM pairs UNION SELECT pred AS v FROM pairs)),
+ranked AS (SELECT ga.r AS a, pb.r AS b FROM pairs JOIN labs ga ON pairs.gold = ga.v
+           JOIN labs pb ON pairs.pred = pb.v)"""
+    else:
+        ranks = "ranked AS (SELECT CAST(gold AS HUGEINT) AS a, CAST(pred AS HUGEINT) AS b FROM pairs)"
+    return ranks + """,
+mom AS (SELECT CAST(count(*) AS HUGEINT) AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS saa,
+               sum(b * b) AS sbb, sum(a * b) AS sab FROM ranked),
+kap AS (SELECT n, n * (saa + sbb - 2 * sab) AS num, n * (saa + sbb) - 2 * sa * sb AS den FROM mom)"""
+
+
+KAPPA_EXPR = "CASE WHEN den <> 0 THEN 1.0 - CAST(num AS DOUBLE) / CAST(den AS DOUBLE) END"

@@ -120,3 +120,117 @@ SELECT doc_id AS "Document ID", level AS "Prediction" FROM filled ORDER BY doc_i
 def q_submission(spark: SparkSession, sf: str) -> DataFrame:
     from lectio.sources.sinks import submission_frame
     return submission_frame(filled_levels(spark, sf), "doc_id", "level", ("Document ID", "Prediction"))
+
+
+# ------------------------------------------------------------- ordinal metrics
+
+from lectio.operators import metrics as M  # noqa: E402
+
+
+def sparse_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 stress pair on ``lineitem``: levels {1,2,5,9,19} vs {1,3,5,9,18}."""
+    li = fx.table(spark, sf, "lineitem")
+    g = F.array(*[F.lit(v) for v in fx.SPARSE_GOLD])
+    p = F.array(*[F.lit(v) for v in fx.SPARSE_PRED])
+    return li.select(F.element_at(g, (F.col("l_orderkey") % 5 + 1).cast("int")).cast("long").alias("gold"),
+                     F.element_at(p, ((F.col("l_orderkey") + F.col("l_linenumber")) % 5 + 1).cast("int"))
+                     .cast("long").alias("pred"))
+
+
+@register("qwk_observed", O.with_(O.sparse_pairs(), O.kappa_select(True))
+          + f"SELECT {O.KAPPA_EXPR} AS qwk, CAST(n AS BIGINT) AS n FROM kap")
+def q_qwk_observed(spark: SparkSession, sf: str) -> DataFrame:
+    return M.qwk(sparse_pairs(spark, sf), labels="observed")
+
+
+@register("qwk_fixed", O.with_(O.sparse_pairs(), O.kappa_select(False))
+          + f"SELECT {O.KAPPA_EXPR} AS qwk, CAST(n AS BIGINT) AS n FROM kap")
+def q_qwk_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return M.qwk(sparse_pairs(spark, sf), labels="fixed")
+
+
+def document_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted level (filled) paired with the gold level by id."""
+    docs = fx.documents(spark, sf)
+    preds = rollup.doc_level_from_raw(sentence_raw_scores(spark, sf, test_documents(spark, sf)))
+    ids = docs.select("doc_id", fx.gold_label().alias("gold"))
+    return (ids.join(preds, "doc_id", "left")
+            .select("doc_id", "gold", F.coalesce("level", F.lit(1)).alias("pred")))
+
+
+@register("qwk_documents", O.with_(*O.PIPELINE, O.FILLED, O.GOLD, O.DOC_PAIRS, O.kappa_select(True))
+          + f"SELECT {O.KAPPA_EXPR} AS qwk, CAST(n AS BIGINT) AS n FROM kap")
+def q_qwk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return M.qwk(document_pairs(spark, sf), labels="observed")
+
+
+@register("score_set", O.with_(*O.PIPELINE, O.FILLED, O.GOLD, O.DOC_PAIRS, O.kappa_select(True), """bands AS (
+  SELECT level, CAST(floor((level - 1) * 7 / 19) AS BIGINT) AS b7, CAST(floor((level - 1) * 5 / 19) AS BIGINT) AS b5,
+         CAST(floor((level - 1) * 3 / 19) AS BIGINT) AS b3 FROM range(1, 20) t(level))""") + f"""
+SELECT
+  CAST(100 * sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS acc,
+  CAST(100 * sum(CASE WHEN abs(gold - pred) <= 1 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS acc_pm1,
+  CAST(sum(abs(gold - pred)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_abs_dist,
+  CAST(100 * sum(CASE WHEN bg.b7 = bp.b7 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS acc_7,
+  CAST(100 * sum(CASE WHEN bg.b5 = bp.b5 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS acc_5,
+  CAST(100 * sum(CASE WHEN bg.b3 = bp.b3 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS acc_3,
+  (SELECT CAST(100 AS DOUBLE) * ({O.KAPPA_EXPR}) FROM kap) AS qwk
+FROM pairs LEFT JOIN bands bg ON pairs.gold = bg.level LEFT JOIN bands bp ON pairs.pred = bp.level""")
+def q_score_set(spark: SparkSession, sf: str) -> DataFrame:
+    return M.score_set(document_pairs(spark, sf), M.equal_width_bands(spark))
+
+
+@register("stage_counts", O.with_(O.SPLIT, O.SENT_RAW, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN) + """
+SELECT 'documents' AS stage, count(*) AS n_rows FROM documents
+UNION ALL SELECT 'sentences_raw', count(*) FROM sent_raw
+UNION ALL SELECT 'sentences_clean', count(*) FROM sent_clean
+UNION ALL SELECT 'tokens', count(*) FROM tok
+UNION ALL SELECT 'lexicon', count(*) FROM lex
+UNION ALL SELECT 'test_documents', count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def q_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs, sent, lex = _pipeline_inputs(spark, sf)
+    toks = feat.explode_tokens(sent).filter(F.col("token").isNotNull())
+    return M.stage_counts({
+        "documents": docs, "sentences_raw": sentences(docs.select("doc_id", "text"), "raw"),
+        "sentences_clean": sent, "tokens": toks, "lexicon": lex,
+        "test_documents": test_documents(spark, sf)})
+
+
+@register("ensemble_level", O.with_("""preds AS (
+""" + "\n  UNION ALL ".join(
+    f"SELECT doc_id, 1 + (7 * doc_id + n_chars + {3 * k}) % 19 AS prediction FROM documents" for k in range(5))
+    + ")") + """
+SELECT doc_id, CAST(least(greatest(round_even(CAST(sum(prediction) AS DOUBLE) / CAST(count(prediction) AS DOUBLE), 0), 1), 19) AS INTEGER) AS level
+FROM preds GROUP BY doc_id""")
+def q_ensemble_level(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.documents(spark, sf)
+    outputs = [docs.select("doc_id", (F.lit(1) + (F.lit(7) * F.col("doc_id") + F.col("n_chars") + F.lit(3 * k)) % 19)
+                           .alias("prediction")) for k in range(5)]
+    from functools import reduce
+    return rollup.ensemble_levels(reduce(lambda a, b: a.unionByName(b), outputs))
+
+
+# ------------------------------------------------------------- level arithmetic
+
+from lectio.functions import levels as L  # noqa: E402
+
+
+@register("level_from_score", """
+SELECT vec_id, raw, CAST(least(greatest(round_even(raw, 0), 0), 18) + 1 AS INTEGER) AS level,
+       CAST(least(greatest(round_even(raw, 0), 0), 18) AS INTEGER) AS model_label
+FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 20.0 + label AS raw FROM embeddings)""")
+def q_level_from_score(spark: SparkSession, sf: str) -> DataFrame:
+    emb = fx.table(spark, sf, "embeddings")
+    raw = F.element_at("embedding", 1).cast("double") * F.lit(20.0) + F.col("label")
+    lv = emb.select("vec_id", raw.alias("raw")).withColumn("level", L.score_to_level("raw"))
+    return lv.withColumn("model_label", L.to_model_label("level").cast("int"))
+
+
+@register("argmax_level", """
+SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS argmax,
+       CAST(list_position(s, list_max(s)) AS INTEGER) AS level
+FROM (SELECT vec_id, embedding[1:19] AS s FROM embeddings)""")
+def q_argmax_level(spark: SparkSession, sf: str) -> DataFrame:
+    emb = fx.table(spark, sf, "embeddings")
+    idx = L.argmax_index(F.slice("embedding", 1, 19))
+    return emb.select("vec_id", idx.alias("argmax"), L.from_model_label(idx).cast("int").alias("level"))

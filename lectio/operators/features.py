@@ -108,7 +108,7 @@ def lemma_pos_scores(tokens: DataFrame, analyses: DataFrame, lemma_pos_lexicon:
     from lectio.operators.morph import analyse_tokens
 
     analysed = analyse_tokens(tokens, analyses)
-    keyed = analysed.withColumn("lemma_pos", T.lemma_pos_key("lex", "pos"))
+    keyed = analysed.withColumn("lemma_pos", T.lemma_pos_key("lex", "tag"))
     scored = lookup_join(keyed, lemma_pos_lexicon.select("lemma_pos", F.col("score").cast("double")),
                          "lemma_pos", "left")
     return scored.groupBy(*id_cols).agg(

@@ -27,11 +27,12 @@ def first_analysis(analyses: DataFrame) -> DataFrame:
 
 
 def analyse_tokens(tokens: DataFrame, analyses: DataFrame) -> DataFrame:
-    """``tokens`` + ``d3tok``/``lex``/``pos`` of the word (lower-cased
+    """``tokens`` + ``d3tok``/``lex``/``tag`` (part of speech) of the word (lower-cased
     lookup); null when the word has no analysis.  ``analyses`` must
     already hold one row per word (see :func:`first_analysis`)."""
     keyed = tokens.withColumn("word", F.lower("token"))
-    return lookup_join(keyed, analyses.select("word", "d3tok", "lex", "pos"), "word", "left")
+    return lookup_join(keyed, analyses.select("word", "d3tok", "lex", F.col("pos").alias("tag")),
+                       "word", "left")
 
 
 def segmented_form(c_d3tok="d3tok", c_token="token"):
@@ -57,7 +58,7 @@ def morph_text(sentences: DataFrame, analyses: DataFrame, id_cols=ID_COLS,
     analysed = analyse_tokens(toks, analyses).withColumn("form", segmented_form())
     aggs = [F.coalesce(ordered_join(), F.lit("")).alias("d3tok_text")]
     if lemma_pos_lexicon is not None:
-        keyed = analysed.withColumn("lemma_pos", T.lemma_pos_key("lex", "pos"))
+        keyed = analysed.withColumn("lemma_pos", T.lemma_pos_key("lex", "tag"))
         analysed = lookup_join(
             keyed, lemma_pos_lexicon.select("lemma_pos", F.col("score").cast("double")),
             "lemma_pos", "left")

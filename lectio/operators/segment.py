@@ -23,20 +23,27 @@ def sentences(docs: DataFrame, mode: str = "clean", id_col: str = "doc_id",
     * ``clean``     (F2): pieces stripped, blank pieces dropped.
     * ``untrimmed`` (F3): blank pieces dropped, the piece kept as is.
     * ``punct``     (F4): split after sentence-final punctuation, stripped,
-      blanks dropped.
+      blanks dropped; ``pos`` counts the kept sentences.
 
-    ``pos`` is the 0-based position of the piece in the unfiltered split.
+    Otherwise ``pos`` is the 0-based position of the piece in the
+    unfiltered split.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    splitter = T.split_punct if mode == "punct" else T.split_lines
-    exploded = docs.select(id_col, *keep, F.posexplode(splitter(F.col(text_col))).alias("pos", "piece"))
+    if mode == "punct":
+        # numbered after blank removal: the engines' splitters may differ in
+        # the empty pieces they produce between adjacent separators
+        pieces = F.filter(F.transform(T.split_punct(F.col(text_col)), T.strip_ws), lambda x: x != F.lit(""))
+        return docs.select(id_col, *keep, F.posexplode(pieces).alias("pos", "sentence")) \
+            .select(id_col, "pos", "sentence", *keep)
+    exploded = docs.select(id_col, *keep, F.posexplode(T.split_lines(F.col(text_col))).alias("pos", "piece"))
     if mode == "raw":
         out = exploded.withColumnRenamed("piece", "sentence")
     elif mode == "untrimmed":
         out = exploded.filter(T.has_text("piece")).withColumnRenamed("piece", "sentence")
     else:
-        out = (exploded.withColumn("sentence", T.strip_ws("piece")).drop("piece")
+        stripped = F.transform(T.split_lines(F.col(text_col)), T.strip_ws)
+        out = (docs.select(id_col, *keep, F.posexplode(stripped).alias("pos", "sentence"))
                .filter(F.col("sentence") != F.lit("")))
     return out.select(id_col, "pos", "sentence", *keep)
 

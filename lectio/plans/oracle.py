@@ -115,3 +115,88 @@ kap AS (SELECT n, n * (saa + sbb - 2 * sab) AS num, n * (saa + sbb) - 2 * sa * s
 
 
 KAPPA_EXPR = "CASE WHEN den <> 0 THEN 1.0 - CAST(num AS DOUBLE) / CAST(den AS DOUBLE) END"
+
+
+DIAC = r"[\x{064B}-\x{0652}\x{0670}\x{0640}]"
+ARABIC = f"""arabic AS (
+  SELECT doc_id, translate(lower(replace(text, 'ee', 'eeeee')), '{LATIN}', '{ARABIC_26}') AS text
+  FROM documents)"""
+
+
+def collapse_sql(cs: str) -> str:
+    """Runs of three or more equal characters (newline excepted) -> one;
+    ``cs`` is the text as a list of characters."""
+    return f"""array_to_string(list_filter({cs}, lambda c, i:
+      NOT (c <> chr(10) AND i > 1 AND {cs}[i - 1] = c AND (
+        (i > 2 AND {cs}[i - 2] = c) OR (i < len({cs}) AND {cs}[i + 1] = c)))), '')"""
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+NORM_STEPS = f"""steps AS (
+  SELECT doc_id, t_dediac, t_alef, t_yaa_taa, t_elongation,
+         {strip_sql(f"regexp_replace(regexp_replace(t_elongation, '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '{WS}+', ' ', 'g')")} AS t_punct
+  FROM (
+    SELECT doc_id, t_dediac, t_alef, t_yaa_taa, {collapse_sql('cs')} AS t_elongation FROM (
+     SELECT *, regexp_extract_all(t_yaa_taa, '(?s).') AS cs FROM (
+      SELECT doc_id, t_dediac, t_alef, translate(t_alef, 'ىة', 'يه') AS t_yaa_taa FROM (
+        SELECT doc_id, t_dediac, translate(t_dediac, 'أإآ', 'ااا') AS t_alef FROM (
+          SELECT doc_id, regexp_replace(text, '{DIAC}', '', 'g') AS t_dediac FROM arabic))))))"""
+
+SENT_PUNCT = f"""sent_punct AS (
+  SELECT doc_id, CAST(p AS INTEGER) AS pos, sentence FROM (
+    SELECT doc_id, unnest(range(len(kept))) AS p, unnest(kept) AS sentence FROM (
+      SELECT doc_id, list_filter(list_transform(string_split(
+               regexp_replace(text, '([.!?؟؛\\n]){WS}*', '\\1' || chr(1), 'g'), chr(1)),
+               lambda x: {strip_sql('x')}), lambda x: x <> '') AS kept
+      FROM documents WHERE text IS NOT NULL)))"""
+
+LIST_DOCS = """list_docs AS (
+  SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text WHEN doc_id % 10 = 7 THEN '[]'
+                      ELSE CAST(to_json(string_split(text, chr(10))) AS VARCHAR) END AS lit
+  FROM documents)"""
+
+SENT_LIST = """sent_list AS (
+  SELECT doc_id, CAST(p AS INTEGER) AS pos, sentence FROM (
+    SELECT doc_id, unnest(range(len(arr))) AS p, unnest(arr) AS sentence FROM (
+      SELECT doc_id, CASE WHEN json_valid(lit) THEN from_json(lit, '["VARCHAR"]') END AS arr
+      FROM list_docs))
+  WHERE sentence IS NOT NULL)"""
+
+POS_RULE = "CASE length(lemma) % 3 WHEN 0 THEN 'noun' WHEN 1 THEN 'verb' ELSE 'prt' END"
+
+ANALYSES = f"""analyses_all AS (
+  SELECT lemma AS word,
+         CASE WHEN starts_with(lemma, 're') THEN 're+_' || substr(lemma, 3)
+              WHEN ends_with(lemma, 'ed') THEN substr(lemma, 1, length(lemma) - 2) || '_+ed'
+              ELSE lemma END AS d3tok,
+         lemma AS lex, {POS_RULE} AS pos, 0.9 AS score FROM lex
+  UNION ALL
+  SELECT lemma, lemma, lemma, 'noun', 0.1 FROM lex),
+analyses AS (
+  SELECT word, d3tok, lex, pos FROM analyses_all
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, d3tok DESC, lex DESC, pos DESC) = 1)"""
+
+LEX_LP = f"""lex_lp AS (SELECT lemma || '#' || {POS_RULE} AS lemma_pos, score FROM lex)"""
+
+WORD_TOKENS = r"[\p{L}\p{M}\p{N}_]+|[^ \t\n\x0B\f\r\p{L}\p{M}\p{N}_]"
+
+WTOK = f"""wtok AS (
+  SELECT doc_id, pos, unnest(range(len(ts))) AS tpos, unnest(ts) AS token FROM (
+    SELECT doc_id, pos, regexp_extract_all(sentence, '{WORD_TOKENS}') AS ts FROM sent_clean))"""
+
+MORPH = f"""morph AS (
+  SELECT w.doc_id, w.pos, w.tpos, w.token, a.lex, a.pos AS tag,
+         regexp_replace(replace(replace(
+           CASE WHEN a.d3tok IS NULL OR NOT regexp_matches(a.d3tok, '{NWS}') THEN w.token ELSE a.d3tok END,
+           '_+', ' +'), '+_', '+ '), '{DIAC}', '', 'g') AS form
+  FROM wtok w LEFT JOIN analyses a ON lower(w.token) = a.word),
+morph_scored AS (
+  SELECT m.*, l.score FROM morph m LEFT JOIN lex_lp l
+    ON CASE WHEN m.lex IS NOT NULL AND m.tag IS NOT NULL
+            THEN regexp_replace(m.lex, '{DIAC}', '', 'g') || '#' || m.tag END = l.lemma_pos)"""
+
+SCORE_AGGS = """CASE WHEN count(score) > 0 THEN CAST(sum(score) AS DOUBLE) / CAST(count(score) AS DOUBLE) ELSE 0.0 END AS avg_readability,
+  coalesce(max(score), 0.0) AS max_readability"""

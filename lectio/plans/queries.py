@@ -234,3 +234,86 @@ def q_argmax_level(spark: SparkSession, sf: str) -> DataFrame:
     emb = fx.table(spark, sf, "embeddings")
     idx = L.argmax_index(F.slice("embedding", 1, 19))
     return emb.select("vec_id", idx.alias("argmax"), L.from_model_label(idx).cast("int").alias("level"))
+
+
+# ------------------------------------------------------------------ text chain
+
+from lectio.functions import text as T  # noqa: E402
+from lectio.operators import morph as MO  # noqa: E402
+from lectio.operators.segment import sentences_from_list  # noqa: E402
+
+
+@register("normalize_text", O.with_(O.ARABIC, O.NORM_STEPS) + "SELECT doc_id, t_punct AS text_norm FROM steps")
+def q_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    ar = fx.arabic_documents(fx.documents(spark, sf))
+    return ar.select("doc_id", T.normalize("text").alias("text_norm"))
+
+
+@register("normalize_steps", O.with_(O.ARABIC, O.NORM_STEPS)
+          + "SELECT doc_id, t_dediac, t_alef, t_yaa_taa, t_elongation, t_punct FROM steps")
+def q_normalize_steps(spark: SparkSession, sf: str) -> DataFrame:
+    ar = fx.arabic_documents(fx.documents(spark, sf))
+    cols, cur = [], F.col("text")
+    for name, step in T.NORMALIZE_STEPS:
+        cur = step(cur)
+        cols.append(cur.alias(f"t_{name}"))
+    return ar.select("doc_id", *cols)
+
+
+@register("sentences_punct", O.with_(O.SENT_PUNCT) + "SELECT doc_id, pos, sentence FROM sent_punct")
+def q_sentences_punct(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(fx.documents(spark, sf).select("doc_id", "text"), "punct")
+
+
+@register("sentences_from_list", O.with_(O.LIST_DOCS, O.SENT_LIST) + "SELECT doc_id, pos, sentence FROM sent_list")
+def q_sentences_from_list(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences_from_list(fx.list_literal_documents(fx.documents(spark, sf)))
+
+
+def _morph_inputs(spark: SparkSession, sf: str):
+    docs, sent, lex = _pipeline_inputs(spark, sf)
+    return sent, lex, MO.first_analysis(fx.analyses(lex))
+
+
+@register("morph_text", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.ANALYSES, O.LEX_LP, O.WTOK, O.MORPH) + """
+SELECT doc_id, pos, string_agg(form, ' ' ORDER BY tpos) AS d3tok_text FROM morph GROUP BY doc_id, pos""")
+def q_morph_text(spark: SparkSession, sf: str) -> DataFrame:
+    sent, lex, an = _morph_inputs(spark, sf)
+    return MO.morph_text(sent, an)
+
+
+@register("morph_text_scores", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.ANALYSES, O.LEX_LP, O.WTOK, O.MORPH) + f"""
+SELECT doc_id, pos, string_agg(form, ' ' ORDER BY tpos) AS d3tok_text, {O.SCORE_AGGS}
+FROM morph_scored GROUP BY doc_id, pos""")
+def q_morph_text_scores(spark: SparkSession, sf: str) -> DataFrame:
+    sent, lex, an = _morph_inputs(spark, sf)
+    return MO.morph_text(sent, an, lemma_pos_lexicon=fx.lemma_pos_lexicon(lex))
+
+
+@register("lemma_pos_scores", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.ANALYSES, O.LEX_LP, O.WTOK, O.MORPH) + f"""
+SELECT doc_id, pos, {O.SCORE_AGGS} FROM morph_scored GROUP BY doc_id, pos""")
+def q_lemma_pos_scores(spark: SparkSession, sf: str) -> DataFrame:
+    sent, lex, an = _morph_inputs(spark, sf)
+    toks = feat.explode_tokens(sent, tokenizer=T.word_tokens)
+    return feat.lemma_pos_scores(toks, an, fx.lemma_pos_lexicon(lex))
+
+
+@register("sparse_features", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.ANALYSES, O.LEX_LP, O.WTOK, O.MORPH) + f"""
+SELECT doc_id, pos, avg_readability AS f1, max_readability AS f2, 0.0 AS f3, 0.0 AS f4, 0.0 AS f5,
+       0.0 AS f6, 0.0 AS f7
+FROM (SELECT doc_id, pos, {O.SCORE_AGGS} FROM morph_scored GROUP BY doc_id, pos)""")
+def q_sparse_features(spark: SparkSession, sf: str) -> DataFrame:
+    sent, lex, an = _morph_inputs(spark, sf)
+    toks = feat.explode_tokens(sent, tokenizer=T.word_tokens)
+    return feat.sparse_from_scores(feat.lemma_pos_scores(toks, an, fx.lemma_pos_lexicon(lex)))
+
+
+@register("surface_features", O.with_(O.SPLIT, O.SENT_CLEAN) + f"""
+SELECT doc_id, pos, CAST(len(ts) AS DOUBLE) AS f1, CAST(length(sentence) AS DOUBLE) AS f2,
+       CASE WHEN len(ts) > 0 THEN CAST(list_sum(list_transform(ts, lambda t: length(t))) AS DOUBLE)
+            / CAST(len(ts) AS DOUBLE) ELSE 0.0 END AS f3,
+       0.0 AS f4, 0.0 AS f5, 0.0 AS f6, 0.0 AS f7
+FROM (SELECT doc_id, pos, sentence, regexp_extract_all(sentence, '{O.WORD_TOKENS}') AS ts FROM sent_clean)""")
+def q_surface_features(spark: SparkSession, sf: str) -> DataFrame:
+    _, sent, _ = _pipeline_inputs(spark, sf)
+    return feat.surface_features(sent)

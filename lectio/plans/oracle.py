@@ -200,3 +200,43 @@ morph_scored AS (
 
 SCORE_AGGS = """CASE WHEN count(score) > 0 THEN CAST(sum(score) AS DOUBLE) / CAST(count(score) AS DOUBLE) ELSE 0.0 END AS avg_readability,
   coalesce(max(score), 0.0) AS max_readability"""
+
+
+WIDE = """wide AS (
+  SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS L3, max(CASE WHEN turn = 1 THEN text END) AS L4,
+         max(CASE WHEN turn = 2 THEN text END) AS L5
+  FROM conversations GROUP BY conv_id)"""
+
+
+def graded_long(l3: int, l4: int, l5: int) -> str:
+    return f"""graded AS (
+  SELECT conv_id, level_name, text,
+         CAST(CASE level_name WHEN 'L3' THEN {l3} WHEN 'L4' THEN {l4} WHEN 'L5' THEN {l5} END AS INTEGER) AS label
+  FROM (UNPIVOT wide ON L3, L4, L5 INTO NAME level_name VALUE text))"""
+
+
+TEMPLATE = "هذه كلمة بسيطة: "
+LEX_SENTENCES = f"""lex_sent AS (
+  SELECT word, '{TEMPLATE}' || word || '.' AS text,
+         CAST(CASE readability WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 11 WHEN 4 THEN 15 WHEN 5 THEN 18 END AS INTEGER) AS label
+  FROM (SELECT split_part(lemma || '#' || {POS_RULE}, '#', 1) AS word, CAST(score AS INTEGER) AS readability FROM lex))"""
+
+GRADE = """grade AS (
+  SELECT item_id, text, TRY_CAST(replace('G' || CAST(1 + item_id % 12 AS VARCHAR), 'G', '') AS INTEGER) AS label
+  FROM benchmark)"""
+
+
+def stratified_sql(src: str, id_expr: str, label: str, frac: float = 0.15) -> str:
+    """Exact stratified dev selection: ceil(f·N) rows, largest remainder per
+    class (ties by label), classes with one row stay in train."""
+    return f"""cls AS (SELECT {label} AS label, count(*) AS n FROM {src} GROUP BY {label}),
+tot AS (SELECT sum(n) AS total, CAST(ceil(CAST({frac} AS DOUBLE) * sum(n)) AS BIGINT) AS n_dev FROM cls),
+q0 AS (SELECT label, n, CASE WHEN n < 2 THEN 0 ELSE (n_dev * n) // total END AS q,
+              CASE WHEN n < 2 THEN NULL ELSE (n_dev * n) % total END AS rem, n_dev FROM cls, tot),
+q1 AS (SELECT label, q + CASE WHEN rem IS NOT NULL AND
+              row_number() OVER (ORDER BY rem IS NULL, rem DESC, label) <= n_dev - (SELECT sum(q) FROM q0)
+              THEN 1 ELSE 0 END AS quota FROM q0),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY {label} ORDER BY md5('42:' || {id_expr})) AS rk
+           FROM {src} s),
+split AS (SELECT r.*, CASE WHEN r.rk <= q1.quota THEN 'dev' ELSE 'train' END AS split
+          FROM ranked r JOIN q1 ON r.{label} = q1.label)"""

@@ -317,3 +317,146 @@ FROM (SELECT doc_id, pos, sentence, regexp_extract_all(sentence, '{O.WORD_TOKENS
 def q_surface_features(spark: SparkSession, sf: str) -> DataFrame:
     _, sent, _ = _pipeline_inputs(spark, sf)
     return feat.surface_features(sent)
+
+
+# ---------------------------------------------------------- corpus unification
+
+from lectio.functions import levels as LV  # noqa: E402
+from lectio.operators import corpus as C  # noqa: E402
+from lectio.operators import split as SP  # noqa: E402
+
+
+@register("graded_unpivot", O.with_(O.WIDE, O.graded_long(4, 10, 16))
+          + "SELECT conv_id, level_name, text, label FROM graded")
+def q_graded_unpivot(spark: SparkSession, sf: str) -> DataFrame:
+    wide = fx.graded_wide(fx.table(spark, sf, "conversations"))
+    return C.unpivot_levels(wide, ["conv_id"], LV.GRADED_LEVELS_A)
+
+
+@register("graded_markers", """
+SELECT row_number() OVER (ORDER BY conv_id, turn) AS row_id, conv_id AS "Novel", turn AS "Chapter",
+       text AS "Line",
+       CASE WHEN turn % 4 = 0 THEN 'x' END AS "L3", CASE WHEN turn % 4 = 1 THEN 'x' END AS "L4",
+       CASE WHEN turn % 4 IN (1, 2) THEN 'x' END AS "L5",
+       CASE WHEN turn % 4 = 0 THEN 4 WHEN turn % 4 = 1 THEN 10 WHEN turn % 4 = 2 THEN 16 ELSE 0 END AS level
+FROM conversations""")
+def q_graded_markers(spark: SparkSession, sf: str) -> DataFrame:
+    marked = fx.graded_markers(fx.table(spark, sf, "conversations"))
+    return C.marker_rows(marked, ["Novel", "Chapter"])
+
+
+@register("grade_parse", O.with_(O.GRADE) + "SELECT item_id, text, label FROM grade")
+def q_grade_parse(spark: SparkSession, sf: str) -> DataFrame:
+    g = C.grade_labels(fx.grade_codes(fx.table(spark, sf, "benchmark")))
+    return g.select("item_id", F.col("Text").alias("text"), "label")
+
+
+@register("grade_band", """
+SELECT item_id, text, label FROM (
+  SELECT item_id, text, CAST(round_even(CASE code WHEN 'BE' THEN 1.5 WHEN 'IE' THEN 3.5 WHEN 'AE' THEN 5.5
+         WHEN 'BM' THEN 7.5 WHEN 'IM' THEN 9.0 WHEN 'AM' THEN 10.0 WHEN 'BH' THEN 11.0 WHEN 'IH' THEN 12.0 END, 0)
+         AS INTEGER) AS label
+  FROM (SELECT item_id, text, ['BE', 'IE', 'AE', 'BM', 'IM', 'AM', 'BH', 'IH', 'XX'][(item_id % 9) + 1] AS code
+        FROM benchmark))
+WHERE label IS NOT NULL""")
+def q_grade_band(spark: SparkSession, sf: str) -> DataFrame:
+    b = C.band_labels(fx.band_codes(fx.table(spark, sf, "benchmark")))
+    return b.select("item_id", F.col("Text").alias("text"), "label")
+
+
+@register("lexicon_templates", O.with_(O.LEX, O.LEX_SENTENCES) + "SELECT word, text, label FROM lex_sent")
+def q_lexicon_templates(spark: SparkSession, sf: str) -> DataFrame:
+    lex = fx.derived_lexicon(fx.documents(spark, sf))
+    return C.lexicon_sentences(fx.lexicon_tsv_form(lex))
+
+
+def mixture(spark: SparkSession, sf: str, shuffle_seed: str | None = None) -> C.Mixture:
+    """M4: the open-track mixture — main corpus, graded corpus (5/10/17),
+    school-grade corpus and lexicon template sentences."""
+    docs = fx.documents(spark, sf)
+    main = sentences(docs.select("doc_id", "text", fx.gold_label().alias("label")), "untrimmed", keep=("label",))
+    graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id"],
+                              LV.GRADED_LEVELS_B)
+    grade = C.grade_labels(fx.grade_codes(fx.table(spark, sf, "benchmark")))
+    lexs = C.lexicon_sentences(fx.lexicon_tsv_form(fx.derived_lexicon(docs)))
+    return C.Mixture([
+        C.SourceSpec("main", main, "sentence", "label"),
+        C.SourceSpec("graded", graded, "text", "label"),
+        C.SourceSpec("grade", grade, "Text", "label"),
+        C.SourceSpec("lexicon", lexs, "text", "label"),
+    ], min_chars=5, shuffle_seed=shuffle_seed)
+
+
+@register("corpus_union", O.with_(O.SPLIT, O.SENT_UNTRIMMED, O.GOLD, O.WIDE, O.graded_long(5, 10, 17), O.GRADE,
+                                  O.LEX, O.LEX_SENTENCES) + """
+SELECT text, label, source FROM (
+  SELECT s.sentence AS text, g.label, 'main' AS source FROM sent_untrimmed s JOIN gold g ON s.doc_id = g.doc_id
+  UNION ALL SELECT text, label, 'graded' FROM graded
+  UNION ALL SELECT text, label, 'grade' FROM grade
+  UNION ALL SELECT text, label, 'lexicon' FROM lex_sent)
+WHERE text IS NOT NULL AND label IS NOT NULL AND length(text) > 5""")
+def q_corpus_union(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture(spark, sf).build()
+
+
+@register("lexicon_last_wins", O.with_(O.SPLIT, O.SENT_CLEAN) + f"""
+SELECT lemma, score FROM (
+  SELECT doc_id, pos, tpos, lower(t) AS lemma, CAST(1 + (doc_id + pos) % 5 AS DOUBLE) AS score FROM (
+    SELECT doc_id, pos, unnest(range(len(ts))) AS tpos, unnest(ts) AS t FROM (
+      SELECT doc_id, pos, regexp_extract_all(sentence, '{O.NWS}+') AS ts FROM sent_clean)))
+QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY doc_id DESC, pos DESC, tpos DESC) = 1""")
+def q_lexicon_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    _, sent, _ = _pipeline_inputs(spark, sf)
+    occ = fx.occurrence_lexicon(sent)
+    return C.last_wins(occ, "lemma", "score", ["doc_id", "pos", "tpos"])
+
+
+# ---------------------------------------------------------------------- splits
+
+@register("class_counts", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def q_class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return SP.class_counts(fx.table(spark, sf, "orders"), "o_orderpriority")
+
+
+@register("stratified_split", O.with_(O.stratified_sql("orders", "o_orderkey", "o_orderpriority"))
+          + "SELECT o_orderkey, o_orderpriority, split FROM split")
+def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return SP.stratified_split(orders, "o_orderkey", "o_orderpriority", 0.15)
+
+
+@register("kfold", """
+SELECT o_orderkey, CAST(CAST(('0x' || substr(md5('42:' || o_orderkey), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold
+FROM orders""")
+def q_kfold(spark: SparkSession, sf: str) -> DataFrame:
+    return SP.kfold(fx.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5)
+
+
+@register("augmented_split", O.with_(O.SPLIT, O.SENT_UNTRIMMED, O.GOLD, O.WIDE, O.graded_long(4, 10, 16), """added AS (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || level_name AS id, label FROM graded)""",
+                                     O.stratified_sql("added", "id", "label")) + """
+SELECT 'main' AS source, CAST(s.doc_id AS VARCHAR) || ':' || CAST(s.pos AS VARCHAR) AS id, g.label,
+       CASE WHEN CAST(('0x' || substr(md5('42:' || s.doc_id), 1, 8)) AS BIGINT) % 5 = 0 THEN 'dev' ELSE 'train' END AS split
+FROM sent_untrimmed s JOIN gold g ON s.doc_id = g.doc_id
+UNION ALL SELECT 'graded', id, label, split FROM split""")
+def q_augmented_split(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.documents(spark, sf)
+    main = sentences(docs.select("doc_id", "text", fx.gold_label().alias("label")), "untrimmed", keep=("label",))
+    main = SP.kfold(main, "doc_id", 5).select(
+        F.lit("main").alias("source"), F.concat_ws(":", "doc_id", "pos").alias("id"), "label",
+        F.when(F.col("fold") == 0, "dev").otherwise("train").alias("split"))
+    graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id"],
+                              LV.GRADED_LEVELS_A)
+    added = graded.select(F.lit("graded").alias("source"), F.concat_ws(":", "conv_id", "level_name").alias("id"),
+                          "label")
+    return SP.augmented_split(main, added, "id", "label", 0.15)
+
+
+@register("shuffle_order", "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS shuffle_pos FROM documents")
+def q_shuffle_order(spark: SparkSession, sf: str) -> DataFrame:
+    return SP.shuffle_positions(fx.documents(spark, sf).select("doc_id"), "doc_id")
+
+
+@register("shuffle_head", "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 5")
+def q_shuffle_head(spark: SparkSession, sf: str) -> DataFrame:
+    return SP.shuffled_head(fx.documents(spark, sf).select("doc_id", "lang"), "doc_id", 5)

@@ -77,9 +77,10 @@ def fill_missing(ids: DataFrame, values: DataFrame, on: str, fills: dict) -> Dat
     return ids.join(values, on, "left").fillna(fills)
 
 
-def positional_align(left: DataFrame, right: DataFrame, left_order: list[str],
-                     right_order: list[str]) -> DataFrame:
-    """Pair the i-th row of ``left`` with the i-th row of ``right``.
+def positional_align(left: DataFrame, right: DataFrame, left_order: list[str] | None = None,
+                     right_order: list[str] | None = None) -> DataFrame:
+    """Pair the i-th row of ``left`` with the i-th row of ``right``
+    (``None`` order: current physical order).
 
     Both sides are numbered by a distributed sequential id (no single-task
     window); the row counts must agree, as in the reference's guard.

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
-def with_row_number(df: DataFrame, order: list, name: str = "row_id", start: int = 1) -> DataFrame:
-    """Add ``name`` = 1-based position of the row in ``order`` (a total order)."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+def with_row_number(df: DataFrame, order: list | None, name: str = "row_id", start: int = 1) -> DataFrame:
+    """Add ``name`` = 1-based position of the row in ``order`` (a total
+    order); ``order=None`` numbers rows in their current physical order
+    (file order, like ``zipWithIndex``)."""
     mid = F.monotonically_increasing_id()
-    ordered = (df.orderBy(*cols)
+    ordered = df if order is None else df.orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
+    ordered = (ordered
                .withColumn("_part", F.shiftright(mid, 33))
                .withColumn("_local", mid.bitwiseAND(F.lit(_LOW_BITS))))
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -460,3 +460,143 @@ def q_shuffle_order(spark: SparkSession, sf: str) -> DataFrame:
 @register("shuffle_head", "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 5")
 def q_shuffle_head(spark: SparkSession, sf: str) -> DataFrame:
     return SP.shuffled_head(fx.documents(spark, sf).select("doc_id", "lang"), "doc_id", 5)
+
+
+# -------------------------------------------------------------- encoding, align
+
+from lectio.operators.encode import encode_fixed  # noqa: E402
+from lectio.operators.joins import positional_align  # noqa: E402
+
+
+@register("encode_fixed", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN) + """,
+vocab AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) AS id
+          FROM (SELECT lower(token) AS word, count(*) AS cnt FROM tok GROUP BY lower(token))),
+enc AS (SELECT t.doc_id, t.pos, list(v.id ORDER BY t.tpos) AS ids
+        FROM tok t JOIN vocab v ON lower(t.token) = v.word WHERE t.tpos < 256 GROUP BY t.doc_id, t.pos)
+SELECT doc_id, pos, array_to_string(list_resize(ids, 256, 0), ' ') AS input_ids_text,
+       CAST(len(ids) AS INTEGER) AS n_attended
+FROM enc""".replace("\n,\nvocab", ",\nvocab"))
+def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    _, sent, _ = _pipeline_inputs(spark, sf)
+    enc = encode_fixed(sent)
+    return enc.select("doc_id", "pos", F.array_join("input_ids", " ").alias("input_ids_text"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))
+
+
+@register("positional_align", O.with_(*O.PIPELINE) + """
+SELECT l.doc_id AS id, CAST(coalesce(p.level, 1) AS INTEGER) AS level
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM labels) l
+JOIN (SELECT lb.doc_id, row_number() OVER (ORDER BY lb.doc_id) AS rn, d.level
+      FROM labels lb LEFT JOIN doc_level d ON lb.doc_id = d.doc_id) p ON l.rn = p.rn""")
+def q_positional_align(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and an id-less prediction table in the same order, paired by
+    position after checking that both hold the same number of rows."""
+    labels = fx.table(spark, sf, "labels").select("doc_id")
+    preds = rollup.doc_level_from_raw(sentence_raw_scores(spark, sf, test_documents(spark, sf)))
+    ids = labels.orderBy("doc_id").select(F.col("doc_id").alias("id"))
+    pred_rows = (labels.join(preds, "doc_id", "left").orderBy("doc_id")
+                 .select(F.coalesce("level", F.lit(1)).cast("int").alias("level")))
+    return positional_align(ids, pred_rows)
+
+
+# ------------------------------------------------------------------ round trips
+
+from pyspark.sql import types as ST  # noqa: E402
+
+from lectio.session import scratch_path  # noqa: E402
+from lectio.sources import readers as R  # noqa: E402
+from lectio.sources import sinks as K  # noqa: E402
+
+DOC_SCHEMA = ST.StructType([
+    ST.StructField("doc_id", ST.LongType()), ST.StructField("text", ST.StringType()),
+    ST.StructField("lang", ST.StringType()), ST.StructField("source", ST.StringType()),
+    ST.StructField("n_chars", ST.LongType())])
+DOC_SQL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@register("roundtrip_csv", DOC_SQL)
+def q_roundtrip_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 -> S1 + S8: documents (multi-line cells) to CSV and back."""
+    path = K.write_csv(fx.documents(spark, sf).select(*DOC_SCHEMA.fieldNames()), scratch_path(spark, "csv"))
+    return R.read_csv(spark, path, DOC_SCHEMA)
+
+
+@register("roundtrip_tsv", DOC_SQL)
+def q_roundtrip_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 (tab) -> S2."""
+    path = K.write_tsv(fx.documents(spark, sf).select(*DOC_SCHEMA.fieldNames()), scratch_path(spark, "tsv"))
+    return R.read_tsv(spark, path, DOC_SCHEMA)
+
+
+@register("roundtrip_bom", DOC_SQL)
+def q_roundtrip_bom(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 -> S4: BOM-prefixed header, cleaned on read."""
+    path = K.write_csv(fx.documents(spark, sf).select(*DOC_SCHEMA.fieldNames()), scratch_path(spark, "bom"),
+                       bom=True)
+    return R.read_csv(spark, path, DOC_SCHEMA, bom=True)
+
+
+@register("roundtrip_parquet", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN, O.SUMS) + """
+SELECT doc_id, pos,
+  CASE WHEN n_words > 0 THEN CAST(n_chars AS DOUBLE) ELSE 0.0 END AS f_chars,
+  CAST(n_words AS DOUBLE) AS f_words,
+  CAST(sum_len AS DOUBLE) / CAST(n_words AS DOUBLE) AS f_mean_len,
+  CAST(sum_diff AS DOUBLE) / CAST(n_words AS DOUBLE) AS f_mean_diff,
+  CAST(max_diff AS DOUBLE) AS f_max_diff, CAST(n_hard AS DOUBLE) AS f_n_hard,
+  CAST(n_oov AS DOUBLE) / CAST(n_words AS DOUBLE) AS f_oov_share
+FROM sums""")
+def q_roundtrip_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """K3 -> S5: feature vectors as ``array<double>`` to Parquet and back;
+    also S6: the vector through its JSON text form."""
+    _, sent, lex = _pipeline_inputs(spark, sf)
+    vec = feat.as_vector(feat.lexical_features(sent, lex)).select("doc_id", "pos", "features")
+    as_text = vec.select("doc_id", "pos", F.to_json("features").alias("features"))
+    path = K.write_parquet(as_text, scratch_path(spark, "parquet"))
+    back = R.parse_list_column(R.read_parquet(spark, path), "features")
+    return back.select("doc_id", "pos", *[F.element_at("features", i + 1).alias(n)
+                                          for i, n in enumerate(feat.LEXICAL_NAMES)])
+
+
+@register("tolerant_scan", "SELECT doc_id, n_chars FROM documents WHERE n_chars % 50 <> 0")
+def q_tolerant_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: rows whose ``n_chars`` is not a number are malformed; they are
+    split off, the rest is read."""
+    docs = fx.documents(spark, sf)
+    bad_num = F.when(F.col("n_chars") % 50 == 0, F.lit("n/a")).otherwise(F.col("n_chars").cast("string"))
+    path = K.write_csv(docs.select("doc_id", bad_num.alias("n_chars")), scratch_path(spark, "tolerant"))
+    schema = ST.StructType([ST.StructField("doc_id", ST.LongType()), ST.StructField("n_chars", ST.LongType())])
+    good, _bad = R.read_tolerant(spark, path, schema)
+    return good
+
+
+@register("optional_lexicon", O.with_(O.SPLIT, O.SENT_CLEAN) + """
+SELECT doc_id, pos, 0.0 AS f_chars, 0.0 AS f_words, 0.0 AS f_mean_len, 0.0 AS f_mean_diff,
+       0.0 AS f_max_diff, 0.0 AS f_n_hard, 0.0 AS f_oov_share FROM sent_clean""")
+def q_optional_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + A4: a missing lexicon file reads as an empty table, which turns
+    the lexical features into seven zeros."""
+    schema = ST.StructType([ST.StructField("lemma", ST.StringType()), ST.StructField("score", ST.DoubleType())])
+    lex = R.read_optional(spark, scratch_path(spark, "missing-lexicon"), schema)
+    _, sent, _ = _pipeline_inputs(spark, sf)
+    return feat.lexical_features(sent, lex)
+
+
+@register("compute_once", O.with_(O.SPLIT, O.SENT_CLEAN) + "SELECT doc_id, pos, sentence FROM sent_clean")
+def q_compute_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentence stage is written once and read back on reuse."""
+    path = scratch_path(spark, "stage-sentences")
+    _, sent, _ = _pipeline_inputs(spark, sf)
+    R.load_or_compute(spark, path, lambda: sent)
+    return R.load_or_compute(spark, path, lambda: sent.limit(0))  # second call reads the stored stage
+
+
+@register("roundtrip_submission", O.with_(*O.PIPELINE, O.FILLED) + """
+SELECT doc_id AS "Document ID", level AS "Prediction" FROM filled""")
+def q_roundtrip_submission(spark: SparkSession, sf: str) -> DataFrame:
+    """K4 + K5: the submission file and an audit of the scored sentences."""
+    path = scratch_path(spark, "submission")
+    K.write_submission(filled_levels(spark, sf), path, "doc_id", "level", ("Document ID", "Prediction"))
+    K.write_audit(sentence_raw_scores(spark, sf), scratch_path(spark, "audit"))
+    schema = ST.StructType([ST.StructField("Document ID", ST.LongType()),
+                            ST.StructField("Prediction", ST.IntegerType())])
+    return R.read_csv(spark, path, schema)

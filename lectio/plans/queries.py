@@ -600,3 +600,73 @@ def q_roundtrip_submission(spark: SparkSession, sf: str) -> DataFrame:
     schema = ST.StructType([ST.StructField("Document ID", ST.LongType()),
                             ST.StructField("Prediction", ST.IntegerType())])
     return R.read_csv(spark, path, schema)
+
+
+# ---------------------------------------------------------------------- models
+
+from lectio.operators import models as MD  # noqa: E402
+from lectio.plans import pipelines as PL  # noqa: E402
+
+
+def labelled_split(spark: SparkSession, sf: str):
+    """Labelled sentences with a document-level fold split (fold 0 = dev)."""
+    docs = fx.documents(spark, sf)
+    lab = sentences(docs.select("doc_id", "text", fx.gold_label().alias("label")), "clean", keep=("label",))
+    lab = SP.kfold(lab, "doc_id", 5)
+    return lab.filter(F.col("fold") != 0), lab.filter(F.col("fold") == 0)
+
+
+@register("regress_level")
+def q_regress_level(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 + M8 + F17 (rows-only: a fitted model has no SQL twin)."""
+    train, dev = labelled_split(spark, sf)
+    model = MD.fit_regressor(train, "sentence", "label", num_features=1 << 14, max_iter=20)
+    return MD.regression_levels(model, dev, ["doc_id", "pos", "label"])
+
+
+@register("classify_level")
+def q_classify_level(spark: SparkSession, sf: str) -> DataFrame:
+    """M6 + O4 + P9 (rows-only)."""
+    train, dev = labelled_split(spark, sf)
+    model = MD.fit_classifier(train, "sentence", "label", num_features=1 << 14, max_iter=20)
+    return MD.class_levels(model, dev, ["doc_id", "pos", "label"])
+
+
+@register("hybrid_level")
+def q_hybrid_level(spark: SparkSession, sf: str) -> DataFrame:
+    """M7: embedding ⧺ document lexical features -> scaler -> linear head
+    (rows-only)."""
+    docs = fx.documents(spark, sf)
+    lex = fx.derived_lexicon(docs)
+    doc_feats = feat.features_from_sums(
+        feat.lexical_sums(docs.select("doc_id", F.col("text").alias("sentence")), lex, ("doc_id",)), ("doc_id",))
+    emb = fx.table(spark, sf, "embeddings")
+    data = emb.join(doc_feats, emb.vec_id == doc_feats.doc_id, "left").drop("doc_id").fillna(0.0)
+    data = SP.kfold(data, "vec_id", 5)
+    train, test = data.filter(F.col("fold") != 0), data.filter(F.col("fold") == 0)
+    model = MD.fit_hybrid(train, "embedding", list(feat.LEXICAL_NAMES), "label")
+    return MD.hybrid_predict(model, test, "embedding", ["vec_id", "label"])
+
+
+@register("document_pipeline")
+def q_document_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Train on segmented text of fold != 0 documents, then score the
+    labelled test documents and fill every id (rows-only)."""
+    train, _ = labelled_split(spark, sf)
+    _, lex, an = _morph_inputs(spark, sf)
+    model = PL.train_sentence_model(train, an, num_features=1 << 14, max_iter=20)
+    return PL.document_levels(test_documents(spark, sf), an, model, ids=fx.documents(spark, sf))
+
+
+@register("batch_scoring", O.with_(*O.PIPELINE, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
+def q_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """V2: user NumPy scorer in 128-row Arrow batches (mapInPandas)."""
+    _, sent, lex = _pipeline_inputs(spark, sf)
+    return PL.sentence_levels_python(feat.lexical_sums(sent, lex))
+
+
+@register("predict_batch_scoring", O.with_(*O.PIPELINE, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
+def q_predict_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """M8: the same user model through predict_batch_udf."""
+    _, sent, lex = _pipeline_inputs(spark, sf)
+    return PL.sentence_levels_udf(feat.lexical_sums(sent, lex))

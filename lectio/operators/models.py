@@ -19,6 +19,7 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.regression import LinearRegression
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,17 @@ from lectio.functions.levels import N_LEVELS, from_model_label, score_to_level,
 BATCH_ROWS = 128
 
 
+def _fit(pipeline: Pipeline, data: DataFrame) -> PipelineModel:
+    """Fit with the training frame persisted (memory, spilling to disk):
+    IDF/scaler and the optimiser each pass over it; a lost block is
+    recomputed from lineage."""
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(data)
+    finally:
+        data.unpersist()
+
+
 def _text_stages(text_col: str, num_features: int):
     return [
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\S+", gaps=False, toLowercase=True),
@@ -42,7 +54,7 @@ def fit_regressor(train: DataFrame, text_col: str = "text", label_col: str = "la
     data = train.withColumn("_target", to_model_label(label_col).cast("double"))
     lr = LinearRegression(featuresCol="_tfidf", labelCol="_target", predictionCol="_raw",
                           regParam=reg, elasticNetParam=0.0, maxIter=max_iter)
-    return Pipeline(stages=_text_stages(text_col, num_features) + [lr]).fit(data)
+    return _fit(Pipeline(stages=_text_stages(text_col, num_features) + [lr]), data)
 
 
 def fit_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
@@ -51,7 +63,7 @@ def fit_classifier(train: DataFrame, text_col: str = "text", label_col: str = "l
     data = train.withColumn("_target", to_model_label(label_col).cast("double"))
     lr = LogisticRegression(featuresCol="_tfidf", labelCol="_target", predictionCol="_class",
                             family="multinomial", regParam=reg, maxIter=max_iter)
-    return Pipeline(stages=_text_stages(text_col, num_features) + [lr]).fit(data)
+    return _fit(Pipeline(stages=_text_stages(text_col, num_features) + [lr]), data)
 
 
 def regression_levels(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -86,7 +98,7 @@ def fit_hybrid(train: DataFrame, vector_col: str, feature_cols: list[str], label
         width = len(train.first()[vector_col]) + len(feature_cols)
         est = MultilayerPerceptronClassifier(featuresCol="_xs", labelCol="_target", predictionCol="_class",
                                              layers=[width, *hidden, n_classes], seed=seed, maxIter=100)
-    return Pipeline(stages=[assemble, scale, est]).fit(data)
+    return _fit(Pipeline(stages=[assemble, scale, est]), data)
 
 
 def hybrid_predict(model: PipelineModel, df: DataFrame, vector_col: str, keep: list[str]) -> DataFrame:

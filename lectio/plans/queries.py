@@ -56,7 +56,7 @@ def q_sentences_labelled(spark: SparkSession, sf: str) -> DataFrame:
 def _pipeline_inputs(spark: SparkSession, sf: str):
     docs = fx.documents(spark, sf)
     sent = sentences(docs.select("doc_id", "text"), "clean")
-    lex = fx.derived_lexicon(docs)
+    lex = fx.lexicon_table(spark, sf)
     return docs, sent, lex
 
 
@@ -272,7 +272,7 @@ def q_sentences_from_list(spark: SparkSession, sf: str) -> DataFrame:
 
 def _morph_inputs(spark: SparkSession, sf: str):
     docs, sent, lex = _pipeline_inputs(spark, sf)
-    return sent, lex, MO.first_analysis(fx.analyses(lex))
+    return sent, lex, fx.analyses_table(spark, sf)
 
 
 @register("morph_text", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.ANALYSES, O.LEX_LP, O.WTOK, O.MORPH) + """
@@ -366,8 +366,7 @@ def q_grade_band(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("lexicon_templates", O.with_(O.LEX, O.LEX_SENTENCES) + "SELECT word, text, label FROM lex_sent")
 def q_lexicon_templates(spark: SparkSession, sf: str) -> DataFrame:
-    lex = fx.derived_lexicon(fx.documents(spark, sf))
-    return C.lexicon_sentences(fx.lexicon_tsv_form(lex))
+    return C.lexicon_sentences(fx.lexicon_tsv_form(fx.lexicon_table(spark, sf)))
 
 
 def mixture(spark: SparkSession, sf: str, shuffle_seed: str | None = None) -> C.Mixture:
@@ -378,7 +377,7 @@ def mixture(spark: SparkSession, sf: str, shuffle_seed: str | None = None) -> C.
     graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id"],
                               LV.GRADED_LEVELS_B)
     grade = C.grade_labels(fx.grade_codes(fx.table(spark, sf, "benchmark")))
-    lexs = C.lexicon_sentences(fx.lexicon_tsv_form(fx.derived_lexicon(docs)))
+    lexs = C.lexicon_sentences(fx.lexicon_tsv_form(fx.lexicon_table(spark, sf)))
     return C.Mixture([
         C.SourceSpec("main", main, "sentence", "label"),
         C.SourceSpec("graded", graded, "text", "label"),
@@ -637,7 +636,7 @@ def q_hybrid_level(spark: SparkSession, sf: str) -> DataFrame:
     """M7: embedding ⧺ document lexical features -> scaler -> linear head
     (rows-only)."""
     docs = fx.documents(spark, sf)
-    lex = fx.derived_lexicon(docs)
+    lex = fx.lexicon_table(spark, sf)
     doc_feats = feat.features_from_sums(
         feat.lexical_sums(docs.select("doc_id", F.col("text").alias("sentence")), lex, ("doc_id",)), ("doc_id",))
     emb = fx.table(spark, sf, "embeddings")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values (must stay equal to the behaviour being reproduced)
 # ---------------------------------------------------------------------------
-# Arabic diacritics removed by dediacritisation: tanween fath .. sukun,
-# superscript alef, and the tatweel (elongation) character.
+# Arabic diacritics removed by dediacritisation: tanween fath .. sukun
+# (U+064B-U+0652), superscript alef (U+0670), and tatweel (U+0640).
 DIACRITICS_CLASS = "[\\u064B-\\u0652\\u0670\\u0640]"
+DIACRITICS = "".join(chr(c) for c in range(0x064B, 0x0653)) + "\u0670\u0640"
 # Alef variants (hamza above, hamza below, madda) mapped to bare alef.
 ALEF_VARIANTS = "أإآ"
 ALEF_BARE = "ااا"
@@ -31,6 +32,7 @@ CLITIC_REWRITES = (("_+", " +"), ("+_", "+ "))
 
 # Whitespace as Python's str.split()/strip() sees it for the texts handled
 # here; spelled out so Java regex and RE2 agree (Java \s has no \v in RE2).
+WS_CHARS = " \t\n\x0b\x0c\r"
 WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 NOT_WS = "[^ \\t\\n\\x0B\\f\\r]"
 WORD_RUN = "[\\p{L}\\p{M}\\p{N}_]+"
@@ -42,8 +44,9 @@ def _c(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: leading and trailing whitespace removed."""
-    return F.regexp_replace(_c(c), F.lit(f"^{WS_CLASS}+|{WS_CLASS}+$"), F.lit(""))
+    """Python ``str.strip()``: leading and trailing whitespace removed
+    (a character-set trim, no regex)."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
 
 
 def has_text(c) -> Column:
@@ -85,8 +88,9 @@ def word_tokens(c) -> Column:
 
 
 def dediac(c) -> Column:
-    """F16: remove Arabic diacritics and tatweel."""
-    return F.regexp_replace(_c(c), F.lit(DIACRITICS_CLASS), F.lit(""))
+    """F16: remove Arabic diacritics and tatweel (``translate`` deletes
+    characters that have no replacement: a per-character map, no regex)."""
+    return F.translate(_c(c), DIACRITICS, "")
 
 
 def normalize_alef(c) -> Column:

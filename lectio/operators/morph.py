@@ -19,28 +19,34 @@ from lectio.operators.joins import lookup_join
 
 def first_analysis(analyses: DataFrame) -> DataFrame:
     """One analysis per word: the highest score; ties by the larger
-    (d3tok, lex, pos).  A hash aggregation, no sort."""
+    (d3tok, lex, pos).  A hash aggregation, no sort.  The written form of
+    the analysis (clitic markers rewritten, diacritics removed; null when
+    the d3tok is missing or blank) is computed here, once per word, not
+    once per token."""
     best = F.max(F.struct(F.col("score"), F.col("d3tok"), F.col("lex"), F.col("pos")))
+    d = F.col("d3tok")
     return (analyses.groupBy("word").agg(best.alias("a"))
             .select("word", F.col("a.d3tok").alias("d3tok"), F.col("a.lex").alias("lex"),
-                    F.col("a.pos").alias("pos")))
+                    F.col("a.pos").alias("pos"))
+            .withColumn("d3tok_form", F.when(d.isNotNull() & T.has_text(d),
+                                             T.dediac(T.rewrite_clitics(d)))))
 
 
 def analyse_tokens(tokens: DataFrame, analyses: DataFrame) -> DataFrame:
-    """``tokens`` + ``d3tok``/``lex``/``tag`` (part of speech) of the word (lower-cased
-    lookup); null when the word has no analysis.  ``analyses`` must
-    already hold one row per word (see :func:`first_analysis`)."""
+    """``tokens`` + ``d3tok``/``d3tok_form``/``lex``/``tag`` (part of
+    speech) of the word (lower-cased lookup); null when the word has no
+    analysis.  ``analyses`` holds one row per word (:func:`first_analysis`)."""
     keyed = tokens.withColumn("word", F.lower("token"))
-    return lookup_join(keyed, analyses.select("word", "d3tok", "lex", F.col("pos").alias("tag")),
-                       "word", "left")
+    cols = ["word", "d3tok", "lex", F.col("pos").alias("tag")]
+    if "d3tok_form" in analyses.columns:
+        cols.append("d3tok_form")
+    return lookup_join(keyed, analyses.select(*cols), "word", "left")
 
 
-def segmented_form(c_d3tok="d3tok", c_token="token"):
-    """Form written for a token: its d3tok (the word itself when missing,
-    null or blank), clitic markers rewritten, diacritics removed."""
-    d = F.col(c_d3tok)
-    form = F.when(d.isNull() | ~T.has_text(d), F.col(c_token)).otherwise(d)
-    return T.dediac(T.rewrite_clitics(form))
+def segmented_form(c_token="token", c_form="d3tok_form"):
+    """Form written for a token: its analysis form, else the word itself,
+    verbatim."""
+    return F.coalesce(F.col(c_form), F.col(c_token))
 
 
 def ordered_join(form_col: str = "form", order_col: str = "tpos", sep: str = " "):

@@ -189,9 +189,8 @@ WTOK = f"""wtok AS (
 
 MORPH = f"""morph AS (
   SELECT w.doc_id, w.pos, w.tpos, w.token, a.lex, a.pos AS tag,
-         regexp_replace(replace(replace(
-           CASE WHEN a.d3tok IS NULL OR NOT regexp_matches(a.d3tok, '{NWS}') THEN w.token ELSE a.d3tok END,
-           '_+', ' +'), '+_', '+ '), '{DIAC}', '', 'g') AS form
+         CASE WHEN a.d3tok IS NULL OR NOT regexp_matches(a.d3tok, '{NWS}') THEN w.token
+              ELSE replace(replace(regexp_replace(a.d3tok, '{DIAC}', '', 'g'), '_+', ' +'), '+_', '+ ') END AS form
   FROM wtok w LEFT JOIN analyses a ON lower(w.token) = a.word),
 morph_scored AS (
   SELECT m.*, l.score FROM morph m LEFT JOIN lex_lp l

@@ -153,9 +153,9 @@ def lemma_of(c) -> Column:
 
 
 def pos_of(c) -> Column:
-    """the part-of-speech part of ``lemma#pos`` (null without '#')."""
-    parts = F.split(_c(c), "#", 2)
-    return F.when(F.size(parts) > 1, parts.getItem(1))
+    """the part-of-speech part of ``lemma#pos``: the second
+    ``#``-separated piece (``''`` when there is none)."""
+    return F.split_part(_c(c), F.lit("#"), F.lit(2))
 
 
 def lemma_pos_key(lemma, pos) -> Column:

@@ -60,7 +60,9 @@ def morph_text(sentences: DataFrame, analyses: DataFrame, id_cols=ID_COLS,
     """Segmented text per sentence, plus (when a ``lemma#pos`` lexicon
     is given) A3's mean/max scores, in one aggregation on the sentence key.
     """
-    toks = explode_tokens(sentences, id_cols, text_col, tokenizer=T.word_tokens)
+    # A null or blank sentence is segmented to ""
+    sent = sentences.select(*id_cols, T.blank_to_empty(text_col).alias(text_col))
+    toks = explode_tokens(sent, id_cols, text_col, tokenizer=T.word_tokens)
     analysed = analyse_tokens(toks, analyses).withColumn("form", segmented_form())
     aggs = [F.coalesce(ordered_join(), F.lit("")).alias("d3tok_text")]
     if lemma_pos_lexicon is not None:

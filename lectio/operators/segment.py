@@ -65,3 +65,23 @@ def parse_float_list(c, width: int | None = None):
     if width is not None:
         arr = F.when(F.size(arr) == width, arr)
     return arr
+
+
+def sentences_with(docs: DataFrame, splitter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """V3: document -> sentences through a user Python splitter
+    (``str -> list[str]``), as an Arrow-optimised Python UDTF.  Use only
+    when the splitting rule cannot be written as the built-in expressions
+    of :func:`sentences`; the document key travels with every row."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="pos: int, sentence: string", useArrow=True)
+    class _Split:
+        def eval(self, text: str):
+            if text is None:
+                return
+            for i, s in enumerate(splitter(text)):
+                yield i, s
+
+    return docs.select(id_col, text_col).lateralJoin(
+        _Split(F.col(text_col).outer()).alias("s")) \
+        .select(F.col(id_col), F.col("s.pos").alias("pos"), F.col("s.sentence").alias("sentence"))

@@ -669,3 +669,48 @@ def q_predict_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """M8: the same user model through predict_batch_udf."""
     _, sent, lex = _pipeline_inputs(spark, sf)
     return PL.sentence_levels_udf(feat.lexical_sums(sent, lex))
+
+
+# ------------------------------------------------------------ smaller operators
+
+from lectio.operators.segment import sentences_with  # noqa: E402
+
+
+def _python_lines(text: str) -> list:
+    """A user splitter written in plain Python (F2 semantics)."""
+    return [s.strip() for s in text.split("\n") if s.strip()]
+
+
+@register("sentences_user_split", O.with_(O.SPLIT, O.SENT_CLEAN) + """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, sentence
+FROM sent_clean""")
+def q_sentences_user_split(spark: SparkSession, sf: str) -> DataFrame:
+    """V3: a Python splitter as an Arrow UDTF (the slow path, for user code)."""
+    return sentences_with(fx.documents(spark, sf), _python_lines)
+
+
+@register("oov_words", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN) + """
+SELECT DISTINCT lower(token) AS word FROM tok WHERE lower(token) NOT IN (SELECT lemma FROM lex)""")
+def q_oov_words(spark: SparkSession, sf: str) -> DataFrame:
+    """J6 as a set: distinct words absent from the lexicon (anti join)."""
+    _, sent, lex = _pipeline_inputs(spark, sf)
+    words = (feat.explode_tokens(sent).filter(F.col("token").isNotNull())
+             .select(F.lower("token").alias("word")).distinct())
+    return lookup_join(words, lex.select(F.col("lemma").alias("word")), "word", "left_anti")
+
+
+@register("lexicon_split", O.with_(O.LEX) + f"""
+SELECT split_part(lp, '#', 1) AS lemma, split_part(lp, '#', 2) AS pos, readability FROM (
+  SELECT lemma || '#' || {O.POS_RULE} AS lp, CAST(score AS INTEGER) AS readability FROM lex)""")
+def q_lexicon_split(spark: SparkSession, sf: str) -> DataFrame:
+    """``lemma#pos`` split into its two parts."""
+    tsv = fx.lexicon_tsv_form(fx.lexicon_table(spark, sf))
+    return tsv.select(T.lemma_of("lemma#pos").alias("lemma"), T.pos_of("lemma#pos").alias("pos"),
+                      F.col("readability (rounded average)").alias("readability"))
+
+
+@register("accuracy", O.with_(*O.PIPELINE, O.FILLED, O.GOLD, O.DOC_PAIRS) + """
+SELECT CAST(sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS accuracy FROM pairs""")
+def q_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact-match share of document levels."""
+    return M.accuracy(document_pairs(spark, sf))

@@ -299,8 +299,8 @@ def q_lemma_pos_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("sparse_features", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.ANALYSES, O.LEX_LP, O.WTOK, O.MORPH) + f"""
-SELECT doc_id, pos, avg_readability AS f1, max_readability AS f2, 0.0 AS f3, 0.0 AS f4, 0.0 AS f5,
-       0.0 AS f6, 0.0 AS f7
+SELECT doc_id, pos, avg_readability AS f1, max_readability AS f2, CAST(0 AS DOUBLE) AS f3, CAST(0 AS DOUBLE) AS f4, CAST(0 AS DOUBLE) AS f5,
+       CAST(0 AS DOUBLE) AS f6, CAST(0 AS DOUBLE) AS f7
 FROM (SELECT doc_id, pos, {O.SCORE_AGGS} FROM morph_scored GROUP BY doc_id, pos)""")
 def q_sparse_features(spark: SparkSession, sf: str) -> DataFrame:
     sent, lex, an = _morph_inputs(spark, sf)
@@ -312,7 +312,7 @@ def q_sparse_features(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, pos, CAST(len(ts) AS DOUBLE) AS f1, CAST(length(sentence) AS DOUBLE) AS f2,
        CASE WHEN len(ts) > 0 THEN CAST(list_sum(list_transform(ts, lambda t: length(t))) AS DOUBLE)
             / CAST(len(ts) AS DOUBLE) ELSE 0.0 END AS f3,
-       0.0 AS f4, 0.0 AS f5, 0.0 AS f6, 0.0 AS f7
+       CAST(0 AS DOUBLE) AS f4, CAST(0 AS DOUBLE) AS f5, CAST(0 AS DOUBLE) AS f6, CAST(0 AS DOUBLE) AS f7
 FROM (SELECT doc_id, pos, sentence, regexp_extract_all(sentence, '{O.WORD_TOKENS}') AS ts FROM sent_clean)""")
 def q_surface_features(spark: SparkSession, sf: str) -> DataFrame:
     _, sent, _ = _pipeline_inputs(spark, sf)
@@ -569,8 +569,8 @@ def q_tolerant_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("optional_lexicon", O.with_(O.SPLIT, O.SENT_CLEAN) + """
-SELECT doc_id, pos, 0.0 AS f_chars, 0.0 AS f_words, 0.0 AS f_mean_len, 0.0 AS f_mean_diff,
-       0.0 AS f_max_diff, 0.0 AS f_n_hard, 0.0 AS f_oov_share FROM sent_clean""")
+SELECT doc_id, pos, CAST(0 AS DOUBLE) AS f_chars, CAST(0 AS DOUBLE) AS f_words, CAST(0 AS DOUBLE) AS f_mean_len, CAST(0 AS DOUBLE) AS f_mean_diff,
+       CAST(0 AS DOUBLE) AS f_max_diff, CAST(0 AS DOUBLE) AS f_n_hard, CAST(0 AS DOUBLE) AS f_oov_share FROM sent_clean""")
 def q_optional_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """S7 + A4: a missing lexicon file reads as an empty table, which turns
     the lexical features into seven zeros."""

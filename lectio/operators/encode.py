@@ -16,6 +16,7 @@ from lectio.functions import text as T
 from lectio.operators.features import ID_COLS, explode_tokens
 from lectio.operators.joins import lookup_join
 from lectio.operators.sequence import with_row_number
+from lectio.session import cut_lineage
 
 MAX_LEN = 256
 
@@ -35,7 +36,9 @@ def encode_fixed(sentences: DataFrame, vocab: DataFrame | None = None, id_cols=I
             .filter(F.col("token").isNotNull())
             .withColumn("word", F.lower("token")))
     if vocab is None:
-        vocab = vocabulary(toks.select("word"))
+        # fitted state: materialised once (reliable checkpoint) so the size
+        # check and the lookup read it instead of recounting the corpus
+        vocab = cut_lineage(vocabulary(toks.select("word")))
     head = toks.filter(F.col("tpos") < max_len)
     ided = lookup_join(head, vocab, "word", "inner")
     pairs = F.array_sort(F.collect_list(F.struct(F.col("tpos"), F.col("id"))))

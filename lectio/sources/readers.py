@@ -95,14 +95,15 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str
     """S3: PERMISSIVE scan; returns ``(good_rows, bad_rows)``.
 
     Malformed records keep their raw text in ``corrupt_col`` and are split
-    off instead of failing the job (``on_bad_lines='warn'``).  The parsed
-    frame is cached so the corrupt column can be filtered on.
+    off instead of failing the job (``on_bad_lines='warn'``).  Both frames
+    read every column, so each is a plain streaming scan — nothing is
+    cached, whatever the input size.
     """
     full = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType(), True)])
     df = (spark.read.options(**CSV_READ_OPTIONS).option("sep", sep).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", corrupt_col).schema(full).csv(path)).cache()
+          .option("columnNameOfCorruptRecord", corrupt_col).schema(full).csv(path))
     good = df.filter(F.col(corrupt_col).isNull()).drop(corrupt_col)
-    bad = df.filter(F.col(corrupt_col).isNotNull()).select(corrupt_col)
+    bad = df.filter(F.col(corrupt_col).isNotNull())
     return good, bad
 
 

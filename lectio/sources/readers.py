@@ -107,6 +107,16 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str
     return good, bad
 
 
+def count_bad(bad: DataFrame, corrupt_col: str = "_corrupt_record") -> int:
+    """Rows split off by :func:`read_tolerant`.  Spark rejects a scan that
+    reads only the corrupt-record column, and a pruned CSV scan parses only
+    the referenced fields, so the aggregate touches every data column (no
+    cache of the input is needed)."""
+    data = [F.col(c) for c in bad.columns if c != corrupt_col]
+    row = bad.agg(F.count(F.col(corrupt_col)).alias("n"), F.max(F.xxhash64(*data)).alias("_")).first()
+    return int(row["n"])
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Columnar scan; list columns come back as typed arrays."""
     r = spark.read

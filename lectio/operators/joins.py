@@ -6,11 +6,12 @@ but only when the small side is *proven* small: the row count is bounded
 with ``limit(n + 1).count()`` (a cheap, early-stopping check), never assumed.
 
 Beyond the bound the fallback is a shuffle join made safe for hot keys: the
-``hot_keys`` most frequent keys of the large side are found with a partial
-aggregation, their (at most ``hot_keys``) lookup rows are broadcast, and only
-the remaining, cold keys go through the shuffle.  A cold key is at most as
-frequent as the least frequent hot key, so no single task receives a
-dominant key.  Results are exact: every row takes one of the two paths.
+``hot_keys`` most frequent keys of the large side are estimated from a
+seeded sample (a partial aggregation over ~1 % of the rows), their (at most
+``hot_keys``) lookup rows are broadcast, and only the remaining, cold keys go
+through the shuffle.  The sample only decides which path a key takes;
+every row is joined, so results are exact whatever the sample holds, and
+keys frequent enough to unbalance a task are caught by it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_HOT_KEYS = 10_000
+DEFAULT_HOT_SAMPLE = 0.01
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -44,24 +46,32 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame | N
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left",
-                max_rows: int | None = None, hot_keys: int | None = None) -> DataFrame:
+                max_rows: int | None = None, hot_keys: int | None = None,
+                skew_safe: bool = True) -> DataFrame:
     """Join a large ``left`` to a keyed lookup table ``right``.
 
     ``right`` must hold one row per key (a dictionary).  ``how`` is
-    ``left``, ``inner``, ``left_semi`` or ``left_anti``.
+    ``left``, ``inner``, ``left_semi`` or ``left_anti``.  ``skew_safe=False``
+    (for keys unique on the left, e.g. document ids) leaves the large case
+    to Catalyst/AQE's shuffle join.
     """
     small = sized_broadcast(right, max_rows)
     if small is not None:
         return left.join(small, on, how)
+    if not skew_safe:
+        return left.join(right, on, how)
     return hot_split_join(left, right, on, how, hot_keys)
 
 
 def hot_split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left",
-                   hot_keys: int | None = None) -> DataFrame:
+                   hot_keys: int | None = None, sample: float | None = None) -> DataFrame:
     """Exact shuffle join whose most frequent keys bypass the shuffle."""
     keys = [on] if isinstance(on, str) else list(on)
     k = hot_keys or _conf_int(left, "lectio.join.hotKeys", DEFAULT_HOT_KEYS)
-    hot = (left.groupBy(*keys).count()
+    frac = sample if sample is not None else float(
+        left.sparkSession.conf.get("lectio.join.hotSampleFraction", str(DEFAULT_HOT_SAMPLE)))
+    probe = left.sample(fraction=frac, seed=42) if frac < 1.0 else left
+    hot = (probe.groupBy(*keys).count()
            .orderBy(F.desc("count"), *keys).limit(k)
            .select(*keys, F.lit(True).alias("_hot")))
     marked = left.join(F.broadcast(hot), keys, "left")

@@ -101,7 +101,7 @@ def test_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of the scored test set: those present in ``labels``."""
     docs = fx.documents(spark, sf)
     labels = fx.table(spark, sf, "labels").select("doc_id")
-    return lookup_join(docs, labels, "doc_id", "left_semi")
+    return lookup_join(docs, labels, "doc_id", "left_semi", skew_safe=False)
 
 
 def filled_levels(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,9 @@ def test_hot_split_join_equals_broadcast(spark):
     right = spark.range(0, 90).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     for how in ("left", "inner", "left_semi", "left_anti"):
         a = sorted(tuple(r) for r in lookup_join(left, right, "k", how).collect())
-        b = sorted(tuple(r) for r in hot_split_join(left, right, "k", how, hot_keys=5).collect())
+        b = sorted(tuple(r) for r in hot_split_join(left, right, "k", how, hot_keys=5, sample=1.0).collect())
+        s = sorted(tuple(r) for r in hot_split_join(left, right, "k", how, hot_keys=5, sample=0.05).collect())
+        assert s == a
         c = sorted(tuple(r) for r in lookup_join(left, right, "k", how, max_rows=10, hot_keys=5).collect())
         assert a == b == c
 

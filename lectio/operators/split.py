@@ -17,6 +17,7 @@ class is gathered into one task.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from lectio.operators.joins import bounded_rows
 from lectio.operators.sequence import with_row_number
 
+LOG = logging.getLogger("lectio.split")
 DEFAULT_SEED = "42"
 MAX_CLASSES = 10_000
 CANDIDATES = 200_000  # candidate rows ranked exactly in the final round
@@ -100,7 +102,9 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction:
     if bounded_rows(counts, MAX_CLASSES) is None:
         raise ValueError("too many classes to stratify on")
     rows = [(r[label_col], r["n"]) for r in counts.collect()]  # at most MAX_CLASSES rows
-    q, _ = quotas(rows, test_fraction)
+    q, singles = quotas(rows, test_fraction)
+    if singles:
+        LOG.warning("stratified split: classes with one row stay in train: %s", singles)
     spark: SparkSession = df.sparkSession
     label_type = counts.schema[label_col].dataType
     need = spark.createDataFrame([(k, v) for k, v in q.items() if v > 0],

@@ -18,3 +18,14 @@ def test_regressor_learns_a_learnable_gold(spark):
     assert r.qwk > 0.3
     ev = M.QWKEvaluator(labelCol="label", predictionCol="_raw")
     assert ev.evaluate(out.withColumn("_raw", F.col("_raw") + 1)) > 0.3
+
+
+def test_hybrid_heads(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").limit(300)
+    data = emb.withColumn("f1", F.element_at("embedding", 1).cast("double")).withColumn("f2", F.lit(1.0))
+    lin = MD.fit_hybrid(data, "embedding", ["f1", "f2"], "label", head="linear")
+    out = MD.hybrid_predict(lin, data, "embedding", ["vec_id", "label"])
+    assert out.count() == 300
+    mlp = MD.fit_hybrid(data, "embedding", ["f1", "f2"], "label", head="mlp", n_classes=10, hidden=(8,))
+    pred = MD.hybrid_predict(mlp, data, "embedding", ["vec_id", "label"])
+    assert {r.prediction for r in pred.collect()} <= set(float(i) for i in range(10))

@@ -9,6 +9,7 @@ Parquet (S5), which splits by row group and prunes columns at the scan.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,12 +138,31 @@ def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFr
                     fmt: str = "parquet") -> DataFrame:
     """Read a stage if it was written before, else compute, write and
     read it back (so later steps start from the stored table, with lineage
-    cut, and a lost executor re-reads files instead of recomputing)."""
+    cut, and a lost executor re-reads files instead of recomputing).
+
+    The stage is written to a temporary sibling and renamed into place
+    once complete, so an existing path always holds a whole stage: a job
+    that died half-way, or a concurrent writer, never leaves a partial
+    table behind that a later run would take as done."""
     if not path_exists(spark, path):
-        compute().write.mode("overwrite").format(fmt).save(path)
+        tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
+        compute().write.mode("overwrite").format(fmt).save(tmp)
+        if not _rename(spark, tmp, path) and not path_exists(spark, path):
+            raise RuntimeError(f"could not publish stage {path}")
     return spark.read.format(fmt).load(path)
 
 
+def _rename(spark: SparkSession, src: str, dst: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(d):  # another writer published first: keep theirs
+        fs.delete(s, True)
+        return False
+    fs.mkdirs(d.getParent())
+    return bool(fs.rename(s, d))
+
+
 def parse_list_column(df: DataFrame, col: str, element: str = "double") -> DataFrame:
     """A list literal stored as text -> typed array (null when
     unparsable)."""

@@ -79,7 +79,7 @@ FILLED = """filled AS (
     SELECT doc_id, level FROM doc_level WHERE doc_id IN (SELECT doc_id FROM labels)) p
   ON d.doc_id = p.doc_id)"""
 
-PIPELINE = (SPLIT, SENT_CLEAN, LEX, TOK_CLEAN, SUMS, RAW, DOC_LEVEL)
+DOC_FLOW = (SPLIT, SENT_CLEAN, LEX, TOK_CLEAN, SUMS, RAW, DOC_LEVEL)
 
 
 def level_expr(x: str) -> str:
@@ -230,8 +230,9 @@ def stratified_sql(src: str, id_expr: str, label: str, frac: float = 0.15) -> st
     class (ties by label), classes with one row stay in train."""
     return f"""cls AS (SELECT {label} AS label, count(*) AS n FROM {src} GROUP BY {label}),
 tot AS (SELECT sum(n) AS total, CAST(ceil(CAST({frac} AS DOUBLE) * sum(n)) AS BIGINT) AS n_dev FROM cls),
-q0 AS (SELECT label, n, CASE WHEN n < 2 THEN 0 ELSE (n_dev * n) // total END AS q,
-              CASE WHEN n < 2 THEN NULL ELSE (n_dev * n) % total END AS rem, n_dev FROM cls, tot),
+q0 AS (SELECT label, n, CASE WHEN n < 2 THEN 0 ELSE ((SELECT n_dev FROM tot) * n) // (SELECT total FROM tot) END AS q,
+              CASE WHEN n < 2 THEN NULL ELSE ((SELECT n_dev FROM tot) * n) % (SELECT total FROM tot) END AS rem,
+              (SELECT n_dev FROM tot) AS n_dev FROM cls),
 q1 AS (SELECT label, q + CASE WHEN rem IS NOT NULL AND
               row_number() OVER (ORDER BY rem IS NULL, rem DESC, label) <= n_dev - (SELECT sum(q) FROM q0)
               THEN 1 ELSE 0 END AS quota FROM q0),

@@ -84,12 +84,12 @@ def sentence_raw_scores(spark: SparkSession, sf: str, docs: DataFrame | None = N
     return rollup.linear_score(feat.lexical_sums(sent, lex))
 
 
-@register("doc_level_max", O.with_(*O.PIPELINE) + "SELECT doc_id, level FROM doc_level")
+@register("doc_level_max", O.with_(*O.DOC_FLOW) + "SELECT doc_id, level FROM doc_level")
 def q_doc_level_max(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.doc_level_from_raw(sentence_raw_scores(spark, sf))
 
 
-@register("doc_level_from_levels", O.with_(*O.PIPELINE, O.SENT_LEVEL) + """
+@register("doc_level_from_levels", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + """
 SELECT doc_id, CAST(max(level) AS INTEGER) AS level FROM sent_level GROUP BY doc_id""")
 def q_doc_level_from_levels(spark: SparkSession, sf: str) -> DataFrame:
     scored = sentence_raw_scores(spark, sf)
@@ -110,12 +110,12 @@ def filled_levels(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.fill_levels(docs, preds)
 
 
-@register("doc_level_filled", O.with_(*O.PIPELINE, O.FILLED) + "SELECT doc_id, level FROM filled")
+@register("doc_level_filled", O.with_(*O.DOC_FLOW, O.FILLED) + "SELECT doc_id, level FROM filled")
 def q_doc_level_filled(spark: SparkSession, sf: str) -> DataFrame:
     return filled_levels(spark, sf)
 
 
-@register("submission", O.with_(*O.PIPELINE, O.FILLED) + """
+@register("submission", O.with_(*O.DOC_FLOW, O.FILLED) + """
 SELECT doc_id AS "Document ID", level AS "Prediction" FROM filled ORDER BY doc_id""")
 def q_submission(spark: SparkSession, sf: str) -> DataFrame:
     from lectio.sources.sinks import submission_frame
@@ -158,13 +158,13 @@ def document_pairs(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "gold", F.coalesce("level", F.lit(1)).alias("pred")))
 
 
-@register("qwk_documents", O.with_(*O.PIPELINE, O.FILLED, O.GOLD, O.DOC_PAIRS, O.kappa_select(True))
+@register("qwk_documents", O.with_(*O.DOC_FLOW, O.FILLED, O.GOLD, O.DOC_PAIRS, O.kappa_select(True))
           + f"SELECT {O.KAPPA_EXPR} AS qwk, CAST(n AS BIGINT) AS n FROM kap")
 def q_qwk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return M.qwk(document_pairs(spark, sf), labels="observed")
 
 
-@register("score_set", O.with_(*O.PIPELINE, O.FILLED, O.GOLD, O.DOC_PAIRS, O.kappa_select(True), """bands AS (
+@register("score_set", O.with_(*O.DOC_FLOW, O.FILLED, O.GOLD, O.DOC_PAIRS, O.kappa_select(True), """bands AS (
   SELECT level, CAST(floor((level - 1) * 7 / 19) AS BIGINT) AS b7, CAST(floor((level - 1) * 5 / 19) AS BIGINT) AS b5,
          CAST(floor((level - 1) * 3 / 19) AS BIGINT) AS b3 FROM range(1, 20) t(level))""") + f"""
 SELECT
@@ -482,7 +482,7 @@ def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))
 
 
-@register("positional_align", O.with_(*O.PIPELINE) + """
+@register("positional_align", O.with_(*O.DOC_FLOW) + """
 SELECT l.doc_id AS id, CAST(coalesce(p.level, 1) AS INTEGER) AS level
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM labels) l
 JOIN (SELECT lb.doc_id, row_number() OVER (ORDER BY lb.doc_id) AS rn, d.level
@@ -556,16 +556,18 @@ def q_roundtrip_parquet(spark: SparkSession, sf: str) -> DataFrame:
                                           for i, n in enumerate(feat.LEXICAL_NAMES)])
 
 
-@register("tolerant_scan", "SELECT doc_id, n_chars FROM documents WHERE n_chars % 50 <> 0")
+@register("tolerant_scan", """
+SELECT doc_id, CASE WHEN n_chars % 50 = 0 THEN NULL ELSE n_chars END AS n_chars, n_chars % 50 = 0 AS rejected
+FROM documents""")
 def q_tolerant_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """S3: rows whose ``n_chars`` is not a number are malformed; they are
-    split off, the rest is read."""
+    """S3: rows whose ``n_chars`` is not a number are malformed; the scan
+    keeps going, and every row comes back with a ``rejected`` flag (the
+    malformed field null) instead of failing the job or being lost."""
     docs = fx.documents(spark, sf)
     bad_num = F.when(F.col("n_chars") % 50 == 0, F.lit("n/a")).otherwise(F.col("n_chars").cast("string"))
     path = K.write_csv(docs.select("doc_id", bad_num.alias("n_chars")), scratch_path(spark, "tolerant"))
     schema = ST.StructType([ST.StructField("doc_id", ST.LongType()), ST.StructField("n_chars", ST.LongType())])
-    good, _bad = R.read_tolerant(spark, path, schema)
-    return good
+    return R.read_flagged(spark, path, schema)
 
 
 @register("optional_lexicon", O.with_(O.SPLIT, O.SENT_CLEAN) + """
@@ -589,7 +591,7 @@ def q_compute_once(spark: SparkSession, sf: str) -> DataFrame:
     return R.load_or_compute(spark, path, lambda: sent.limit(0))  # second call reads the stored stage
 
 
-@register("roundtrip_submission", O.with_(*O.PIPELINE, O.FILLED) + """
+@register("roundtrip_submission", O.with_(*O.DOC_FLOW, O.FILLED) + """
 SELECT doc_id AS "Document ID", level AS "Prediction" FROM filled""")
 def q_roundtrip_submission(spark: SparkSession, sf: str) -> DataFrame:
     """K4 + K5: the submission file and an audit of the scored sentences."""
@@ -604,7 +606,7 @@ def q_roundtrip_submission(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------- models
 
 from lectio.operators import models as MD  # noqa: E402
-from lectio.plans import pipelines as PL  # noqa: E402
+from lectio.plans import flows as PL  # noqa: E402
 
 
 def labelled_split(spark: SparkSession, sf: str):
@@ -615,12 +617,18 @@ def labelled_split(spark: SparkSession, sf: str):
     return lab.filter(F.col("fold") != 0), lab.filter(F.col("fold") == 0)
 
 
+def _with_split(df: DataFrame) -> DataFrame:
+    return df.withColumn("split", F.when(F.col("fold") == 0, "dev").otherwise("train")).drop("fold")
+
+
 @register("regress_level")
 def q_regress_level(spark: SparkSession, sf: str) -> DataFrame:
-    """M5 + M8 + F17 (rows-only: a fitted model has no SQL twin)."""
+    """M5 + M8 + F17: fit on the train folds, score every sentence
+    (rows-only: a fitted model has no SQL twin)."""
     train, dev = labelled_split(spark, sf)
     model = MD.fit_regressor(train, "sentence", "label", num_features=1 << 14, max_iter=20)
-    return MD.regression_levels(model, dev, ["doc_id", "pos", "label"])
+    train_dev = train.unionByName(dev)
+    return _with_split(MD.regression_levels(model, train_dev, ["doc_id", "pos", "label", "fold"]))
 
 
 @register("classify_level")
@@ -628,13 +636,13 @@ def q_classify_level(spark: SparkSession, sf: str) -> DataFrame:
     """M6 + O4 + P9 (rows-only)."""
     train, dev = labelled_split(spark, sf)
     model = MD.fit_classifier(train, "sentence", "label", num_features=1 << 14, max_iter=20)
-    return MD.class_levels(model, dev, ["doc_id", "pos", "label"])
+    return _with_split(MD.class_levels(model, train.unionByName(dev), ["doc_id", "pos", "label", "fold"]))
 
 
 @register("hybrid_level")
 def q_hybrid_level(spark: SparkSession, sf: str) -> DataFrame:
-    """M7: embedding ⧺ document lexical features -> scaler -> linear head
-    (rows-only)."""
+    """M7: embedding ⧺ document lexical features -> scaler -> linear head,
+    fitted on the train folds, applied to every vector (rows-only)."""
     docs = fx.documents(spark, sf)
     lex = fx.lexicon_table(spark, sf)
     doc_feats = feat.features_from_sums(
@@ -642,13 +650,12 @@ def q_hybrid_level(spark: SparkSession, sf: str) -> DataFrame:
     emb = fx.table(spark, sf, "embeddings")
     data = emb.join(doc_feats, emb.vec_id == doc_feats.doc_id, "left").drop("doc_id").fillna(0.0)
     data = SP.kfold(data, "vec_id", 5)
-    train, test = data.filter(F.col("fold") != 0), data.filter(F.col("fold") == 0)
-    model = MD.fit_hybrid(train, "embedding", list(feat.LEXICAL_NAMES), "label")
-    return MD.hybrid_predict(model, test, "embedding", ["vec_id", "label"])
+    model = MD.fit_hybrid(data.filter(F.col("fold") != 0), "embedding", list(feat.LEXICAL_NAMES), "label")
+    return _with_split(MD.hybrid_predict(model, data, "embedding", ["vec_id", "label", "fold"]))
 
 
-@register("document_pipeline")
-def q_document_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+@register("document_scoring")
+def q_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """Train on segmented text of fold != 0 documents, then score the
     labelled test documents and fill every id (rows-only)."""
     train, _ = labelled_split(spark, sf)
@@ -657,14 +664,14 @@ def q_document_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return PL.document_levels(test_documents(spark, sf), an, model, ids=fx.documents(spark, sf))
 
 
-@register("batch_scoring", O.with_(*O.PIPELINE, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
+@register("batch_scoring", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
 def q_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """V2: user NumPy scorer in 128-row Arrow batches (mapInPandas)."""
     _, sent, lex = _pipeline_inputs(spark, sf)
     return PL.sentence_levels_python(feat.lexical_sums(sent, lex))
 
 
-@register("predict_batch_scoring", O.with_(*O.PIPELINE, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
+@register("predict_batch_scoring", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
 def q_predict_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """M8: the same user model through predict_batch_udf."""
     _, sent, lex = _pipeline_inputs(spark, sf)
@@ -709,7 +716,7 @@ def q_lexicon_split(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("readability (rounded average)").alias("readability"))
 
 
-@register("accuracy", O.with_(*O.PIPELINE, O.FILLED, O.GOLD, O.DOC_PAIRS) + """
+@register("accuracy", O.with_(*O.DOC_FLOW, O.FILLED, O.GOLD, O.DOC_PAIRS) + """
 SELECT CAST(sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS accuracy FROM pairs""")
 def q_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Exact-match share of document levels."""

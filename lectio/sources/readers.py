@@ -108,6 +108,16 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str
     return good, bad
 
 
+def read_flagged(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
+                 corrupt_col: str = "_corrupt_record", flag_col: str = "rejected") -> DataFrame:
+    """S3 in one pass: every row, with malformed fields null and a boolean
+    ``rejected`` flag (the whole scan is read, so no cache is needed)."""
+    full = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType(), True)])
+    df = (spark.read.options(**CSV_READ_OPTIONS).option("sep", sep).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", corrupt_col).schema(full).csv(path))
+    return df.select(*schema.fieldNames(), F.col(corrupt_col).isNotNull().alias(flag_col))
+
+
 def count_bad(bad: DataFrame, corrupt_col: str = "_corrupt_record") -> int:
     """Rows split off by :func:`read_tolerant`.  Spark rejects a scan that
     reads only the corrupt-record column, and a pruned CSV scan parses only

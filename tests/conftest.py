@@ -15,7 +15,9 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from lectio.session import build_session
     s = build_session("local[4]", 8, app_name="lectio-tests")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectio-test-ckpt-"))
+    sc = s.sparkContext
+    if not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectio-test-ckpt-"))
     yield s
     s.stop()
 

@@ -42,8 +42,8 @@ def sentences(docs: DataFrame, mode: str = "clean", id_col: str = "doc_id",
     elif mode == "untrimmed":
         out = exploded.filter(T.has_text("piece")).withColumnRenamed("piece", "sentence")
     else:
-        stripped = F.transform(T.split_lines(F.col(text_col)), T.strip_ws)
-        out = (docs.select(id_col, *keep, F.posexplode(stripped).alias("pos", "sentence"))
+        # explode, then trim and filter: all inside whole-stage codegen
+        out = (exploded.select(id_col, *keep, "pos", T.strip_ws("piece").alias("sentence"))
                .filter(F.col("sentence") != F.lit("")))
     return out.select(id_col, "pos", "sentence", *keep)
 

@@ -56,13 +56,16 @@ def ordered_join(form_col: str = "form", order_col: str = "tpos", sep: str = " "
 
 
 def morph_text(sentences: DataFrame, analyses: DataFrame, id_cols=ID_COLS,
-               text_col: str = "sentence", lemma_pos_lexicon: DataFrame | None = None) -> DataFrame:
+               text_col: str = "sentence", lemma_pos_lexicon: DataFrame | None = None,
+               keep: tuple = ()) -> DataFrame:
     """Segmented text per sentence, plus (when a ``lemma#pos`` lexicon
     is given) A3's mean/max scores, in one aggregation on the sentence key.
+    ``keep``: per-sentence columns (e.g. the label) carried through as
+    grouping keys, so no join back is needed.
     """
     # A null or blank sentence is segmented to ""
-    sent = sentences.select(*id_cols, T.blank_to_empty(text_col).alias(text_col))
-    toks = explode_tokens(sent, id_cols, text_col, tokenizer=T.word_tokens)
+    sent = sentences.select(*id_cols, *keep, T.blank_to_empty(text_col).alias(text_col))
+    toks = explode_tokens(sent, id_cols, text_col, tokenizer=T.word_tokens, keep=keep)
     analysed = analyse_tokens(toks, analyses).withColumn("form", segmented_form())
     aggs = [F.coalesce(ordered_join(), F.lit("")).alias("d3tok_text")]
     if lemma_pos_lexicon is not None:
@@ -74,4 +77,4 @@ def morph_text(sentences: DataFrame, analyses: DataFrame, id_cols=ID_COLS,
             _ratio(F.coalesce(F.sum("score"), F.lit(0.0)), F.count("score")).alias("avg_readability"),
             F.coalesce(F.max("score"), F.lit(0.0)).alias("max_readability"),
         ]
-    return analysed.groupBy(*id_cols).agg(*aggs)
+    return analysed.groupBy(*id_cols, *keep).agg(*aggs)

@@ -29,9 +29,8 @@ def prepare_corpus(mix: Mixture) -> DataFrame:
 def train_sentence_model(labelled: DataFrame, analyses: DataFrame, id_cols=("doc_id", "pos"),
                          text_col: str = "sentence", label_col: str = "label", **fit_kw):
     """§3.2: segmented (d3tok) text of labelled sentences -> regression."""
-    seg = morph_text(labelled.select(*id_cols, text_col), analyses, id_cols, text_col)
-    train = seg.join(labelled.select(*id_cols, label_col), list(id_cols), "inner")
-    return MD.fit_regressor(train, "d3tok_text", label_col, **fit_kw)
+    seg = morph_text(labelled, analyses, id_cols, text_col, keep=(label_col,))
+    return MD.fit_regressor(seg, "d3tok_text", label_col, **fit_kw)
 
 
 def document_levels(docs: DataFrame, analyses: DataFrame, model, ids: DataFrame | None = None,

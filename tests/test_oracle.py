@@ -51,3 +51,22 @@ def test_partitioning_does_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["lexical_features", "morph_text_scores", "oov_words", "doc_level_filled"])
+def test_fallback_join_path_matches_oracle(spark, duck, name):
+    """Force lookups past the broadcast bound so the hot-key split join
+    (broadcast for hot words, shuffle for the rest) does the work."""
+    from __spark_entry__ import oracle_sql, queries
+    spark.conf.set("lectio.broadcast.maxRows", "50")
+    spark.conf.set("lectio.join.hotKeys", "20")
+    spark.conf.set("lectio.join.hotSampleFraction", "0.2")
+    try:
+        df = queries()[name](spark, SF_SMALL)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        for k in ("lectio.broadcast.maxRows", "lectio.join.hotKeys", "lectio.join.hotSampleFraction"):
+            spark.conf.unset(k)
+    res = duck.execute(oracle_sql()[name])
+    dcols = [d[0] for d in res.description]
+    assert _rows(df.columns, rows) == _rows(dcols, res.fetchall())

@@ -71,9 +71,10 @@ def hot_split_join(left: DataFrame, right: DataFrame, on: str | list[str], how:
     frac = sample if sample is not None else float(
         left.sparkSession.conf.get("lectio.join.hotSampleFraction", str(DEFAULT_HOT_SAMPLE)))
     probe = left.sample(fraction=frac, seed=42) if frac < 1.0 else left
-    hot = (probe.groupBy(*keys).count()
-           .orderBy(F.desc("count"), *keys).limit(k)
-           .select(*keys, F.lit(True).alias("_hot")))
+    top = (probe.groupBy(*keys).count()
+           .orderBy(F.desc("count"), *keys).limit(k).select(*keys))
+    # fixed once (at most k rows): both uses below must see the same set
+    hot = left.sparkSession.createDataFrame(top.collect(), top.schema).withColumn("_hot", F.lit(True))
     marked = left.join(F.broadcast(hot), keys, "left")
     hot_rows = marked.filter(F.col("_hot").isNotNull()).drop("_hot")
     cold_rows = marked.filter(F.col("_hot").isNull()).drop("_hot")

@@ -23,3 +23,15 @@ def test_row_number_matches_window(spark):
     a = sorted(tuple(r) for r in with_row_number(df, ["x"], "rn").collect())
     b = sorted(tuple(r) for r in df.withColumn("rn", F.row_number().over(Window.orderBy("x"))).collect())
     assert a == b
+
+
+def test_hot_split_with_a_third_on_one_key(spark):
+    """A third of the probe rows share one key; results stay exact."""
+    left = spark.range(0, 9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("the")).otherwise(F.concat(F.lit("w"), (F.col("id") % 500).cast("string")))
+        .alias("word"), F.col("id"))
+    right = spark.range(0, 400).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"),
+                                       F.col("id").alias("v")).union(spark.createDataFrame([("the", -1)], "word string, v long"))
+    a = sorted(tuple(r) for r in left.join(right, "word", "left").collect())
+    b = sorted(tuple(r) for r in hot_split_join(left, right, "word", "left", hot_keys=3, sample=0.05).collect())
+    assert a == b

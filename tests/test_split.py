@@ -36,3 +36,25 @@ def test_kfold_is_stable_across_partitionings(spark):
     a = sorted(tuple(r) for r in SP.kfold(orders, "o_orderkey").collect())
     b = sorted(tuple(r) for r in SP.kfold(orders.repartition(7), "o_orderkey").collect())
     assert a == b and {f for _, f in a} == set(range(5))
+
+
+def test_split_exact_with_a_dominant_class(spark):
+    """One class holds a third of all rows (plus a singleton class)."""
+    rows = [(i, "big" if i % 3 == 0 else f"c{i % 7}") for i in range(3000)] + [(99999, "lonely")]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = SP.stratified_split(df, "id", "label", 0.15, candidates=30)
+    counts = dict((r.label, r.n) for r in SP.class_counts(df).collect())
+    q, singles = SP.quotas(list(counts.items()), 0.15)
+    assert singles == ["lonely"]
+    dev = {}
+    for r in got.collect():
+        if r.split == "dev":
+            dev[r.label] = dev.get(r.label, 0) + 1
+    assert dev == {k: v for k, v in q.items() if v}
+    # the chosen dev rows are the smallest md5 keys of each class
+    keyed = df.withColumn("k", SP.split_key("id")).collect()
+    for lab, quota in q.items():
+        keys = sorted(r.k for r in keyed if r.label == lab)
+        chosen = sorted(r.id for r in got.collect() if r.label == lab and r.split == "dev")
+        want = sorted(r.id for r in keyed if r.label == lab and quota and r.k <= keys[quota - 1])
+        assert chosen == want

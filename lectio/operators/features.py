@@ -105,15 +105,12 @@ def lemma_pos_scores(tokens: DataFrame, analyses: DataFrame, lemma_pos_lexicon:
     with ``lex`` and ``pos``; ``lemma_pos_lexicon``: ``(lemma_pos, score)``.
     Unmatched keys are skipped; a sentence without matches scores 0.0.
     """
-    from lectio.operators.morph import analyse_tokens
+    from lectio.operators.morph import analyse_tokens, scored_analyses
 
-    analysed = analyse_tokens(tokens, analyses)
-    keyed = analysed.withColumn("lemma_pos", T.lemma_pos_key("lex", "tag"))
-    scored = lookup_join(keyed, lemma_pos_lexicon.select("lemma_pos", F.col("score").cast("double")),
-                         "lemma_pos", "left")
+    scored = analyse_tokens(tokens, scored_analyses(analyses, lemma_pos_lexicon))
     return scored.groupBy(*id_cols).agg(
-        _ratio(F.coalesce(F.sum("score"), F.lit(0.0)), F.count("score")).alias("avg_readability"),
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("max_readability"),
+        _ratio(F.coalesce(F.sum("lp_score"), F.lit(0.0)), F.count("lp_score")).alias("avg_readability"),
+        F.coalesce(F.max("lp_score"), F.lit(0.0)).alias("max_readability"),
     )
 
 

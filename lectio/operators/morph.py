@@ -38,11 +38,19 @@ def analyse_tokens(tokens: DataFrame, analyses: DataFrame) -> DataFrame:
     analysis.  ``analyses`` holds one row per word (:func:`first_analysis`)."""
     keyed = tokens.withColumn("word", F.lower("token"))
     cols = ["word", "d3tok", "lex", F.col("pos").alias("tag")]
-    if "d3tok_form" in analyses.columns:
-        cols.append("d3tok_form")
+    cols += [c for c in ("d3tok_form", "lp_score") if c in analyses.columns]
     return lookup_join(keyed, analyses.select(*cols), "word", "left")
 
 
+def scored_analyses(analyses: DataFrame, lemma_pos_lexicon: DataFrame) -> DataFrame:
+    """J3 + F14 once per analysed word: the word's ``lemma#pos`` key depends
+    only on its analysis, so its lexicon score is looked up here, on the
+    (small) analyses table, instead of once per token occurrence."""
+    keyed = analyses.withColumn("lemma_pos", T.lemma_pos_key("lex", "pos"))
+    lex = lemma_pos_lexicon.select("lemma_pos", F.col("score").cast("double").alias("lp_score"))
+    return lookup_join(keyed, lex, "lemma_pos", "left", skew_safe=False).drop("lemma_pos")
+
+
 def segmented_form(c_token="token", c_form="d3tok_form"):
     """Form written for a token: its analysis form, else the word itself,
     verbatim."""
@@ -66,15 +74,13 @@ def morph_text(sentences: DataFrame, analyses: DataFrame, id_cols=ID_COLS,
     # A null or blank sentence is segmented to ""
     sent = sentences.select(*id_cols, *keep, T.blank_to_empty(text_col).alias(text_col))
     toks = explode_tokens(sent, id_cols, text_col, tokenizer=T.word_tokens, keep=keep)
+    if lemma_pos_lexicon is not None:
+        analyses = scored_analyses(analyses, lemma_pos_lexicon)
     analysed = analyse_tokens(toks, analyses).withColumn("form", segmented_form())
     aggs = [F.coalesce(ordered_join(), F.lit("")).alias("d3tok_text")]
     if lemma_pos_lexicon is not None:
-        keyed = analysed.withColumn("lemma_pos", T.lemma_pos_key("lex", "tag"))
-        analysed = lookup_join(
-            keyed, lemma_pos_lexicon.select("lemma_pos", F.col("score").cast("double")),
-            "lemma_pos", "left")
         aggs += [
-            _ratio(F.coalesce(F.sum("score"), F.lit(0.0)), F.count("score")).alias("avg_readability"),
-            F.coalesce(F.max("score"), F.lit(0.0)).alias("max_readability"),
+            _ratio(F.coalesce(F.sum("lp_score"), F.lit(0.0)), F.count("lp_score")).alias("avg_readability"),
+            F.coalesce(F.max("lp_score"), F.lit(0.0)).alias("max_readability"),
         ]
     return analysed.groupBy(*id_cols, *keep).agg(*aggs)

@@ -8,7 +8,6 @@ it (tests, laptops) gets a private temporary folder.
 
 from __future__ import annotations
 
-import os
 import posixpath
 import tempfile
 import uuid
@@ -79,9 +78,4 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = ["build_session", "checkpoint_root", "scratch_path", "cut_lineage",
-           "path_exists", "local_path", "os"]
+__all__ = ["build_session", "checkpoint_root", "scratch_path", "cut_lineage", "path_exists"]

@@ -29,10 +29,16 @@ def vocabulary(tokens: DataFrame, token_col: str = "word") -> DataFrame:
 
 
 def encode_fixed(sentences: DataFrame, vocab: DataFrame | None = None, id_cols=ID_COLS,
-                 text_col: str = "sentence", max_len: int = MAX_LEN) -> DataFrame:
-    """``(id.., input_ids int[max_len], attention_mask int[max_len])``:
-    truncate to ``max_len`` ids, pad with 0, mask 1 for real tokens."""
-    toks = (explode_tokens(sentences, id_cols, text_col, tokenizer=T.whitespace_tokens)
+                 text_col: str = "sentence", max_len: int = MAX_LEN, unk_id: int | None = None) -> DataFrame:
+    """``(id.., n_tokens, input_ids int[max_len], attention_mask int[max_len])``:
+    the first ``max_len`` ids (the fixed-length contract), padded with 0,
+    mask 1 for real tokens; ``n_tokens`` is the sentence's full token count,
+    so what the cut leaves out stays visible.  With a user ``vocab``,
+    unknown words map to ``unk_id`` (or are skipped when it is None); a
+    vocabulary fitted here covers every token of every text."""
+    sent = sentences.select(*id_cols, text_col,
+                            F.size(T.whitespace_tokens(F.col(text_col))).alias("n_tokens"))
+    toks = (explode_tokens(sent, id_cols, text_col, tokenizer=T.whitespace_tokens, keep=("n_tokens",))
             .filter(F.col("token").isNotNull())
             .withColumn("word", F.lower("token")))
     if vocab is None:
@@ -40,13 +46,16 @@ def encode_fixed(sentences: DataFrame, vocab: DataFrame | None = None, id_cols=I
         # check and the lookup read it instead of recounting the corpus
         vocab = cut_lineage(vocabulary(toks.select("word")))
     head = toks.filter(F.col("tpos") < max_len)
-    ided = lookup_join(head, vocab, "word", "inner")
+    if unk_id is None:
+        ided = lookup_join(head, vocab, "word", "inner")
+    else:
+        ided = lookup_join(head, vocab, "word", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
     pairs = F.array_sort(F.collect_list(F.struct(F.col("tpos"), F.col("id"))))
-    enc = ided.groupBy(*id_cols).agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
+    enc = ided.groupBy(*id_cols, "n_tokens").agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
     n = F.size("ids")
     pad = F.greatest(F.lit(0), F.lit(max_len) - n)
     return enc.select(
-        *id_cols,
+        *id_cols, "n_tokens",
         F.concat(F.slice("ids", 1, max_len), F.array_repeat(F.lit(0), pad)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.least(n, F.lit(max_len))), F.array_repeat(F.lit(0), pad))
         .alias("attention_mask"))

@@ -472,14 +472,16 @@ vocab AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) AS id
           FROM (SELECT lower(token) AS word, count(*) AS cnt FROM tok GROUP BY lower(token))),
 enc AS (SELECT t.doc_id, t.pos, list(v.id ORDER BY t.tpos) AS ids
         FROM tok t JOIN vocab v ON lower(t.token) = v.word WHERE t.tpos < 256 GROUP BY t.doc_id, t.pos)
-SELECT doc_id, pos, array_to_string(list_resize(ids, 256, 0), ' ') AS input_ids_text,
-       CAST(len(ids) AS INTEGER) AS n_attended
-FROM enc""".replace("\n,\nvocab", ",\nvocab"))
+SELECT e.doc_id, e.pos, array_to_string(list_resize(e.ids, 256, 0), ' ') AS input_ids_text,
+       CAST(len(e.ids) AS INTEGER) AS n_attended, CAST(n.n_tokens AS INTEGER) AS n_tokens
+FROM enc e JOIN (SELECT doc_id, pos, count(*) AS n_tokens FROM tok GROUP BY doc_id, pos) n
+  ON e.doc_id = n.doc_id AND e.pos = n.pos""".replace("\n,\nvocab", ",\nvocab"))
 def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
     _, sent, _ = _pipeline_inputs(spark, sf)
     enc = encode_fixed(sent)
     return enc.select("doc_id", "pos", F.array_join("input_ids", " ").alias("input_ids_text"),
-                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
+                      "n_tokens")
 
 
 @register("positional_align", O.with_(*O.DOC_FLOW) + """

@@ -94,3 +94,12 @@ def test_doc_max_equals_max_of_levels(spark):
     lv = sc.select("doc_id", L.score_to_level("raw").alias("level"))
     a2 = dict((r.doc_id, r.level) for r in rollup.doc_level_from_levels(lv).collect())
     assert a1 == a2 == {1: 8, 2: 19}
+
+
+def test_encode_fixed_truncates_pads_and_maps_unknown(spark):
+    from lectio.operators.encode import encode_fixed
+    sent = spark.createDataFrame([(1, 0, "a b c d e"), (1, 1, "b zz")], "doc_id long, pos int, sentence string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4), ("d", 5), ("e", 6)], "word string, id int")
+    rows = {r.pos: r for r in encode_fixed(sent, vocab, max_len=4, unk_id=1).collect()}
+    assert rows[0].input_ids == [2, 3, 4, 5] and rows[0].attention_mask == [1, 1, 1, 1] and rows[0].n_tokens == 5
+    assert rows[1].input_ids == [3, 1, 0, 0] and rows[1].attention_mask == [1, 1, 0, 0]

@@ -38,18 +38,22 @@ def explode_tokens(sentences: DataFrame, id_cols=ID_COLS, text_col: str = "sente
 
 def lexical_sums(sentences: DataFrame, lexicon: DataFrame, id_cols=ID_COLS,
                  text_col: str = "sentence", default: float = DEFAULT_DIFFICULTY,
-                 hard_above: float = HARD_ABOVE) -> DataFrame:
+                 hard_above: float = HARD_ABOVE, keep: tuple = ()) -> DataFrame:
     """Integer sums behind A4: n_chars, n_words, sum_len, sum_diff,
     max_diff, n_hard, n_oov per sentence.  ``lexicon``: ``(lemma, score)``
-    with one row per lemma; tokens are looked up lower-cased."""
-    sent = sentences.select(*id_cols, F.length(text_col).alias("n_chars"), text_col)
-    toks = explode_tokens(sent, id_cols, text_col, keep=("n_chars",))
+    with one row per lemma; tokens are looked up lower-cased.  ``keep``:
+    per-sentence columns carried through as grouping keys (no join back)."""
+    extra = tuple(c for c in keep if c != text_col)
+    carried = tuple(F.col(text_col).alias(f"_keep_{text_col}") if c == text_col else F.col(c) for c in keep)
+    sent = sentences.select(*id_cols, *carried, F.length(text_col).alias("n_chars"), text_col)
+    kept = tuple(f"_keep_{text_col}" if c == text_col else c for c in keep)
+    toks = explode_tokens(sent, id_cols, text_col, keep=("n_chars",) + kept)
     toks = toks.withColumn("word", F.lower("token"))
     lex = lexicon.select(F.col("lemma").alias("word"), F.col("score").cast("double").alias("score"))
     joined = lookup_join(toks, lex, "word", "left")
     present = F.col("token").isNotNull()
     d = F.when(present, F.coalesce(F.col("score"), F.lit(default)))
-    return joined.groupBy(*id_cols, "n_chars").agg(
+    sums = joined.groupBy(*id_cols, *kept, "n_chars").agg(
         F.count("token").alias("n_words"),
         F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("sum_len"),
         F.coalesce(F.sum(d), F.lit(0.0)).alias("sum_diff"),
@@ -57,14 +61,15 @@ def lexical_sums(sentences: DataFrame, lexicon: DataFrame, id_cols=ID_COLS,
         F.count(F.when(d > hard_above, 1)).alias("n_hard"),
         F.count(F.when(present & F.col("score").isNull(), 1)).alias("n_oov"),
     )
+    return sums.withColumnRenamed(f"_keep_{text_col}", text_col) if text_col in keep else sums
 
 
-def features_from_sums(sums: DataFrame, id_cols=ID_COLS) -> DataFrame:
+def features_from_sums(sums: DataFrame, id_cols=ID_COLS, keep: tuple = ()) -> DataFrame:
     """A4's seven slots from :func:`lexical_sums`; no words -> seven zeros."""
     n = F.col("n_words")
     some = n > 0
     return sums.select(
-        *id_cols,
+        *id_cols, *keep,
         F.when(some, F.col("n_chars").cast("double")).otherwise(0.0).alias("f_chars"),
         n.cast("double").alias("f_words"),
         _ratio(F.col("sum_len"), n).alias("f_mean_len"),
@@ -80,7 +85,7 @@ def zero_features(sentences: DataFrame, id_cols=ID_COLS) -> DataFrame:
 
 
 def lexical_features(sentences: DataFrame, lexicon: DataFrame | None, id_cols=ID_COLS,
-                     text_col: str = "sentence") -> DataFrame:
+                     text_col: str = "sentence", keep: tuple = ()) -> DataFrame:
     """A4: the 7-feature vector per sentence as seven columns.
 
     Slots: characters, words, mean word length, mean difficulty (absent
@@ -88,8 +93,8 @@ def lexical_features(sentences: DataFrame, lexicon: DataFrame | None, id_cols=ID
     not in the lexicon.  An empty or missing lexicon gives seven zeros.
     """
     if lexicon is None or lexicon.isEmpty():
-        return zero_features(sentences, id_cols)
-    return features_from_sums(lexical_sums(sentences, lexicon, id_cols, text_col), id_cols)
+        return zero_features(sentences, tuple(id_cols) + tuple(keep))
+    return features_from_sums(lexical_sums(sentences, lexicon, id_cols, text_col, keep=keep), id_cols, keep)
 
 
 def as_vector(df: DataFrame, names=LEXICAL_NAMES, out: str = "features") -> DataFrame:

@@ -101,6 +101,19 @@ def fit_hybrid(train: DataFrame, vector_col: str, feature_cols: list[str], label
     return _fit(Pipeline(stages=[assemble, scale, est]), data)
 
 
+def fit_text_hybrid(train: DataFrame, text_col: str, feature_cols: list[str], label_col: str = "label",
+                    num_features: int = 1 << 14, reg: float = 0.01, max_iter: int = 30) -> PipelineModel:
+    """M7 at sentence level: TF-IDF text vector ⧺ standardised lexical
+    features -> 19-class multinomial head (arg-max = O4, +1 = P9)."""
+    data = train.withColumn("_target", to_model_label(label_col).cast("double"))
+    feats = VectorAssembler(inputCols=list(feature_cols), outputCol="_f")
+    scale = StandardScaler(inputCol="_f", outputCol="_fs", withMean=True, withStd=True)
+    both = VectorAssembler(inputCols=["_tfidf", "_fs"], outputCol="_x")
+    head = LogisticRegression(featuresCol="_x", labelCol="_target", predictionCol="_class",
+                              family="multinomial", regParam=reg, maxIter=max_iter)
+    return _fit(Pipeline(stages=_text_stages(text_col, num_features) + [feats, scale, both, head]), data)
+
+
 def hybrid_predict(model: PipelineModel, df: DataFrame, vector_col: str, keep: list[str]) -> DataFrame:
     out = model.transform(with_vector(df, vector_col))
     pred = F.col("_raw") if "_raw" in out.columns else F.col("_class")

@@ -70,3 +70,18 @@ def sentence_levels_udf(sums: DataFrame, id_cols=("doc_id", "pos")) -> DataFrame
     raw = udf(F.col("n_words").cast("double"), F.col("sum_len").cast("double"),
               F.col("sum_diff").cast("double"), F.col("n_hard").cast("double"))
     return sums.select(*id_cols, score_to_level(raw).alias("level"))
+
+
+def hybrid_document_levels(docs: DataFrame, lexicon: DataFrame, model, ids: DataFrame | None = None,
+                           header: tuple = ("Document ID", "Prediction")) -> DataFrame:
+    """Document scoring with a hybrid sentence classifier: F1 (blank lines
+    kept, scored on seven zero features) -> A4 -> M7 head -> O4/P9 ->
+    A2 (MAX of levels) -> J1 -> K4."""
+    from lectio.operators.features import LEXICAL_NAMES, lexical_features
+    from lectio.operators.rollup import doc_level_from_levels
+
+    sent = sentences(docs.select("doc_id", "text"), "raw")
+    feats = lexical_features(sent, lexicon, keep=("sentence",))  # text rides along, no join back
+    levels = MD.class_levels(model, feats.select("doc_id", "pos", "sentence", *LEXICAL_NAMES), ["doc_id"])
+    filled = fill_levels((ids if ids is not None else docs).select("doc_id"), doc_level_from_levels(levels))
+    return submission_frame(filled, "doc_id", "level", header)

@@ -666,6 +666,19 @@ def q_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return PL.document_levels(test_documents(spark, sf), an, model, ids=fx.documents(spark, sf))
 
 
+@register("hybrid_document_scoring")
+def q_hybrid_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid flow: sentence classifier on text ⧺ A4 features, fitted on
+    the train folds; every document scored, MAX of sentence levels
+    (rows-only)."""
+    train, _ = labelled_split(spark, sf)
+    lex = fx.lexicon_table(spark, sf)
+    tr = feat.lexical_features(train, lex, keep=("sentence", "label"))
+    model = MD.fit_text_hybrid(tr, "sentence", list(feat.LEXICAL_NAMES), "label",
+                               num_features=1 << 12, max_iter=15)
+    return PL.hybrid_document_levels(fx.documents(spark, sf), lex, model)
+
+
 @register("batch_scoring", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
 def q_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """V2: user NumPy scorer in 128-row Arrow batches (mapInPandas)."""

@@ -103,3 +103,11 @@ def test_encode_fixed_truncates_pads_and_maps_unknown(spark):
     rows = {r.pos: r for r in encode_fixed(sent, vocab, max_len=4, unk_id=1).collect()}
     assert rows[0].input_ids == [2, 3, 4, 5] and rows[0].attention_mask == [1, 1, 1, 1] and rows[0].n_tokens == 5
     assert rows[1].input_ids == [3, 1, 0, 0] and rows[1].attention_mask == [1, 1, 0, 0]
+
+
+def test_lexical_features_carry_text(spark):
+    sent = spark.createDataFrame([(1, 0, "aa bbb", 7), (1, 1, "", 3)], "doc_id long, pos int, sentence string, label int")
+    lex = spark.createDataFrame([("aa", 5.0)], "lemma string, score double")
+    rows = {r.pos: r for r in feat.lexical_features(sent, lex, keep=("sentence", "label")).collect()}
+    assert (rows[0].sentence, rows[0].label, rows[0].f_mean_diff) == ("aa bbb", 7, 4.0)
+    assert (rows[1].sentence, rows[1].label, rows[1].f_chars) == ("", 3, 0.0)

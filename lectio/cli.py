@@ -139,6 +139,9 @@ def main(argv=None) -> int:
     p.add_argument("--pred", required=True)
     p.add_argument("--gold", required=True)
     p.add_argument("--labels", choices=["observed", "fixed"], default="observed")
+    p.add_argument("--bands", choices=["equal-width"], default="equal-width",
+                   help="7/5/3 coarse bands; the reference defines none, so equal-width cuts of "
+                        "1..19 are this tool's explicit choice")
     args = ap.parse_args(argv)
 
     from lectio.session import build_session

@@ -126,12 +126,17 @@ NORMALIZE_STEPS = (
 )
 
 
+def char_map(c) -> Column:
+    """F16 + F20 + F21 as one ``translate``: the three character sets are
+    disjoint and the replacements (bare alef, yaa, haa) are in none of
+    them, so one pass over the text equals the three in sequence."""
+    src = ALEF_VARIANTS + YAA_TAA_FROM + DIACRITICS
+    return F.translate(_c(c), src, ALEF_BARE + YAA_TAA_TO)
+
+
 def normalize(c) -> Column:
-    """The whole F16, F20-F23 chain, in that order."""
-    out = _c(c)
-    for _, step in NORMALIZE_STEPS:
-        out = step(out)
-    return out
+    """The whole F16, F20-F23 chain (character maps fused into one pass)."""
+    return strip_punct(collapse_elongation(char_map(c)))
 
 
 def rewrite_clitics(c) -> Column:

@@ -73,3 +73,14 @@ def test_dediac_removes_exactly_the_marks(spark, texts):
     got = [r.d for r in df.select(T.dediac("t").alias("d")).collect()]
     marks = set(T.DIACRITICS)
     assert got == ["".join(ch for ch in t if ch not in marks) for t in texts]
+
+
+@SETTINGS
+@given(TEXTS)
+def test_fused_normalize_equals_step_chain(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    chain = F.col("t")
+    for _, step in T.NORMALIZE_STEPS:
+        chain = step(chain)
+    rows = df.select(T.normalize("t").alias("a"), chain.alias("b")).collect()
+    assert all(r.a == r.b for r in rows)

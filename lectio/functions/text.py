@@ -113,8 +113,13 @@ def squeeze_ws(c) -> Column:
 
 
 def strip_punct(c) -> Column:
-    """punctuation and symbols -> space, then whitespace squeezed."""
-    return squeeze_ws(F.regexp_replace(_c(c), F.lit("[\\p{P}\\p{S}]"), F.lit(" ")))
+    """punctuation and symbols -> space, then whitespace squeezed.
+
+    Written as one regex: every maximal run of punctuation, symbols and
+    whitespace becomes one space (what the two-step form yields), then the
+    ends are trimmed."""
+    ws = WS_CLASS[1:-1]
+    return strip_ws(F.regexp_replace(_c(c), F.lit(f"[\\p{{P}}\\p{{S}}{ws}]+"), F.lit(" ")))
 
 
 NORMALIZE_STEPS = (

@@ -58,3 +58,17 @@ def test_split_exact_with_a_dominant_class(spark):
         chosen = sorted(r.id for r in got.collect() if r.label == lab and r.split == "dev")
         want = sorted(r.id for r in keyed if r.label == lab and quota and r.k <= keys[quota - 1])
         assert chosen == want
+
+
+def test_deep_refinement_still_exact(spark):
+    """A candidate bound of 1 forces the cutoff search through many prefix
+    rounds; the result must still equal the brute-force ranking."""
+    rows = [(i, f"c{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = sorted((r.id, r.split) for r in SP.stratified_split(df, "id", "label", 0.2, candidates=1).collect())
+    counts = {r.label: r.n for r in SP.class_counts(df).collect()}
+    q, _ = SP.quotas(list(counts.items()), 0.2)
+    keyed = [(r.id, r.label, r.k) for r in df.withColumn("k", SP.split_key("id")).collect()]
+    cut = {lab: sorted(k for _, l2, k in keyed if l2 == lab)[q[lab] - 1] for lab in q if q[lab]}
+    want = sorted((i, "dev" if lab in cut and k <= cut[lab] else "train") for i, lab, k in keyed)
+    assert got == want

@@ -30,13 +30,19 @@ SENTENCE_END_CHARS = ".!?؟؛\n"
 CLITIC_REWRITES = (("_+", " +"), ("+_", "+ "))
 # ---------------------------------------------------------------------------
 
-# Whitespace as Python's str.split()/strip() sees it for the texts handled
-# here; spelled out so Java regex and RE2 agree (Java \s has no \v in RE2).
-WS_CHARS = " \t\n\x0b\x0c\r"
-WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
-NOT_WS = "[^ \\t\\n\\x0B\\f\\r]"
+# Whitespace exactly as Python's ``str.split()``/``str.strip()`` see it
+# (``str.isspace``): derived from that rule, not listed.  In Java regex the
+# same set is Unicode White_Space (``\s`` under the ``(?U)`` flag) plus the
+# four separators U+001C..U+001F, which is also the fast spelling (a property
+# test, not a chain of 29 single characters); every pattern below that uses
+# it starts with ``(?U)``.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+UNICODE = "(?U)"
+_WS = "\\s\\x{1C}-\\x{1F}"
+WS_CLASS = f"[{_WS}]"
+NOT_WS = f"[^{_WS}]"
 WORD_RUN = "[\\p{L}\\p{M}\\p{N}_]+"
-PUNCT_ONE = "[^ \\t\\n\\x0B\\f\\r\\p{L}\\p{M}\\p{N}_]"
+PUNCT_ONE = f"[^{_WS}\\p{{L}}\\p{{M}}\\p{{N}}_]"
 
 
 def _c(c) -> Column:
@@ -51,13 +57,13 @@ def strip_ws(c) -> Column:
 
 def has_text(c) -> Column:
     """True when the value holds a non-whitespace character."""
-    return _c(c).rlike(NOT_WS)
+    return _c(c).rlike(UNICODE + NOT_WS)
 
 
 def blank_to_empty(c) -> Column:
     """Null or whitespace-only text becomes ``''``."""
     c = _c(c)
-    return F.when(c.isNull() | ~c.rlike(NOT_WS), F.lit("")).otherwise(c)
+    return F.when(c.isNull() | ~c.rlike(UNICODE + NOT_WS), F.lit("")).otherwise(c)
 
 
 def split_lines(c) -> Column:
@@ -74,17 +80,17 @@ def split_lines_clean(c) -> Column:
 def split_punct(c) -> Column:
     """split after sentence-final punctuation, eating following space."""
     ends = SENTENCE_END_CHARS.replace("\n", "\\n")
-    return F.split(_c(c), f"(?<=[{ends}]){WS_CLASS}*", -1)
+    return F.split(_c(c), f"{UNICODE}(?<=[{ends}]){WS_CLASS}*", -1)
 
 
 def whitespace_tokens(c) -> Column:
     """F15 (whitespace form): ``text.split()`` — runs of non-space."""
-    return F.regexp_extract_all(_c(c), F.lit(f"{NOT_WS}+"), 0)
+    return F.regexp_extract_all(_c(c), F.lit(f"{UNICODE}{NOT_WS}+"), 0)
 
 
 def word_tokens(c) -> Column:
     """F15 (punctuation-separating form): word runs or single symbols."""
-    return F.regexp_extract_all(_c(c), F.lit(f"{WORD_RUN}|{PUNCT_ONE}"), 0)
+    return F.regexp_extract_all(_c(c), F.lit(f"{UNICODE}{WORD_RUN}|{PUNCT_ONE}"), 0)
 
 
 def dediac(c) -> Column:
@@ -109,7 +115,7 @@ def collapse_elongation(c) -> Column:
 
 
 def squeeze_ws(c) -> Column:
-    return strip_ws(F.regexp_replace(_c(c), F.lit(f"{WS_CLASS}+"), F.lit(" ")))
+    return strip_ws(F.regexp_replace(_c(c), F.lit(f"{UNICODE}{WS_CLASS}+"), F.lit(" ")))
 
 
 def strip_punct(c) -> Column:
@@ -118,8 +124,7 @@ def strip_punct(c) -> Column:
     Written as one regex: every maximal run of punctuation, symbols and
     whitespace becomes one space (what the two-step form yields), then the
     ends are trimmed."""
-    ws = WS_CLASS[1:-1]
-    return strip_ws(F.regexp_replace(_c(c), F.lit(f"[\\p{{P}}\\p{{S}}{ws}]+"), F.lit(" ")))
+    return strip_ws(F.regexp_replace(_c(c), F.lit(f"{UNICODE}[\\p{{P}}\\p{{S}}{_WS}]+"), F.lit(" ")))
 
 
 NORMALIZE_STEPS = (

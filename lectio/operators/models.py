@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectio.functions.levels import N_LEVELS, from_model_label, score_to_level, to_model_label
+from lectio.functions.text import NOT_WS, UNICODE
 
 BATCH_ROWS = 128
 
@@ -42,7 +43,8 @@ def _fit(pipeline: Pipeline, data: DataFrame) -> PipelineModel:
 
 def _text_stages(text_col: str, num_features: int):
     return [
-        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\S+", gaps=False, toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=UNICODE + NOT_WS + "+", gaps=False,
+                       toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=2),
     ]

@@ -8,8 +8,10 @@ the results must still be equal value for value.
 
 from __future__ import annotations
 
-WS = r"[ \t\n\x0B\f\r]"
-NWS = r"[^ \t\n\x0B\f\r]"
+# Python's str.split()/strip() whitespace (str.isspace), as RE2 escapes.
+_WS = "".join(f"\\x{{{ord(c):04X}}}" for c in map(chr, range(0x3001)) if c.isspace())
+WS = f"[{_WS}]"
+NWS = f"[^{_WS}]"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 ARABIC_26 = "أبةدإفغهآجكلمنىپقرستَوُئيز"
 
@@ -181,7 +183,7 @@ analyses AS (
 
 LEX_LP = f"""lex_lp AS (SELECT lemma || '#' || {POS_RULE} AS lemma_pos, score FROM lex)"""
 
-WORD_TOKENS = r"[\p{L}\p{M}\p{N}_]+|[^ \t\n\x0B\f\r\p{L}\p{M}\p{N}_]"
+WORD_TOKENS = f"[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^{_WS}\\p{{L}}\\p{{M}}\\p{{N}}_]"
 
 WTOK = f"""wtok AS (
   SELECT doc_id, pos, unnest(range(len(ts))) AS tpos, unnest(ts) AS token FROM (

@@ -11,7 +11,8 @@ from lectio.functions import text as T
 from lectio.operators import morph as MO
 from lectio.operators.segment import sentences
 
-ALPHABET = st.sampled_from(list("ab é.,!?") + ["\n", "\t", "\r", "\x0b", "ـ", "َ", "أ", "ة", "ى"])
+ALPHABET = st.sampled_from(list("ab é.,!?") + ["\n", "\t", "\r", "\x0b", "ـ", "َ", "أ", "ة", "ى",
+                                                "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\u200c"])
 TEXTS = st.lists(st.text(ALPHABET, max_size=40), min_size=1, max_size=30)
 SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -23,7 +24,7 @@ def test_sentence_modes_match_python(spark, texts):
     got = {}
     for mode in ("raw", "clean", "untrimmed"):
         got[mode] = sorted((r.doc_id, r.pos, r.sentence) for r in sentences(docs, mode).collect())
-    ws = " \t\n\x0b\x0c\r"
+    ws = T.WS_CHARS
     want_raw = sorted((i, p, s) for i, t in enumerate(texts) for p, s in enumerate(t.split("\n")))
     want_clean = sorted((i, p, s.strip(ws)) for i, t in enumerate(texts)
                         for p, s in enumerate(t.split("\n")) if s.strip(ws))
@@ -61,7 +62,8 @@ def test_untouched_words_reassemble_to_squeezed_input(spark, texts):
     sent = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, pos int, sentence string")
     empty = spark.createDataFrame([], "word string, d3tok string, lex string, pos string, d3tok_form string")
     got = dict((r.doc_id, r.d3tok_text) for r in MO.morph_text(sent, empty).collect())
-    pat = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^ \t\n\x0b\x0c\r\p{L}\p{M}\p{N}_]")
+    ws = regex.escape(T.WS_CHARS)
+    pat = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^" + ws + r"\p{L}\p{M}\p{N}_]")
     want = {i: " ".join(pat.findall(t)) for i, t in enumerate(texts)}
     assert got == want
 

@@ -77,10 +77,23 @@ def split_lines_clean(c) -> Column:
     return F.filter(parts, lambda x: x != F.lit(""))
 
 
-def split_punct(c) -> Column:
-    """split after sentence-final punctuation, eating following space."""
-    ends = SENTENCE_END_CHARS.replace("\n", "\\n")
-    return F.split(_c(c), f"{UNICODE}(?<=[{ends}]){WS_CLASS}*", -1)
+def _class_escape(chars: str) -> str:
+    out = []
+    for ch in chars:
+        if ch in "\\]^-[&":
+            out.append("\\" + ch)
+        elif ch == "\n":
+            out.append("\\n")
+        else:
+            out.append(ch)
+    return "".join(out)
+
+
+def split_punct(c, end_chars: str = SENTENCE_END_CHARS) -> Column:
+    """split after sentence-final punctuation, eating following space.
+    ``end_chars`` is the separator set (a parameter: the set the reference
+    takes from an external library is not available)."""
+    return F.split(_c(c), f"{UNICODE}(?<={'[' + _class_escape(end_chars) + ']'}){WS_CLASS}*", -1)
 
 
 def whitespace_tokens(c) -> Column:

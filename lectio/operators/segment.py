@@ -16,7 +16,7 @@ MODES = ("raw", "clean", "untrimmed", "punct")
 
 
 def sentences(docs: DataFrame, mode: str = "clean", id_col: str = "doc_id",
-              text_col: str = "text", keep: tuple = ()) -> DataFrame:
+              text_col: str = "text", keep: tuple = (), end_chars: str = T.SENTENCE_END_CHARS) -> DataFrame:
     """Split documents into ``(id, pos, sentence, *keep)`` rows.
 
     * ``raw``       (F1): split on ``\\n``, blanks kept, null text dropped.
@@ -33,7 +33,8 @@ def sentences(docs: DataFrame, mode: str = "clean", id_col: str = "doc_id",
     if mode == "punct":
         # numbered after blank removal: the engines' splitters may differ in
         # the empty pieces they produce between adjacent separators
-        pieces = F.filter(F.transform(T.split_punct(F.col(text_col)), T.strip_ws), lambda x: x != F.lit(""))
+        pieces = F.filter(F.transform(T.split_punct(F.col(text_col), end_chars), T.strip_ws),
+                          lambda x: x != F.lit(""))
         return docs.select(id_col, *keep, F.posexplode(pieces).alias("pos", "sentence")) \
             .select(id_col, "pos", "sentence", *keep)
     exploded = docs.select(id_col, *keep, F.posexplode(T.split_lines(F.col(text_col))).alias("pos", "piece"))

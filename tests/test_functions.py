@@ -111,3 +111,11 @@ def test_lexical_features_carry_text(spark):
     rows = {r.pos: r for r in feat.lexical_features(sent, lex, keep=("sentence", "label")).collect()}
     assert (rows[0].sentence, rows[0].label, rows[0].f_mean_diff) == ("aa bbb", 7, 4.0)
     assert (rows[1].sentence, rows[1].label, rows[1].f_chars) == ("", 3, 0.0)
+
+
+def test_punct_separators_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "a; b. c-d")], "doc_id long, text string")
+    default = [r.sentence for r in sentences(docs, "punct").orderBy("pos").collect()]
+    custom = [r.sentence for r in sentences(docs, "punct", end_chars=";-").orderBy("pos").collect()]
+    assert default == ["a; b.", "c-d"]
+    assert custom == ["a;", "b. c-", "d"]

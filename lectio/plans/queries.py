@@ -9,14 +9,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from lectio.functions import levels as L
+from lectio.functions import text as T
 from lectio.functions.levels import score_to_level
+from lectio.operators import corpus as C
 from lectio.operators import features as feat
+from lectio.operators import metrics as M
+from lectio.operators import models as MD
+from lectio.operators import morph as MO
 from lectio.operators import rollup
-from lectio.operators.joins import lookup_join
-from lectio.operators.segment import sentences
+from lectio.operators import split as SP
+from lectio.operators.encode import encode_fixed
+from lectio.operators.joins import lookup_join, positional_align
+from lectio.operators.segment import sentences, sentences_from_list, sentences_with
 from lectio.plans import fixtures as fx
+from lectio.plans import flows as PL
 from lectio.plans import oracle as O
+from lectio.session import scratch_path
+from lectio.sources import readers as R
+from lectio.sources import sinks as K
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -124,8 +137,6 @@ def q_submission(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------- ordinal metrics
 
-from lectio.operators import metrics as M  # noqa: E402
-
 
 def sparse_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A9 stress pair on ``lineitem``: levels {1,2,5,9,19} vs {1,3,5,9,18}."""
@@ -212,8 +223,6 @@ def q_ensemble_level(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------- level arithmetic
 
-from lectio.functions import levels as L  # noqa: E402
-
 
 @register("level_from_score", """
 SELECT vec_id, raw, CAST(least(greatest(round_even(raw, 0), 0), 18) + 1 AS INTEGER) AS level,
@@ -238,10 +247,6 @@ def q_argmax_level(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ text chain
 
-from lectio.functions import text as T  # noqa: E402
-from lectio.operators import morph as MO  # noqa: E402
-from lectio.operators.segment import sentences_from_list  # noqa: E402
-
 
 @register("normalize_text", O.with_(O.ARABIC, O.NORM_STEPS) + "SELECT doc_id, t_punct AS text_norm FROM steps")
 def q_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,16 +326,12 @@ def q_surface_features(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------- corpus unification
 
-from lectio.functions import levels as LV  # noqa: E402
-from lectio.operators import corpus as C  # noqa: E402
-from lectio.operators import split as SP  # noqa: E402
-
 
 @register("graded_unpivot", O.with_(O.WIDE, O.graded_long(4, 10, 16))
           + "SELECT conv_id, level_name, text, label FROM graded")
 def q_graded_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     wide = fx.graded_wide(fx.table(spark, sf, "conversations"))
-    return C.unpivot_levels(wide, ["conv_id"], LV.GRADED_LEVELS_A)
+    return C.unpivot_levels(wide, ["conv_id"], L.GRADED_LEVELS_A)
 
 
 @register("graded_markers", """
@@ -375,7 +376,7 @@ def mixture(spark: SparkSession, sf: str, shuffle_seed: str | None = None) -> C.
     docs = fx.documents(spark, sf)
     main = sentences(docs.select("doc_id", "text", fx.gold_label().alias("label")), "untrimmed", keep=("label",))
     graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id"],
-                              LV.GRADED_LEVELS_B)
+                              L.GRADED_LEVELS_B)
     grade = C.grade_labels(fx.grade_codes(fx.table(spark, sf, "benchmark")))
     lexs = C.lexicon_sentences(fx.lexicon_tsv_form(fx.lexicon_table(spark, sf)))
     return C.Mixture([
@@ -445,7 +446,7 @@ def q_augmented_split(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("main").alias("source"), F.concat_ws(":", "doc_id", "pos").alias("id"), "label",
         F.when(F.col("fold") == 0, "dev").otherwise("train").alias("split"))
     graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id"],
-                              LV.GRADED_LEVELS_A)
+                              L.GRADED_LEVELS_A)
     added = graded.select(F.lit("graded").alias("source"), F.concat_ws(":", "conv_id", "level_name").alias("id"),
                           "label")
     return SP.augmented_split(main, added, "id", "label", 0.15)
@@ -463,9 +464,6 @@ def q_shuffle_head(spark: SparkSession, sf: str) -> DataFrame:
 
 # -------------------------------------------------------------- encoding, align
 
-from lectio.operators.encode import encode_fixed  # noqa: E402
-from lectio.operators.joins import positional_align  # noqa: E402
-
 
 @register("encode_fixed", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN) + """,
 vocab AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) AS id
@@ -502,11 +500,6 @@ def q_positional_align(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ round trips
 
-from pyspark.sql import types as ST  # noqa: E402
-
-from lectio.session import scratch_path  # noqa: E402
-from lectio.sources import readers as R  # noqa: E402
-from lectio.sources import sinks as K  # noqa: E402
 
 DOC_SCHEMA = ST.StructType([
     ST.StructField("doc_id", ST.LongType()), ST.StructField("text", ST.StringType()),
@@ -607,9 +600,6 @@ def q_roundtrip_submission(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- models
 
-from lectio.operators import models as MD  # noqa: E402
-from lectio.plans import flows as PL  # noqa: E402
-
 
 def labelled_split(spark: SparkSession, sf: str):
     """Labelled sentences with a document-level fold split (fold 0 = dev)."""
@@ -695,8 +685,6 @@ def q_predict_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ smaller operators
 
-from lectio.operators.segment import sentences_with  # noqa: E402
-
 
 def _python_lines(text: str) -> list:
     """A user splitter written in plain Python (F2 semantics)."""

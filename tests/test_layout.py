@@ -27,3 +27,22 @@ def test_bucketed_documents_score_without_exchange(spark):
     assert "Exchange hashpartitioning" not in plan
     want = sorted((r.doc_id, r.level) for r in score_batch(docs, lex).collect())
     assert got == want
+
+
+def test_bucketed_morph_text_without_exchange(spark):
+    from lectio.operators.morph import morph_text
+    from lectio.operators.segment import sentences
+    write_bucketed(fx.documents(spark, SF_SMALL), "lectio_docs_bucketed_m", scratch_path(spark, "docs-m"), buckets=4)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        an = fx.analyses_table(spark, SF_SMALL)
+        b = morph_text(sentences(read_bucketed(spark, "lectio_docs_bucketed_m").select("doc_id", "text"), "clean"), an)
+        plan = _physical(b)
+        got = sorted(tuple(r) for r in b.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert "Exchange hashpartitioning" not in plan
+    want = sorted(tuple(r) for r in morph_text(sentences(fx.documents(spark, SF_SMALL).select("doc_id", "text"), "clean"),
+                                               an).collect())
+    assert got == want

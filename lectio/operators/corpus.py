@@ -108,3 +108,19 @@ class Mixture:
                                                                                 "label"))),
                                     "_rid", self.shuffle_seed).drop("_rid")
         return out
+
+
+def lemma_lexicon(lex_file: DataFrame, key_col: str = "lemma#pos",
+                  score_col: str = "readability (rounded average)") -> DataFrame:
+    """S2 + F13 + A11: a ``lemma#pos`` lexicon file as a ``(lemma, score)``
+    dictionary keyed by the lemma alone; when a lemma occurs with several
+    parts of speech the row that comes last in the file wins.  File order
+    is numbered with the distributed row numbering (no single-task window),
+    then :func:`last_wins` keeps one row per lemma.  Order is exact for one
+    file, as the reference reads it: a multi-line CSV/TSV file is one scan
+    split.  Across several part files Spark orders splits by size, so pass
+    an explicit order column to :func:`last_wins` there."""
+    numbered = with_row_number(lex_file.select(key_col, score_col), None, "_file_row")
+    rows = numbered.select(T.lemma_of(key_col).alias("lemma"),
+                           F.col(score_col).cast("double").alias("score"), "_file_row")
+    return last_wins(rows, "lemma", "score", ["_file_row"])

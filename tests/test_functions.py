@@ -119,3 +119,18 @@ def test_punct_separators_are_a_parameter(spark):
     custom = [r.sentence for r in sentences(docs, "punct", end_chars=";-").orderBy("pos").collect()]
     assert default == ["a; b.", "c-d"]
     assert custom == ["a;", "b. c-", "d"]
+
+
+def test_lemma_lexicon_last_row_wins(spark):
+    from lectio.operators.corpus import lemma_lexicon
+    from lectio.session import scratch_path
+    from lectio.sources import readers as R
+    from lectio.sources import sinks as K
+    rows = [("kitab#noun", 2), ("kataba#verb", 4), ("kitab#adj", 5), ("qalam#noun", 1)]
+    df = spark.createDataFrame(rows, "`lemma#pos` string, `readability (rounded average)` int").coalesce(1)
+    path = K.write_tsv(df, scratch_path(spark, "lexicon-file"))
+    from pyspark.sql import types as ST
+    schema = ST.StructType([ST.StructField("lemma#pos", ST.StringType()),
+                            ST.StructField("readability (rounded average)", ST.IntegerType())])
+    got = dict((r.lemma, r.score) for r in lemma_lexicon(R.read_tsv(spark, path, schema)).collect())
+    assert got == {"kitab": 5.0, "kataba": 4.0, "qalam": 1.0}

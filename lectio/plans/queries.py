@@ -14,6 +14,7 @@ from pyspark.sql import types as ST
 from lectio.functions import levels as L
 from lectio.functions import text as T
 from lectio.functions.levels import score_to_level
+from lectio.functions.udf import row_function
 from lectio.operators import corpus as C
 from lectio.operators import features as feat
 from lectio.operators import metrics as M
@@ -724,3 +725,18 @@ SELECT CAST(sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count
 def q_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Exact-match share of document levels."""
     return M.accuracy(document_pairs(spark, sf))
+
+
+def _python_word_count(text: str) -> int:
+    """A user row function in plain Python."""
+    return len(text.split())
+
+
+@register("user_row_function", O.with_(O.SPLIT, O.SENT_CLEAN) + f"""
+SELECT doc_id, pos, CAST(len(regexp_extract_all(sentence, '{O.NWS}+')) AS INTEGER) AS n_words FROM sent_clean""")
+def q_user_row_function(spark: SparkSession, sf: str) -> DataFrame:
+    """V1: a Python row function (``Series.apply``) through an Arrow-batched
+    pandas UDF."""
+    _, sent, _ = _pipeline_inputs(spark, sf)
+    count = row_function(_python_word_count, "int")
+    return sent.select("doc_id", "pos", count("sentence").alias("n_words"))

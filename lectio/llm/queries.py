@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm import bytebpe, exact, packing, token_counts
+from lectio.llm import bytebpe, chat, exact, packing, spotsigs, substring, token_counts
 from lectio.llm.common import read_table
 
 
@@ -36,6 +36,46 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.with_edited(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.digest(F.col("signatures")).alias("fingerprint"),
+        spotsigs.digest(F.col("edited_signatures")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+        F.size("signatures").cast("long").alias("n_signatures"),
+        spotsigs.length_class(F.col("signatures")).alias("length_class")).dropDuplicates(["doc_id"])
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.cut(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
+                       F.size("spans").cast("long").alias("n_spans"))
+
+
+#: A conversation whose texts hold markers of several templates.
+HARD_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    records = rows.unionByName(hard).select(
+        "conv_id", "turn", F.to_variant_object(F.struct("role", F.coalesce("text", F.lit("")).alias("text"))).alias("record"))
+    made = chat.format_turns(chat.canonical(records), "conv_id", ["turn"])
+    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                       F.array_join(chat.read_learned(F.col("formatted"), F.col("loss_spans")), "").alias("learned"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -44,12 +84,47 @@ QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_cost_packing": op2_cost_packing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_spotsigs": op5_spotsigs,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _escaped(c: str) -> str:
+    return rf"replace(replace(replace({c}, '\', '\0'), '<', '\1'), '>', '\2')"
+
+
 SQL = {
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                              lambda x: x <> '') AS words FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram
+              FROM d, unnest(range(1, len(words) - 11)) AS r(i)),
+        f AS (SELECT gram, min(doc_id) AS source FROM g GROUP BY gram),
+        hit AS (SELECT DISTINCT g.doc_id, g.i + j AS p FROM g JOIN f USING (gram), range(13) AS r(j)
+                WHERE source < g.doc_id),
+        w AS (SELECT doc_id, p, words[p] AS word FROM d, unnest(range(1, len(words) + 1)) AS r(p)),
+        k AS (SELECT w.doc_id, count(h.p) AS n_removed,
+                     string_agg(word, ' ' ORDER BY w.p) FILTER (h.p IS NULL) AS kept,
+                     count(*) FILTER (h.p IS NOT NULL AND NOT EXISTS (
+                         SELECT 1 FROM hit AS b WHERE b.doc_id = h.doc_id AND b.p = h.p - 1)) AS n_spans
+              FROM w LEFT JOIN hit AS h ON h.doc_id = w.doc_id AND h.p = w.p GROUP BY w.doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_chat_formatting": rf"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END,
+                          '\### Assistant: </turn> ok' FROM range(2) AS r(i))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               sum(22 + length({_escaped('role')}) + length({_escaped('text')}))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
     "op8_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_FOLDED} AS folded FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -22,10 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: the
-    lineage is cut, and a lost executor re-reads files."""
+    lineage is cut, and a lost executor re-reads files.
+
+    Spark removes a finished step's shuffle files when the driver collects
+    its garbage, so that is asked for here; steps then don't add up on disk.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

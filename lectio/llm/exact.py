@@ -38,8 +38,9 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", fold: bool = True, id_c
 
     hashes = stage(rows.select("id", F.unhex(F.md5("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("sha")),
                    "exact-hashes")
-    groups = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), best("id").alias("keep"))
-    several = groups.filter("n > 1")
+    groups = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), best("id").alias("keep"), F.max("sha").alias("sha"))
+    # written first: Spark can split a frequent key of a join whose sides are plain shuffles
+    several = stage(groups.filter("n > 1").select("h", "n", "keep"), "exact-groups")
 
     # texts of the groups with several rows, each row with its share's number
     members = (rows.withColumn("h", F.unhex(F.md5("t"))).join(several, "h")
@@ -56,8 +57,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", fold: bool = True, id_c
     odd = compared.filter(~F.col("same"))
     odd_sizes = odd.groupBy("h").agg(F.count(F.lit(1)).alias("odd"))
     own = odd.groupBy("h", "own").agg(F.count(F.lit(1)).alias("size"), best("id").alias("own_keep"))
-    single = (hashes.join(groups.filter("n = 1"), "h")
-              .select("id", "keep", F.lit(1).cast("long").alias("size"), "sha"))
+    single = groups.filter("n = 1").select(F.col("keep").alias("id"), "keep", F.col("n").alias("size"), "sha")
     same = (compared.filter("same").join(odd_sizes, "h", "left")
             .select("id", "keep", (F.col("n") - F.coalesce("odd", F.lit(0))).alias("size"), "sha"))
     different = odd.join(own, ["h", "own"]).select("id", F.col("own_keep").alias("keep"), "size", "sha")

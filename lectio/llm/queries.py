@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm import bytebpe, chat, exact, packing, spotsigs, substring, token_counts
+from lectio.llm import bytebpe, chat, exact, ngram_join, packing, spotsigs, substring, token_counts
 from lectio.llm.common import read_table
 
 
@@ -80,6 +80,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_cost_packing": op2_cost_packing,
@@ -88,6 +92,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -18,8 +18,9 @@ minimizer, whatever surrounds them.
 Source coordinates (document, first window) of the repeated windows then give
 the spans.  Windows are judged on the input, not on what is left.
 
-Every grouping is by a hash and reduces before it shuffles; the joins back are
-plain equi-joins, which Spark splits where a key is frequent.  No group is
+Every grouping is by a hash and reduces before it shuffles.  Its result is
+written, so the joins back are between plain shuffles, which Spark splits where
+a key is frequent.  No group is
 collected but the minimizers, paths and spans of one document.  Identity rests
 on 128 bits: minimizer and path, or two hashes of a window.
 
@@ -36,8 +37,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectio.llm.common import batches, text_or_empty
+from lectio.llm.common import batches, stage, text_or_empty
 from lectio.llm.wordhash import batch_hashes, run_hashes, sliding_min, span_hashes
 
 WINDOW = 13
@@ -138,7 +140,7 @@ def _repeated(packed: DataFrame, docs: DataFrame, k: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([pa.array(m[new].view(np.int64)), pa.array(ids[new])], ["m", "id"])
 
     found = src.mapInArrow(minimizers, T.StructType([_column("m"), _column("id")]))
-    shared = found.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
+    shared = stage(found.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"), "span-minimizers")
     marked = found.join(shared, "m").groupBy("id").agg(F.collect_set("m").alias("ms"))
 
     def paths(it):
@@ -158,9 +160,9 @@ def _repeated(packed: DataFrame, docs: DataFrame, k: int, id_col: str, text_col:
                  pa.array(ids[text]), pa.array(_packed_place(marks[text], first - begin[text], count))],
                 ["m", "path", "id", "place"])
 
-    path_rows = packed.join(marked, "id").mapInArrow(
-        paths, T.StructType([_column(c) for c in ("m", "path", "id", "place")]))
-    firsts = path_rows.groupBy("m", "path").agg(F.min("id").alias("source"))
+    path_rows = stage(packed.join(marked, "id").mapInArrow(
+        paths, T.StructType([_column(c) for c in ("m", "path", "id", "place")])), "span-paths")
+    firsts = stage(path_rows.groupBy("m", "path").agg(F.min("id").alias("source")), "span-path-sources")
     placed = path_rows.join(firsts, ["m", "path"])
     whole = placed.filter("source < id").select("id", "place")
     branching = firsts.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
@@ -185,9 +187,11 @@ def _repeated(packed: DataFrame, docs: DataFrame, k: int, id_col: str, text_col:
                  pa.array(ids), pa.array(_packed_place(mark, own, np.ones(len(own), np.int64)))],
                 ["a", "b", "id", "place"])
 
-    edge_rows = packed.join(opened, "id").mapInArrow(
-        edges, T.StructType([_column(c) for c in ("a", "b", "id", "place")]))
-    edge_firsts = edge_rows.groupBy("a", "b").agg(F.min("id").alias("source"))
+    edge_rows = stage(packed.join(opened, "id").mapInArrow(
+        edges, T.StructType([_column(c) for c in ("a", "b", "id", "place")])), "span-edges")
+    # an edge of one document only repeats nothing
+    edge_firsts = stage(edge_rows.groupBy("a", "b").agg(F.min("id").alias("source"), F.max("id").alias("last"))
+                        .filter("source < last").select("a", "b", "source"), "span-edge-sources")
     single = edge_rows.join(edge_firsts, ["a", "b"]).filter("source < id").select("id", "place")
     return whole.unionByName(single).groupBy("id").agg(F.collect_set("place").alias("places"))
 
@@ -218,7 +222,6 @@ def cut(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str
     span = T.StructType([_column("start"), _column("end")])
     schema = T.StructType([_column(id_col), _column("n_words"), _column("n_removed"),
                            T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
 
     def run(it):

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm import bytebpe, chat, exact, ngram_join, packing, spotsigs, substring, token_counts
+from lectio.llm import bytebpe, chat, exact, ngram_join, packing, quality, spotsigs, substring, token_counts
 from lectio.llm.common import read_table
 
 
@@ -84,6 +84,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_cost_packing": op2_cost_packing,
@@ -93,6 +97,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_weak_label_quality": op10_weak_label_quality,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

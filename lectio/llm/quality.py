@@ -286,6 +286,28 @@ def score(docs: DataFrame, scorer: Scorer, labellers: tuple[Labeller, ...] = LAB
     return src.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that reach the threshold;
+    texts are scored where they are read, so nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(it):
+        for b in it:
+            kept = np.zeros(b.num_rows, bool)
+            start = size = 0
+            texts: list[bytes] = []
+            for i, t in enumerate(b.column(at)):
+                texts.append((t.as_py() or "").encode())
+                size += len(texts[-1])
+                if size >= 1 << 22 or i == b.num_rows - 1:
+                    h, ends = batch_hashes([t.lower() for t in texts])
+                    kept[start:i + 1] = scorer.scores(texts, h, ends) >= threshold
+                    start, size, texts = i + 1, 0, []
+            yield b.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labellers: tuple[Labeller, ...] = LABELLERS, train_docs: int = TRAIN_DOCS,
              n_slots: int = SLOTS, threshold: float = THRESHOLD, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:

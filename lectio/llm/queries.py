@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm import bytebpe, chat, exact, ngram_join, packing, quality, spotsigs, substring, token_counts
+from lectio.llm import bytebpe, chat, exact, ngram_join, packing, quality, spotsigs, substring, token_counts, training_order
 from lectio.llm.common import read_table
+from lectio.session import scratch_path
 
 
 def op1_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,17 @@ def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+#: Records of a shard: 8 MB each, so that small tables have several.
+SHARD_SLOTS = 1 << 12
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "training-order")
+    manifest = training_order.materialise(read_table(spark, sf_dir, "documents"), out, shard_slots=SHARD_SLOTS)
+    rows = training_order.records(manifest, out, shard_slots=SHARD_SLOTS)
+    return rows.select("slot", "shard", "byte_offset", "length", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = bytebpe.decode(bytebpe.encode(read_table(spark, sf_dir, "documents"), path), path)
@@ -91,6 +103,7 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_cost_packing": op2_cost_packing,
+    "op3_training_order": op3_training_order,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_spotsigs": op5_spotsigs,
     "op6_substring_dedup": op6_substring_dedup,

@@ -110,18 +110,20 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", t
     return _repeated(_compressed(docs, id_col, text_col), docs, k, id_col, text_col)
 
 
-def _compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _compressed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     """Texts as they travel: zstd takes two thirds of what the shuffle's own
-    compression leaves."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    compression leaves.  ``carry`` names further columns, as c0, c1 ..."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"),
+                      *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])])
+    schema = T.StructType([_column("id"), T.StructField("z", T.BinaryType()), *src.schema.fields[2:]])
 
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
         for b in it:
             data = [z.compress(t.as_py().encode()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), *b.columns[2:]], schema.names)
 
-    return src.mapInArrow(run, T.StructType([_column("id"), T.StructField("z", T.BinaryType())]))
+    return src.mapInArrow(run, schema)
 
 
 def _repeated(packed: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -230,22 +232,53 @@ def cut(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str
         def rows():
             for b in it:
                 for key, data, hits in zip(*(c.to_pylist() for c in b.columns)):
-                    text = z.decompress(data)
-                    words = text.split()
-                    if not hits:
-                        yield key, len(words), 0, [], b" ".join(words).decode()
-                        continue
-                    first, count = _spans_of(np.array(hits, np.int64), _mark(text))
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + count + k - 1, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
+                    words, gone = _judged(z.decompress(data), hits, k)
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     spans = [{"start": int(a), "end": int(e)} for a, e in turn.reshape(-1, 2)]
-                    left = [words[i] for i in np.flatnonzero(~gone)]
-                    yield key, len(words), int(gone.sum()), spans, b" ".join(left).decode()
+                    yield key, len(words), int(gone.sum()), spans, _left(words, gone)
 
         yield from batches(rows(), arrow, weight=4)
 
     joined = packed.join(places, F.col("id") == F.col("hit"), "left").select("id", "z", "places")
     return joined.mapInArrow(run, schema)
+
+
+def _judged(text: bytes, hits: list[int] | None, k: int) -> tuple[list[bytes], np.ndarray]:
+    """The words, and which of them repeated windows cover."""
+    words = text.split()
+    if not hits:
+        return words, np.zeros(len(words), bool)
+    first, count = _spans_of(np.array(hits, np.int64), _mark(text))
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + count + k - 1, -1)
+    return words, np.cumsum(edge)[:-1] > 0
+
+
+def _left(words: list[bytes], gone: np.ndarray) -> str:
+    return b" ".join([words[i] for i in np.flatnonzero(~gone)] if gone.any() else words).decode()
+
+
+def without_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the same columns; a text with repeated words is replaced
+    by the words left, joined by one blank, any other stays as it is (null as
+    an empty text)."""
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    packed = _compressed(docs, id_col, text_col, carry)
+    places = _repeated(_compressed(docs, id_col, text_col), docs, k, id_col, text_col).withColumnRenamed("id", "hit")
+    joined = packed.join(places, F.col("id") == F.col("hit"), "left").drop("hit")
+    schema = T.StructType([_column("id"), T.StructField("text", T.StringType()), *packed.schema.fields[2:]])
+
+    def run(it):
+        z = zstandard.ZstdDecompressor()
+        for b in it:
+            texts = []
+            for data, hits in zip(b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                text = z.decompress(data)
+                words, gone = _judged(text, hits, k)
+                texts.append(_left(words, gone) if gone.any() else text.decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[2:-1]], schema.names)
+
+    names = {f"c{i}": c for i, c in enumerate(carry)} | {"id": id_col, "text": text_col}
+    made = joined.mapInArrow(run, schema).withColumnsRenamed(names)
+    return made.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

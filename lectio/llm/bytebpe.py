@@ -57,11 +57,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the decoded bytes of every row (``out``, binary).  Null ids give
-    null.  ``decoded_text`` makes text of them."""
+    """Add the decoded bytes of every row (``out``, binary; replaces a column
+    of that name).  Null ids give null.  ``decoded_text`` makes text of them."""
     path = path or public_tokenizers.path(DEFAULT_RANKS)
-    if out in encoded.columns:
-        raise ValueError(f"column {out} exists already")
+    encoded = encoded.drop(out)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())])
     at = encoded.columns.index(ids_col)
 

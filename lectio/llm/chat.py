@@ -116,14 +116,12 @@ def fingerprint(v: Column) -> Column:
 
 def canonical(records: DataFrame, payload: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Add ``fingerprint``, ``layout`` and ``turns`` (array of role and text)
-    to rows whose ``payload`` is a variant.
+    to rows whose ``payload`` is a variant; they replace columns of these
+    names.
 
     A record whose fingerprint no mapping declares has a null layout and no
     turns, so nothing is guessed and nothing is dropped.  Null payloads too.
     """
-    taken = {"fingerprint", "layout", "turns"} & set(records.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} exist already")
     v, fp = F.col(payload), F.col("fingerprint")
     rows = records.withColumn("fingerprint", F.when(v.isNotNull(), fingerprint(v)))
     name, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)

@@ -11,7 +11,7 @@ group that holds a third of all rows is spread like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.common import fold_ascii, stage, text_or_empty
@@ -19,6 +19,10 @@ from lectio.llm.common import fold_ascii, stage, text_or_empty
 SHARE_ROWS = 256
 
 
+def content_hash(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def exact_dedup(docs: DataFrame, keep: str = "smallest", fold: bool = True, id_col: str = "doc_id",
                 text_col: str = "text", share_rows: int = SHARE_ROWS) -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept and
@@ -36,14 +40,14 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", fold: bool = True, id_c
     text = fold_ascii(text_or_empty(text_col)) if fold else text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
 
-    hashes = stage(rows.select("id", F.unhex(F.md5("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("sha")),
+    hashes = stage(rows.select("id", content_hash(F.col("t")).alias("h"), F.unhex(F.sha2("t", 256)).alias("sha")),
                    "exact-hashes")
     groups = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), best("id").alias("keep"), F.max("sha").alias("sha"))
     # written first: Spark can split a frequent key of a join whose sides are plain shuffles
     several = stage(groups.filter("n > 1").select("h", "n", "keep"), "exact-groups")
 
     # texts of the groups with several rows, each row with its share's number
-    members = (rows.withColumn("h", F.unhex(F.md5("t"))).join(several, "h")
+    members = (rows.withColumn("h", content_hash(F.col("t"))).join(several, "h")
                .withColumn("shares", F.ceil(F.col("n") / share_rows).cast("int")))
     staying = members.filter(F.col("id").eqNullSafe(F.col("keep")))
     staying = (staying.groupBy("h").agg(F.max("t").alias("stays"), F.max("shares").alias("shares"))

@@ -279,6 +279,5 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", te
                 texts.append(_left(words, gone) if gone.any() else text.decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[2:-1]], schema.names)
 
-    names = {f"c{i}": c for i, c in enumerate(carry)} | {"id": id_col, "text": text_col}
-    made = joined.mapInArrow(run, schema).withColumnsRenamed(names)
+    made = joined.mapInArrow(run, schema).toDF(id_col, text_col, *carry)
     return made.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -125,11 +125,10 @@ class SegmentTree:
 def build_trees(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHARS,
                 text_col: str = "text") -> DataFrame:
     """Every row with the leaves of its tree: ``leaf_chars`` and
-    ``leaf_tokens`` (the inner sums follow from them).  Null text: no leaf."""
+    ``leaf_tokens`` (the inner sums follow from them), which replace columns
+    of these names.  Null text: no leaf."""
     path = path or public_tokenizers.path(DEFAULT_VOCAB)
-    clash = {"leaf_chars", "leaf_tokens"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = docs.drop("leaf_chars", "leaf_tokens")
     at = docs.columns.index(text_col)
 
     def run(it):

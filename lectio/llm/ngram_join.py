@@ -18,13 +18,15 @@ that remain are compared exactly.
 
 *Two rounds.*  First every block compares its documents with the most widely
 shared one among them, which links a group of near copies with as many
-comparisons as it has members.  Then only blocks that still hold several
-components compare what is left, and pairs that links connect already are not
-compared again; the components stay exact, and no block emits all its pairs.
-
-Equal word sequences are one document throughout.  Large blocks are split: the
-first round deals a centre's members over shares, the second deals a block over
-size classes and then over pairs of parts.
+comparisons as it has members.  Then the blocks that still hold several
+components are traversed whole, and only pairs of different components are
+compared; the components stay exact, and no block emits all its pairs.  Trees
+are traversed on signatures alone; texts travel only for the exact comparison
+of the pairs that remain.
+
+Equal word sequences are one document throughout.  Large blocks are split: a
+centre's members are dealt over shares, a block over size classes and then over
+pairs of parts.
 """
 
 from __future__ import annotations
@@ -47,10 +49,12 @@ WORDS = 5
 PERCENT = 75
 #: Documents whose shingles are counted to find common ones, and how many of
 #: the commonest are put last in the order.
-SAMPLE_DOCS, COMMON = 20_000, 100_000
+SAMPLE_DOCS, COMMON = 50_000, 200_000
 #: Members that one share of a centre compares; documents of one tree.
 SHARE = 256
-BITS = 2048
+#: Bits of a signature: a power of two, at least four for each shingle,
+#: within these bounds.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 FAN = 8
 
 
@@ -79,17 +83,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 # -- signature trees ----------------------------------------------------------
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of a set's shingles, by their low bits."""
+    bits = min(max(1 << (4 * len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS) if len(s) else LEAST_BITS
+    bitmap = np.zeros(bits, bool)
+    bitmap[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(bitmap).tobytes()
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit words, all folded to the shortest."""
+    width = min(map(len, signatures))
+    rows = [np.bitwise_or.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in signatures]
+    return np.stack(rows).view(np.uint64)
+
+
 class SignatureTree:
-    """Levels of OR-combined bitmaps and size ranges over sets, by size."""
+    """Levels of OR-combined bitmaps and size ranges over documents, by size.
+    ``maps`` are their folded signatures, ``size`` their numbers of
+    shingles."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int = BITS, fan: int = FAN):
-        size = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, maps: np.ndarray, size: np.ndarray, fan: int = FAN):
         self.order = np.argsort(size, kind="stable")
-        size = size[self.order]
-        maps = np.zeros((len(sets), bits), bool)
-        for row, i in enumerate(self.order):
-            maps[row, (sets[i] & np.uint64(bits - 1)).astype(np.int64)] = True
-        packed = np.packbits(maps, axis=1).view(np.uint64)
+        packed, size = maps[self.order], np.asarray(size)[self.order]
         #: shingles that fell on a bit already set
         excess = size - np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
         self.fan, self.levels = fan, [(packed, size, size, excess)]
@@ -157,42 +173,26 @@ def leaf_pairs(a: SignatureTree, b: SignatureTree, percent: int = PERCENT, chunk
         stack.append((la, lb, i, j))
 
 
-class Groups:
-    """Union-find over some ids."""
-
-    def __init__(self, labels):
-        first: dict = {}
-        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.find(j)] = self.find(i)
-
-
 # -- the join -------------------------------------------------------------------
 def _long(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
 def _set_table(src: DataFrame, words: int) -> DataFrame:
-    """id, set size, and 128 bits of the folded word sequence."""
+    """id, set size, 128 bits of the folded word sequence, signature."""
 
     def run(it):
         for rows in _by_slices(it):
             texts = [t.encode() for _, t in rows]
             keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             key = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            sets = shingle_sets(texts, words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()),
-                 pa.array([len(s) for s in shingle_sets(texts, words)], pa.int64()),
-                 pa.array(key[:, 0]), pa.array(key[:, 1])], ["id", "n", "k1", "k2"])
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(map(signature, sets), pa.binary())],
+                ["id", "n", "k1", "k2", "sig"])
 
-    return src.mapInArrow(run, T.StructType(_long("id", "n", "k1", "k2")))
+    return src.mapInArrow(run, T.StructType([*_long("id", "n", "k1", "k2"), T.StructField("sig", T.BinaryType())]))
 
 
 def _common_shingles(src: DataFrame, words: int, sample_docs: int, common: int) -> np.ndarray:
@@ -206,7 +206,7 @@ def _common_shingles(src: DataFrame, words: int, sample_docs: int, common: int)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["t"])
 
     counts = sample.mapInArrow(run, T.StructType(_long("t"))).groupBy("t").count()
-    top = counts.filter("count > 4").orderBy(F.desc("count"), "t").limit(common).select("t")
+    top = counts.filter("count > 3").orderBy(F.desc("count"), "t").limit(common).select("t")
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
 
@@ -255,85 +255,104 @@ def _streamed_groups(it):
         yield rows
 
 
-def _link_batches(found):
+def _pair_batches(found, names):
     buf = []
     for pair in found:
         buf.append(pair)
         if len(buf) >= 1 << 14:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*buf)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*buf)], names)
             buf = []
     if buf:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*buf)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*buf)], names)
 
 
-def _centre_links(pairs: DataFrame, packed: DataFrame, words: int, percent: int, share: int) -> DataFrame:
-    """The linked ones of (centre, id) pairs.  A centre's members are dealt
-    over shares, each with a copy of the centre."""
+def _runs(rows: list, key):
+    start = 0
+    for i in range(1, len(rows) + 1):
+        if i == len(rows) or key(rows[i]) != key(rows[start]):
+            yield rows[start:i]
+            start = i
+
+
+def _dealt(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
+    """(centre, id) pairs as groups of rows, a centre and a share of its
+    members each, the centre first: g, centre, share, id and the columns of
+    ``docs``.  Every share has its copy of the centre."""
     sizes = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
     members = (pairs.join(sizes, "centre")
                .select("centre", "id", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share")))
     heads = sizes.select("centre", F.col("centre").alias("id"),
                          F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    rows = members.unionByName(heads).select(F.xxhash64("centre", "share").alias("g"), "centre", "id", "share")
-    rows = rows.join(packed, "id").select("g", "centre", "share", "id", "z")
-    dealt = rows.repartition("centre", "share").sortWithinPartitions("g", "centre", "share", F.col("id") != F.col("centre"))
+    rows = members.unionByName(heads).join(docs, "id")
+    rows = rows.select(F.xxhash64("centre", "share").alias("g"), "centre", "share", "id",
+                       *[c for c in docs.columns if c != "id"])
+    return rows.repartition("centre", "share").sortWithinPartitions(
+        "g", "centre", "share", F.col("id") != F.col("centre"))
 
-    def run(it):
-        z = zstandard.ZstdDecompressor()
 
-        def found():
-            for rows in _streamed_groups(it):
-                for part in _runs(rows, lambda r: (r[1], r[2])):
-                    if len(part) < 2:
-                        continue
-                    sets = shingle_sets([z.decompress(r[4]) for r in part], words)  # the centre's comes first
-                    centre, tree = SignatureTree(sets[:1]), SignatureTree(sets[1:])
-                    for i, j in leaf_pairs(centre, tree, percent):
-                        for k in j.tolist():
-                            if linked(sets[0], sets[k + 1], percent):
-                                yield part[0][1], part[k + 1][3]
+def _shares(it):
+    for rows in _streamed_groups(it):
+        for part in _runs(rows, lambda r: (r[1], r[2])):
+            if len(part) > 1:
+                yield part
 
-        yield from _link_batches(found())
 
-    return dealt.mapInArrow(run, T.StructType(_long("a", "b")))
+def _centre_candidates(pairs: DataFrame, sigs: DataFrame, percent: int, share: int) -> DataFrame:
+    """The (centre, id) pairs that the members' trees leave."""
 
+    def run(it):
+        def found():
+            for part in _shares(it):
+                maps, size = folded([r[5] for r in part]), np.array([r[4] for r in part])
+                centre, tree = SignatureTree(maps[:1], size[:1]), SignatureTree(maps[1:], size[1:])
+                for _, j in leaf_pairs(centre, tree, percent):
+                    yield from ((part[0][1], part[k + 1][3]) for k in j.tolist())
 
-def _runs(rows: list, key):
-    start = 0
-    for i in range(1, len(rows) + 1):
-        if i == len(rows) or key(rows[i]) != key(rows[start]):
-            yield rows[start:i]
-            start = i
+        yield from _pair_batches(found(), ["centre", "id"])
+
+    return _dealt(pairs, sigs, share).mapInArrow(run, T.StructType(_long("centre", "id")))
 
 
-def _remaining_links(rows: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between different components within groups.  ``rows``: g (group),
-    id, component, part.  A group of one part compares all its pairs, a group
-    of two the pairs across."""
-    rows = rows.join(packed, "id").select("g", "id", "component", "part", "z")
-    dealt = rows.repartition("g").sortWithinPartitions("g", "id")
+def _links(pairs: DataFrame, packed: DataFrame, words: int, percent: int, share: int) -> DataFrame:
+    """The linked ones of (centre, id) pairs, compared exactly."""
 
     def run(it):
         z = zstandard.ZstdDecompressor()
 
+        def found():
+            for part in _shares(it):
+                sets = shingle_sets([z.decompress(r[4]) for r in part], words)
+                yield from ((part[0][1], r[3]) for r, s in zip(part[1:], sets[1:]) if linked(sets[0], s, percent))
+
+        yield from _pair_batches(found(), ["a", "b"])
+
+    return _dealt(pairs, packed, share).mapInArrow(run, T.StructType(_long("a", "b")))
+
+
+def _block_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that the trees of each group leave.
+    ``rows``: g (group), id, component, part, n, sig.  A group of one part is
+    traversed with itself, a group of two across."""
+    dealt = rows.select("g", "id", "component", "part", "n", "sig").repartition("g").sortWithinPartitions("g", "part", "id")
+
+    def run(it):
         def found():
             for rows in _streamed_groups(it):
-                rows.sort(key=lambda r: r[3])
-                sets = shingle_sets([z.decompress(r[4]) for r in rows], words)
-                groups = Groups([r[2] for r in rows])
+                maps, size = folded([r[5] for r in rows]), np.array([r[4] for r in rows])
                 cut = sum(r[3] == rows[0][3] for r in rows)
-                tree = SignatureTree(sets[:cut])
-                other = SignatureTree(sets[cut:]) if cut < len(rows) else tree
-                shift = cut if cut < len(rows) else 0
+                tree = SignatureTree(maps[:cut], size[:cut])
+                across = cut < len(rows)
+                other = SignatureTree(maps[cut:], size[cut:]) if across else tree
+                ids, component = (np.array([r[c] for r in rows]) for c in (1, 2))
                 for i, j in leaf_pairs(tree, other, percent):
-                    for x, y in zip(i.tolist(), (j + shift).tolist()):
-                        if groups.find(x) != groups.find(y) and linked(sets[x], sets[y], percent):
-                            groups.join(x, y)
-                            yield rows[x][1], rows[y][1]
+                    j = j + cut if across else j
+                    keep = component[i] != component[j]
+                    a, b = ids[i[keep]], ids[j[keep]]
+                    yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
 
-        yield from _link_batches(found())
+        yield from _pair_batches(found(), ["centre", "id"])
 
-    return dealt.mapInArrow(run, T.StructType(_long("a", "b")))
+    return dealt.mapInArrow(run, T.StructType(_long("centre", "id")))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, share: int = SHARE,
@@ -352,6 +371,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     own = table.filter("id IS NOT NULL AND n > 0")
     classes = own.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
     reps = classes.select(F.col("rep").alias("id"), "n").distinct()
+    sigs = own.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"]).select("id", "n", "sig")
 
     # blocks: shingles that two documents or more have in their prefixes
     prefixes = _prefixes(src, words, percent, _common_shingles(src, words, sample_docs, common))
@@ -369,7 +389,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
              .filter(f"100 * least(n, s.m) >= {percent} * greatest(n, s.m)")
              .select(F.col("s.centre").alias("centre"), "id").distinct())
     packed = _compressed(src)
-    links = stage(_centre_links(stage(pairs, "jaccard-pairs"), packed, words, percent, share), "jaccard-links")
+    pairs = stage(_centre_candidates(stage(pairs, "jaccard-pairs"), sigs, percent, share), "jaccard-candidates")
+    links = stage(_links(pairs, packed, words, percent, share), "jaccard-links")
     first = components(links)
 
     # second round: blocks that still hold several components
@@ -389,8 +410,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     left = left.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left = left.select(F.xxhash64("t", "size_class", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
-                       "id", "component", "part")
-    more = stage(_remaining_links(left, packed, words, percent), "jaccard-links")
+                       "id", "component", "part").join(sigs, "id")
+    more = stage(_block_candidates(left, percent).distinct(), "jaccard-candidates")
+    more = stage(_links(more, packed, words, percent, share), "jaccard-links")
 
     final = components(links.unionByName(more))
     labelled = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(

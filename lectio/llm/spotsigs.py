@@ -46,9 +46,11 @@ def with_signatures(df: DataFrame, text: Column, out: str, chain: int = CHAIN,
     """Add the sorted distinct signatures of ``text`` (array<bigint>) as
     ``out``.  Null text: null."""
     words, content, chained, raw = (f"_{out}_{c}" for c in ("words", "content", "chain", "raw"))
-    # a word with the anchors right before it, single blanks between
-    pattern = rf"(?:(?:{'|'.join(anchor_words(anchors))}) )*[^ ]+"
-    plain = F.regexp_replace(F.lower(F.col(raw)), r"[^\p{L}\p{N}]+", " ")
+    # A word with the anchors right before it, single blanks between.  The
+    # possessive loop needs no stack however long a run of anchors is; the last
+    # word ends the text, so there is always one after the anchors.
+    pattern = rf"(?:(?:{'|'.join(anchor_words(anchors))}) )*+[^ ]+"
+    plain = F.trim(F.regexp_replace(F.lower(F.col(raw)), r"[^\p{L}\p{N}]+", " "))
     df = df.withColumn(raw, text)
     df = df.withColumn(words, F.regexp_extract_all(plain, F.lit(pattern), 0))
     df = df.withColumn(content, F.transform(words, lambda e: F.substring_index(e, " ", -1)))

@@ -167,7 +167,7 @@ def _repeated(packed: DataFrame, docs: DataFrame, k: int, id_col: str, text_col:
     firsts = stage(path_rows.groupBy("m", "path").agg(F.min("id").alias("source")), "span-path-sources")
     placed = path_rows.join(firsts, ["m", "path"])
     whole = placed.filter("source < id").select("id", "place")
-    branching = firsts.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
+    branching = stage(firsts.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"), "span-branching")
     opened = (placed.filter("source = id").join(branching, "m").groupBy("id")
               .agg(F.collect_list("place").alias("places")))
 

@@ -31,6 +31,7 @@ from lectio.operators import metrics as M
 from lectio.operators import models as MD
 from lectio.operators import rollup
 from lectio.operators import split as SP
+from lectio.operators.joins import unmatched_count
 from lectio.operators.segment import sentences
 from lectio.sources import readers as R
 from lectio.sources import sinks as K
@@ -103,14 +104,17 @@ def predict_documents(spark: SparkSession, args) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, args):
-    """A10 score set of a submission against gold levels (J4 by id)."""
+    """A10 score set of a submission against gold levels (J4 by id), and how
+    many ids of either side have no partner."""
     pred = spark.read.options(**R.CSV_READ_OPTIONS).csv(args.pred)
     id_col, p_col = pred.columns[0], pred.columns[1]
     gold = _read(spark, args.gold, ("ID", "Readability_Level_19"))
-    pairs = (pred.select(F.col(id_col).alias("ID"), F.col(p_col).try_cast("int").alias("pred"))
-             .join(gold, "ID", "inner")
-             .select(F.col("Readability_Level_19").try_cast("int").alias("gold"), "pred"))
-    return M.score_set(pairs, M.equal_width_bands(spark), labels=args.labels).first().asDict()
+    pred = pred.select(F.col(id_col).alias("ID"), F.col(p_col).try_cast("int").alias("pred"))
+    gold = gold.select("ID", F.col("Readability_Level_19").try_cast("int").alias("gold"))
+    unmatched = {"unmatched_predictions": unmatched_count(pred, gold, "ID"),
+                 "unmatched_gold": unmatched_count(gold, pred, "ID")}
+    pairs = pred.join(gold, "ID", "inner")
+    return M.score_set(pairs, M.equal_width_bands(spark), labels=args.labels).first().asDict() | unmatched
 
 
 def main(argv=None) -> int:

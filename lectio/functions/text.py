@@ -187,7 +187,8 @@ def pos_of(c) -> Column:
 
 
 def lemma_pos_key(lemma, pos) -> Column:
-    """``dediac(lemma)#pos``, only when both parts are present."""
+    """``dediac(lemma)#pos``, only when both parts are present (neither
+    null nor empty)."""
     lemma, pos = _c(lemma), _c(pos)
-    return F.when(lemma.isNotNull() & pos.isNotNull(),
+    return F.when((lemma != "") & (pos != ""),
                   F.concat_ws("#", dediac(lemma), pos))

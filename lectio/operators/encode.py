@@ -35,10 +35,13 @@ def encode_fixed(sentences: DataFrame, vocab: DataFrame | None = None, id_cols=I
     mask 1 for real tokens; ``n_tokens`` is the sentence's full token count,
     so what the cut leaves out stays visible.  With a user ``vocab``,
     unknown words map to ``unk_id`` (or are skipped when it is None); a
-    vocabulary fitted here covers every token of every text."""
+    vocabulary fitted here covers every token of every text.
+
+    Every sentence has its row: one without tokens, or with unknown words
+    only, is all padding."""
     sent = sentences.select(*id_cols, text_col,
                             F.size(T.whitespace_tokens(F.col(text_col))).alias("n_tokens"))
-    toks = (explode_tokens(sent, id_cols, text_col, tokenizer=T.whitespace_tokens, keep=("n_tokens",))
+    toks = (explode_tokens(sent, id_cols, text_col, tokenizer=T.whitespace_tokens)
             .filter(F.col("token").isNotNull())
             .withColumn("word", F.lower("token")))
     if vocab is None:
@@ -51,7 +54,10 @@ def encode_fixed(sentences: DataFrame, vocab: DataFrame | None = None, id_cols=I
     else:
         ided = lookup_join(head, vocab, "word", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
     pairs = F.array_sort(F.collect_list(F.struct(F.col("tpos"), F.col("id"))))
-    enc = ided.groupBy(*id_cols, "n_tokens").agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
+    found = ided.groupBy(*id_cols).agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
+    every = sent.select(*id_cols, F.greatest("n_tokens", F.lit(0)).alias("n_tokens"))
+    enc = (every.join(found, list(id_cols), "left")
+           .withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))))
     n = F.size("ids")
     pad = F.greatest(F.lit(0), F.lit(max_len) - n)
     return enc.select(

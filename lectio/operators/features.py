@@ -38,22 +38,21 @@ def explode_tokens(sentences: DataFrame, id_cols=ID_COLS, text_col: str = "sente
 
 def lexical_sums(sentences: DataFrame, lexicon: DataFrame, id_cols=ID_COLS,
                  text_col: str = "sentence", default: float = DEFAULT_DIFFICULTY,
-                 hard_above: float = HARD_ABOVE, keep: tuple = ()) -> DataFrame:
+                 hard_above: float = HARD_ABOVE, keep: tuple = (), fold_case: bool = False,
+                 order_col: str | None = None) -> DataFrame:
     """Integer sums behind A4: n_chars, n_words, sum_len, sum_diff,
-    max_diff, n_hard, n_oov per sentence.  ``lexicon``: ``(lemma, score)``
-    with one row per lemma; tokens are looked up lower-cased.  ``keep``:
-    per-sentence columns carried through as grouping keys (no join back)."""
-    extra = tuple(c for c in keep if c != text_col)
-    carried = tuple(F.col(text_col).alias(f"_keep_{text_col}") if c == text_col else F.col(c) for c in keep)
-    sent = sentences.select(*id_cols, *carried, F.length(text_col).alias("n_chars"), text_col)
-    kept = tuple(f"_keep_{text_col}" if c == text_col else c for c in keep)
-    toks = explode_tokens(sent, id_cols, text_col, keep=("n_chars",) + kept)
-    toks = toks.withColumn("word", F.lower("token"))
-    lex = lexicon.select(F.col("lemma").alias("word"), F.col("score").cast("double").alias("score"))
-    joined = lookup_join(toks, lex, "word", "left")
+    max_diff, n_hard, n_oov per sentence.  ``lexicon``: ``(lemma, score)``,
+    looked up as written; ``fold_case`` lower-cases lemmas and tokens.  A
+    lemma that comes twice counts once (see :func:`one_score`).  ``keep``:
+    per-sentence columns, joined back to the sums by ``id_cols`` so that no
+    token row holds them."""
+    sent = sentences.select(*id_cols, F.length(text_col).alias("n_chars"), text_col)
+    toks = explode_tokens(sent, id_cols, text_col, keep=("n_chars",))
+    toks = toks.withColumn("word", F.lower("token") if fold_case else F.col("token"))
+    joined = lookup_join(toks, one_score(lexicon, fold_case, order_col), "word", "left")
     present = F.col("token").isNotNull()
     d = F.when(present, F.coalesce(F.col("score"), F.lit(default)))
-    sums = joined.groupBy(*id_cols, *kept, "n_chars").agg(
+    sums = joined.groupBy(*id_cols, "n_chars").agg(
         F.count("token").alias("n_words"),
         F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("sum_len"),
         F.coalesce(F.sum(d), F.lit(0.0)).alias("sum_diff"),
@@ -61,7 +60,17 @@ def lexical_sums(sentences: DataFrame, lexicon: DataFrame, id_cols=ID_COLS,
         F.count(F.when(d > hard_above, 1)).alias("n_hard"),
         F.count(F.when(present & F.col("score").isNull(), 1)).alias("n_oov"),
     )
-    return sums.withColumnRenamed(f"_keep_{text_col}", text_col) if text_col in keep else sums
+    return sums.join(sentences.select(*id_cols, *keep), list(id_cols)) if keep else sums
+
+
+def one_score(lexicon: DataFrame, fold_case: bool = False, order_col: str | None = None) -> DataFrame:
+    """``(word, score)`` with one row per word: the last by ``order_col``
+    (A11), or the highest score where the lexicon has no order."""
+    lemma = F.lower("lemma") if fold_case else F.col("lemma")
+    score = F.col("score").cast("double")
+    pick = F.max_by("score", "o") if order_col else F.max("score")
+    order = F.struct(F.col(order_col), score).alias("o") if order_col else F.lit(None).alias("o")
+    return lexicon.select(lemma.alias("word"), score.alias("score"), order).groupBy("word").agg(pick.alias("score"))
 
 
 def features_from_sums(sums: DataFrame, id_cols=ID_COLS, keep: tuple = ()) -> DataFrame:
@@ -85,7 +94,8 @@ def zero_features(sentences: DataFrame, id_cols=ID_COLS) -> DataFrame:
 
 
 def lexical_features(sentences: DataFrame, lexicon: DataFrame | None, id_cols=ID_COLS,
-                     text_col: str = "sentence", keep: tuple = ()) -> DataFrame:
+                     text_col: str = "sentence", keep: tuple = (), fold_case: bool = False,
+                     order_col: str | None = None) -> DataFrame:
     """A4: the 7-feature vector per sentence as seven columns.
 
     Slots: characters, words, mean word length, mean difficulty (absent
@@ -94,7 +104,8 @@ def lexical_features(sentences: DataFrame, lexicon: DataFrame | None, id_cols=ID
     """
     if lexicon is None or lexicon.isEmpty():
         return zero_features(sentences, tuple(id_cols) + tuple(keep))
-    return features_from_sums(lexical_sums(sentences, lexicon, id_cols, text_col, keep=keep), id_cols, keep)
+    sums = lexical_sums(sentences, lexicon, id_cols, text_col, keep=keep, fold_case=fold_case, order_col=order_col)
+    return features_from_sums(sums, id_cols, keep)
 
 
 def as_vector(df: DataFrame, names=LEXICAL_NAMES, out: str = "features") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Every lookup in the reference is a dict ``get`` on a small table (lexicon,
 morphological analyses, code maps).  In Spark that is a broadcast hash join,
-but only when the small side is *proven* small: the row count is bounded
-with ``limit(n + 1).count()`` (a cheap, early-stopping check), never assumed.
+but only when the small side is *proven* small: its rows and bytes are counted
+(a partial aggregate, one row per task), never assumed.
 
 Beyond the bound the fallback is a shuffle join made safe for hot keys: the
 ``hot_keys`` most frequent keys of the large side are estimated from a
@@ -20,8 +20,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 DEFAULT_HOT_KEYS = 10_000
 DEFAULT_HOT_SAMPLE = 0.01
 
@@ -33,16 +35,30 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
         return default
 
 
-def bounded_rows(df: DataFrame, limit: int) -> int | None:
-    """Row count if it is at most ``limit``, else ``None`` (early stop)."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
-
-
-def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else None."""
-    limit = max_rows or _conf_int(df, "lectio.broadcast.maxRows", DEFAULT_BROADCAST_ROWS)
-    return F.broadcast(df) if bounded_rows(df, limit) is not None else None
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and about how many bytes they hold: strings and binaries by their
+    length, anything else 16 bytes a column.  Every task sends one row of
+    sums, so nothing is gathered however large ``df`` is."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            size = size + 16 * (F.greatest(F.size(c), F.lit(0)) + 1)
+        else:
+            size = size + 16
+    row = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return row[0], row[1] or 0
+
+
+def sized_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame | None:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows of at most
+    ``max_bytes`` together, else None."""
+    rows = max_rows or _conf_int(df, "lectio.broadcast.maxRows", DEFAULT_BROADCAST_ROWS)
+    size = max_bytes or _conf_int(df, "lectio.broadcast.maxBytes", DEFAULT_BROADCAST_BYTES)
+    n, b = measured(df)
+    return F.broadcast(df) if n <= rows and b <= size else None
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left",
@@ -83,11 +99,6 @@ def hot_split_join(left: DataFrame, right: DataFrame, on: str | list[str], how:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def fill_missing(ids: DataFrame, values: DataFrame, on: str, fills: dict) -> DataFrame:
-    """Every id of ``ids`` with its value; missing values filled."""
-    return ids.join(values, on, "left").fillna(fills)
-
-
 def positional_align(left: DataFrame, right: DataFrame, left_order: list[str] | None = None,
                      right_order: list[str] | None = None) -> DataFrame:
     """Pair the i-th row of ``left`` with the i-th row of ``right``

@@ -10,28 +10,35 @@ final division, so it does not depend on partitioning or merge order.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectio.functions.levels import N_LEVELS
-
-MAX_LABELS = 10_000  # bound on distinct label values (checked, not assumed)
-
+from lectio.session import cut_lineage
 
 def confusion(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred") -> DataFrame:
-    """``(gold, pred, n)``: one partial aggregation over the input."""
-    return (df.select(F.col(gold_col).cast("long").alias("gold"), F.col(pred_col).cast("long").alias("pred"))
-            .groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n")))
+    """``(gold, pred, n)``: one partial aggregation over the input, read once
+    (it is checkpointed: the metrics use it several times).
+
+    A pair with a missing label or prediction cannot be placed on the scale,
+    and leaving it out would flatter the score, so it is an error that says
+    how many there are; fill or drop them first."""
+    conf = cut_lineage(
+        df.select(F.col(gold_col).cast("long").alias("gold"), F.col(pred_col).cast("long").alias("pred"))
+        .groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n")))
+    missing = conf.filter("gold IS NULL OR pred IS NULL").agg(F.sum("n")).first()[0]
+    if missing:
+        raise ValueError(f"{missing} pairs lack a label or a prediction")
+    return conf
 
 
 def _observed_ranks(conf: DataFrame) -> DataFrame:
     """Dense rank of every label seen in either column (the library's
     ``unique_labels`` positions)."""
     labels = conf.select(F.col("gold").alias("v")).union(conf.select(F.col("pred").alias("v"))).distinct()
-    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError("too many distinct labels for an ordinal metric")
     return labels.select("v", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("long").alias("r"))
 
 
@@ -41,7 +48,7 @@ def _ranked(conf: DataFrame, labels: str) -> DataFrame:
         return conf.select("gold", "pred", F.col("gold").alias("a"), F.col("pred").alias("b"), "n")
     if labels != "observed":
         raise ValueError("labels must be 'observed' or 'fixed'")
-    ranks = F.broadcast(_observed_ranks(conf))
+    ranks = _observed_ranks(conf)
     ga = ranks.select(F.col("v").alias("gold"), F.col("r").alias("a"))
     pb = ranks.select(F.col("v").alias("pred"), F.col("r").alias("b"))
     return conf.join(ga, "gold").join(pb, "pred").select("gold", "pred", "a", "b", "n")
@@ -118,9 +125,13 @@ def score_set(df: DataFrame, bands: DataFrame, gold_col: str = "gold", pred_col:
 
 
 def accuracy(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred") -> DataFrame:
-    """Share of exact matches."""
-    return df.agg((F.sum(F.when(F.col(gold_col) == F.col(pred_col), 1).otherwise(0)).cast("double")
-                   / F.count(F.lit(1)).cast("double")).alias("accuracy"))
+    """Share of exact matches; the same rule for missing values as the
+    other metrics (see :func:`confusion`)."""
+    missing = F.sum((F.col(gold_col).isNull() | F.col(pred_col).isNull()).cast("long"))
+    guard = F.when(missing > 0, F.raise_error(F.concat(
+        missing.cast("string"), F.lit(" pairs lack a label or a prediction"))).cast("double"))
+    hits = F.sum(F.when(F.col(gold_col) == F.col(pred_col), 1).otherwise(0)).cast("double")
+    return df.agg(F.coalesce(guard, hits / F.count(F.lit(1)).cast("double")).alias("accuracy"))
 
 
 def stage_counts(stages: dict) -> DataFrame:
@@ -130,6 +141,14 @@ def stage_counts(stages: dict) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def row_counts(df: DataFrame, counts: dict) -> DataFrame:
+    """A7 for stages that are made row by row: ``counts`` gives each stage's
+    rows per input row; one scan sums them all."""
+    sums = df.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"s{i}") for i, c in enumerate(counts.values())])
+    pairs = [F.struct(F.lit(name).alias("stage"), F.col(f"s{i}").alias("n_rows")) for i, name in enumerate(counts)]
+    return sums.select(F.inline(F.array(*pairs)))
+
+
 try:  # V4: the kappa as a Spark ML evaluator (usable in CrossValidator)
     from pyspark.ml.evaluation import Evaluator
     from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
@@ -146,12 +165,16 @@ try:  # V4: the kappa as a Spark ML evaluator (usable in CrossValidator)
             self.regression = regression
 
         def _evaluate(self, dataset: DataFrame) -> float:
+            """NaN (and a warning) where kappa is undefined."""
             from lectio.functions.levels import score_to_level
             p = F.col(self.getPredictionCol())
             pred = score_to_level(p - 1) if self.regression else p.cast("int")
             scored = dataset.select(F.col(self.getLabelCol()).alias("gold"), pred.alias("pred"))
             row = qwk(scored).first()
-            return float(row["qwk"]) if row and row["qwk"] is not None else 0.0
+            if row is None or row["qwk"] is None:
+                warnings.warn("kappa is undefined on these labels", stacklevel=2)
+                return float("nan")
+            return float(row["qwk"])
 
         def isLargerBetter(self) -> bool:
             return True

@@ -9,8 +9,8 @@ class may hold a third of all rows — into one task.  Instead the quota-th
 smallest key of each class (its *cutoff*) is found by refining key-prefix
 histograms: each round is one scan with a map-side-combined count per
 (class, next 4 hex digits), leaving only the rows of one bucket per class as
-candidates; when the candidates are few, an exact rank among them fixes
-the cutoff.  Rows are then labelled ``dev`` iff ``key <= cutoff`` through
+candidates; when the candidates are few, a histogram of the rest of their keys
+fixes the cutoff.  Rows are then labelled ``dev`` iff ``key <= cutoff`` through
 a broadcast join of one row per class.  Nothing is sorted globally and no
 class is gathered into one task.
 """
@@ -20,16 +20,15 @@ from __future__ import annotations
 import logging
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectio.operators.joins import bounded_rows
 from lectio.operators.sequence import with_row_number
+from lectio.session import cut_lineage
 
 LOG = logging.getLogger("lectio.split")
 DEFAULT_SEED = "42"
-MAX_CLASSES = 10_000
-CANDIDATES = 200_000  # candidate rows ranked exactly in the final round
+CANDIDATES = 200_000  # candidate rows whose whole keys the last histogram holds
 DIGITS_PER_ROUND = 4
 
 
@@ -64,57 +63,71 @@ def quotas(counts: list[tuple], test_fraction: float) -> tuple[dict, list]:
     return out, singles
 
 
-def _cutoffs(keyed: DataFrame, need: DataFrame, candidates: int) -> DataFrame:
-    """``(label, cutoff)``: the ``need``-th smallest ``key`` of each class.
+def _cutoffs(keyed: DataFrame, need: dict, total: int, candidates: int) -> list[tuple]:
+    """``(label, cutoff, take, there)``: the ``need``-th smallest ``key`` of
+    each class, how many rows with that key to take, and how many there are.
 
-    ``keyed``: ``(label, key)``; ``need``: ``(label, need)`` with need >= 1.
+    ``keyed``: ``(label, key)``; ``total``: its rows.
     """
     spark = keyed.sparkSession
-    state = need.withColumn("prefix", F.lit(""))
-    depth = 0
+    kind = keyed.schema["label"].dataType.simpleString()
+    state = spark.createDataFrame([(k, "", v) for k, v in need.items()], f"label {kind}, prefix string, need long")
+    depth, left = 0, total
     while True:
-        st = F.broadcast(state.select("label", "prefix", "need"))
+        st = F.broadcast(state)
         cand = (keyed.withColumn("prefix", F.substring("key", 1, depth) if depth else F.lit(""))
                 .join(st, ["label", "prefix"], "inner"))
-        if depth >= 32 or bounded_rows(cand, candidates) is not None:
-            rn = F.row_number().over(Window.partitionBy("label").orderBy("key"))
-            return cand.withColumn("rn", rn).filter(F.col("rn") == F.col("need")) \
-                .select("label", F.col("key").alias("cutoff"))
-        step = min(DIGITS_PER_ROUND, 32 - depth)
+        step = min(DIGITS_PER_ROUND, 32 - depth) if left > candidates else 32 - depth
+        # rows per next digits; the whole rest of the key once candidates are few
         hist = (cand.withColumn("bucket", F.substring("key", depth + 1, step))
                 .groupBy("label", "prefix", "need", "bucket").agg(F.count(F.lit(1)).alias("n")))
         w = Window.partitionBy("label").orderBy("bucket")
         hist = hist.withColumn("cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        chosen = (hist.filter((F.col("cum") - F.col("n") < F.col("need")) & (F.col("need") <= F.col("cum")))
+        before = F.col("cum") - F.col("n")
+        chosen = (hist.filter((before < F.col("need")) & (F.col("need") <= F.col("cum")))
                   .select("label", F.concat("prefix", "bucket").alias("prefix"),
-                          (F.col("need") - (F.col("cum") - F.col("n"))).alias("need")))
-        # one row per class (at most MAX_CLASSES): materialised so the next
-        # round joins a fixed, tiny table instead of re-deriving this one
-        state = spark.createDataFrame(chosen.collect(), chosen.schema)
-        depth += step
+                          (F.col("need") - before).alias("need"), "n")).collect()  # one row per class
+        depth, left = depth + step, sum(r["n"] for r in chosen)
+        if depth >= 32:
+            return [(r["label"], r["prefix"], r["need"], r["n"]) for r in chosen]
+        state = spark.createDataFrame([tuple(r)[:3] for r in chosen], state.schema)
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction: float = 0.15,
                      seed: str = DEFAULT_SEED, split_col: str = "split",
                      candidates: int = CANDIDATES) -> DataFrame:
-    """M1: exact stratified split; adds ``split`` = ``train`` | ``dev``."""
-    counts = class_counts(df, label_col)
-    if bounded_rows(counts, MAX_CLASSES) is None:
-        raise ValueError("too many classes to stratify on")
-    rows = [(r[label_col], r["n"]) for r in counts.collect()]  # at most MAX_CLASSES rows
-    q, singles = quotas(rows, test_fraction)
+    """M1: exact stratified split; adds ``split`` = ``train`` | ``dev``.
+
+    Rows without a label belong to no class: their ``split`` is null, and
+    their number is logged.  Rows that repeat an id are told apart only where
+    the quota ends among them, so it is met exactly."""
+    counts = {r[label_col]: r["n"] for r in class_counts(df, label_col).collect()}  # one row per class
+    missing = counts.pop(None, 0)
+    if missing:
+        LOG.warning("stratified split: %d rows without a label are in neither part", missing)
+    q, singles = quotas(list(counts.items()), test_fraction)
     if singles:
         LOG.warning("stratified split: classes with one row stay in train: %s", singles)
-    spark: SparkSession = df.sparkSession
-    label_type = counts.schema[label_col].dataType
-    need = spark.createDataFrame([(k, v) for k, v in q.items() if v > 0],
-                                 f"label {label_type.simpleString()}, need long")
-    keyed = df.select(F.col(label_col).alias("label"), split_key(id_col, seed).alias("key"))
-    cut = _cutoffs(keyed, need, candidates) if need.count() else need.select("label", F.lit("").alias("cutoff"))
-    cut = F.broadcast(cut.withColumnRenamed("label", "_lab"))
-    out = df.withColumn("_key", split_key(id_col, seed)).join(cut, F.col(label_col) == F.col("_lab"), "left")
-    is_dev = F.col("cutoff").isNotNull() & (F.col("_key") <= F.col("cutoff"))
-    return out.withColumn(split_col, F.when(is_dev, "dev").otherwise("train")).drop("_key", "_lab", "cutoff")
+    need = {k: v for k, v in q.items() if v > 0}
+    keyed = df.select(F.col(label_col).alias("label"), split_key(id_col, seed).alias("key")).filter("label IS NOT NULL")
+    cut = _cutoffs(cut_lineage(keyed), need, sum(counts.values()), candidates) if need else []
+    kind = keyed.schema["label"].dataType.simpleString()
+    table = F.broadcast(df.sparkSession.createDataFrame(cut, f"_lab {kind}, _cutoff string, _take long, _there long"))
+    out = df.withColumn("_key", split_key(id_col, seed)).join(table, F.col(label_col) == F.col("_lab"), "left")
+    dev = F.coalesce(F.col("_key") <= F.col("_cutoff"), F.lit(False))
+
+    def marked(rows: DataFrame, is_dev) -> DataFrame:
+        value = F.when(is_dev, "dev").otherwise("train")
+        return (rows.withColumn(split_col, F.when(F.col(label_col).isNotNull(), value))
+                .drop("_key", "_lab", "_cutoff", "_take", "_there", "_place"))
+
+    if all(take == there for _, _, take, there in cut):
+        return marked(out, dev)
+    # some class's quota ends among rows with one id: number those rows
+    tied = F.coalesce((F.col("_key") == F.col("_cutoff")) & (F.col("_take") < F.col("_there")), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("_lab").orderBy("_key"))
+    ties = out.filter(tied).withColumn("_place", place)
+    return marked(out.filter(~tied), dev).unionByName(marked(ties, F.col("_place") <= F.col("_take")))
 
 
 def kfold(df: DataFrame, id_col: str, k: int = 5, seed: str = DEFAULT_SEED, fold_col: str = "fold") -> DataFrame:

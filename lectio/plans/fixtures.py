@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectio.functions import text as T
-from lectio.operators.segment import sentences
 
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture definitions
@@ -42,14 +41,6 @@ def gold_label():
     return (F.lit(1) + (F.lit(7) * F.col("doc_id") + F.col("n_chars")) % 19).cast("int")
 
 
-def gold_levels(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", gold_label().alias("label"))
-
-
-def clean_sentences(docs: DataFrame) -> DataFrame:
-    return sentences(docs, "clean")
-
-
 def derived_lexicon(docs: DataFrame) -> DataFrame:
     """``(lemma, score)``: distinct lower-cased tokens whose length is not a
     multiple of 7, scored ``1 + (length - 1) % 5``."""
@@ -60,6 +51,14 @@ def derived_lexicon(docs: DataFrame) -> DataFrame:
     return words.select("lemma", (F.lit(1) + (F.length("lemma") - 1) % 5).cast("double").alias("score"))
 
 
+def cased_lexicon(docs: DataFrame) -> DataFrame:
+    """``(lemma, score, row)``: the words as written, each under two parts of
+    speech; rows 1 and 2 in file order."""
+    words = docs.select(F.explode(T.whitespace_tokens("text")).alias("lemma")).filter(F.length("lemma") % 7 != 0).distinct()
+    rows = words.withColumn("row", F.explode(F.array(F.lit(1), F.lit(2))))
+    return rows.select("lemma", (F.lit(1) + (F.length("lemma") + 2 * F.col("row")) % 5).cast("double").alias("score"), "row")
+
+
 def pos_tag(lemma_col: str = "lemma"):
     n = F.length(lemma_col) % 3
     return F.when(n == 0, "noun").when(n == 1, "verb").otherwise("prt")
@@ -106,10 +105,11 @@ def list_literal_documents(docs: DataFrame) -> DataFrame:
 
 
 def graded_wide(conversations: DataFrame) -> DataFrame:
-    """Graded corpus in wide form: turns 0, 1, 2 -> ``L3``, ``L4``, ``L5``."""
-    def level_text(turn):
-        return F.max(F.when(F.col("turn") == turn, F.col("text")))
-    return conversations.groupBy("conv_id").agg(
+    """Graded corpus in wide form: every three turns of a conversation are
+    one row ``(conv_id, block)``, their texts ``L3``, ``L4``, ``L5``."""
+    def level_text(place):
+        return F.max(F.when(F.col("turn") % 3 == place, F.col("text")))
+    return conversations.groupBy("conv_id", F.expr("turn DIV 3").alias("block")).agg(
         level_text(0).alias("L3"), level_text(1).alias("L4"), level_text(2).alias("L5"))
 
 
@@ -153,11 +153,6 @@ def occurrence_lexicon(sent: DataFrame) -> DataFrame:
                        (F.lit(1) + (F.col("doc_id") + F.col("pos")) % 5).cast("double").alias("score"))
 
 
-def split_key(id_col, seed: str = SPLIT_SEED):
-    """md5 of ``seed:id`` — the same order in every engine and partitioning."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-
-
 # ---------------------------------------------------------------- stored stages
 
 FIXTURE_VERSION = "v1"

@@ -14,18 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.operators import models as MD
-from lectio.operators.corpus import Mixture
 from lectio.operators.morph import morph_text
 from lectio.operators.rollup import doc_level_from_raw, fill_levels
 from lectio.operators.segment import sentences
 from lectio.sources.sinks import submission_frame
 
 
-def prepare_corpus(mix: Mixture) -> DataFrame:
-    """§3.1: union, clean, shuffle (positions in seeded md5 order)."""
-    return mix.build()
-
-
 def train_sentence_model(labelled: DataFrame, analyses: DataFrame, id_cols=("doc_id", "pos"),
                          text_col: str = "sentence", label_col: str = "label", **fit_kw):
     """§3.2: segmented (d3tok) text of labelled sentences -> regression."""
@@ -81,7 +75,7 @@ def hybrid_document_levels(docs: DataFrame, lexicon: DataFrame, model, ids: Data
     from lectio.operators.rollup import doc_level_from_levels
 
     sent = sentences(docs.select("doc_id", "text"), "raw")
-    feats = lexical_features(sent, lexicon, keep=("sentence",))  # text rides along, no join back
+    feats = lexical_features(sent, lexicon, keep=("sentence",), fold_case=True)
     levels = MD.class_levels(model, feats.select("doc_id", "pos", "sentence", *LEXICAL_NAMES), ["doc_id"])
     filled = fill_levels((ids if ids is not None else docs).select("doc_id"), doc_level_from_levels(levels))
     return submission_frame(filled, "doc_id", "level", header)

@@ -60,6 +60,13 @@ SUMS = """sums AS (
   FROM tok t LEFT JOIN lex l ON lower(t.token) = l.lemma
   GROUP BY t.doc_id, t.pos, t.n_chars)"""
 
+CASED_LEX = f"""lex AS (
+  SELECT lemma, CAST(1 + (length(lemma) + 4) % 5 AS DOUBLE) AS score FROM (
+    SELECT DISTINCT t AS lemma FROM (SELECT unnest(regexp_extract_all(text, '{NWS}+')) AS t FROM documents))
+  WHERE length(lemma) % 7 <> 0)"""
+
+CASED_SUMS = SUMS.replace("lower(t.token) = l.lemma", "t.token = l.lemma")
+
 RAW = """scored AS (
   SELECT doc_id, pos,
          CASE WHEN n_words > 0 THEN
@@ -76,6 +83,11 @@ SENT_LEVEL = """sent_level AS (
   FROM scored)"""
 
 FILLED = """filled AS (
+  SELECT d.doc_id, CAST(coalesce(p.level, 1) AS INTEGER) AS level
+  FROM documents d LEFT JOIN doc_level p ON d.doc_id = p.doc_id)"""
+
+#: Only the documents in ``labels`` are scored; the others get the fill value.
+FILLED_REST = """filled AS (
   SELECT d.doc_id, CAST(coalesce(p.level, 1) AS INTEGER) AS level
   FROM documents d LEFT JOIN (
     SELECT doc_id, level FROM doc_level WHERE doc_id IN (SELECT doc_id FROM labels)) p
@@ -204,14 +216,14 @@ SCORE_AGGS = """CASE WHEN count(score) > 0 THEN CAST(sum(score) AS DOUBLE) / CAS
 
 
 WIDE = """wide AS (
-  SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS L3, max(CASE WHEN turn = 1 THEN text END) AS L4,
-         max(CASE WHEN turn = 2 THEN text END) AS L5
-  FROM conversations GROUP BY conv_id)"""
+  SELECT conv_id, turn // 3 AS block, max(CASE WHEN turn % 3 = 0 THEN text END) AS L3,
+         max(CASE WHEN turn % 3 = 1 THEN text END) AS L4, max(CASE WHEN turn % 3 = 2 THEN text END) AS L5
+  FROM conversations GROUP BY conv_id, turn // 3)"""
 
 
 def graded_long(l3: int, l4: int, l5: int) -> str:
     return f"""graded AS (
-  SELECT conv_id, level_name, text,
+  SELECT conv_id, block, level_name, text,
          CAST(CASE level_name WHEN 'L3' THEN {l3} WHEN 'L4' THEN {l4} WHEN 'L5' THEN {l5} END AS INTEGER) AS label
   FROM (UNPIVOT wide ON L3, L4, L5 INTO NAME level_name VALUE text))"""
 

@@ -86,7 +86,24 @@ SELECT doc_id, pos,
 FROM sums""")
 def q_lexical_features(spark: SparkSession, sf: str) -> DataFrame:
     _, sent, lex = _pipeline_inputs(spark, sf)
-    return feat.lexical_features(sent, lex)
+    return feat.lexical_features(sent, lex, fold_case=True)
+
+
+@register("lexical_features_cased", O.with_(O.SPLIT, O.SENT_CLEAN, O.CASED_LEX, O.TOK_CLEAN, O.CASED_SUMS) + """
+SELECT doc_id, pos,
+  CASE WHEN n_words > 0 THEN CAST(n_chars AS DOUBLE) ELSE 0.0 END AS f_chars,
+  CAST(n_words AS DOUBLE) AS f_words,
+  CASE WHEN n_words > 0 THEN CAST(sum_len AS DOUBLE) / CAST(n_words AS DOUBLE) ELSE 0.0 END AS f_mean_len,
+  CASE WHEN n_words > 0 THEN CAST(sum_diff AS DOUBLE) / CAST(n_words AS DOUBLE) ELSE 0.0 END AS f_mean_diff,
+  CAST(max_diff AS DOUBLE) AS f_max_diff,
+  CAST(n_hard AS DOUBLE) AS f_n_hard,
+  CASE WHEN n_words > 0 THEN CAST(n_oov AS DOUBLE) / CAST(n_words AS DOUBLE) ELSE 0.0 END AS f_oov_share
+FROM sums""")
+def q_lexical_features_cased(spark: SparkSession, sf: str) -> DataFrame:
+    """A11 -> A4: a lexicon with capitals, whose lemmas come under two parts
+    of speech (the last row wins), looked up as written."""
+    docs, sent, _ = _pipeline_inputs(spark, sf)
+    return feat.lexical_features(sent, fx.cased_lexicon(docs), order_col="row")
 
 
 # -------------------------------------------------------------- document level
@@ -95,7 +112,7 @@ def sentence_raw_scores(spark: SparkSession, sf: str, docs: DataFrame | None = N
     d, sent, lex = _pipeline_inputs(spark, sf)
     if docs is not None:
         sent = sentences(docs.select("doc_id", "text"), "clean")
-    return rollup.linear_score(feat.lexical_sums(sent, lex))
+    return rollup.linear_score(feat.lexical_sums(sent, lex, fold_case=True))
 
 
 @register("doc_level_max", O.with_(*O.DOC_FLOW) + "SELECT doc_id, level FROM doc_level")
@@ -119,9 +136,16 @@ def test_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filled_levels(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.documents(spark, sf)
+    """Every document scored; one without sentences gets the fill value."""
+    preds = rollup.doc_level_from_raw(sentence_raw_scores(spark, sf))
+    return rollup.fill_levels(fx.documents(spark, sf), preds)
+
+
+@register("doc_level_fill_rest", O.with_(*O.DOC_FLOW, O.FILLED_REST) + "SELECT doc_id, level FROM filled")
+def q_doc_level_fill_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions exist for the test documents only; the rest is filled."""
     preds = rollup.doc_level_from_raw(sentence_raw_scores(spark, sf, test_documents(spark, sf)))
-    return rollup.fill_levels(docs, preds)
+    return rollup.fill_levels(fx.documents(spark, sf), preds)
 
 
 @register("doc_level_filled", O.with_(*O.DOC_FLOW, O.FILLED) + "SELECT doc_id, level FROM filled")
@@ -164,7 +188,7 @@ def q_qwk_fixed(spark: SparkSession, sf: str) -> DataFrame:
 def document_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted level (filled) paired with the gold level by id."""
     docs = fx.documents(spark, sf)
-    preds = rollup.doc_level_from_raw(sentence_raw_scores(spark, sf, test_documents(spark, sf)))
+    preds = rollup.doc_level_from_raw(sentence_raw_scores(spark, sf))
     ids = docs.select("doc_id", fx.gold_label().alias("gold"))
     return (ids.join(preds, "doc_id", "left")
             .select("doc_id", "gold", F.coalesce("level", F.lit(1)).alias("pred")))
@@ -200,12 +224,19 @@ UNION ALL SELECT 'tokens', count(*) FROM tok
 UNION ALL SELECT 'lexicon', count(*) FROM lex
 UNION ALL SELECT 'test_documents', count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
 def q_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    docs, sent, lex = _pipeline_inputs(spark, sf)
-    toks = feat.explode_tokens(sent).filter(F.col("token").isNotNull())
-    return M.stage_counts({
-        "documents": docs, "sentences_raw": sentences(docs.select("doc_id", "text"), "raw"),
-        "sentences_clean": sent, "tokens": toks, "lexicon": lex,
-        "test_documents": test_documents(spark, sf)})
+    """The stages that come from documents row by row in one scan; lines
+    and tokens are counted where the text is read."""
+    tests = fx.table(spark, sf, "labels").select("doc_id", F.lit(1).alias("in_test")).distinct()
+    docs = lookup_join(fx.documents(spark, sf).select("doc_id", "text"), tests, "doc_id", "left", skew_safe=False)
+    lines = T.split_lines("text")
+
+    def size(c):
+        return F.when(F.col("text").isNotNull(), F.size(c)).otherwise(0)
+
+    rows = M.row_counts(docs, {
+        "documents": F.lit(1), "sentences_raw": size(lines), "sentences_clean": size(F.filter(lines, T.has_text)),
+        "tokens": size(T.whitespace_tokens("text")), "test_documents": F.coalesce("in_test", F.lit(0))})
+    return rows.unionByName(M.stage_counts({"lexicon": fx.lexicon_table(spark, sf)}))
 
 
 @register("ensemble_level", O.with_("""preds AS (
@@ -329,10 +360,10 @@ def q_surface_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("graded_unpivot", O.with_(O.WIDE, O.graded_long(4, 10, 16))
-          + "SELECT conv_id, level_name, text, label FROM graded")
+          + "SELECT conv_id, block, level_name, text, label FROM graded")
 def q_graded_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     wide = fx.graded_wide(fx.table(spark, sf, "conversations"))
-    return C.unpivot_levels(wide, ["conv_id"], L.GRADED_LEVELS_A)
+    return C.unpivot_levels(wide, ["conv_id", "block"], L.GRADED_LEVELS_A)
 
 
 @register("graded_markers", """
@@ -376,7 +407,7 @@ def mixture(spark: SparkSession, sf: str, shuffle_seed: str | None = None) -> C.
     school-grade corpus and lexicon template sentences."""
     docs = fx.documents(spark, sf)
     main = sentences(docs.select("doc_id", "text", fx.gold_label().alias("label")), "untrimmed", keep=("label",))
-    graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id"],
+    graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id", "block"],
                               L.GRADED_LEVELS_B)
     grade = C.grade_labels(fx.grade_codes(fx.table(spark, sf, "benchmark")))
     lexs = C.lexicon_sentences(fx.lexicon_tsv_form(fx.lexicon_table(spark, sf)))
@@ -434,7 +465,7 @@ def q_kfold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("augmented_split", O.with_(O.SPLIT, O.SENT_UNTRIMMED, O.GOLD, O.WIDE, O.graded_long(4, 10, 16), """added AS (
-  SELECT CAST(conv_id AS VARCHAR) || ':' || level_name AS id, label FROM graded)""",
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(block AS VARCHAR) || ':' || level_name AS id, label FROM graded)""",
                                      O.stratified_sql("added", "id", "label")) + """
 SELECT 'main' AS source, CAST(s.doc_id AS VARCHAR) || ':' || CAST(s.pos AS VARCHAR) AS id, g.label,
        CASE WHEN CAST(('0x' || substr(md5('42:' || s.doc_id), 1, 8)) AS BIGINT) % 5 = 0 THEN 'dev' ELSE 'train' END AS split
@@ -446,9 +477,9 @@ def q_augmented_split(spark: SparkSession, sf: str) -> DataFrame:
     main = SP.kfold(main, "doc_id", 5).select(
         F.lit("main").alias("source"), F.concat_ws(":", "doc_id", "pos").alias("id"), "label",
         F.when(F.col("fold") == 0, "dev").otherwise("train").alias("split"))
-    graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id"],
+    graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id", "block"],
                               L.GRADED_LEVELS_A)
-    added = graded.select(F.lit("graded").alias("source"), F.concat_ws(":", "conv_id", "level_name").alias("id"),
+    added = graded.select(F.lit("graded").alias("source"), F.concat_ws(":", "conv_id", "block", "level_name").alias("id"),
                           "label")
     return SP.augmented_split(main, added, "id", "label", 0.15)
 
@@ -466,18 +497,19 @@ def q_shuffle_head(spark: SparkSession, sf: str) -> DataFrame:
 # -------------------------------------------------------------- encoding, align
 
 
-@register("encode_fixed", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN) + """,
+@register("encode_fixed", O.with_(O.SPLIT, O.SENT_RAW, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN) + """,
 vocab AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) AS id
           FROM (SELECT lower(token) AS word, count(*) AS cnt FROM tok GROUP BY lower(token))),
 enc AS (SELECT t.doc_id, t.pos, list(v.id ORDER BY t.tpos) AS ids
         FROM tok t JOIN vocab v ON lower(t.token) = v.word WHERE t.tpos < 256 GROUP BY t.doc_id, t.pos)
-SELECT e.doc_id, e.pos, array_to_string(list_resize(e.ids, 256, 0), ' ') AS input_ids_text,
-       CAST(len(e.ids) AS INTEGER) AS n_attended, CAST(n.n_tokens AS INTEGER) AS n_tokens
-FROM enc e JOIN (SELECT doc_id, pos, count(*) AS n_tokens FROM tok GROUP BY doc_id, pos) n
-  ON e.doc_id = n.doc_id AND e.pos = n.pos""".replace("\n,\nvocab", ",\nvocab"))
+SELECT s.doc_id, s.pos, array_to_string(list_resize(coalesce(e.ids, []), 256, 0), ' ') AS input_ids_text,
+       CAST(len(coalesce(e.ids, [])) AS INTEGER) AS n_attended, CAST(coalesce(n.n_tokens, 0) AS INTEGER) AS n_tokens
+FROM sent_raw s LEFT JOIN enc e ON s.doc_id = e.doc_id AND s.pos = e.pos
+LEFT JOIN (SELECT doc_id, pos, count(*) AS n_tokens FROM tok GROUP BY doc_id, pos) n
+  ON s.doc_id = n.doc_id AND s.pos = n.pos""".replace("\n,\nvocab", ",\nvocab"))
 def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    _, sent, _ = _pipeline_inputs(spark, sf)
-    enc = encode_fixed(sent)
+    """Every line, blank ones too (their row is all padding)."""
+    enc = encode_fixed(sentences(fx.documents(spark, sf).select("doc_id", "text"), "raw"))
     return enc.select("doc_id", "pos", F.array_join("input_ids", " ").alias("input_ids_text"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
                       "n_tokens")
@@ -544,7 +576,7 @@ def q_roundtrip_parquet(spark: SparkSession, sf: str) -> DataFrame:
     """K3 -> S5: feature vectors as ``array<double>`` to Parquet and back;
     also S6: the vector through its JSON text form."""
     _, sent, lex = _pipeline_inputs(spark, sf)
-    vec = feat.as_vector(feat.lexical_features(sent, lex)).select("doc_id", "pos", "features")
+    vec = feat.as_vector(feat.lexical_features(sent, lex, fold_case=True)).select("doc_id", "pos", "features")
     as_text = vec.select("doc_id", "pos", F.to_json("features").alias("features"))
     path = K.write_parquet(as_text, scratch_path(spark, "parquet"))
     back = R.parse_list_column(R.read_parquet(spark, path), "features")
@@ -575,7 +607,7 @@ def q_optional_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     schema = ST.StructType([ST.StructField("lemma", ST.StringType()), ST.StructField("score", ST.DoubleType())])
     lex = R.read_optional(spark, scratch_path(spark, "missing-lexicon"), schema)
     _, sent, _ = _pipeline_inputs(spark, sf)
-    return feat.lexical_features(sent, lex)
+    return feat.lexical_features(sent, lex, fold_case=True)
 
 
 @register("compute_once", O.with_(O.SPLIT, O.SENT_CLEAN) + "SELECT doc_id, pos, sentence FROM sent_clean")
@@ -602,11 +634,15 @@ def q_roundtrip_submission(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------- models
 
 
-def labelled_split(spark: SparkSession, sf: str):
-    """Labelled sentences with a document-level fold split (fold 0 = dev)."""
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled sentences with a document-level fold (fold 0 = dev)."""
     docs = fx.documents(spark, sf)
     lab = sentences(docs.select("doc_id", "text", fx.gold_label().alias("label")), "clean", keep=("label",))
-    lab = SP.kfold(lab, "doc_id", 5)
+    return SP.kfold(lab, "doc_id", 5)
+
+
+def labelled_split(spark: SparkSession, sf: str):
+    lab = labelled(spark, sf)
     return lab.filter(F.col("fold") != 0), lab.filter(F.col("fold") == 0)
 
 
@@ -618,18 +654,17 @@ def _with_split(df: DataFrame) -> DataFrame:
 def q_regress_level(spark: SparkSession, sf: str) -> DataFrame:
     """M5 + M8 + F17: fit on the train folds, score every sentence
     (rows-only: a fitted model has no SQL twin)."""
-    train, dev = labelled_split(spark, sf)
-    model = MD.fit_regressor(train, "sentence", "label", num_features=1 << 14, max_iter=20)
-    train_dev = train.unionByName(dev)
-    return _with_split(MD.regression_levels(model, train_dev, ["doc_id", "pos", "label", "fold"]))
+    lab = labelled(spark, sf)
+    model = MD.fit_regressor(lab.filter("fold <> 0"), "sentence", "label", num_features=1 << 14, max_iter=20)
+    return _with_split(MD.regression_levels(model, lab, ["doc_id", "pos", "label", "fold"]))
 
 
 @register("classify_level")
 def q_classify_level(spark: SparkSession, sf: str) -> DataFrame:
     """M6 + O4 + P9 (rows-only)."""
-    train, dev = labelled_split(spark, sf)
-    model = MD.fit_classifier(train, "sentence", "label", num_features=1 << 14, max_iter=20)
-    return _with_split(MD.class_levels(model, train.unionByName(dev), ["doc_id", "pos", "label", "fold"]))
+    lab = labelled(spark, sf)
+    model = MD.fit_classifier(lab.filter("fold <> 0"), "sentence", "label", num_features=1 << 14, max_iter=20)
+    return _with_split(MD.class_levels(model, lab, ["doc_id", "pos", "label", "fold"]))
 
 
 @register("hybrid_level")
@@ -639,7 +674,8 @@ def q_hybrid_level(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.documents(spark, sf)
     lex = fx.lexicon_table(spark, sf)
     doc_feats = feat.features_from_sums(
-        feat.lexical_sums(docs.select("doc_id", F.col("text").alias("sentence")), lex, ("doc_id",)), ("doc_id",))
+        feat.lexical_sums(docs.select("doc_id", F.col("text").alias("sentence")), lex, ("doc_id",), fold_case=True),
+        ("doc_id",))
     emb = fx.table(spark, sf, "embeddings")
     data = emb.join(doc_feats, emb.vec_id == doc_feats.doc_id, "left").drop("doc_id").fillna(0.0)
     data = SP.kfold(data, "vec_id", 5)
@@ -649,12 +685,13 @@ def q_hybrid_level(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("document_scoring")
 def q_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """Train on segmented text of fold != 0 documents, then score the
-    labelled test documents and fill every id (rows-only)."""
+    """Train on segmented text of fold != 0 documents, then score every
+    document and fill those without sentences (rows-only)."""
     train, _ = labelled_split(spark, sf)
     _, lex, an = _morph_inputs(spark, sf)
     model = PL.train_sentence_model(train, an, num_features=1 << 14, max_iter=20)
-    return PL.document_levels(test_documents(spark, sf), an, model, ids=fx.documents(spark, sf))
+    docs = fx.documents(spark, sf)
+    return PL.document_levels(docs, an, model, ids=docs)
 
 
 @register("hybrid_document_scoring")
@@ -664,7 +701,7 @@ def q_hybrid_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
     (rows-only)."""
     train, _ = labelled_split(spark, sf)
     lex = fx.lexicon_table(spark, sf)
-    tr = feat.lexical_features(train, lex, keep=("sentence", "label"))
+    tr = feat.lexical_features(train, lex, keep=("sentence", "label"), fold_case=True)
     model = MD.fit_text_hybrid(tr, "sentence", list(feat.LEXICAL_NAMES), "label",
                                num_features=1 << 12, max_iter=15)
     return PL.hybrid_document_levels(fx.documents(spark, sf), lex, model)
@@ -674,14 +711,14 @@ def q_hybrid_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
 def q_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """V2: user NumPy scorer in 128-row Arrow batches (mapInPandas)."""
     _, sent, lex = _pipeline_inputs(spark, sf)
-    return PL.sentence_levels_python(feat.lexical_sums(sent, lex))
+    return PL.sentence_levels_python(feat.lexical_sums(sent, lex, fold_case=True))
 
 
 @register("predict_batch_scoring", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
 def q_predict_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """M8: the same user model through predict_batch_udf."""
     _, sent, lex = _pipeline_inputs(spark, sf)
-    return PL.sentence_levels_udf(feat.lexical_sums(sent, lex))
+    return PL.sentence_levels_udf(feat.lexical_sums(sent, lex, fold_case=True))
 
 
 # ------------------------------------------------------------ smaller operators

@@ -28,7 +28,7 @@ DOC_SCHEMA = T.StructType([
 def score_batch(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Documents -> (doc_id, level): the batch flagship plan."""
     sent = sentences(docs.select("doc_id", "text"), "clean")
-    scored = rollup.linear_score(feat.lexical_sums(sent, lexicon))
+    scored = rollup.linear_score(feat.lexical_sums(sent, lexicon, fold_case=True))
     return rollup.fill_levels(docs, rollup.doc_level_from_raw(scored))
 
 

@@ -154,7 +154,7 @@ def removed(docs, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed,vocabulary,k", [(1, 3, 13), (2, 12, 13), (3, 40, 6), (4, 2, 9)])
+@pytest.mark.parametrize("seed,vocabulary,k", [(1, 3, 13), (3, 40, 6)])
 def test_repeated_spans_equal_brute_force(spark, seed, vocabulary, k):
     docs = random_docs(150, seed, vocabulary)
     rows = substring.cut(spark.createDataFrame(docs, SCHEMA).repartition(4), k).collect()
@@ -281,8 +281,8 @@ def jaccard_groups(docs):
     return sorted((i, len(sets[i]), find(i)) for i in ids)
 
 
-@pytest.mark.parametrize("seed,longest,kw", [(1, 40, {}), (2, 8, {}), (3, 120, {"share": 2}),
-                                             (4, 40, {"share": 3, "sample_docs": 10**6}), (5, 12, {"common": 0})])
+@pytest.mark.parametrize("seed,longest,kw", [(2, 8, {}), (3, 120, {"share": 2, "common": 0}),
+                                             (4, 40, {"share": 3, "sample_docs": 10**6})])
 def test_components_equal_brute_force(spark, seed, longest, kw):
     docs = random_docs(160, seed, vocabulary=6 if seed == 2 else 30, longest=longest, copies=0.8)
     got = ngram_join.jaccard_components(spark.createDataFrame(docs, SCHEMA).repartition(4), **kw).collect()
@@ -326,11 +326,13 @@ def test_tree_traversal_loses_no_linked_pair():
     arrays = [np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets]
     arrays = [np.sort(a) for a in arrays]
     want = {(i, j) for i in range(120) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    for bits in (64, 2048):
-        tree = ngram_join.SignatureTree(arrays, bits=bits, fan=3)
+    size = np.array([len(a) for a in arrays])
+    for cut in (8, 64):  # signatures of 64 and 512 bits
+        maps = ngram_join.folded([ngram_join.signature(a) for a in arrays] + [bytes(cut)])[:-1]
+        tree = ngram_join.SignatureTree(maps, size, fan=3)
         pairs = {(max(x, y), min(x, y)) for i, j in ngram_join.leaf_pairs(tree, tree) for x, y in zip(i.tolist(), j.tolist())}
         assert want <= pairs and all(i != j for i, j in pairs)
-        a, b = ngram_join.SignatureTree(arrays[:50], bits=bits), ngram_join.SignatureTree(arrays[50:], bits=bits)
+        a, b = ngram_join.SignatureTree(maps[:50], size[:50]), ngram_join.SignatureTree(maps[50:], size[50:])
         across = {(j + 50, i) for x, y in ngram_join.leaf_pairs(a, b) for i, j in zip(x.tolist(), y.tolist())}
         assert {(i, j) for i, j in want if j < 50 <= i} <= across
     assert len(pairs) < 120 * 119 / 4  # and most others are pruned

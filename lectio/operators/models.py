@@ -41,12 +41,23 @@ def _fit(pipeline: Pipeline, data: DataFrame) -> PipelineModel:
         data.unpersist()
 
 
-def _text_stages(text_col: str, num_features: int):
+def fit_feature_regressor(train: DataFrame, names: list[str], label_col: str = "label") -> PipelineModel:
+    """M5 on feature columns: least squares in closed form (normal
+    equations, one pass); the target is the 0-based level."""
+    data = train.withColumn("_target", to_model_label(label_col).cast("double"))
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=names, outputCol="_features"),
+        LinearRegression(featuresCol="_features", labelCol="_target", predictionCol="_raw", solver="normal"),
+    ]).fit(data)
+
+
+def _text_stages(text_col: str, num_features: int, min_docs: int = 0):
+    """``min_docs``: tokens of fewer training texts weigh nothing."""
     return [
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=UNICODE + NOT_WS + "+", gaps=False,
                        toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=2),
+        IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=min_docs),
     ]
 
 

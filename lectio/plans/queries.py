@@ -297,6 +297,47 @@ def q_normalize_steps(spark: SparkSession, sf: str) -> DataFrame:
     return ar.select("doc_id", *cols)
 
 
+NORMALIZED = (O.ARABIC, O.NORM_STEPS, "normal AS (SELECT doc_id, t_punct AS text FROM steps)",
+              O.LEX.replace("FROM documents", "FROM normal"),
+              "sent_clean AS (SELECT doc_id, 0 AS pos, text AS sentence FROM normal)", O.TOK_CLEAN)
+
+
+def _normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """F16, F20-F23 first: one normalised sentence per document."""
+    ar = fx.arabic_documents(fx.documents(spark, sf))
+    return ar.select("doc_id", F.lit(0).alias("pos"), T.normalize("text").alias("sentence"))
+
+
+@register("normalized_features", O.with_(*NORMALIZED, O.SUMS) + """
+SELECT s.doc_id, s.pos,
+  CASE WHEN n_words > 0 THEN CAST(n_chars AS DOUBLE) ELSE 0.0 END AS f_chars,
+  CAST(coalesce(n_words, 0) AS DOUBLE) AS f_words,
+  CASE WHEN n_words > 0 THEN CAST(sum_len AS DOUBLE) / CAST(n_words AS DOUBLE) ELSE 0.0 END AS f_mean_len,
+  CASE WHEN n_words > 0 THEN CAST(sum_diff AS DOUBLE) / CAST(n_words AS DOUBLE) ELSE 0.0 END AS f_mean_diff,
+  CAST(coalesce(max_diff, 0) AS DOUBLE) AS f_max_diff,
+  CAST(coalesce(n_hard, 0) AS DOUBLE) AS f_n_hard,
+  CASE WHEN n_words > 0 THEN CAST(n_oov AS DOUBLE) / CAST(n_words AS DOUBLE) ELSE 0.0 END AS f_oov_share
+FROM sent_clean s LEFT JOIN sums u ON s.doc_id = u.doc_id""")
+def q_normalized_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalise, then A4 against a lexicon of normalised words."""
+    sent = _normalized(spark, sf)
+    lex = fx.derived_lexicon(sent.select(F.col("sentence").alias("text")))
+    return feat.lexical_features(sent, lex)
+
+
+@register("normalized_encoding", O.with_(*NORMALIZED, """vocab AS (
+  SELECT token AS word, row_number() OVER (ORDER BY cnt DESC, token) AS id
+  FROM (SELECT token, count(*) AS cnt FROM tok GROUP BY token))""", """enc AS (
+  SELECT t.doc_id, list(v.id ORDER BY t.tpos) FILTER (t.tpos < 256) AS ids, count(*) AS n_tokens
+  FROM tok t JOIN vocab v ON t.token = v.word GROUP BY t.doc_id)""") + """
+SELECT s.doc_id, s.pos, array_to_string(list_resize(coalesce(e.ids, []), 256, 0), ' ') AS input_ids_text,
+       CAST(len(coalesce(e.ids, [])) AS INTEGER) AS n_attended, CAST(coalesce(e.n_tokens, 0) AS INTEGER) AS n_tokens
+FROM sent_clean s LEFT JOIN enc e ON s.doc_id = e.doc_id""")
+def q_normalized_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalise, then M9 (the twin needs no lower-casing: Arabic script)."""
+    return _encoded_text(encode_fixed(_normalized(spark, sf)))
+
+
 @register("sentences_punct", O.with_(O.SENT_PUNCT) + "SELECT doc_id, pos, sentence FROM sent_punct")
 def q_sentences_punct(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(fx.documents(spark, sf).select("doc_id", "text"), "punct")
@@ -509,7 +550,10 @@ LEFT JOIN (SELECT doc_id, pos, count(*) AS n_tokens FROM tok GROUP BY doc_id, po
   ON s.doc_id = n.doc_id AND s.pos = n.pos""".replace("\n,\nvocab", ",\nvocab"))
 def q_encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
     """Every line, blank ones too (their row is all padding)."""
-    enc = encode_fixed(sentences(fx.documents(spark, sf).select("doc_id", "text"), "raw"))
+    return _encoded_text(encode_fixed(sentences(fx.documents(spark, sf).select("doc_id", "text"), "raw")))
+
+
+def _encoded_text(enc: DataFrame) -> DataFrame:
     return enc.select("doc_id", "pos", F.array_join("input_ids", " ").alias("input_ids_text"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
                       "n_tokens")
@@ -683,6 +727,42 @@ def q_hybrid_level(spark: SparkSession, sf: str) -> DataFrame:
     return _with_split(MD.hybrid_predict(model, data, "embedding", ["vec_id", "label", "fold"]))
 
 
+#: Gold level of the checkable regression: the words of the sentence, clipped.
+WORD_LEVEL = "least(greatest(n_words, 1), 19)"
+
+REGRESSION_CTES = (O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN, O.SUMS, f"""data AS (
+  SELECT doc_id, pos, CAST(n_words AS DOUBLE) AS x, CAST({WORD_LEVEL} AS BIGINT) AS gold,
+         CAST(('0x' || substr(md5('42:' || doc_id), 1, 8)) AS BIGINT) % 5 AS fold FROM sums)""", """line AS (
+  SELECT regr_slope(CAST(gold - 1 AS DOUBLE), x) AS slope, regr_intercept(CAST(gold - 1 AS DOUBLE), x) AS base
+  FROM data WHERE fold <> 0)""", f"""fitted AS (
+  SELECT doc_id, pos, gold, {O.level_expr("base + slope * x")} AS level FROM data, line WHERE fold = 0)""")
+
+
+def word_level_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """M5, M8, F17 on a gold that one A4 feature explains, fitted on the
+    train folds and applied to the documents of fold 0."""
+    _, sent, lex = _pipeline_inputs(spark, sf)
+    rows = feat.features_from_sums(feat.lexical_sums(sent, lex, fold_case=True))
+    rows = SP.kfold(rows, "doc_id", 5).withColumn(
+        "gold", F.least(F.greatest("f_words", F.lit(1)), F.lit(19)).cast("long"))
+    model = MD.fit_feature_regressor(rows.filter("fold <> 0"), ["f_words"], "gold")
+    return MD.regression_levels(model, rows.filter("fold = 0"), ["doc_id", "pos", "gold"])
+
+
+@register("regression_closed_form", O.with_(*REGRESSION_CTES) + "SELECT doc_id, pos, gold, level FROM fitted")
+def q_regression_closed_form(spark: SparkSession, sf: str) -> DataFrame:
+    return word_level_regression(spark, sf).select("doc_id", "pos", "gold", "level")
+
+
+@register("regression_qwk", O.with_(*REGRESSION_CTES, """pairs AS (
+  SELECT gold, CAST(level AS BIGINT) AS pred FROM fitted)""", O.kappa_select(False))
+          + f"SELECT {O.KAPPA_EXPR} AS qwk, CAST(n AS BIGINT) AS n FROM kap")
+def q_regression_qwk(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 of the fitted levels on held-out documents."""
+    scored = word_level_regression(spark, sf)
+    return M.qwk(scored.select("gold", F.col("level").alias("pred")), labels="fixed")
+
+
 @register("document_scoring")
 def q_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """Train on segmented text of fold != 0 documents, then score every

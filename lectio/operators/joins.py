@@ -117,6 +117,21 @@ def positional_align(left: DataFrame, right: DataFrame, left_order: list[str] |
     return a.join(b, "_row", "inner").drop("_row")
 
 
+def pairing_counts(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """J4 guard as one row: ids on both sides, on the left only and on the
+    right only (ids are unique on each side)."""
+    a = left.select(on).withColumn("_l", F.lit(1))
+    b = right.select(on).withColumn("_r", F.lit(1))
+    both = a.join(b, on, "full")
+
+    def count(cond):
+        return F.count(F.when(cond, 1))
+
+    has_l, has_r = F.col("_l").isNotNull(), F.col("_r").isNotNull()
+    return both.agg(count(has_l & has_r).alias("matched"), count(has_l & ~has_r).alias("left_only"),
+                    count(has_r & ~has_l).alias("right_only"))
+
+
 def unmatched_count(left: DataFrame, right: DataFrame, on: str) -> int:
     """J4 guard: ids of ``left`` with no partner in ``right``."""
     return left.join(right.select(on), on, "left_anti").count()

@@ -23,7 +23,8 @@ from lectio.operators import morph as MO
 from lectio.operators import rollup
 from lectio.operators import split as SP
 from lectio.operators.encode import encode_fixed
-from lectio.operators.joins import lookup_join, positional_align
+from lectio.operators.joins import lookup_join, pairing_counts, positional_align
+from lectio.operators.sequence import with_row_number
 from lectio.operators.segment import sentences, sentences_from_list, sentences_with
 from lectio.plans import fixtures as fx
 from lectio.plans import flows as PL
@@ -667,14 +668,59 @@ def q_compute_once(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id AS "Document ID", level AS "Prediction" FROM filled""")
 def q_roundtrip_submission(spark: SparkSession, sf: str) -> DataFrame:
     """K4 + K5: the submission file and an audit of the scored sentences."""
-    path = scratch_path(spark, "submission")
-    K.write_submission(filled_levels(spark, sf), path, "doc_id", "level", ("Document ID", "Prediction"))
-    K.write_audit(sentence_raw_scores(spark, sf), scratch_path(spark, "audit"))
+    path, audit = scratch_path(spark, "submission"), scratch_path(spark, "audit")
+    K.write_audit(sentence_raw_scores(spark, sf), audit)
+    # scored once: the submission is made from the audited sentences
+    levels = rollup.doc_level_from_raw(R.read_parquet(spark, audit))
+    K.write_submission(rollup.fill_levels(fx.documents(spark, sf), levels), path, "doc_id", "level",
+                       ("Document ID", "Prediction"))
     schema = ST.StructType([ST.StructField("Document ID", ST.LongType()),
                             ST.StructField("Prediction", ST.IntegerType())])
     return R.read_csv(spark, path, schema)
 
 
+@register("audit_roundtrip", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
+def q_audit_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """K5 read back: the audited sentences' scores as levels."""
+    path = scratch_path(spark, "audit")
+    K.write_audit(sentence_raw_scores(spark, sf), path)
+    return R.read_parquet(spark, path).select("doc_id", "pos", score_to_level("raw").alias("level"))
+
+
+@register("na_tokens", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang, n_chars FROM documents""")
+def q_na_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing-value markers in a CSV read as null."""
+    marks = F.element_at(F.array(*[F.lit(t) for t in R.NA_TOKENS[1:]]),
+                         (F.col("doc_id") % (len(R.NA_TOKENS) - 1) + 1).cast("int"))
+    docs = fx.documents(spark, sf).select(
+        "doc_id", F.when(F.col("doc_id") % 4 == 0, marks).otherwise(F.col("lang")).alias("lang"), "n_chars")
+    path = K.write_csv(docs, scratch_path(spark, "na-tokens"))
+    return R.read_csv(spark, path, docs.schema, na_tokens=R.NA_TOKENS)
+
+
+@register("unmatched_ids", """
+WITH pred AS (SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id FROM documents),
+gold AS (SELECT doc_id FROM labels)
+SELECT (SELECT count(*) FROM pred WHERE doc_id IN (SELECT doc_id FROM gold)) AS matched,
+       (SELECT count(*) FROM pred WHERE doc_id NOT IN (SELECT doc_id FROM gold)) AS left_only,
+       (SELECT count(*) FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM pred)) AS right_only""")
+def q_unmatched_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions and gold with ids that the other side lacks."""
+    moved = F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + F.lit(1_000_000_000)).otherwise(F.col("doc_id"))
+    pred = fx.documents(spark, sf).select(moved.alias("doc_id"))
+    return pairing_counts(pred, fx.table(spark, sf, "labels"), "doc_id")
+
+
+@register("submission_order", O.with_(*O.DOC_FLOW, O.FILLED) + """
+SELECT row_number() OVER (ORDER BY doc_id) AS place, doc_id AS "Document ID", level AS "Prediction" FROM filled""")
+def q_submission_order(spark: SparkSession, sf: str) -> DataFrame:
+    """O3: the place of every row in the submission's id order."""
+    from lectio.sources.sinks import submission_frame
+    frame = submission_frame(filled_levels(spark, sf), "doc_id", "level", ("Document ID", "Prediction"))
+    return with_row_number(frame, ["Document ID"], "place")
+
+
 # ---------------------------------------------------------------------- models
 
 

@@ -48,4 +48,4 @@ def test_cli_flows(spark, capsys):
     assert spark.read.option("header", True).csv(sub_s).count() == sentences(docs, "clean").count()
     assert main(["evaluate", "--pred", sub_d, "--gold", gold_csv]) == 0
     scores = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert set(scores) == {"acc", "acc_pm1", "avg_abs_dist", "acc_7", "acc_5", "acc_3", "qwk"}
+    assert set(scores) == {"acc", "acc_pm1", "avg_abs_dist", "acc_7", "acc_5", "acc_3", "qwk", "unmatched_predictions", "unmatched_gold"}

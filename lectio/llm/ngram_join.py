@@ -16,11 +16,13 @@ traversed together: a pair of nodes is left as soon as the sizes, or the
 largest overlap that the bitmaps allow, rule the threshold out.  Leaf pairs
 that remain are compared exactly.
 
-*Two rounds.*  First every block compares its documents with the most widely
+*Rounds.*  First every block compares its documents with the most widely
 shared one among them, which links a group of near copies with as many
-comparisons as it has members.  Then the blocks that still hold several
-components are traversed whole, and only pairs of different components are
-compared; the components stay exact, and no block emits all its pairs.  Trees
+comparisons as it has members.  In the next rounds every document of a block
+that still holds several components is compared with its likeliest partner in
+another component, as in a spanning forest.  The last round compares all pairs
+of different components that the trees leave, of which few are then left; so
+the components are exact, and no block emits all its pairs.  Trees
 are traversed on signatures alone; texts travel only for the exact comparison
 of the pairs that remain.
 
@@ -52,6 +54,8 @@ PERCENT = 75
 SAMPLE_DOCS, COMMON = 50_000, 200_000
 #: Members that one share of a centre compares; documents of one tree.
 SHARE = 256
+#: Rounds that compare a document with its likeliest partner only.
+PARTNER_ROUNDS = 3
 #: Bits of a signature: a power of two, at least four for each shingle,
 #: within these bounds.
 LEAST_BITS, MOST_BITS = 512, 1 << 16
@@ -124,8 +128,9 @@ class SignatureTree:
         return which, node[which] * self.fan + step
 
 
-def possible(a, i: np.ndarray, b, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which node pairs may hold a linked pair."""
+def possible(a, i: np.ndarray, b, j: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Which node pairs may hold a linked pair, and the largest overlap of
+    those that may."""
     maps_a, low_a, high_a, excess_a = a
     maps_b, low_b, high_b, excess_b = b
     fits = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
@@ -134,14 +139,14 @@ def possible(a, i: np.ndarray, b, j: np.ndarray, percent: int = PERCENT) -> np.n
     overlap = np.bitwise_count(maps_a[i] & maps_b[j]).sum(axis=1, dtype=np.int64)
     overlap += np.minimum(excess_a[i], excess_b[j])  # shared shingles on one bit
     overlap = np.minimum(overlap, np.minimum(high_a[i], high_b[j]))
-    fits[keep] = (100 + percent) * overlap >= percent * (low_a[i] + low_b[j])
-    return fits
+    enough = (100 + percent) * overlap >= percent * (low_a[i] + low_b[j])
+    return keep[enough], overlap[enough]
 
 
 def leaf_pairs(a: SignatureTree, b: SignatureTree, percent: int = PERCENT, chunk: int = 1 << 14):
-    """Traverse two trees together; yields arrays of places (in the trees'
-    sets) of the leaf pairs that remain.  The same tree twice gives each pair
-    once."""
+    """Traverse two trees together; yields the leaf pairs that remain: places
+    (in the trees' sets) and the highest Jaccard that the signatures allow.
+    The same tree twice gives each pair once."""
     same = a is b
     stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
@@ -149,14 +154,16 @@ def leaf_pairs(a: SignatureTree, b: SignatureTree, percent: int = PERCENT, chunk
         if len(i) > chunk:
             stack += [(la, lb, i[k:k + chunk], j[k:k + chunk]) for k in range(0, len(i), chunk)]
             continue
-        keep = possible(a.levels[la], i, b.levels[lb], j, percent)
+        keep, overlap = possible(a.levels[la], i, b.levels[lb], j, percent)
         i, j = i[keep], j[keep]
+        if la == 0 and lb == 0 and same:
+            own = i < j
+            i, j, overlap = i[own], j[own], overlap[own]
         if not len(i):
             continue
         if la == 0 and lb == 0:
-            if same:
-                i, j = i[i < j], j[i < j]
-            yield a.order[i], b.order[j]
+            either = a.levels[0][1][i] + b.levels[0][1][j]
+            yield a.order[i], b.order[j], overlap / np.maximum(either - overlap, 1)
             continue
         down_a = la > 0 and (same or la >= lb)
         down_b = lb > 0 and (same or not down_a)
@@ -305,7 +312,7 @@ def _centre_candidates(pairs: DataFrame, sigs: DataFrame, percent: int, share: i
             for part in _shares(it):
                 maps, size = folded([r[5] for r in part]), np.array([r[4] for r in part])
                 centre, tree = SignatureTree(maps[:1], size[:1]), SignatureTree(maps[1:], size[1:])
-                for _, j in leaf_pairs(centre, tree, percent):
+                for _, j, _ in leaf_pairs(centre, tree, percent):
                     yield from ((part[0][1], part[k + 1][3]) for k in j.tolist())
 
         yield from _pair_batches(found(), ["centre", "id"])
@@ -329,10 +336,34 @@ def _links(pairs: DataFrame, packed: DataFrame, words: int, percent: int, share:
     return _dealt(pairs, packed, share).mapInArrow(run, T.StructType(_long("a", "b")))
 
 
-def _block_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that the trees of each group leave.
-    ``rows``: g (group), id, component, part, n, sig.  A group of one part is
-    traversed with itself, a group of two across."""
+def _best_partners(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some pairs, those that are the likeliest of either member (of
+    equals, the first partner)."""
+    doc, partner = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.lexsort((partner, -np.concatenate([likeness, likeness]), doc))
+    doc, partner = doc[order], partner[order]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[:len(doc)])
+    return doc[first], partner[first]
+
+
+def _kept_best(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> list[np.ndarray]:
+    """The pairs among which every member's likeliest is."""
+    doc, partner = _best_partners(i, j, likeness)
+    order = {pair: n for n, pair in enumerate(zip(i.tolist(), j.tolist()))}
+    at = [order[p] if p in order else order[p[::-1]] for p in zip(doc.tolist(), partner.tolist())]
+    at = np.unique(np.array(at, np.int64))
+    return [i[at], j[at], likeness[at]]
+
+
+def _ordered(a: np.ndarray, b: np.ndarray):
+    return zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+
+
+def _block_candidates(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different components that the trees of each group leave; with
+    ``best`` only each document's likeliest.  ``rows``: g (group), id,
+    component, part, n, sig.  A group of one part is traversed with itself, a
+    group of two across."""
     dealt = rows.select("g", "id", "component", "part", "n", "sig").repartition("g").sortWithinPartitions("g", "part", "id")
 
     def run(it):
@@ -344,17 +375,50 @@ def _block_candidates(rows: DataFrame, percent: int) -> DataFrame:
                 across = cut < len(rows)
                 other = SignatureTree(maps[cut:], size[cut:]) if across else tree
                 ids, component = (np.array([r[c] for r in rows]) for c in (1, 2))
-                for i, j in leaf_pairs(tree, other, percent):
+                left = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+                for i, j, likeness in leaf_pairs(tree, other, percent):
                     j = j + cut if across else j
                     keep = component[i] != component[j]
-                    a, b = ids[i[keep]], ids[j[keep]]
-                    yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+                    pairs = i[keep], j[keep], likeness[keep]
+                    if best:  # of what came so far, so that little is held
+                        left = [np.concatenate(c) for c in zip(left, pairs)]
+                        if len(left[0]) > 1 << 20:
+                            left = _kept_best(*left)
+                    else:
+                        yield from _ordered(ids[pairs[0]], ids[pairs[1]])
+                if best:
+                    i, j = _best_partners(*left)
+                    yield from _ordered(ids[i], ids[j])
 
         yield from _pair_batches(found(), ["centre", "id"])
 
     return dealt.mapInArrow(run, T.StructType(_long("centre", "id")))
 
 
+def _open_groups(blocks: DataFrame, labels: DataFrame, percent: int, share: int) -> DataFrame:
+    """g, id, component, part: the documents of blocks that hold several
+    components, by size class, large blocks as pairs of parts.  Blocks of two
+    documents met in the first round; blocks of the same documents are
+    compared once."""
+    known = blocks.filter("c > 2").join(labels, "id", "left").select(
+        "t", "id", "n", F.coalesce("component", "id").alias("component"))
+    step = F.lit(float(np.log(100 / percent)))
+    size_class = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
+    known = known.withColumn("size_class", F.explode(F.array(size_class, size_class + 1)))
+    several = (known.groupBy("t", "size_class")
+               .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"),
+                    F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+               .filter("lo < hi"))
+    chosen = several.groupBy("c", "x", "y").agg(F.min(F.struct("t", "size_class")).alias("s"))
+    chosen = stage(chosen.select("s.t", "s.size_class", F.ceil(F.col("c") / (2 * share)).cast("int").alias("parts")),
+                   "jaccard-open")
+    left = known.join(chosen, ["t", "size_class"])
+    left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.select(F.xxhash64("t", "size_class", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
+                       "id", "component", "part")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, share: int = SHARE,
                        sample_docs: int = SAMPLE_DOCS, common: int = COMMON, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
@@ -391,31 +455,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     packed = _compressed(src)
     pairs = stage(_centre_candidates(stage(pairs, "jaccard-pairs"), sigs, percent, share), "jaccard-candidates")
     links = stage(_links(pairs, packed, words, percent, share), "jaccard-links")
-    first = components(links)
 
-    # second round: blocks that still hold several components
-    known = blocks.filter("c > 2").join(first, "id", "left").select(
-        "t", "id", "n", F.coalesce("component", "id").alias("component"))
-    step = np.log(100 / percent)
-    size_class = F.floor(F.log("n") / F.lit(float(step)) + F.lit(1e-9)).cast("int")
-    known = known.withColumn("size_class", F.explode(F.array(size_class, size_class + 1)))
-    open_groups = (known.groupBy("t", "size_class")
-                   .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"),
-                        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-                   .filter("lo < hi"))
-    # blocks of the same documents are compared once
-    chosen = open_groups.groupBy("c", "x", "y", "size_class").agg(F.min("t").alias("t"))
-    chosen = chosen.withColumn("parts", F.ceil(F.col("c") / (2 * share)).cast("int"))
-    left = known.join(chosen, ["t", "size_class"])
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    left = left.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select(F.xxhash64("t", "size_class", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
-                       "id", "component", "part").join(sigs, "id")
-    more = stage(_block_candidates(left, percent).distinct(), "jaccard-candidates")
-    more = stage(_links(more, packed, words, percent, share), "jaccard-links")
-
-    final = components(links.unionByName(more))
-    labelled = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
+    # further rounds: blocks that still hold several components
+    labels, rounds, last = components(links), 0, False
+    while True:
+        groups = _open_groups(blocks, labels, percent, share).join(sigs, "id")
+        more = stage(_block_candidates(groups, percent, not last).distinct(), "jaccard-candidates")
+        more = stage(_links(more, packed, words, percent, share), "jaccard-links")
+        found = not more.isEmpty()
+        if found:
+            links = links.unionByName(more)
+            labels = components(links)
+        if last:
+            break
+        rounds += 1
+        last = not found or rounds == PARTNER_ROUNDS
+    labelled = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     result = table.join(labelled, ["k1", "k2", "n"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

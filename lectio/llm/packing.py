@@ -109,14 +109,17 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
                 for k, text in zip(b.column(0), b.column(1)):
                     yield k.as_py(), np.concatenate([bpe.encode(text.as_py()), end])
 
-        yield from batches(packed(documents(), base, capacity, pool_sequences, linear, quadratic), arrow, weight=3)
+        rows = ((k, start, n, ids.astype("<u4").tobytes(), total, sequence, offset) for k, start, n, ids, total, sequence, offset
+                in packed(documents(), base, capacity, pool_sequences, linear, quadratic))
+        yield from batches(rows, arrow, weight=3)
 
     return src.mapInArrow(run, schema)
 
 
 def packed(documents: Iterator[tuple], base: int, capacity: int, pool_sequences: int,
            linear: float, quadratic: float) -> Iterator[tuple]:
-    """The rows of one task, in the order in which its pools fill."""
+    """The rows of one task (ids as an array), in the order in which its pools
+    fill."""
     sequence = base
     pool: list[tuple] = []  # document id, its tokens, first token of the tail, the tail's ids
     held = 0
@@ -127,14 +130,14 @@ def packed(documents: Iterator[tuple], base: int, capacity: int, pool_sequences:
             offset = 0
             for i, start, n in pieces:
                 k, total, first, ids = pool[i]
-                yield k, first + start, n, ids[start:start + n].astype("<u4").tobytes(), total, sequence, offset
+                yield k, first + start, n, ids[start:start + n], total, sequence, offset
                 offset += n
             sequence += 1
 
     for k, ids in documents:
         whole = len(ids) - len(ids) % capacity
         for start in range(0, whole, capacity):
-            yield k, start, capacity, ids[start:start + capacity].astype("<u4").tobytes(), len(ids), sequence, 0
+            yield k, start, capacity, ids[start:start + capacity], len(ids), sequence, 0
             sequence += 1
         if whole < len(ids):
             pool.append((k, len(ids), whole, ids[whole:]))

@@ -12,8 +12,8 @@ record has a fixed size: the number of tokens, then the ids, padded.  The place
 of any slot follows by arithmetic, so a reader starts anywhere and reads on.
 
 The order is written in segments, ranges of whole shards: one segment's
-sequences are shuffled at a time, range-partitioned by shard, each shard by one
-task that replaces the file when it is complete.  A segment with a manifest is
+sequences are shuffled at a time, partitioned by shard (a range of slots), each
+shard written by one task that replaces the file when it is complete.  A segment with a manifest is
 done; a run that is started again goes on with the next.
 """
 
@@ -100,8 +100,7 @@ def sequences(docs: DataFrame, path: str | None = None, end_id: int = 0, capacit
         def rows():
             found = packed(documents, 0, capacity, POOL_SEQUENCES, LINEAR, QUADRATIC)
             for place, pieces in groupby(found, key=lambda r: r[5]):
-                ids = np.concatenate([np.frombuffer(r[3], "<u4") for r in pieces])
-                yield part, place, ids.astype(bpe.dtype).tobytes()
+                yield part, place, b"".join(r[3].tobytes() for r in pieces)
 
         yield from batches(rows(), arrow, weight=2)
 
@@ -185,7 +184,9 @@ def materialise(docs: DataFrame, out: str, key: int = 1, capacity: int = CAPACIT
             placed = rows.select(slots("index").alias("slot"), "ids").select(
                 F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "ids")
             own = placed.filter((F.col("shard") >= first) & (F.col("shard") < last))
-            dealt = own.repartitionByRange(last - first, "shard").sortWithinPartitions("shard", "slot")
+            # a shard is a range of slots; dealing whole shards needs no sampling of
+            # the rows, and spare partitions keep shards apart
+            dealt = own.repartition(4 * (last - first), "shard").sortWithinPartitions("shard", "slot")
             dealt.mapInArrow(write, schema).write.mode("overwrite").parquet(manifest)
             spark.sparkContext._jvm.System.gc()  # the segment's shuffle files may go
         done.append(manifest)

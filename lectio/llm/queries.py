@@ -52,8 +52,7 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spotsigs.with_edited(read_table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        spotsigs.digest(F.col("signatures")).alias("fingerprint"),
-        spotsigs.digest(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "fingerprint", "edited_fingerprint", "next_fingerprint",
         spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
         spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
         F.size("signatures").cast("long").alias("n_signatures"),

@@ -6,11 +6,10 @@ set; a text without any has one signature made of the whole text, so equal
 texts always have equal sets.  The fingerprint is a 128-bit hash of the sorted
 set, and two sets are compared by Jaccard.
 
-``near_links`` finds similar sets: sets are partitioned by length into classes
-whose bounds grow by the threshold, so similar sets lie in one class or in
-neighbouring ones; within those, sets meet on their rarest signatures only
-(prefix filter), and a pair is counted out by its lengths before its sets are
-intersected.
+Sets are partitioned by length into classes whose bounds grow by the threshold,
+so similar sets lie in one class or in neighbouring ones.  With a threshold, a
+pair whose lengths alone rule it out is pruned before its sets are intersected;
+without one, likeness is exact for every pair.
 
 Everything is DataFrame expressions.
 """
@@ -35,6 +34,7 @@ ANCHORS = {
 #: Content words of a signature.
 CHAIN = 2
 THRESHOLD = 0.75
+_END = "\x01"
 
 
 def anchor_words(anchors: dict[str, str] = ANCHORS) -> list[str]:
@@ -46,13 +46,14 @@ def with_signatures(df: DataFrame, text: Column, out: str, chain: int = CHAIN,
     """Add the sorted distinct signatures of ``text`` (array<bigint>) as
     ``out``.  Null text: null."""
     words, content, chained, raw = (f"_{out}_{c}" for c in ("words", "content", "chain", "raw"))
-    # A word with the anchors right before it, single blanks between.  The
-    # possessive loop needs no stack however long a run of anchors is; the last
-    # word ends the text, so there is always one after the anchors.
-    pattern = rf"(?:(?:{'|'.join(anchor_words(anchors))}) )*+[^ ]+"
+    anchor = anchor_words(anchors)
     plain = F.trim(F.regexp_replace(F.lower(F.col(raw)), r"[^\p{L}\p{N}]+", " "))
+    # a content word ends its piece, an anchor leads the one it is in; the
+    # last word of the text counts as content
+    marked = F.array_join(F.transform(F.split(plain, " "), lambda w: F.when(
+        w.isin(anchor), F.concat(w, F.lit(" "))).otherwise(F.concat(w, F.lit(_END)))), "")
     df = df.withColumn(raw, text)
-    df = df.withColumn(words, F.regexp_extract_all(plain, F.lit(pattern), 0))
+    df = df.withColumn(words, F.split(F.rtrim(marked, F.lit(" " + _END)), _END))
     df = df.withColumn(content, F.transform(words, lambda e: F.substring_index(e, " ", -1)))
     links = F.col(content)
     for i in range(1, chain):
@@ -107,9 +108,11 @@ def ring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN,
                 anchors: dict[str, str] = ANCHORS) -> DataFrame:
-    """Every document with its signatures, those of its edited text and those
-    of the next document: ``id_col``, text, edited, signatures,
-    edited_signatures, next_signatures.
+    """Every document with the fingerprints and signatures of its text and of
+    its edited text, and those of the next document: ``id_col``, text, edited,
+    fingerprint, edited_fingerprint, next_fingerprint and signatures,
+    edited_signatures, next_signatures (array<int>).  Whoever uses all of them
+    lets Spark shuffle the documents once: both roles read the same columns.
 
     The edited text has the last half (floor) of the characters replaced by
     as many from the start of the next document in descending id.  A
@@ -118,13 +121,32 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document (see :func:`ring`).
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = with_signatures(rows, F.col("text"), "signatures", chain, anchors)
-    rows = rows.withColumns({"text_n": F.char_length("text").cast("long"), "text_h": F.xxhash64("text")})
-    around = ring(docs, id_col, text_col).withColumnRenamed("id", "ring_id")
-    own = rows.join(around, F.col("id").eqNullSafe(F.col("ring_id"))).filter("text_n = n AND text_h = h")
-    sent = own.select(F.col("prev_id").alias("to_id"), F.expr("substring(text, 1, CAST(prev_n DIV 2 AS INT))").alias("head"),
-                      F.col("signatures").alias("next_signatures"))
-    both = own.select("id", "text", "n", "signatures").join(sent, F.col("id").eqNullSafe(F.col("to_id")))
+    rows = with_signatures(rows, F.col("text"), "full", chain, anchors)
+    # The digest is taken of whole signatures; sets travel, and are compared,
+    # by 32 bits of each.  Ids are joined as a value and a mark for null.
+    rows = rows.select(*_key("id", ""), "text", F.char_length("text").cast("long").alias("text_n"),
+                       F.xxhash64("text").alias("text_h"), digest(F.col("full")).alias("fingerprint"),
+                       short(F.col("full")).alias("signatures"))
+    around = ring(docs, id_col, text_col)
+    around = around.select(*_key("id", ""), "n", "h", *_key("prev_id", "to_"), "prev_n")
+    # written so that it does not become a part of the join's key: the next
+    # join can then go on with the same partitioning
+    own = rows.join(around, ["key", "absent"]).filter("text_n - n = 0 AND (text_h ^ h) = 0")
+    sent = own.select(F.col("to_key").alias("key"), F.col("to_absent").alias("absent"),
+                      F.expr("substring(text, 1, CAST(prev_n DIV 2 AS INT))").alias("head"),
+                      F.col("fingerprint").alias("next_fingerprint"), F.col("signatures").alias("next_signatures"))
+    both = own.select("key", "absent", "text", "n", "fingerprint", "signatures").join(sent, ["key", "absent"])
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, CAST(n - n DIV 2 AS INT))"), "head"))
-    both = with_signatures(both, F.col("edited"), "edited_signatures", chain, anchors)
-    return both.select(F.col("id").alias(id_col), "text", "edited", "signatures", "edited_signatures", "next_signatures")
+    both = with_signatures(both, F.col("edited"), "full", chain, anchors)
+    return both.select(F.when(~F.col("absent"), F.col("key")).alias(id_col), "text", "edited", "fingerprint",
+                       digest(F.col("full")).alias("edited_fingerprint"), "signatures",
+                       short(F.col("full")).alias("edited_signatures"), "next_fingerprint", "next_signatures")
+
+
+def _key(c: str, prefix: str) -> list[Column]:
+    return [F.coalesce(F.col(c), F.lit(0)).alias(f"{prefix}key"), F.col(c).isNull().alias(f"{prefix}absent")]
+
+
+def short(signatures: Column) -> Column:
+    """The upper 32 bits of each signature."""
+    return F.transform(signatures, lambda x: F.shiftright(x, 32).cast("int"))

@@ -1,6 +1,5 @@
 """The quality classifier and the corpus pipeline; SQL twins of the queries."""
 
-
 import re
 
 import numpy as np

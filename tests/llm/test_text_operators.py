@@ -105,7 +105,7 @@ def test_edited_texts_and_likeness(spark, odd, source):
     rows = spotsigs.with_edited(docs).select(
         "doc_id", "text", "edited", spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
         spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
-        spotsigs.digest(F.col("signatures")).alias("f")).dropDuplicates(["doc_id"]).collect()
+        F.col("fingerprint").alias("f")).dropDuplicates(["doc_id"]).collect()
     got = {r.doc_id: r for r in rows}
     want = list(_ring(plain))
     assert len(rows) == len(want)
@@ -330,10 +330,10 @@ def test_tree_traversal_loses_no_linked_pair():
     for cut in (8, 64):  # signatures of 64 and 512 bits
         maps = ngram_join.folded([ngram_join.signature(a) for a in arrays] + [bytes(cut)])[:-1]
         tree = ngram_join.SignatureTree(maps, size, fan=3)
-        pairs = {(max(x, y), min(x, y)) for i, j in ngram_join.leaf_pairs(tree, tree) for x, y in zip(i.tolist(), j.tolist())}
+        pairs = {(max(x, y), min(x, y)) for i, j, _ in ngram_join.leaf_pairs(tree, tree) for x, y in zip(i.tolist(), j.tolist())}
         assert want <= pairs and all(i != j for i, j in pairs)
         a, b = ngram_join.SignatureTree(maps[:50], size[:50]), ngram_join.SignatureTree(maps[50:], size[50:])
-        across = {(j + 50, i) for x, y in ngram_join.leaf_pairs(a, b) for i, j in zip(x.tolist(), y.tolist())}
+        across = {(j + 50, i) for x, y, _ in ngram_join.leaf_pairs(a, b) for i, j in zip(x.tolist(), y.tolist())}
         assert {(i, j) for i, j in want if j < 50 <= i} <= across
     assert len(pairs) < 120 * 119 / 4  # and most others are pruned
 

@@ -143,11 +143,13 @@ def possible(a, i: np.ndarray, b, j: np.ndarray, percent: int = PERCENT) -> tupl
     return keep[enough], overlap[enough]
 
 
-def leaf_pairs(a: SignatureTree, b: SignatureTree, percent: int = PERCENT, chunk: int = 1 << 14):
+def leaf_pairs(a: SignatureTree, b: SignatureTree, percent: int = PERCENT):
     """Traverse two trees together; yields the leaf pairs that remain: places
     (in the trees' sets) and the highest Jaccard that the signatures allow.
     The same tree twice gives each pair once."""
     same = a is b
+    # node pairs compared at once: 16 MB of their bitmaps
+    chunk = min(1 << 14, max(256, (1 << 21) // a.levels[0][0].shape[1]))
     stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, i, j = stack.pop()

@@ -56,7 +56,7 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
         spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
         F.size("signatures").cast("long").alias("n_signatures"),
-        spotsigs.length_class(F.col("signatures")).alias("length_class")).dropDuplicates(["doc_id"])
+        spotsigs.length_class(F.col("signatures")).alias("length_class"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.common import text_or_empty
+from lectio.operators.joins import lookup_join
 from lectio.operators.sequence import with_row_number
 
 #: Common words (fixed values; English, German, French, Spanish).
@@ -34,6 +35,8 @@ ANCHORS = {
 #: Content words of a signature.
 CHAIN = 2
 THRESHOLD = 0.75
+#: Rows that share an id, or have none, are joined in shares of about so many.
+SHARE_ROWS = 1 << 12
 _END = "\x01"
 
 
@@ -90,59 +93,79 @@ def length_class(signatures: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def ring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n`` (characters) and, of the document that precedes it in
-    descending id, ``prev_id`` and ``prev_n``; the first follows the last.
+    """``id``, ``n`` (characters), ``h`` (hash) and ``rows`` of each distinct
+    id (null is one) and, of the one that precedes it in descending order,
+    ``prev_id``, ``prev_n`` and ``prev_rows``; the first follows the last.
 
-    Only ids and lengths are sorted.  Rows that repeat an id are one document
-    (the longest of its texts; of those, by hash).
+    Only ids and lengths are sorted.  ``n`` and ``h`` are those of the longest
+    text of the id (of those, by hash).
     """
     n, h = F.char_length(text_or_empty(text_col)), F.xxhash64(text_or_empty(text_col))
     ids = (docs.select(F.col(id_col).alias("id"), F.struct(n.cast("long").alias("n"), h.alias("h")).alias("s"))
-           .groupBy("id").agg(F.max("s").alias("s")).select("id", "s.n", "s.h"))
+           .groupBy("id").agg(F.max("s").alias("s"), F.count(F.lit(1)).alias("rows")).select("id", "s.n", "s.h", "rows"))
     placed = with_row_number(ids, [F.desc_nulls_last("id")], "r")
     total = placed.count()
     before = placed.select((F.col("r") % F.lit(max(total, 1)) + 1).alias("r"), F.col("id").alias("prev_id"),
-                           F.col("n").alias("prev_n"))
+                           F.col("n").alias("prev_n"), F.col("rows").alias("prev_rows"))
     return placed.join(before, "r").drop("r")
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN,
-                anchors: dict[str, str] = ANCHORS) -> DataFrame:
-    """Every document with the fingerprints and signatures of its text and of
-    its edited text, and those of the next document: ``id_col``, text, edited,
+                anchors: dict[str, str] = ANCHORS, share_rows: int = SHARE_ROWS) -> DataFrame:
+    """Every row with the fingerprints and signatures of its text and of its
+    edited text, and those of the next document: ``id_col``, text, edited,
     fingerprint, edited_fingerprint, next_fingerprint and signatures,
     edited_signatures, next_signatures (array<int>).  Whoever uses all of them
     lets Spark shuffle the documents once: both roles read the same columns.
 
-    The edited text has the last half (floor) of the characters replaced by
-    as many from the start of the next document in descending id.  A
-    document's text moves once, and the part of it that its neighbour needs
-    once more.  Null text counts as empty; rows that repeat an id are one
-    document (see :func:`ring`).
+    The edited text has the last half (floor) of the row's characters replaced
+    by as many from the start of the next document in descending id.  A
+    row's text moves once, and the part of it that its neighbour needs once
+    more.  Null text counts as empty.  Rows that repeat an id, or have none,
+    stay: each has the same next document, and to the preceding id the longest
+    of their texts is the next (see :func:`ring`).  They are dealt in shares of
+    about ``share_rows``, each with its copy of the next document.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    around = ring(docs, id_col, text_col)
+    around = around.select(*_key("id", ""), "n", "h", _shares("rows", share_rows).alias("shares"),
+                           *_key("prev_id", "to_"), "prev_n", _shares("prev_rows", share_rows).alias("to_shares"))
+    # the place in its file deals a row, because rows may be equal
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"),
+                       F.monotonically_increasing_id().alias("place"))
     rows = with_signatures(rows, F.col("text"), "full", chain, anchors)
     # The digest is taken of whole signatures; sets travel, and are compared,
     # by 32 bits of each.  Ids are joined as a value and a mark for null.
-    rows = rows.select(*_key("id", ""), "text", F.char_length("text").cast("long").alias("text_n"),
-                       F.xxhash64("text").alias("text_h"), digest(F.col("full")).alias("fingerprint"),
-                       short(F.col("full")).alias("signatures"))
-    around = ring(docs, id_col, text_col)
-    around = around.select(*_key("id", ""), "n", "h", *_key("prev_id", "to_"), "prev_n")
+    rows = rows.select(*_key("id", ""), "place", "text", F.char_length("text").cast("long").alias("text_n"),
+                       digest(F.col("full")).alias("fingerprint"), short(F.col("full")).alias("signatures"))
+    hot = around.filter("shares > 1").select("key", "absent", "shares")
+    rows = lookup_join(rows, hot, ["key", "absent"])
+    rows = rows.withColumn("share", F.coalesce(F.expr("pmod(place, shares)"), F.lit(0))).drop("place", "shares")
+    parts = ["key", "absent", "share"]
     # written so that it does not become a part of the join's key: the next
     # join can then go on with the same partitioning
-    own = rows.join(around, ["key", "absent"]).filter("text_n - n = 0 AND (text_h ^ h) = 0")
-    sent = own.select(F.col("to_key").alias("key"), F.col("to_absent").alias("absent"),
+    own = (rows.join(_copies(around, "shares"), parts)
+           .filter("text_n - n = 0 AND (xxhash64(text) ^ h) = 0").dropDuplicates(parts))
+    sent = own.select(F.col("to_key").alias("key"), F.col("to_absent").alias("absent"), "to_shares",
                       F.expr("substring(text, 1, CAST(prev_n DIV 2 AS INT))").alias("head"),
                       F.col("fingerprint").alias("next_fingerprint"), F.col("signatures").alias("next_signatures"))
-    both = own.select("key", "absent", "text", "n", "fingerprint", "signatures").join(sent, ["key", "absent"])
-    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, CAST(n - n DIV 2 AS INT))"), "head"))
+    both = rows.join(_copies(sent, "to_shares").dropDuplicates(parts), parts)
+    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, CAST(text_n - text_n DIV 2 AS INT))"),
+                                              F.expr("substring(head, 1, CAST(text_n DIV 2 AS INT))")))
     both = with_signatures(both, F.col("edited"), "full", chain, anchors)
     return both.select(F.when(~F.col("absent"), F.col("key")).alias(id_col), "text", "edited", "fingerprint",
                        digest(F.col("full")).alias("edited_fingerprint"), "signatures",
                        short(F.col("full")).alias("edited_signatures"), "next_fingerprint", "next_signatures")
 
 
+def _shares(rows: str, share_rows: int) -> Column:
+    return F.ceil(F.col(rows) / share_rows)
+
+
+def _copies(df: DataFrame, shares: str) -> DataFrame:
+    """A copy of each row for every share, numbered ``share``."""
+    return df.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col(shares) - 1))).drop(shares)
+
+
 def _key(c: str, prefix: str) -> list[Column]:
     return [F.coalesce(F.col(c), F.lit(0)).alias(f"{prefix}key"), F.col(c).isNull().alias(f"{prefix}absent")]
 

@@ -119,6 +119,38 @@ def test_edited_texts_and_likeness(spark, odd, source):
         assert prints.setdefault(own, r.f) == r.f and re.fullmatch("[0-9a-f]{32}", r.f)
 
 
+@pytest.mark.parametrize("share_rows", [2, 4096])
+def test_rows_without_or_with_repeated_ids_stay(spark, share_rows):
+    rng = random.Random(3)
+    docs = [(rng.choice([None, None, 3, 4, i + 10]),
+             rng.choice([None, "", "the end", " ".join(rng.choices(["the", "of", "w1", "w2", "w3", "w4"], k=rng.randint(1, 30)))]))
+            for i in range(60)]
+    table = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    rows = spotsigs.with_edited(table, share_rows=share_rows).select(
+        "doc_id", "text", "edited", "fingerprint", "next_fingerprint",
+        spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next")).collect()
+    lead = {i: nxt for i, _, _, nxt in _ring(docs)}
+    want = Counter()
+    for i, t in docs:
+        own, half = t or "", len(t or "") // 2
+        want[i, own, own[:len(own) - half] + lead[i][:half]] += 1
+    assert Counter((r.doc_id, r.text, r.edited) for r in rows) == want
+    prints = {r.text: r.fingerprint for r in rows}
+    for r in rows:
+        # of equally long texts either may lead
+        assert r.next_fingerprint in {prints[t or ""] for _, t in docs if len(t or "") == len(lead[r.doc_id])}
+        if r.next_fingerprint == prints[lead[r.doc_id]]:
+            a, b = spots(r.text), spots(lead[r.doc_id])
+            assert r.near_next == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_op5_keeps_rows_without_id(spark, tmp_path):
+    docs = [(None, "the one of them"), (None, "a text of its own"), (5, "the two"), (5, "the two"), (None, None)]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op5_spotsigs(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in rows) == Counter((i, len(t or "")) for i, t in docs)
+
+
 def test_spotsigs_of_no_rows(empty):
     assert spotsigs.with_edited(empty).count() == 0
 

@@ -115,7 +115,7 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every row with the fingerprints and signatures of its text and of its
     edited text, and those of the next document: ``id_col``, text, edited,
     fingerprint, edited_fingerprint, next_fingerprint and signatures,
-    edited_signatures, next_signatures (array<int>).  Whoever uses all of them
+    edited_signatures, next_signatures (array<bigint>).  Whoever uses all of them
     lets Spark shuffle the documents once: both roles read the same columns.
 
     The edited text has the last half (floor) of the row's characters replaced
@@ -132,11 +132,9 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the place in its file deals a row, because rows may be equal
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"),
                        F.monotonically_increasing_id().alias("place"))
-    rows = with_signatures(rows, F.col("text"), "full", chain, anchors)
-    # The digest is taken of whole signatures; sets travel, and are compared,
-    # by 32 bits of each.  Ids are joined as a value and a mark for null.
-    rows = rows.select(*_key("id", ""), "place", "text", F.char_length("text").cast("long").alias("text_n"),
-                       digest(F.col("full")).alias("fingerprint"), short(F.col("full")).alias("signatures"))
+    # Signatures are made where they are compared, so that of a row only its text
+    # moves.  Ids are joined as a value and a mark for null.
+    rows = rows.select(*_key("id", ""), "place", "text", F.char_length("text").cast("long").alias("text_n"))
     hot = around.filter("shares > 1").select("key", "absent", "shares")
     rows = lookup_join(rows, hot, ["key", "absent"])
     rows = rows.withColumn("share", F.coalesce(F.expr("pmod(place, shares)"), F.lit(0))).drop("place", "shares")
@@ -145,16 +143,19 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # join can then go on with the same partitioning
     own = (rows.join(_copies(around, "shares"), parts)
            .filter("text_n - n = 0 AND (xxhash64(text) ^ h) = 0").dropDuplicates(parts))
+    own = with_signatures(own, F.col("text"), "signatures", chain, anchors)
     sent = own.select(F.col("to_key").alias("key"), F.col("to_absent").alias("absent"), "to_shares",
                       F.expr("substring(text, 1, CAST(prev_n DIV 2 AS INT))").alias("head"),
-                      F.col("fingerprint").alias("next_fingerprint"), F.col("signatures").alias("next_signatures"))
+                      digest(F.col("signatures")).alias("next_fingerprint"), F.col("signatures").alias("next_signatures"))
     both = rows.join(_copies(sent, "to_shares").dropDuplicates(parts), parts)
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, CAST(text_n - text_n DIV 2 AS INT))"),
                                               F.expr("substring(head, 1, CAST(text_n DIV 2 AS INT))")))
-    both = with_signatures(both, F.col("edited"), "full", chain, anchors)
-    return both.select(F.when(~F.col("absent"), F.col("key")).alias(id_col), "text", "edited", "fingerprint",
-                       digest(F.col("full")).alias("edited_fingerprint"), "signatures",
-                       short(F.col("full")).alias("edited_signatures"), "next_fingerprint", "next_signatures")
+    both = with_signatures(both, F.col("text"), "signatures", chain, anchors)
+    both = with_signatures(both, F.col("edited"), "edited_signatures", chain, anchors)
+    return both.select(F.when(~F.col("absent"), F.col("key")).alias(id_col), "text", "edited",
+                       digest(F.col("signatures")).alias("fingerprint"),
+                       digest(F.col("edited_signatures")).alias("edited_fingerprint"), "signatures",
+                       "edited_signatures", "next_fingerprint", "next_signatures")
 
 
 def _shares(rows: str, share_rows: int) -> Column:
@@ -168,8 +169,3 @@ def _copies(df: DataFrame, shares: str) -> DataFrame:
 
 def _key(c: str, prefix: str) -> list[Column]:
     return [F.coalesce(F.col(c), F.lit(0)).alias(f"{prefix}key"), F.col(c).isNull().alias(f"{prefix}absent")]
-
-
-def short(signatures: Column) -> Column:
-    """The upper 32 bits of each signature."""
-    return F.transform(signatures, lambda x: F.shiftright(x, 32).cast("int"))

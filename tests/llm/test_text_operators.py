@@ -151,6 +151,16 @@ def test_op5_keeps_rows_without_id(spark, tmp_path):
     assert Counter((r.doc_id, r.n_chars) for r in rows) == Counter((i, len(t or "")) for i, t in docs)
 
 
+def test_long_equal_neighbours_are_alike(spark):
+    """Of so many signatures some agree in half of their bits."""
+    n = 150_000
+    docs = [(i, " ".join(f"the w{k}" for k in range(n))) for i in (1, 2)]
+    rows = spotsigs.with_edited(spark.createDataFrame(docs, SCHEMA)).select(
+        spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"), F.size("signatures").alias("n"),
+        F.size(F.array_distinct(F.transform("signatures", lambda x: F.shiftright(x, 32)))).alias("halves")).collect()
+    assert len(rows) == 2 and all(r.near_next == 1.0 and r.halves < r.n for r in rows)
+
+
 def test_spotsigs_of_no_rows(empty):
     assert spotsigs.with_edited(empty).count() == 0
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lectio.llm import bpe, quality, queries
 from tests.conftest import SF_MID, SF_SMALL
-from tests.llm.conftest import TEXTS
+from tests.llm.conftest import SCHEMA, TEXTS
 from tests.llm.test_bpe import JSON, _check_pieces
 from tests.llm.test_text_operators import fold, jaccard_groups, removed
 
@@ -124,3 +124,10 @@ def test_registered_queries_are_complete():
     assert {int(m[1]) for m in map(re.compile(r"op(\d+)_").match, names) if m} == set(range(1, 11))
     assert "pipeline" in names and set(oracle_sql()) <= set(names)
 
+
+
+def test_other_text_of_a_near_copys_id_stays(spark):
+    long = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(long)), (5, " ".join([*long[:-1], "new"])), (5, " ".join(f"v{i}" for i in range(60))), (None, " ".join(long))]
+    kept = corpus_pipeline.dissimilar(spark, spark.createDataFrame(docs, SCHEMA), "")
+    assert {tuple(r) for r in kept.collect()} == {docs[0], docs[2], docs[3]}

@@ -31,6 +31,22 @@ def test_em_finds_the_accuracies_of_the_labellers():
     assert ((posterior >= 0) & (posterior <= 1)).all()
 
 
+def test_em_with_a_labeller_above_the_alarm_bound():
+    """Its share is held at the bound, the README says at what cost."""
+    rng = np.random.default_rng(4)
+    n = 40_000
+    truth = rng.random(n) < 0.7
+    alarm = np.array([0.1, 0.015, 0.002, 0.005, 0.01])
+    bad = np.where(truth[:, None], rng.random((n, 5)) < alarm, rng.random((n, 5)) >= np.array([0.7, 0.5, 0.3, 0.6, 0.4]))
+    votes = np.where(bad, quality.BAD, quality.GOOD)
+    votes[rng.random((n, 5)) < 0.2] = quality.NONE
+    codes, which, counts = np.unique(votes @ (3 ** np.arange(4, -1, -1)), return_inverse=True, return_counts=True)
+    posterior, shares, share = quality.expectation_maximisation(quality.unpack(codes, 5), counts)
+    good = posterior[which] >= 0.5
+    assert shares[0, 1, quality.BAD] == quality.MAX_FALSE_ALARM and share == pytest.approx(0.647, abs=0.01)
+    assert (~good[truth]).mean() == pytest.approx(0.065, abs=0.01) and good[~truth].mean() == pytest.approx(0.072, abs=0.01)
+
+
 def test_held_out_labels(spark):
     """Nothing is fitted on the labels."""
     rows = queries.op10_weak_label_quality(spark, SF_MID)

@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm import bytebpe, chat, exact, ngram_join, packing, quality, spotsigs, substring, token_counts, training_order
+from lectio.llm import (alignment, bottomk, bytebpe, chat, exact, ngram_join, packing, quality, spotsigs, substring,
+                        token_counts, training_order, turn_trie)
 from lectio.llm.common import read_table
 from lectio.session import scratch_path
 
@@ -99,6 +100,19 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.family_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_cost_packing": op2_cost_packing,
@@ -110,6 +124,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_weak_label_quality": op10_weak_label_quality,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_bottomk_near_dedup": op13_bottomk_near_dedup,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,4 +169,34 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(folded) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY folded)""",
+    # the id's CRC-32 bit by bit; prefixes as the joined hashes of their turns
+    "op12_prefix_trie": """
+        WITH RECURSIVE crc AS (
+          SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS v
+          FROM conversations WHERE conv_id IS NOT NULL
+          UNION ALL
+          SELECT c, s, k + 1, CASE WHEN w & 1 = 1 THEN xor(w >> 1, CAST(3988292384 AS BIGINT)) ELSE w >> 1 END FROM (
+            SELECT c, s, k, CASE WHEN k % 8 = 0 THEN xor(v, CAST(ascii(substr(s, k // 8 + 1, 1)) AS BIGINT)) ELSE v END AS w
+            FROM crc WHERE k < 8 * length(s))),
+        fam AS (SELECT c, c - c % 5 AS base, xor(v, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE k = 8 * length(s)),
+        own AS (SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+                       strlen(coalesce(text, '')) AS size, turn, coalesce(role, '') AS role FROM conversations),
+        turns AS (SELECT c, t, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, t) - 1 AS place
+                  FROM own),
+        made AS (SELECT f.c, t, size, place FROM fam AS f JOIN turns AS b ON b.c = f.base AND place < h
+                 UNION ALL SELECT f.c, t, size, place FROM fam AS f JOIN turns AS o ON o.c = f.c AND place >= h),
+        p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY place) AS depth, size,
+                     string_agg(t, '') OVER (PARTITION BY c ORDER BY place) AS key FROM made
+              UNION ALL SELECT c, 0, 0, '' FROM fam),
+        node AS (SELECT key, depth, size, min(c) AS conv, count(*) AS n FROM p GROUP BY key, depth, size),
+        kids AS (SELECT substr(key, 1, length(key) - 32) AS key, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+        ends AS (SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest
+                 FROM (SELECT c, max_by(key, depth) AS key FROM p GROUP BY c) GROUP BY key),
+        sums AS (SELECT a.key, CAST(sum((u.n - 1) * u.size) AS BIGINT) AS saved,
+                        count(*) FILTER (NOT EXISTS (SELECT 1 FROM kids WHERE kids.key = u.key)) AS leaves
+                 FROM node AS u JOIN p AS a ON a.c = u.conv AND a.depth <= u.depth GROUP BY a.key)
+        SELECT v.conv AS conv_id, v.depth, up.conv AS parent_conv_id, v.n AS n_convs, coalesce(k, 0) AS n_children,
+               leaves AS n_leaves, saved AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+        FROM node AS v JOIN sums USING (key) LEFT JOIN kids USING (key) LEFT JOIN ends USING (key)
+        LEFT JOIN node AS up ON v.depth > 0 AND up.key = substr(v.key, 1, length(v.key) - 32)""",
 }

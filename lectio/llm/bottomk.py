@@ -47,6 +47,7 @@ from lectio.llm.components import components
 from lectio.llm.ngram_join import _links, _ordered, _pair_batches, _shares, _streamed_groups, _dealt, shingle_sets
 from lectio.llm.skew import counted_join
 from lectio.llm.substring import _by_slices
+from lectio.operators.joins import lookup_join
 
 WORDS = 2
 #: Threshold as 100 * shared >= PERCENT * union.
@@ -60,7 +61,7 @@ LEAST_SHARED, KEEP = 26, 0.55
 #: Members that one task compares with each other or with a centre.
 SHARE = 256
 #: Rounds of spanning forests.
-FOREST_ROUNDS = 4
+FOREST_ROUNDS = 3
 
 
 # -- sketches -------------------------------------------------------------------
@@ -71,24 +72,27 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100) if n * 100 <= percent * LISTED else LEAST_SHARED
 
 
-def sketched(src: DataFrame, words: int) -> DataFrame:
-    """id, n, k1 and k2 (128 bits of the set), sketch (the smallest hash
-    values, sorted) and z (the text, compressed) of every row."""
+def sketched(src: DataFrame, words: int, texts: bool = False) -> DataFrame:
+    """id, n, k1 and k2 (128 bits of the set) of every row, with listed (the
+    smallest hash values, sorted) and sketch (the same and more, rounded to 24
+    bits, which keeps their order), or with z (the text, compressed)."""
 
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
         for rows in _by_slices(it):
-            texts = [t.encode() for _, t in rows]
-            sets = shingle_sets(texts, words)
+            raw = [t.encode() for _, t in rows]
+            sets = shingle_sets(raw, words)
             key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
+            rest = [pa.array([z.compress(t) for t in raw], pa.binary())] if texts else [
+                pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([s[:SKETCH].astype(np.float32) for s in sets], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(key[:, 0]), pa.array(key[:, 1]),
-                 pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
-                 pa.array([z.compress(t) for t in texts], pa.binary())], schema.names)
+                 pa.array(key[:, 0]), pa.array(key[:, 1]), *rest], schema.names)
 
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("id", "n", "k1", "k2")],
-                           T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("z", T.BinaryType())])
+    kept = [T.StructField("z", T.BinaryType())] if texts else [T.StructField("listed", T.ArrayType(T.LongType())),
+                                                              T.StructField("sketch", T.ArrayType(T.FloatType()))]
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("id", "n", "k1", "k2")], *kept])
     return src.mapInArrow(run, schema)
 
 
@@ -147,7 +151,7 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """t, id, n, c and fame: the listed values of every class that two or more
     classes list, with the length of their lists and each class's mean list
     length."""
-    rows = classes.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("t"))
+    rows = classes.select("id", "n", F.explode("listed").alias("t"))
     counts = stage(rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "bottomk-counts")
     total = counts.agg(F.sum("df")).first()[0] or 0
     shared = counted_join(rows, counts.withColumn("c", F.col("df")), ["t"], total, "c")
@@ -177,13 +181,20 @@ def centre_candidates(pairs: DataFrame, sketches: DataFrame, percent: int, share
         def found():
             for part in _shares(it):  # g, centre, share, id, n, sketch
                 n = np.array([r[4] for r in part])
-                keep = kept_pairs(union_estimates([np.array(r[5], np.int64).view(np.uint64) for r in part], _whole(n)),
+                keep = kept_pairs(union_estimates([np.array(r[5], np.float32) for r in part], _whole(n)),
                                   _whole(n), n, percent)[0]
                 yield from ((part[0][1], part[k][3]) for k in np.flatnonzero(keep).tolist() if k)
 
         yield from _pair_batches(found(), ["centre", "id"])
 
-    return _dealt(pairs, sketches, share).mapInArrow(run, PAIR)
+    return _dealt(pairs, _asked(sketches, pairs), share).mapInArrow(run, PAIR)
+
+
+def _asked(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The table's rows whose id is in a pair: found before anything large is
+    shuffled, if the ids are few enough to be broadcast."""
+    ids = stage(pairs.select("id").union(pairs.select("centre")).distinct(), "bottomk-asked")
+    return lookup_join(table, ids, "id", "left_semi", skew_safe=False)
 
 
 PAIR = T.StructType([T.StructField("centre", T.LongType()), T.StructField("id", T.LongType())])
@@ -202,6 +213,11 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(chosen.select("t", "size"), "t")
 
 
+def _listed(sketches: DataFrame, rows: DataFrame) -> DataFrame:
+    ids = stage(rows.select("id").distinct(), "bottomk-asked")
+    return lookup_join(sketches, ids, "id", "left_semi", skew_safe=False)
+
+
 def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: int, forest: bool) -> DataFrame:
     """Pairs of different components in lists (t, id, component): all that the
     estimate leaves, or a spanning forest of them.  A list of more than
@@ -211,7 +227,7 @@ def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: i
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("t", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
-                       "id", "component").join(sketches, "id")
+                       "id", "component").join(_listed(sketches, rows), "id")
     dealt = rows.select("g", "id", "component", "n", "sketch").repartition("g").sortWithinPartitions("g", "id")
 
     def run(it):
@@ -220,7 +236,7 @@ def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: i
                 ids, component, n = (np.array([r[c] for r in group], np.int64) for c in (1, 2, 3))
                 if (component == component[0]).all():
                     continue
-                estimate = union_estimates([np.array(r[4], np.int64).view(np.uint64) for r in group], _whole(n))
+                estimate = union_estimates([np.array(r[4], np.float32) for r in group], _whole(n))
                 keep = kept_pairs(estimate, _whole(n), n, percent)
                 i, j = np.nonzero(np.triu(keep, 1) & (component[:, None] != component[None, :]))
                 if forest and len(i):
@@ -233,10 +249,17 @@ def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: i
     return dealt.mapInArrow(run, PAIR).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, share: int) -> DataFrame:
-    """The linked pairs, by their full sets; only their texts travel."""
-    asked = pairs.select("id").union(pairs.select("centre")).distinct()
-    return stage(_links(pairs, texts.join(asked, "id", "left_semi"), words, percent, share), "bottomk-links")
+def _verified(pairs: DataFrame, src: DataFrame, keys: DataFrame, words: int, percent: int, share: int) -> DataFrame:
+    """The linked pairs, by their full sets.  ``keys``: the classes with their
+    documents' id, k1, k2 and n.  Only the texts of classes in a pair travel:
+    they are found by id and then by their set."""
+    asked = stage(_asked(keys, pairs), "bottomk-asked")
+    names = asked.select(F.col("doc").alias("id")).distinct()
+    texts = sketched(lookup_join(src, names, "id", "left_semi", skew_safe=False), words, texts=True)
+    found = texts.withColumnRenamed("id", "doc").join(asked, ["doc", "k1", "k2", "n"]).select("id", "z")
+    # rows that repeat an id and a set would come more than once
+    packed = stage(found, "bottomk-texts").groupBy("id").agg(F.min("z").alias("z"))
+    return stage(_links(pairs, packed, words, percent, share), "bottomk-links")
 
 
 # -- the operator -------------------------------------------------------------------
@@ -248,10 +271,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     table = stage(sketched(src, words).withColumn("row", F.monotonically_increasing_id()), "bottomk-sketches")
     some = table.filter("id IS NOT NULL AND n > 0")
+    named_src = src.filter("id IS NOT NULL")
     groups = some.groupBy("k1", "k2", "n").agg(F.min("row").alias("row"))
     # a class goes by its first row's number: one id may hold several texts
-    classes = some.join(groups.select("row"), "row", "left_semi").select(F.col("row").alias("id"), "n", "sketch", "z")
-    sketches, texts = classes.select("id", "n", "sketch"), classes.select("id", "z")
+    groups = stage(groups, "bottomk-classes")
+    classes = some.join(groups.select("row"), "row", "left_semi")
+    keys = classes.select(F.col("row").alias("id"), F.col("id").alias("doc"), "k1", "k2", "n")
+    classes = classes.select(F.col("row").alias("id"), "n", "listed", "sketch")
+    sketches = classes.select("id", "n", "sketch")
     lists = inverted_lists(classes, percent)
 
     # first round: every list's documents with its most widely shared one
@@ -262,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = pairs.filter(f"100 * least(n, s.m) >= {percent} * greatest(n, s.m)")
     pairs = stage(pairs.select(F.col("s.centre").alias("centre"), "id").distinct(), "bottomk-pairs")
     pairs = stage(centre_candidates(pairs, sketches, percent, share), "bottomk-candidates")
-    links = _verified(pairs, texts, words, percent, share)
+    links = _verified(pairs, named_src, keys, words, percent, share)
     labels = components(links)
 
     rounds, last = 0, False
@@ -273,7 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             rows = rows.withColumn("at", F.row_number().over(best)).filter("at = 1")
         found = stage(list_candidates(rows.select("t", "id", "component"), sketches, percent, share, not last),
                       "bottomk-candidates")
-        more = _verified(found, texts, words, percent, share)
+        more = _verified(found, named_src, keys, words, percent, share)
         new = not more.isEmpty()
         if new:
             links = links.unionByName(more)

@@ -82,14 +82,26 @@ def last_wins(df: DataFrame, key: str, value: str, order: list[str]) -> DataFram
     return df.groupBy(key).agg(F.max_by(F.col(value), F.struct(*[F.col(c) for c in order])).alias(value))
 
 
+#: What a mixture does with a source's rows (``SourceSpec.policy``).
+POLICIES = ("train", "own", "stratify")
+
+
 @dataclass
 class SourceSpec:
-    """M4: one corpus of a training mixture."""
+    """M4: one corpus of a training mixture.
+
+    ``policy`` says how its rows are split: ``train`` only, by the source's
+    ``own`` column (``split_col``), or ``stratify``: a share of ``dev_fraction``
+    by quota per label, chosen by ``id_col``."""
     name: str
     frame: DataFrame
     text_col: str
     label: object  # column name, Column, or constant level via F.lit
     enabled: bool = True
+    policy: str = "train"
+    split_col: str = "split"
+    id_col: str | None = None
+    dev_fraction: float = 0.15
 
 
 @dataclass
@@ -101,13 +113,38 @@ class Mixture:
 
     def build(self) -> DataFrame:
         parts = [project(s.frame, s.text_col, s.label, s.name) for s in self.sources if s.enabled]
-        out = clean(union_all(parts), self.min_chars)
-        if self.shuffle_seed is not None:
-            from lectio.operators.split import shuffle_positions
-            out = shuffle_positions(out.withColumn("_rid", F.md5(F.concat_ws("\u0001", "source", "text",
-                                                                                "label"))),
-                                    "_rid", self.shuffle_seed).drop("_rid")
-        return out
+        return self._shuffled(clean(union_all(parts), self.min_chars))
+
+    def build_split(self) -> DataFrame:
+        """The mixture with a ``split`` column.  A source is cleaned before it
+        is stratified, so its quotas count the rows that stay; the sources
+        that keep their split, and those for training only, are untouched by
+        what is added to them."""
+        return self._shuffled(union_all([self._split(s) for s in self.sources if s.enabled]))
+
+    def _split(self, s: SourceSpec) -> DataFrame:
+        from lectio.operators.split import stratified_split
+
+        if s.policy not in POLICIES:
+            raise ValueError(f"{s.name}: policy {s.policy!r} is none of {POLICIES}")
+        extra = {"train": [F.lit("train").alias("split")],
+                 "own": [F.col(s.split_col).alias("split")] if s.policy == "own" else None,
+                 "stratify": [F.col(s.id_col).alias("_id")] if s.id_col else None}[s.policy]
+        if extra is None:
+            raise ValueError(f"{s.name}: a stratified source needs an id column")
+        label = s.label if not isinstance(s.label, str) else F.col(s.label)
+        rows = clean(s.frame.select(F.col(s.text_col).alias("text"), label.alias("label"), F.lit(s.name).alias("source"),
+                                    *extra), self.min_chars)
+        if s.policy == "stratify":
+            rows = stratified_split(rows, "_id", "label", s.dev_fraction)
+        return rows.select(*UNIFIED, "split")
+
+    def _shuffled(self, out: DataFrame) -> DataFrame:
+        if self.shuffle_seed is None:
+            return out
+        from lectio.operators.split import shuffle_positions
+        rid = F.md5(F.concat_ws("\u0001", "source", "text", "label"))
+        return shuffle_positions(out.withColumn("_rid", rid), "_rid", self.shuffle_seed).drop("_rid")
 
 
 def lemma_lexicon(lex_file: DataFrame, key_col: str = "lemma#pos",

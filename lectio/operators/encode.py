@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.functions import text as T
-from lectio.operators.features import ID_COLS, explode_tokens
+from lectio.operators.features import ID_COLS, ROW_KEYS, explode_tokens, keyed, rejoin
 from lectio.operators.joins import lookup_join
 from lectio.operators.sequence import with_row_number
 from lectio.session import cut_lineage
@@ -37,11 +37,11 @@ def encode_fixed(sentences: DataFrame, vocab: DataFrame | None = None, id_cols=I
     unknown words map to ``unk_id`` (or are skipped when it is None); a
     vocabulary fitted here covers every token of every text.
 
-    Every sentence has its row: one without tokens, or with unknown words
-    only, is all padding."""
+    Every row has its result, whatever its id: one without tokens, or with
+    unknown words only, is all padding."""
     sent = sentences.select(*id_cols, text_col,
                             F.size(T.whitespace_tokens(F.col(text_col))).alias("n_tokens"))
-    toks = (explode_tokens(sent, id_cols, text_col, tokenizer=T.whitespace_tokens)
+    toks = (explode_tokens(keyed(sent, text_col), id_cols, text_col, tokenizer=T.whitespace_tokens, keep=ROW_KEYS)
             .filter(F.col("token").isNotNull())
             .withColumn("word", F.lower("token")))
     if vocab is None:
@@ -53,11 +53,13 @@ def encode_fixed(sentences: DataFrame, vocab: DataFrame | None = None, id_cols=I
         ided = lookup_join(head, vocab, "word", "inner")
     else:
         ided = lookup_join(head, vocab, "word", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("tpos"), F.col("id"))))
-    found = ided.groupBy(*id_cols).agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
-    every = sent.select(*id_cols, F.greatest("n_tokens", F.lit(0)).alias("n_tokens"))
-    enc = (every.join(found, list(id_cols), "left")
-           .withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))))
+    pairs = F.collect_list(F.struct(F.col("tpos"), F.col("id")))
+    # equal rows, grouped together, give each token more than once
+    pairs = F.array_sort(F.array_distinct(pairs))
+    found = ided.groupBy(*id_cols, *ROW_KEYS).agg(F.transform(pairs, lambda x: x["id"]).alias("ids"))
+    enc = rejoin(found, sent, id_cols, text_col, ["n_tokens"], how="right")
+    enc = enc.withColumn("n_tokens", F.greatest("n_tokens", F.lit(0)))
+    enc = enc.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
     n = F.size("ids")
     pad = F.greatest(F.lit(0), F.lit(max_len) - n)
     return enc.select(

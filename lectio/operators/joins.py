@@ -12,6 +12,11 @@ seeded sample (a partial aggregation over ~1 % of the rows), their (at most
 through the shuffle.  The sample only decides which path a key takes;
 every row is joined, so results are exact whatever the sample holds, and
 keys frequent enough to unbalance a task are caught by it.
+
+Most words of a text that a lexicon lacks never reach that shuffle: a bitmap of
+the lexicon's hashed keys (a fixed number of bits, whatever the lexicon's size)
+is broadcast, and a row whose bit is clear surely has no partner.  A row whose
+bit is set by another key is only shuffled in vain.
 """
 
 from __future__ import annotations
@@ -22,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectio.session import cut_lineage
+
 DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_BROADCAST_BYTES = 256 << 20
 DEFAULT_HOT_KEYS = 10_000
 DEFAULT_HOT_SAMPLE = 0.01
+#: Bits of the bitmap of keys: 2 MB, as at most 262,144 rows of a word each.
+DEFAULT_BITMAP_BITS = 1 << 24
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -76,12 +85,33 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
         return left.join(small, on, how)
     if not skew_safe:
         return left.join(right, on, how)
-    return hot_split_join(left, right, on, how, hot_keys)
+    # read for the bitmap, the hot keys and the shuffle: computed once
+    return hot_split_join(left, cut_lineage(right), on, how, hot_keys)
+
+
+def key_bitmap(right: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """``(_word, _bits)``: the set bits of the keys' hashes, 64 to a row."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    words = right.select((F.shiftright(place, 6)).alias("_word"), place.alias("_at"))
+    one = F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")
+    return words.groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+
+
+def mark_absent(left: DataFrame, right: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """``left`` with ``_absent``: true where ``right`` surely lacks the key (a
+    null key is absent), false where it may hold it."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    probed = left.withColumn("_at", place).withColumn("_word", F.shiftright("_at", 6))
+    probed = probed.join(F.broadcast(key_bitmap(right, keys, bits)), "_word", "left")
+    clear = F.expr("COALESCE(_bits, 0L) & shiftleft(1L, CAST(_at & 63 AS INT))") == 0
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return probed.withColumn("_absent", clear | null).drop("_word", "_at", "_bits")
 
 
 def hot_split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left",
                    hot_keys: int | None = None, sample: float | None = None) -> DataFrame:
-    """Exact shuffle join whose most frequent keys bypass the shuffle."""
+    """Exact shuffle join; rows with a frequent key and rows whose key
+    ``right`` surely lacks bypass the shuffle."""
     keys = [on] if isinstance(on, str) else list(on)
     k = hot_keys or _conf_int(left, "lectio.join.hotKeys", DEFAULT_HOT_KEYS)
     frac = sample if sample is not None else float(
@@ -91,9 +121,13 @@ def hot_split_join(left: DataFrame, right: DataFrame, on: str | list[str], how:
            .orderBy(F.desc("count"), *keys).limit(k).select(*keys))
     # fixed once (at most k rows): both uses below must see the same set
     hot = left.sparkSession.createDataFrame(top.collect(), top.schema).withColumn("_hot", F.lit(True))
-    marked = left.join(F.broadcast(hot), keys, "left")
-    hot_rows = marked.filter(F.col("_hot").isNotNull()).drop("_hot")
-    cold_rows = marked.filter(F.col("_hot").isNull()).drop("_hot")
+    bits = _conf_int(left, "lectio.join.bitmapBits", DEFAULT_BITMAP_BITS)
+    marked = mark_absent(left, right, keys, bits) if bits else left.withColumn("_absent", F.lit(False))
+    marked = marked.join(F.broadcast(hot), keys, "left")
+    aside = F.col("_hot").isNotNull() | F.col("_absent")
+    # an absent key meets nothing among the hot rows either: no partner
+    hot_rows = marked.filter(aside).drop("_hot", "_absent")
+    cold_rows = marked.filter(~aside).drop("_hot", "_absent")
     hot_right = F.broadcast(right.join(F.broadcast(hot.drop("_hot")), keys, "left_semi"))
     parts = [hot_rows.join(hot_right, keys, how), cold_rows.join(right, keys, how)]
     return reduce(lambda a, b: a.unionByName(b), parts)

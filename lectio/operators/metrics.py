@@ -13,7 +13,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectio.functions.levels import N_LEVELS
@@ -91,6 +91,13 @@ def qwk(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred", labels: s
     return kappa_from_moments(kappa_moments(confusion(df, gold_col, pred_col), labels))
 
 
+def grouped_qwk(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """A9 on the fixed scale for every group of ``keys``: ``counts`` holds
+    their (gold, pred, n)."""
+    moments = counts.withColumns({"a": F.col("gold"), "b": F.col("pred")}).groupBy(*keys).agg(*_moment_aggs())
+    return moments.select(*keys, _kappa_expr().alias("qwk"), F.col("n").cast("long").alias("n"))
+
+
 def equal_width_bands(spark: SparkSession, widths=(7, 5, 3), n_levels: int = N_LEVELS) -> DataFrame:
     """A band table ``level -> band_k`` cutting 1..n into k equal widths."""
     lv = spark.range(1, n_levels + 1).select(F.col("id").alias("level"))
@@ -149,6 +156,30 @@ def row_counts(df: DataFrame, counts: dict) -> DataFrame:
     return sums.select(F.inline(F.array(*pairs)))
 
 
+class StageCounts:
+    """A7 from the job that writes a stage: counts ride on the rows as they
+    pass (:meth:`count`), so no scan is made for them.  They are known once the
+    job has run.  A stage that is written without a shuffle after the counted
+    rows is counted exactly; a task that runs again counts once."""
+
+    def __init__(self):
+        self.observations: list[tuple[Observation, list[str]]] = []
+
+    def count(self, df: DataFrame, counts: dict) -> DataFrame:
+        """``df``, counted: ``counts`` gives each stage's rows per row."""
+        seen, names = Observation(), list(counts)
+        self.observations.append((seen, names))
+        return df.observe(seen, *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"c{i}")
+                                  for i, c in enumerate(counts.values())])
+
+    def values(self) -> dict[str, int]:
+        """The counts of jobs that have run."""
+        return {name: seen.get[f"c{i}"] for seen, names in self.observations for i, name in enumerate(names)}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.values().items()), "stage string, n_rows long")
+
+
 try:  # V4: the kappa as a Spark ML evaluator (usable in CrossValidator)
     from pyspark.ml.evaluation import Evaluator
     from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol

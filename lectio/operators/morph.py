@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.functions import text as T
-from lectio.operators.features import ID_COLS, _ratio, explode_tokens
+from lectio.operators.features import ID_COLS, ROW_KEYS, count_rows, explode_tokens, keyed, repeated, score_aggregates
 from lectio.operators.joins import lookup_join
 
 
@@ -58,8 +58,10 @@ def segmented_form(c_token="token", c_form="d3tok_form"):
 
 
 def ordered_join(form_col: str = "form", order_col: str = "tpos", sep: str = " "):
-    """F19 as an aggregate: forms joined in token order."""
+    """F19 as an aggregate: forms joined in token order.  Equal rows, grouped
+    together, give each token more than once; one is taken."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order_col), F.col(form_col))))
+    pairs = F.when(F.count(F.when(F.col(order_col) == 0, 1)) > 1, F.array_distinct(pairs)).otherwise(pairs)
     return F.array_join(F.transform(pairs, lambda x: x[form_col]), sep)
 
 
@@ -69,18 +71,17 @@ def morph_text(sentences: DataFrame, analyses: DataFrame, id_cols=ID_COLS,
     """Segmented text per sentence, plus (when a ``lemma#pos`` lexicon
     is given) A3's mean/max scores, in one aggregation on the sentence key.
     ``keep``: per-sentence columns (e.g. the label) carried through as
-    grouping keys, so no join back is needed.
+    grouping keys, so no join back is needed.  One row per row of
+    ``sentences``, whatever its id.
     """
     # A null or blank sentence is segmented to ""
-    sent = sentences.select(*id_cols, *keep, T.blank_to_empty(text_col).alias(text_col))
-    toks = explode_tokens(sent, id_cols, text_col, tokenizer=T.word_tokens, keep=keep)
+    sent = keyed(sentences.select(*id_cols, *keep, T.blank_to_empty(text_col).alias(text_col)), text_col)
+    toks = explode_tokens(sent, id_cols, text_col, tokenizer=T.word_tokens, keep=(*keep, *ROW_KEYS))
     if lemma_pos_lexicon is not None:
         analyses = scored_analyses(analyses, lemma_pos_lexicon)
     analysed = analyse_tokens(toks, analyses).withColumn("form", segmented_form())
-    aggs = [F.coalesce(ordered_join(), F.lit("")).alias("d3tok_text")]
+    aggs = [count_rows(), F.coalesce(ordered_join(), F.lit("")).alias("d3tok_text")]
     if lemma_pos_lexicon is not None:
-        aggs += [
-            _ratio(F.coalesce(F.sum("lp_score"), F.lit(0.0)), F.count("lp_score")).alias("avg_readability"),
-            F.coalesce(F.max("lp_score"), F.lit(0.0)).alias("max_readability"),
-        ]
-    return analysed.groupBy(*id_cols, *keep).agg(*aggs)
+        aggs += score_aggregates()
+    found = analysed.groupBy(*id_cols, *keep, *ROW_KEYS).agg(*aggs)
+    return repeated(found).drop(*ROW_KEYS)

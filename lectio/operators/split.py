@@ -10,9 +10,11 @@ smallest key of each class (its *cutoff*) is found by refining key-prefix
 histograms: each round is one scan with a map-side-combined count per
 (class, next 4 hex digits), leaving only the rows of one bucket per class as
 candidates; when the candidates are few, a histogram of the rest of their keys
-fixes the cutoff.  Rows are then labelled ``dev`` iff ``key <= cutoff`` through
-a broadcast join of one row per class.  Nothing is sorted globally and no
-class is gathered into one task.
+fixes the cutoff.  Rows are then labelled ``dev`` iff ``key <= cutoff``.  Where
+a quota ends among rows with one key (a repeated id), these rows are numbered by
+a distributed sort.  Quotas and cutoffs are tables with a row per class, joined
+by label: there may be as many classes as rows, and nothing about them is
+gathered by the driver.  Nothing is sorted within a class either.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectio.operators.joins import lookup_join
 from lectio.operators.sequence import with_row_number
 from lectio.session import cut_lineage
 
@@ -33,8 +36,9 @@ DIGITS_PER_ROUND = 4
 
 
 def split_key(id_col, seed: str = DEFAULT_SEED):
+    """md5 of ``seed:id``; a null id has a key as well, that of an empty one."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(c.cast("string"), F.lit(""))))
 
 
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -43,9 +47,9 @@ def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def quotas(counts: list[tuple], test_fraction: float) -> tuple[dict, list]:
-    """Dev rows per class: ``ceil(f·N)`` in total, split by largest
-    remainder (ties by label).  Classes with fewer than two rows stay in
-    train and are reported."""
+    """Dev rows per class of a short list of counts: ``ceil(f·N)`` in total,
+    split by largest remainder (ties by label).  Classes with fewer than two
+    rows stay in train and are reported."""
     total = sum(n for _, n in counts)
     n_dev = math.ceil(test_fraction * total)
     out, rems, singles = {}, [], []
@@ -63,34 +67,60 @@ def quotas(counts: list[tuple], test_fraction: float) -> tuple[dict, list]:
     return out, singles
 
 
-def _cutoffs(keyed: DataFrame, need: dict, total: int, candidates: int) -> list[tuple]:
+def quota_table(counts: DataFrame, test_fraction: float) -> DataFrame:
+    """The same for any number of classes: ``(label, need)`` from ``(label,
+    n)`` without null labels."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    n_dev = math.ceil(test_fraction * total)
+    product, every = f"CAST(CAST({n_dev} AS DECIMAL(38,0)) * n AS DECIMAL(38,0))", max(total, 1)
+    parts = counts.select("label", F.expr(f"IF(n < 2, 0L, {product} DIV {every})").alias("q"),
+                          F.expr(f"IF(n < 2, NULL, CAST({product} % {every} AS BIGINT))").alias("rem"))
+    parts = cut_lineage(parts)
+    left = n_dev - (parts.agg(F.sum("q")).first()[0] or 0)
+    ranked = with_row_number(parts.filter("rem IS NOT NULL"), [F.desc("rem"), "label"], "place")
+    more = ranked.select("label", (F.col("q") + (F.col("place") <= left).cast("long")).alias("need"))
+    return cut_lineage(more.unionByName(parts.filter("rem IS NULL").select("label", F.col("q").alias("need"))))
+
+
+def _cutoffs(keyed: DataFrame, need: DataFrame, total: int, candidates: int) -> DataFrame:
     """``(label, cutoff, take, there)``: the ``need``-th smallest ``key`` of
     each class, how many rows with that key to take, and how many there are.
 
-    ``keyed``: ``(label, key)``; ``total``: its rows.
-    """
-    spark = keyed.sparkSession
-    kind = keyed.schema["label"].dataType.simpleString()
-    state = spark.createDataFrame([(k, "", v) for k, v in need.items()], f"label {kind}, prefix string, need long")
+    ``keyed``: ``(label, key)``; ``total``: its rows; ``need``: ``(label,
+    need)``, positive."""
+    state = need.select("label", F.lit("").alias("prefix"), "need")
     depth, left = 0, total
     while True:
-        st = F.broadcast(state)
-        cand = (keyed.withColumn("prefix", F.substring("key", 1, depth) if depth else F.lit(""))
-                .join(st, ["label", "prefix"], "inner"))
+        prefix = F.substring("key", 1, depth) if depth else F.lit("")
+        cand = lookup_join(keyed.withColumn("prefix", prefix), state, ["label", "prefix"], "inner")
         step = min(DIGITS_PER_ROUND, 32 - depth) if left > candidates else 32 - depth
         # rows per next digits; the whole rest of the key once candidates are few
         hist = (cand.withColumn("bucket", F.substring("key", depth + 1, step))
                 .groupBy("label", "prefix", "need", "bucket").agg(F.count(F.lit(1)).alias("n")))
-        w = Window.partitionBy("label").orderBy("bucket")
+        w = Window.partitionBy("label").orderBy("bucket")  # the buckets of a class, not its rows
         hist = hist.withColumn("cum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         before = F.col("cum") - F.col("n")
-        chosen = (hist.filter((before < F.col("need")) & (F.col("need") <= F.col("cum")))
-                  .select("label", F.concat("prefix", "bucket").alias("prefix"),
-                          (F.col("need") - before).alias("need"), "n")).collect()  # one row per class
-        depth, left = depth + step, sum(r["n"] for r in chosen)
+        chosen = cut_lineage(hist.filter((before < F.col("need")) & (F.col("need") <= F.col("cum")))
+                             .select("label", F.concat("prefix", "bucket").alias("prefix"),
+                                     (F.col("need") - before).alias("need"), "n"))
+        depth, left = depth + step, chosen.agg(F.sum("n")).first()[0] or 0
         if depth >= 32:
-            return [(r["label"], r["prefix"], r["need"], r["n"]) for r in chosen]
-        state = spark.createDataFrame([tuple(r)[:3] for r in chosen], state.schema)
+            return chosen.toDF("label", "cutoff", "take", "there")
+        state = chosen.drop("n")
+
+
+def _places(ties: DataFrame, label_col: str) -> DataFrame:
+    """``_place``, from 1, of every row among those of its label: the rows are
+    written with their position, sorted by label and position over many tasks,
+    and each label's first number is taken off."""
+    from lectio.session import scratch_path
+
+    path = scratch_path(ties.sparkSession, "split-ties")
+    ties.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = with_row_number(ties.sparkSession.read.parquet(path), [label_col, "_at"], "_number")
+    first = numbered.groupBy(label_col).agg(F.min("_number").alias("_first"))
+    placed = lookup_join(numbered, first, label_col, "inner")
+    return placed.withColumn("_place", F.col("_number") - F.col("_first") + 1).drop("_at", "_number", "_first")
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction: float = 0.15,
@@ -101,32 +131,34 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction:
     Rows without a label belong to no class: their ``split`` is null, and
     their number is logged.  Rows that repeat an id are told apart only where
     the quota ends among them, so it is met exactly."""
-    counts = {r[label_col]: r["n"] for r in class_counts(df, label_col).collect()}  # one row per class
-    missing = counts.pop(None, 0)
+    columns = [c for c in df.columns if c != split_col]
+    counts = cut_lineage(class_counts(df.select(F.col(label_col).alias("label")), "label"))
+    missing = counts.filter("label IS NULL").agg(F.sum("n")).first()[0]
     if missing:
         LOG.warning("stratified split: %d rows without a label are in neither part", missing)
-    q, singles = quotas(list(counts.items()), test_fraction)
+    counts = counts.filter("label IS NOT NULL")
+    singles = counts.filter("n < 2").count()
     if singles:
-        LOG.warning("stratified split: classes with one row stay in train: %s", singles)
-    need = {k: v for k, v in q.items() if v > 0}
+        LOG.warning("stratified split: %d classes with one row stay in train", singles)
+    need = quota_table(counts, test_fraction).filter("need > 0").select("label", "need")
     keyed = df.select(F.col(label_col).alias("label"), split_key(id_col, seed).alias("key")).filter("label IS NOT NULL")
-    cut = _cutoffs(cut_lineage(keyed), need, sum(counts.values()), candidates) if need else []
-    kind = keyed.schema["label"].dataType.simpleString()
-    table = F.broadcast(df.sparkSession.createDataFrame(cut, f"_lab {kind}, _cutoff string, _take long, _there long"))
-    out = df.withColumn("_key", split_key(id_col, seed)).join(table, F.col(label_col) == F.col("_lab"), "left")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    cut = _cutoffs(cut_lineage(keyed), need, total, candidates)
+    cut = cut.select(F.col("label").alias("_lab"), F.col("cutoff").alias("_cutoff"), F.col("take").alias("_take"),
+                     F.col("there").alias("_there"))
+    rows = df.select(*columns).withColumns({"_key": split_key(id_col, seed), "_lab": F.col(label_col)})
+    out = lookup_join(rows, cut, "_lab", "left")
     dev = F.coalesce(F.col("_key") <= F.col("_cutoff"), F.lit(False))
 
     def marked(rows: DataFrame, is_dev) -> DataFrame:
         value = F.when(is_dev, "dev").otherwise("train")
-        return (rows.withColumn(split_col, F.when(F.col(label_col).isNotNull(), value))
-                .drop("_key", "_lab", "_cutoff", "_take", "_there", "_place"))
+        return rows.withColumn(split_col, F.when(F.col(label_col).isNotNull(), value)).select(*columns, split_col)
 
-    if all(take == there for _, _, take, there in cut):
+    if cut.filter("_take < _there").isEmpty():
         return marked(out, dev)
     # some class's quota ends among rows with one id: number those rows
     tied = F.coalesce((F.col("_key") == F.col("_cutoff")) & (F.col("_take") < F.col("_there")), F.lit(False))
-    place = F.row_number().over(Window.partitionBy("_lab").orderBy("_key"))
-    ties = out.filter(tied).withColumn("_place", place)
+    ties = _places(out.filter(tied), "_lab")
     return marked(out.filter(~tied), dev).unionByName(marked(ties, F.col("_place") <= F.col("_take")))
 
 

@@ -175,6 +175,12 @@ def lexicon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "lexicon", lambda: derived_lexicon(documents(spark, sf_dir)))
 
 
+def dictionary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon as a lookup table: one row per lower-cased word."""
+    from lectio.operators.features import one_score
+    return stored(spark, sf_dir, "dictionary", lambda: one_score(lexicon_table(spark, sf_dir), fold_case=True))
+
+
 def analyses_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses with the first (top-scored) analysis per word kept."""
     from lectio.operators.morph import first_analysis

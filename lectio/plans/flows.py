@@ -38,6 +38,23 @@ def document_levels(docs: DataFrame, analyses: DataFrame, model, ids: DataFrame
     return submission_frame(filled, "doc_id", "level", header)
 
 
+def segmented(labelled: DataFrame, analyses: DataFrame, id_cols=("doc_id", "pos"), keep: tuple = ("label",)) -> DataFrame:
+    """Labelled sentences with their segmented text (``d3tok_text``)."""
+    return morph_text(labelled, analyses, id_cols, keep=keep)
+
+
+def document_class_levels(docs: DataFrame, analyses: DataFrame, model, ids: DataFrame | None = None,
+                          header: tuple = ("Document ID", "Prediction")) -> DataFrame:
+    """M11 with a word classifier: F2 -> M10 -> M6 -> A2 -> J1 -> K4."""
+    from lectio.operators.bayes import bayes_levels
+    from lectio.operators.rollup import doc_level_from_levels
+
+    sent = sentences(docs.select("doc_id", "text"), "clean")
+    levels = bayes_levels(model, morph_text(sent, analyses), "d3tok_text", ["doc_id", "pos"])
+    filled = fill_levels((ids if ids is not None else docs).select("doc_id"), doc_level_from_levels(levels))
+    return submission_frame(filled, "doc_id", "level", header)
+
+
 def sentence_levels_python(sums: DataFrame, id_cols=("doc_id", "pos")) -> DataFrame:
     """V2: score A4's sums with a user NumPy model in Arrow batches of 128."""
     import pandas as pd

@@ -254,3 +254,159 @@ ranked AS (SELECT s.*, row_number() OVER (PARTITION BY {label} ORDER BY md5('42:
            FROM {src} s),
 split AS (SELECT r.*, CASE WHEN r.rk <= q1.quota THEN 'dev' ELSE 'train' END AS split
           FROM ranked r JOIN q1 ON r.{label} = q1.label)"""
+
+
+# ------------------------------------------------------------------ fitted models
+
+
+def gauss(name: str, src: str, keys: str = "", width: str = "len(m)") -> str:
+    """CTEs that solve ``src``'s systems ``m`` (rows of an augmented matrix) by
+    Gauss-Jordan elimination; ``name`` holds the keys and the solution ``x``."""
+    k = f"{keys}, " if keys else ""
+    return f"""{name}_steps AS (
+  SELECT {k}1 AS k, m FROM {src}
+  UNION ALL
+  SELECT {k}k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k
+      THEN list_transform(m[k], lambda v: v / m[k][k])
+      ELSE list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END)
+  FROM {name}_steps WHERE k <= {width}),
+{name} AS (SELECT {k}list_transform(m, lambda r: r[len(r)]) AS x FROM {name}_steps WHERE k = len(m) + 1)"""
+
+
+#: Noisy gold level of a sentence that its words explain in part.
+NOISY_GOLD = "least(greatest(n_words // 4 + (7 * doc_id + 3 * pos) % 5, 1), 19)"
+FOLD = "CAST(('0x' || substr(md5('42:' || doc_id), 1, 8)) AS BIGINT) % 5"
+
+ORDINAL_DATA = f"""data AS (
+  SELECT doc_id, pos, CAST({NOISY_GOLD} AS INTEGER) AS gold, {FOLD} AS fold,
+         [CAST(n_chars AS DOUBLE), CAST(n_words AS DOUBLE), CAST(sum_len AS DOUBLE) / CAST(n_words AS DOUBLE),
+          CAST(sum_diff AS DOUBLE) / CAST(n_words AS DOUBLE), CAST(max_diff AS DOUBLE), CAST(n_hard AS DOUBLE),
+          CAST(n_oov AS DOUBLE) / CAST(n_words AS DOUBLE)] AS x FROM sums)"""
+
+
+def ordinal_fit(steps: int, reg: float, d: int = 7) -> str:
+    """The cumulative-link model of ``data`` (fold 0 left out): ``fitted(w,
+    cuts)``, ``labs(gold, y)`` and ``scaled(doc_id, pos, gold, fold, z)``."""
+    parts = [f"""stat AS (
+  SELECT list(a ORDER BY i) AS a, list(CASE WHEN s = 0 THEN 1.0 ELSE s END ORDER BY i) AS s FROM (
+    SELECT i, avg(x[i]) AS a, stddev_pop(x[i]) AS s FROM data, range(1, {d + 1}) t(i) WHERE fold <> 0 GROUP BY i))""", """scaled AS MATERIALIZED (
+  SELECT doc_id, pos, gold, fold, list_transform(range(1, len(x) + 1), lambda i: (x[i] - a[i]) / s[i]) AS z FROM data, stat)""", """labs AS (
+  SELECT gold, row_number() OVER (ORDER BY gold) AS y, n, sum(n) OVER (ORDER BY gold) AS below, sum(n) OVER () AS total
+  FROM (SELECT gold, count(*) AS n FROM data WHERE fold <> 0 GROUP BY gold))""", "kk AS (SELECT max(y) AS k FROM labs)", """train AS MATERIALIZED (
+  SELECT z, y FROM scaled JOIN labs USING (gold) WHERE fold <> 0)""", f"""p0 AS (
+  SELECT list(ln((below + 0.5) / (total - below + 0.5)) ORDER BY y) AS cuts, [{', '.join(['0.0'] * d)}] AS w
+  FROM labs, kk WHERE y < k)"""]
+    for t in range(steps):
+        parts.append(f"""r{t} AS MATERIALIZED (
+  SELECT z, y, k, u, l, uu, ll, ul, -(u + l) AS e, uu + 2 * ul + ll AS ee, -(uu + ul) AS eu, -(ul + ll) AS el FROM (
+    SELECT z, y, k, a AS u, -b AS l, a2 - a * a AS uu, -b2 - b * b AS ll, a * b AS ul FROM (
+      SELECT z, y, k, du / p AS a, dl / p AS b, du * (1 - 2 * fu) / p AS a2, dl * (1 - 2 * fl) / p AS b2 FROM (
+        SELECT *, greatest(fu - fl, 1e-12) AS p, fu * (1 - fu) AS du, fl * (1 - fl) AS dl FROM (
+          SELECT z, y, k, CASE WHEN y = k THEN 1.0 ELSE 1.0 / (1.0 + exp(eta - cuts[least(y, k - 1)])) END AS fu,
+                 CASE WHEN y = 1 THEN 0.0 ELSE 1.0 / (1.0 + exp(eta - cuts[greatest(y - 1, 1)])) END AS fl
+          FROM (SELECT z, y, k, cuts, list_sum(list_transform(range(1, {d + 1}), lambda i: w[i] * z[i])) AS eta
+                FROM train, kk, p{t}))))))""")
+        parts.append(f"""g{t} AS (
+  SELECT j AS i, sum(e * z[j]) AS v FROM r{t}, range(1, {d + 1}) t(j) GROUP BY j
+  UNION ALL SELECT {d} + y, sum(u) FROM r{t} WHERE y < k GROUP BY y
+  UNION ALL SELECT {d} + y - 1, sum(l) FROM r{t} WHERE y > 1 GROUP BY y)""")
+        parts.append(f"""half{t} AS (
+  SELECT a AS i, b AS j, sum(ee * z[a] * z[b]) AS v FROM r{t}, range(1, {d + 1}) t(a), range(1, {d + 1}) s(b) GROUP BY a, b
+  UNION ALL SELECT a, {d} + y, sum(eu * z[a]) FROM r{t}, range(1, {d + 1}) t(a) WHERE y < k GROUP BY a, y
+  UNION ALL SELECT a, {d} + y - 1, sum(el * z[a]) FROM r{t}, range(1, {d + 1}) t(a) WHERE y > 1 GROUP BY a, y
+  UNION ALL SELECT {d} + y, {d} + y, sum(uu) FROM r{t} WHERE y < k GROUP BY y
+  UNION ALL SELECT {d} + y - 1, {d} + y - 1, sum(ll) FROM r{t} WHERE y > 1 GROUP BY y
+  UNION ALL SELECT {d} + y - 1, {d} + y, sum(ul) FROM r{t} WHERE y > 1 AND y < k GROUP BY y)""")
+        parts.append(f"""h{t} AS (
+  SELECT i, j, sum(v) AS v FROM (SELECT * FROM half{t} UNION ALL SELECT j, i, v FROM half{t} WHERE i <> j AND (i <= {d} AND j > {d} OR i > {d}))
+  GROUP BY i, j)""")
+        parts.append(f"""m{t} AS MATERIALIZED (
+  SELECT list(line ORDER BY i) AS m FROM (
+    SELECT i, list(v ORDER BY j) AS line FROM (
+      SELECT a.i, b.j, CASE WHEN b.j <= {d} + k - 1
+               THEN CASE WHEN a.i = b.j AND a.i <= {d} THEN CAST({reg} AS DOUBLE) ELSE 0.0 END - coalesce(h.v, 0.0)
+               ELSE coalesce(g.v, 0.0) - CASE WHEN a.i <= {d} THEN {reg} * w[a.i] ELSE 0.0 END END AS v
+      FROM kk, p{t}, unnest(range(1, {d} + k)) a(i), unnest(range(1, {d} + k + 1)) b(j)
+      LEFT JOIN h{t} h ON h.i = a.i AND h.j = b.j LEFT JOIN (SELECT i, sum(v) AS v FROM g{t} GROUP BY i) g ON g.i = a.i)
+    GROUP BY i))""")
+        parts.append(gauss(f"x{t}", f"m{t}"))
+        parts.append(f"""p{t + 1} AS MATERIALIZED (
+  SELECT list_transform(range(1, len(cuts) + 1), lambda i: cuts[i] + x[{d} + i]) AS cuts,
+         list_transform(range(1, {d + 1}), lambda i: w[i] + x[i]) AS w FROM p{t}, x{t})""")
+    return ",\n".join([*parts, f"fitted AS (SELECT w, cuts FROM p{steps})"])
+
+
+ORDINAL_LEVELS = """ordinal AS (
+  SELECT doc_id, pos, gold, CAST(seen[1 + len(list_filter(cuts, lambda c: c < eta))] AS INTEGER) AS level FROM (
+    SELECT doc_id, pos, gold, cuts, list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * z[i])) AS eta
+    FROM scaled, fitted), (SELECT list(gold ORDER BY y) AS seen FROM labs))"""
+
+
+def bayes_levels(texts: str) -> str:
+    """Naive Bayes of ``texts(doc_id, pos, text, label, fold)``, fitted without
+    fold 0: ``bayes(doc_id, pos, label, fold, level)``."""
+    def log(num, den):
+        return f"CAST(floor(ln(CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE)) * 1000000.0 + 0.5) AS BIGINT)"
+
+    return f"""btok AS (
+  SELECT doc_id, pos, label, fold, unnest(regexp_extract_all(lower(text), '{NWS}+')) AS word FROM {texts}),
+bcount AS (SELECT label, word, count(*) AS n FROM btok WHERE fold <> 0 GROUP BY label, word),
+bsize AS (SELECT count(DISTINCT word) AS size FROM bcount),
+bclass AS (
+  SELECT c.label, {log('c.n', '(sum(c.n) OVER ())')} AS prior, coalesce(t.n, 0) + size AS mass
+  FROM (SELECT label, count(*) AS n FROM {texts} WHERE fold <> 0 GROUP BY label) c CROSS JOIN bsize
+  LEFT JOIN (SELECT label, sum(n) AS n FROM bcount GROUP BY label) t ON t.label = c.label),
+bweight AS (
+  SELECT w.word, c.label, {log('(coalesce(b.n, 0) + 1)', 'c.mass')} AS v
+  FROM (SELECT DISTINCT word FROM bcount) w CROSS JOIN bclass c LEFT JOIN bcount b ON b.word = w.word AND b.label = c.label),
+bscore AS (
+  SELECT s.doc_id, s.pos, c.label AS class, c.prior + coalesce(sum(w.v), 0) AS score
+  FROM {texts} s CROSS JOIN bclass c LEFT JOIN btok t ON t.doc_id = s.doc_id AND t.pos = s.pos
+  LEFT JOIN bweight w ON w.word = t.word AND w.label = c.label GROUP BY s.doc_id, s.pos, c.label, c.prior),
+bayes AS (
+  SELECT s.doc_id, s.pos, s.label, s.fold, CAST(b.class AS INTEGER) AS level FROM {texts} s JOIN (
+    SELECT doc_id, pos, class FROM bscore
+    QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, class) = 1) b
+  ON b.doc_id = s.doc_id AND b.pos = s.pos)"""
+
+
+def ridge_vectors(dims: int) -> str:
+    """``hyb(vec_id, y, fold, x)``: an intercept, ``dims`` of the embedding's
+    entries and the document's seven features, as integers."""
+    def whole(x):
+        return f"CAST(floor(CAST({x} AS DOUBLE) * 1000.0 + 0.5) AS BIGINT)"
+
+    feats = ["n_chars", "n_words", "CAST(sum_len AS DOUBLE) / CAST(n_words AS DOUBLE)",
+             "CAST(sum_diff AS DOUBLE) / CAST(n_words AS DOUBLE)", "max_diff", "n_hard",
+             "CAST(n_oov AS DOUBLE) / CAST(n_words AS DOUBLE)"]
+    entries = ["1000"] + [whole(f"e.embedding[{i + 1}]") for i in range(dims)]
+    entries += [f"coalesce({whole(f)}, 0)" for f in feats]
+    return f"""hyb AS MATERIALIZED (
+  SELECT e.vec_id, CAST(e.label AS BIGINT) + 1 AS y, {FOLD.replace("doc_id", "vec_id")} AS fold, [{', '.join(entries)}] AS x
+  FROM embeddings e LEFT JOIN sums u ON u.doc_id = e.vec_id)"""
+
+
+def gram_systems(groups: str, regs: list[float]) -> str:
+    """``rsys(reg, fold, m)``: scaled ridge systems for every penalty and every
+    row of ``groups(fold, i, j, v)``, j one past the last being X'y."""
+    table = ", ".join(f"({r})" for r in regs)
+    return f"""dim AS (SELECT max(j) - 1 AS d FROM {groups}),
+products AS (SELECT fold, i, j, CAST(v AS DOUBLE) AS v FROM {groups}
+         UNION ALL SELECT fold, j, i, CAST(v AS DOUBLE) FROM {groups}, dim WHERE i < j AND j <= d),
+size AS (SELECT fold, i, CASE WHEN v = 0 THEN 1.0 ELSE sqrt(v) END AS s FROM products WHERE i = j),
+rsys AS MATERIALIZED (
+  SELECT reg, fold, list(line ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (
+    SELECT reg, b.fold, b.i, any_value(a.s) AS s,
+           list(b.v / a.s / coalesce(c.s, 1.0) + CASE WHEN b.i = b.j AND b.i > 1 THEN reg ELSE 0.0 END ORDER BY b.j) AS line
+    FROM products b JOIN size a ON a.fold = b.fold AND a.i = b.i LEFT JOIN size c ON c.fold = b.fold AND c.i = b.j,
+         (VALUES {table}) t(reg) GROUP BY reg, b.fold, b.i) GROUP BY reg, fold),
+{gauss('rsol', 'rsys', 'reg, fold, s')},
+ridge AS (SELECT CAST(reg AS DOUBLE) AS reg, fold, list_transform(range(1, len(x) + 1), lambda i: x[i] / s[i]) AS w FROM rsol)"""
+
+
+def gram_of(rows: str, fold: str = "fold") -> str:
+    return f"""SELECT {fold} AS fold, i, j, CAST(sum(CAST(x[i] AS HUGEINT) * (CASE WHEN j > len(x) THEN y ELSE x[j] END)) AS HUGEINT) AS v
+  FROM {rows}, range(1, 100) a(i), range(1, 101) b(j) WHERE i <= len(x) AND j <= len(x) + 1 AND i <= j GROUP BY 1, i, j"""
+
+
+DOT = "list_sum(list_transform(range(1, len(x) + 1), lambda i: CAST(x[i] AS DOUBLE) * w[i]))"

@@ -75,6 +75,12 @@ def _pipeline_inputs(spark: SparkSession, sf: str):
     return docs, sent, lex
 
 
+def _scoring_inputs(spark: SparkSession, sf: str):
+    """Sentences and the stored dictionary they are looked up in."""
+    _, sent, _ = _pipeline_inputs(spark, sf)
+    return sent, fx.dictionary_table(spark, sf)
+
+
 @register("lexical_features", O.with_(O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN, O.SUMS) + """
 SELECT doc_id, pos,
   CASE WHEN n_words > 0 THEN CAST(n_chars AS DOUBLE) ELSE 0.0 END AS f_chars,
@@ -86,8 +92,8 @@ SELECT doc_id, pos,
   CASE WHEN n_words > 0 THEN CAST(n_oov AS DOUBLE) / CAST(n_words AS DOUBLE) ELSE 0.0 END AS f_oov_share
 FROM sums""")
 def q_lexical_features(spark: SparkSession, sf: str) -> DataFrame:
-    _, sent, lex = _pipeline_inputs(spark, sf)
-    return feat.lexical_features(sent, lex, fold_case=True)
+    sent, words = _scoring_inputs(spark, sf)
+    return feat.lexical_features(sent, words, fold_case=True)
 
 
 @register("lexical_features_cased", O.with_(O.SPLIT, O.SENT_CLEAN, O.CASED_LEX, O.TOK_CLEAN, O.CASED_SUMS) + """
@@ -110,10 +116,10 @@ def q_lexical_features_cased(spark: SparkSession, sf: str) -> DataFrame:
 # -------------------------------------------------------------- document level
 
 def sentence_raw_scores(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
-    d, sent, lex = _pipeline_inputs(spark, sf)
+    sent, words = _scoring_inputs(spark, sf)
     if docs is not None:
         sent = sentences(docs.select("doc_id", "text"), "clean")
-    return rollup.linear_score(feat.lexical_sums(sent, lex, fold_case=True))
+    return rollup.linear_score(feat.lexical_sums(sent, words, fold_case=True))
 
 
 @register("doc_level_max", O.with_(*O.DOC_FLOW) + "SELECT doc_id, level FROM doc_level")
@@ -225,19 +231,17 @@ UNION ALL SELECT 'tokens', count(*) FROM tok
 UNION ALL SELECT 'lexicon', count(*) FROM lex
 UNION ALL SELECT 'test_documents', count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
 def q_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The stages that come from documents row by row in one scan; lines
-    and tokens are counted where the text is read."""
+    """Documents, lines, sentences, tokens and test documents as the job
+    that writes the sentences counts them; the lexicon as stored."""
     tests = fx.table(spark, sf, "labels").select("doc_id", F.lit(1).alias("in_test")).distinct()
     docs = lookup_join(fx.documents(spark, sf).select("doc_id", "text"), tests, "doc_id", "left", skew_safe=False)
-    lines = T.split_lines("text")
-
-    def size(c):
-        return F.when(F.col("text").isNotNull(), F.size(c)).otherwise(0)
-
-    rows = M.row_counts(docs, {
-        "documents": F.lit(1), "sentences_raw": size(lines), "sentences_clean": size(F.filter(lines, T.has_text)),
-        "tokens": size(T.whitespace_tokens("text")), "test_documents": F.coalesce("in_test", F.lit(0))})
-    return rows.unionByName(M.stage_counts({"lexicon": fx.lexicon_table(spark, sf)}))
+    seen = M.StageCounts()
+    docs = seen.count(docs, {"documents": F.lit(1), "test_documents": F.coalesce("in_test", F.lit(0))})
+    lines = seen.count(sentences(docs, "raw"), {"sentences_raw": F.lit(1)})
+    words = F.size(T.whitespace_tokens("sentence"))
+    kept = seen.count(lines.filter(T.has_text("sentence")), {"sentences_clean": F.lit(1), "tokens": words})
+    K.write_parquet(kept, scratch_path(spark, "counted-sentences"))
+    return seen.table(spark).unionByName(M.stage_counts({"lexicon": fx.lexicon_table(spark, sf)}))
 
 
 @register("ensemble_level", O.with_("""preds AS (
@@ -373,7 +377,7 @@ def q_morph_text_scores(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, pos, {O.SCORE_AGGS} FROM morph_scored GROUP BY doc_id, pos""")
 def q_lemma_pos_scores(spark: SparkSession, sf: str) -> DataFrame:
     sent, lex, an = _morph_inputs(spark, sf)
-    toks = feat.explode_tokens(sent, tokenizer=T.word_tokens)
+    toks = feat.explode_tokens(feat.keyed(sent), tokenizer=T.word_tokens, keep=feat.ROW_KEYS)
     return feat.lemma_pos_scores(toks, an, fx.lemma_pos_lexicon(lex))
 
 
@@ -383,7 +387,7 @@ SELECT doc_id, pos, avg_readability AS f1, max_readability AS f2, CAST(0 AS DOUB
 FROM (SELECT doc_id, pos, {O.SCORE_AGGS} FROM morph_scored GROUP BY doc_id, pos)""")
 def q_sparse_features(spark: SparkSession, sf: str) -> DataFrame:
     sent, lex, an = _morph_inputs(spark, sf)
-    toks = feat.explode_tokens(sent, tokenizer=T.word_tokens)
+    toks = feat.explode_tokens(feat.keyed(sent), tokenizer=T.word_tokens, keep=feat.ROW_KEYS)
     return feat.sparse_from_scores(feat.lemma_pos_scores(toks, an, fx.lemma_pos_lexicon(lex)))
 
 
@@ -473,6 +477,32 @@ def q_corpus_union(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(spark, sf).build()
 
 
+@register("mixture_split", O.with_(O.SPLIT, O.SENT_UNTRIMMED, O.GOLD, O.WIDE, O.graded_long(5, 10, 17), """added AS (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(block AS VARCHAR) || ':' || level_name AS id, text, label FROM graded
+  WHERE text IS NOT NULL AND length(text) > 5)""", O.stratified_sql("added", "id", "label"), O.LEX, O.LEX_SENTENCES) + """
+SELECT text, label, source, split FROM (
+  SELECT s.sentence AS text, g.label, 'main' AS source,
+         CASE WHEN CAST(('0x' || substr(md5('42:' || s.doc_id), 1, 8)) AS BIGINT) % 5 = 0 THEN 'dev' ELSE 'train' END AS split
+  FROM sent_untrimmed s JOIN gold g ON s.doc_id = g.doc_id
+  UNION ALL SELECT text, label, 'graded', split FROM split
+  UNION ALL SELECT text, label, 'lexicon', 'train' FROM lex_sent)
+WHERE text IS NOT NULL AND label IS NOT NULL AND length(text) > 5""")
+def q_mixture_split(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: the main corpus keeps its split, the graded corpus is stratified,
+    the lexicon's sentences are for training only."""
+    docs = fx.documents(spark, sf)
+    main = sentences(docs.select("doc_id", "text", fx.gold_label().alias("label")), "untrimmed", keep=("label",))
+    main = SP.kfold(main, "doc_id", 5).withColumn("split", F.when(F.col("fold") == 0, "dev").otherwise("train"))
+    graded = C.unpivot_levels(fx.graded_wide(fx.table(spark, sf, "conversations")), ["conv_id", "block"], L.GRADED_LEVELS_B)
+    graded = graded.withColumn("id", F.concat_ws(":", "conv_id", "block", "level_name"))
+    lexs = C.lexicon_sentences(fx.lexicon_tsv_form(fx.lexicon_table(spark, sf)))
+    return C.Mixture([
+        C.SourceSpec("main", main, "sentence", "label", policy="own"),
+        C.SourceSpec("graded", graded, "text", "label", policy="stratify", id_col="id"),
+        C.SourceSpec("lexicon", lexs, "text", "label", policy="train"),
+    ], min_chars=5).build_split()
+
+
 @register("lexicon_last_wins", O.with_(O.SPLIT, O.SENT_CLEAN) + f"""
 SELECT lemma, score FROM (
   SELECT doc_id, pos, tpos, lower(t) AS lemma, CAST(1 + (doc_id + pos) % 5 AS DOUBLE) AS score FROM (
@@ -620,8 +650,8 @@ FROM sums""")
 def q_roundtrip_parquet(spark: SparkSession, sf: str) -> DataFrame:
     """K3 -> S5: feature vectors as ``array<double>`` to Parquet and back;
     also S6: the vector through its JSON text form."""
-    _, sent, lex = _pipeline_inputs(spark, sf)
-    vec = feat.as_vector(feat.lexical_features(sent, lex, fold_case=True)).select("doc_id", "pos", "features")
+    sent, words = _scoring_inputs(spark, sf)
+    vec = feat.as_vector(feat.lexical_features(sent, words, fold_case=True)).select("doc_id", "pos", "features")
     as_text = vec.select("doc_id", "pos", F.to_json("features").alias("features"))
     path = K.write_parquet(as_text, scratch_path(spark, "parquet"))
     back = R.parse_list_column(R.read_parquet(spark, path), "features")
@@ -643,6 +673,21 @@ def q_tolerant_scan(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_flagged(spark, path, schema)
 
 
+@register("tolerant_counts", """
+SELECT count(*) FILTER (n_chars % 50 <> 0) AS kept, count(*) FILTER (n_chars % 50 = 0) AS rejected FROM documents""")
+def q_tolerant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: the well-formed rows are written, and the same scan says how many
+    it left out."""
+    docs = fx.documents(spark, sf)
+    bad_num = F.when(F.col("n_chars") % 50 == 0, F.lit("n/a")).otherwise(F.col("n_chars").cast("string"))
+    path = K.write_csv(docs.select("doc_id", bad_num.alias("n_chars")), scratch_path(spark, "tolerant-counts"))
+    schema = ST.StructType([ST.StructField("doc_id", ST.LongType()), ST.StructField("n_chars", ST.LongType())])
+    good, rejected = R.read_warning(spark, path, schema)
+    stored = K.write_parquet(good.select("doc_id"), scratch_path(spark, "tolerant-kept"))
+    return R.read_parquet(spark, stored).agg(F.count(F.lit(1)).alias("kept")).withColumn(
+        "rejected", F.lit(rejected.warn()).cast("long"))
+
+
 @register("optional_lexicon", O.with_(O.SPLIT, O.SENT_CLEAN) + """
 SELECT doc_id, pos, CAST(0 AS DOUBLE) AS f_chars, CAST(0 AS DOUBLE) AS f_words, CAST(0 AS DOUBLE) AS f_mean_len, CAST(0 AS DOUBLE) AS f_mean_diff,
        CAST(0 AS DOUBLE) AS f_max_diff, CAST(0 AS DOUBLE) AS f_n_hard, CAST(0 AS DOUBLE) AS f_oov_share FROM sent_clean""")
@@ -787,8 +832,8 @@ REGRESSION_CTES = (O.SPLIT, O.SENT_CLEAN, O.LEX, O.TOK_CLEAN, O.SUMS, f"""data A
 def word_level_regression(spark: SparkSession, sf: str) -> DataFrame:
     """M5, M8, F17 on a gold that one A4 feature explains, fitted on the
     train folds and applied to the documents of fold 0."""
-    _, sent, lex = _pipeline_inputs(spark, sf)
-    rows = feat.features_from_sums(feat.lexical_sums(sent, lex, fold_case=True))
+    sent, words = _scoring_inputs(spark, sf)
+    rows = feat.features_from_sums(feat.lexical_sums(sent, words, fold_case=True))
     rows = SP.kfold(rows, "doc_id", 5).withColumn(
         "gold", F.least(F.greatest("f_words", F.lit(1)), F.lit(19)).cast("long"))
     model = MD.fit_feature_regressor(rows.filter("fold <> 0"), ["f_words"], "gold")
@@ -809,9 +854,9 @@ def q_regression_qwk(spark: SparkSession, sf: str) -> DataFrame:
     return M.qwk(scored.select("gold", F.col("level").alias("pred")), labels="fixed")
 
 
-@register("document_scoring")
-def q_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """Train on segmented text of fold != 0 documents, then score every
+@register("document_regression")
+def q_document_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """M11 with the text regression: train on segmented text of fold != 0 documents, then score every
     document and fill those without sentences (rows-only)."""
     train, _ = labelled_split(spark, sf)
     _, lex, an = _morph_inputs(spark, sf)
@@ -836,15 +881,15 @@ def q_hybrid_document_scoring(spark: SparkSession, sf: str) -> DataFrame:
 @register("batch_scoring", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
 def q_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """V2: user NumPy scorer in 128-row Arrow batches (mapInPandas)."""
-    _, sent, lex = _pipeline_inputs(spark, sf)
-    return PL.sentence_levels_python(feat.lexical_sums(sent, lex, fold_case=True))
+    sent, words = _scoring_inputs(spark, sf)
+    return PL.sentence_levels_python(feat.lexical_sums(sent, words, fold_case=True))
 
 
 @register("predict_batch_scoring", O.with_(*O.DOC_FLOW, O.SENT_LEVEL) + "SELECT doc_id, pos, level FROM sent_level")
 def q_predict_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """M8: the same user model through predict_batch_udf."""
-    _, sent, lex = _pipeline_inputs(spark, sf)
-    return PL.sentence_levels_udf(feat.lexical_sums(sent, lex, fold_case=True))
+    sent, words = _scoring_inputs(spark, sf)
+    return PL.sentence_levels_udf(feat.lexical_sums(sent, words, fold_case=True))
 
 
 # ------------------------------------------------------------ smaller operators
@@ -903,3 +948,6 @@ def q_user_row_function(spark: SparkSession, sf: str) -> DataFrame:
     _, sent, _ = _pipeline_inputs(spark, sf)
     count = row_function(_python_word_count, "int")
     return sent.select("doc_id", "pos", count("sentence").alias("n_words"))
+
+
+from lectio.plans import model_queries  # noqa: E402,F401  (registers the fitted models)

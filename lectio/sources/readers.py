@@ -9,15 +9,17 @@ Parquet (S5), which splits by row group and prunes columns at the scan.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectio.session import path_exists
 
+LOG = logging.getLogger("lectio.readers")
 BOM = "﻿"
 # Strings pandas reads as missing by default; Spark's CSV reader knows one
 # ``nullValue``, so they are mapped explicitly when asked for.
@@ -108,6 +110,34 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str
     return good, bad
 
 
+class RejectedRows:
+    """How many rows of a scan were malformed; known once a job has read it."""
+
+    def __init__(self, path: str):
+        self.path, self.seen = path, Observation()
+
+    def warn(self) -> int:
+        """``on_bad_lines='warn'``: the number, logged if there are any."""
+        n = self.seen.get["rejected"]
+        if n:
+            LOG.warning("%s: %d malformed rows were left out", self.path, n)
+        return n
+
+
+def read_warning(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
+                 corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, RejectedRows]:
+    """S3: the well-formed rows, and the number of the others as the same scan
+    counts them.  Every column is parsed, also one that is not used later, so
+    the number does not depend on the query."""
+    full = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType(), True)])
+    df = (spark.read.options(**CSV_READ_OPTIONS).option("sep", sep).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", corrupt_col).schema(full).csv(path))
+    rejected = RejectedRows(path)
+    every = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in schema.fieldNames()]))
+    counted = df.observe(rejected.seen, F.count(F.col(corrupt_col)).alias("rejected"), every.alias("_"))
+    return counted.filter(F.col(corrupt_col).isNull()).drop(corrupt_col), rejected
+
+
 def read_flagged(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
                  corrupt_col: str = "_corrupt_record", flag_col: str = "rejected") -> DataFrame:
     """S3 in one pass: every row, with malformed fields null and a boolean

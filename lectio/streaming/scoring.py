@@ -26,21 +26,29 @@ DOC_SCHEMA = T.StructType([
 
 
 def score_batch(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Documents -> (doc_id, level): the batch flagship plan."""
+    """Documents -> (doc_id, level): the batch flagship plan.  ``lexicon``:
+    ``(lemma, score)``, made into a dictionary first, or a stored dictionary."""
     sent = sentences(docs.select("doc_id", "text"), "clean")
-    scored = rollup.linear_score(feat.lexical_sums(sent, lexicon, fold_case=True))
+    scored = rollup.linear_score(feat.lexical_sums(sent, words_of(lexicon), fold_case=True))
     return rollup.fill_levels(docs, rollup.doc_level_from_raw(scored))
 
 
+def words_of(lexicon: DataFrame) -> DataFrame:
+    """The lexicon as a dictionary keyed by lower-cased words."""
+    return lexicon if "word" in lexicon.columns else feat.dictionary(lexicon, fold_case=True)
+
+
 def start_scoring(spark: SparkSession, source_dir: str, lexicon: DataFrame, out_dir: str,
                   checkpoint_dir: str, available_now: bool = True, max_files_per_trigger: int = 64):
     """Start the streaming query; returns the ``StreamingQuery``."""
     stream = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
 
+    words = words_of(lexicon)  # once, not in every micro-batch
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # one folder per batch id, overwritten on replay: idempotent output
-        score_batch(batch, lexicon).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        score_batch(batch, words).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

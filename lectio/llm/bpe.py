@@ -4,8 +4,9 @@ Byte-level BPE never merges across the matches of the splitting pattern
 ("pre-tokens"), so a text's ids are the concatenated ids of its pre-tokens.
 A worker process encodes each distinct pre-token once with the ``tokenizers``
 library and keeps the result in a bounded table; common words then cost one
-look-up.  The table only saves work: pre-tokens that do not fit in it are
-encoded again.
+look-up.  The table only saves work: it has two generations, and when the young
+one is full it replaces the old one, so pre-tokens that come again stay and
+others are encoded anew when they do.
 
 The pre-tokens of a text made of ASCII and Latin letters are found by a plain
 regular expression that agrees with the library's pattern on those
@@ -18,15 +19,19 @@ from __future__ import annotations
 import base64
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 #: Pre-tokens kept per worker process (about 200 bytes each).
 CACHE_TOKENS = 500_000
+#: Characters of the texts that are encoded together.
+SLICE_CHARS = 1 << 20
 #: Longer texts are encoded in pieces of about this many characters.
 PIECE_CHARS = 1 << 18
 
@@ -109,8 +114,10 @@ class ByteBpe:
         self.size = max(table) + 1
         self.table = [table.get(i, b"") for i in range(self.size)]
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.lengths = np.array([len(t) for t in self.table], np.int64)
         self.capacity = capacity
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     # -- encoding -----------------------------------------------------------
     def encode(self, text: str) -> np.ndarray:
@@ -119,6 +126,21 @@ class ByteBpe:
             return np.frombuffer(self._piece(text), self.dtype)
         return np.frombuffer(b"".join(map(self._piece, pieces(text))), self.dtype)
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of several texts; the pre-tokens that none of them has
+        taught yet are learnt in one call."""
+        cut = [pieces(t) if len(t) > PIECE_CHARS else [t] for t in texts]
+        words = [[None if _OTHER.search(p) else _SIMPLE.findall(p) for p in parts] for parts in cut]
+        found = [[None if w is None else list(map(self.known.get, w)) for w in parts] for parts in words]
+        fresh = self._learn({w for ws, fs in zip(words, found) for own, f in zip(ws, fs) if f is not None and None in f
+                             for w, x in zip(own, f) if x is None})
+        out = []
+        for parts, ws, fs in zip(cut, words, found):
+            raw = [self._whole(p) if f is None else b"".join([fresh[w] if x is None else x for w, x in zip(own, f)])
+                   for p, own, f in zip(parts, ws, fs)]
+            out.append(np.frombuffer(b"".join(raw), self.dtype))
+        return out
+
     def _piece(self, text: str) -> bytes:
         if _OTHER.search(text):
             return self._whole(text)
@@ -141,19 +163,26 @@ class ByteBpe:
         return np.array(ids, self.dtype).tobytes()
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        need = list(words)
-        enc = self.tok.encode(need, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(enc.ids, self.dtype)
-        ends = np.searchsorted(np.array(enc.word_ids, np.int64), np.arange(len(need) + 1))
-        raw = ids.tobytes()
-        ends = (ends * self.dtype.itemsize).tolist()
-        fresh = {w: raw[a:b] for w, a, b in zip(need, ends, ends[1:])}
-        if self.exact is not None:
-            for w in need:  # two equally ranked pairs that overlap may merge in another order
-                want = np.array(self.exact.encode_ordinary(w), self.dtype).tobytes()
-                if want != fresh[w]:
-                    fresh[w] = want
-        if len(self.known) + len(fresh) <= self.capacity:
+        """The ids of pre-tokens that the young generation lacks."""
+        fresh = {w: self.old[w] for w in words if w in self.old}
+        need = [w for w in words if w not in fresh]
+        if need:
+            enc = self.tok.encode_batch_fast([need], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(enc.ids, self.dtype)
+            # ids spell their pre-tokens, so bytes tell where each one's end
+            ends = np.cumsum([len(w.encode()) for w in need])
+            at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            raw = ids.tobytes()
+            at = (np.concatenate([[0], at]) * self.dtype.itemsize).tolist()
+            fresh.update(zip(need, (raw[a:b] for a, b in zip(at, at[1:]))))
+            if self.exact is not None:
+                for w in need:  # two equally ranked pairs that overlap may merge in another order
+                    want = np.array(self.exact.encode_ordinary(w), self.dtype).tobytes()
+                    if want != fresh[w]:
+                        fresh[w] = want
+        if len(self.known) + len(fresh) > self.capacity // 2:
+            self.old, self.known = self.known, {}
+        if len(fresh) <= self.capacity // 2:
             self.known.update(fresh)
         return fresh
 
@@ -178,6 +207,21 @@ class ByteBpe:
         return leads[begun] - 1 if len(ids) else starts, leads[ends]
 
 
+def encoded(bpe: ByteBpe, it, column: int = 1) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """The ids of a text column's rows, slice by slice: batch, row, ids."""
+    for b in it:
+        texts = b.column(column).to_pylist()
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and size < SLICE_CHARS:
+                size += len(texts[end])
+                end += 1
+            for i, ids in enumerate(bpe.encode_many(texts[start:end]), start):
+                yield b, i, ids
+            start = end
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, capacity: int = CACHE_TOKENS) -> ByteBpe:
     """One encoder per file and worker process; workers are reused, so what

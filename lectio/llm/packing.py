@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectio.llm.bpe import encoder
+from lectio.llm.bpe import encoded, encoder
 from lectio.llm.common import batches, text_or_empty
 
 CAPACITY = 1024
@@ -105,9 +105,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: in
         end = np.array([end_id], bpe.dtype)
 
         def documents():
-            for b in it:
-                for k, text in zip(b.column(0), b.column(1)):
-                    yield k.as_py(), np.concatenate([bpe.encode(text.as_py()), end])
+            for b, i, ids in encoded(bpe, it):
+                yield b.column(0)[i].as_py(), np.concatenate([ids, end])
 
         rows = ((k, start, n, ids.astype("<u4").tobytes(), total, sequence, offset) for k, start, n, ids, total, sequence, offset
                 in packed(documents(), base, capacity, pool_sequences, linear, quadratic))

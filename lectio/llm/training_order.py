@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectio.llm.bpe import encoder
+from lectio.llm.bpe import encoded, encoder
 from lectio.llm.common import batches, stage, text_or_empty
 from lectio.llm.packing import CAPACITY, LINEAR, POOL_SEQUENCES, QUADRATIC, packed
 from lectio.llm.wordhash import mix
@@ -95,7 +95,7 @@ def sequences(docs: DataFrame, path: str | None = None, end_id: int = 0, capacit
         bpe = encoder(path)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], bpe.dtype)
-        documents = ((None, np.concatenate([bpe.encode(t.as_py()), end])) for b in it for t in b.column(1))
+        documents = ((None, np.concatenate([ids, end])) for _, _, ids in encoded(bpe, it))
 
         def rows():
             found = packed(documents, 0, capacity, POOL_SEQUENCES, LINEAR, QUADRATIC)
@@ -184,9 +184,9 @@ def materialise(docs: DataFrame, out: str, key: int = 1, capacity: int = CAPACIT
             placed = rows.select(slots("index").alias("slot"), "ids").select(
                 F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "ids")
             own = placed.filter((F.col("shard") >= first) & (F.col("shard") < last))
-            # a shard is a range of slots; dealing whole shards needs no sampling of
-            # the rows, and spare partitions keep shards apart
-            dealt = own.repartition(4 * (last - first), "shard").sortWithinPartitions("shard", "slot")
+            # a shard is a range of slots and a task of its own
+            place = (F.col("shard") - F.lit(first)).cast("int")
+            dealt = own.repartitionById(last - first, place).sortWithinPartitions("shard", "slot")
             dealt.mapInArrow(write, schema).write.mode("overwrite").parquet(manifest)
             spark.sparkContext._jvm.System.gc()  # the segment's shuffle files may go
         done.append(manifest)

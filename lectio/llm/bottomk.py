@@ -5,18 +5,19 @@ A document's set holds its distinct 2-word shingles; two documents link when
 sketch.  The smallest values of a union are its own bottom-k sketch, and each of
 them lies in both sets with the sets' Jaccard as its probability.
 
-*Inverted lists.*  Linked sets share at least ``overlap`` of the union's
-``LISTED`` smallest values (all smaller sets do so by counting, larger ones with
-a probability of failure below 1e-10 a pair, whatever the data).  So, with the
-values in any common order, they share one of the first size - overlap + 1 of
-their retained values.  The order is by how many documents retain a value, over
-all documents, rarest first: few lists are long, and values of one document only
-take their places in it without making a list.
+*Inverted lists.*  Linked sets share at least ``least_shared`` of their retained
+values: by counting where the union fits in a sketch, and in larger ones but for
+a probability below 1e-10 a pair, whatever the data (drawing without replacement
+from a union whose shared part is known).  So, with the values in any common
+order, they share one of the first size - least_shared + 1 of them.  The order is
+by how many documents retain a value, over all documents, rarest first: few lists
+are long, and values of one document only take their places in it without making
+a list.
 
 *Estimates.*  A pair from a list is compared by the union of its two sketches:
 shared values among the union's smallest, up to the smaller of the two sketches'
-last values.  Pairs below ``KEEP`` are left (a linked pair is, with a probability
-below 1e-9); sketches that hold whole sets give the Jaccard itself.
+last values.  The same bound rules pairs out; sketches that hold whole sets give
+the Jaccard itself.
 
 *Rounds.*  First every list compares its documents with the one that is most
 widely shared.  Then each document takes part in one list that still holds
@@ -34,6 +35,8 @@ of the smallest component among them.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,35 +50,66 @@ from lectio.llm.components import components
 from lectio.llm.ngram_join import _links, _ordered, _pair_batches, _shares, _streamed_groups, _dealt, shingle_sets
 from lectio.llm.skew import counted_join
 from lectio.llm.substring import _by_slices
-from lectio.operators.joins import lookup_join
+from lectio.operators.joins import lookup_join, mark_absent
 
 WORDS = 2
 #: Threshold as 100 * shared >= PERCENT * union.
 PERCENT = 80
-#: Values of a sketch, and those of them that may make lists.
-SKETCH, LISTED = 128, 64
-#: Of LISTED values of a union at a Jaccard of 0.8, fewer than this many are
-#: shared with a probability below 1e-10 (binomial); of SKETCH values, less than
-#: this share with one below 1e-9.
-LEAST_SHARED, KEEP = 26, 0.55
+#: Values of a sketch.
+SKETCH = 128
+#: Probability that a linked pair of large sets is taken for less.
+MISS = 1e-10
+#: Set sizes up to which one bound holds, beyond those where the union fits.
+STEPS = (110, 120, 130, 145, 160, 180, 200, 230, 260, 300, 350, 420, 500, 700, 1000, 2000, 5000)
 #: Members that one task compares with each other or with a centre.
-SHARE = 256
+SHARE = 512
+#: Bits of the bitmap of values that several documents retain.
+BITMAP_BITS = 1 << 24
 #: Rounds of spanning forests.
-FOREST_ROUNDS = 3
+FOREST_ROUNDS = 2
 
 
 # -- sketches -------------------------------------------------------------------
-def least_shared(n: int, percent: int = PERCENT) -> int:
-    """How many of its listed values a set of ``n`` shares at least with any
-    linked one: all the shared ones if the union fits in a list, else the
-    bound."""
-    return -(-percent * n // 100) if n * 100 <= percent * LISTED else LEAST_SHARED
+def tail_bound(n: int | None, percent: int = PERCENT, sketch: int = SKETCH, miss: float = MISS) -> int:
+    """The most values that ``sketch`` draws from a union share, but for a
+    probability of ``miss``: the union of a set of ``n`` with a linked one, at
+    its largest, or one without end (None)."""
+    if n is None:
+        logs = [math.lgamma(sketch + 1) - math.lgamma(k + 1) - math.lgamma(sketch - k + 1) + k * math.log(percent / 100)
+                + (sketch - k) * math.log(1 - percent / 100) for k in range(sketch + 1)]
+    else:
+        def choose(a, b):
+            return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1) if 0 <= b <= a else -math.inf
+        every = max(n * 100 // percent, sketch)
+        shared = -(-percent * every // 100)
+        logs = [choose(shared, k) + choose(every - shared, sketch - k) - choose(every, sketch) for k in range(sketch + 1)]
+    total, k = 0.0, 0
+    while total + math.exp(logs[k]) <= miss:
+        total += math.exp(logs[k])
+        k += 1
+    return k
+
+
+def bounds(percent: int) -> list[tuple[int | None, int]]:
+    """(largest set size, values that a linked set shares at least) beyond the
+    sizes whose unions fit in a sketch."""
+    return [(n, tail_bound(n, percent)) for n in (*STEPS, None)]
+
+
+def least_shared(percent: int):
+    """The bound as an expression over ``n``: all shared values of a union
+    that fits in a sketch, at least those of the set, and not more than large
+    unions leave."""
+    steps = bounds(percent)
+    large = F.when(F.col("n") * 100 <= percent * SKETCH, SKETCH)
+    for n, k in steps[:-1]:
+        large = large.when(F.col("n") <= n, k)
+    return F.least(F.ceil(F.col("n") * percent / 100), large.otherwise(steps[-1][1]))
 
 
 def sketched(src: DataFrame, words: int, texts: bool = False) -> DataFrame:
-    """id, n, k1 and k2 (128 bits of the set) of every row, with listed (the
-    smallest hash values, sorted) and sketch (the same and more, rounded to 24
-    bits, which keeps their order), or with z (the text, compressed)."""
+    """id, n, k1 and k2 (128 bits of the set) of every row, with sketch (the
+    smallest hash values, sorted), or with z (the text, compressed)."""
 
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
@@ -84,43 +118,45 @@ def sketched(src: DataFrame, words: int, texts: bool = False) -> DataFrame:
             sets = shingle_sets(raw, words)
             key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
             rest = [pa.array([z.compress(t) for t in raw], pa.binary())] if texts else [
-                pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64())),
-                pa.array([s[:SKETCH].astype(np.float32) for s in sets], pa.list_(pa.float32()))]
+                pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(key[:, 0]), pa.array(key[:, 1]), *rest], schema.names)
 
-    kept = [T.StructField("z", T.BinaryType())] if texts else [T.StructField("listed", T.ArrayType(T.LongType())),
-                                                              T.StructField("sketch", T.ArrayType(T.FloatType()))]
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("id", "n", "k1", "k2")], *kept])
+    kept = T.StructField("z", T.BinaryType()) if texts else T.StructField("sketch", T.ArrayType(T.LongType()))
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("id", "n", "k1", "k2")], kept])
     return src.mapInArrow(run, schema)
 
 
 def union_estimates(sketches: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
     """The estimated Jaccard of all pairs: shared values over the values of
     the union's sketch.  ``whole`` marks sketches that hold all of a set."""
-    m = len(sketches)
-    values, place = np.unique(np.concatenate(sketches), return_inverse=True)
-    held = np.zeros((m, len(values)), np.float32)
-    held[np.repeat(np.arange(m), [len(s) for s in sketches]), place] = 1
+    m, size = len(sketches), np.array([len(s) for s in sketches])
+    _, place, count = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    row, several = np.repeat(np.arange(m), size), count > 1
+    held = np.zeros((m, int(several.sum())), np.float32)
+    keep = several[place]
+    held[row[keep], (np.cumsum(several) - 1)[place[keep]]] = 1
     shared = held @ held.T
+    np.fill_diagonal(shared, size)
     # values of each up to the last value of each other; a whole set has no last
-    last = np.array([len(values) if w else np.searchsorted(values, s[-1], side="right")
-                     for s, w in zip(sketches, whole)])
-    upto = np.cumsum(held, axis=1, dtype=np.float32)
-    upto = np.concatenate([np.zeros((m, 1), np.float32), upto], axis=1)[:, last]  # [i, j]: of i, up to j's last
-    own = np.diagonal(upto)
-    each = np.minimum(upto, own[:, None])
-    both = each + each.T - shared
-    return shared / np.maximum(both, 1)
+    upto = np.repeat(size[:, None], m, axis=1)
+    cut = np.flatnonzero(~whole)
+    if len(cut):
+        last = np.array([sketches[j][-1] for j in cut])
+        for i, s in enumerate(sketches):
+            upto[i, cut] = np.searchsorted(s, last, side="right")
+    return shared / np.maximum(upto + upto.T - shared, 1)
 
 
 def kept_pairs(estimate: np.ndarray, whole: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which pairs may be linked, by their estimate and their sizes."""
-    exact = whole[:, None] & whole[None, :]
     low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    bound = np.where(exact, percent / 100 - 1e-5, KEEP)
-    return (estimate >= bound) & (100 * low >= percent * high)
+    steps = bounds(percent)
+    table = np.array([k for _, k in steps]) / SKETCH
+    bound = table[np.searchsorted([s for s, _ in steps[:-1]], low)]
+    bound = np.where(whole[:, None] & whole[None, :], percent / 100, bound)
+    return (estimate >= bound - 1e-6) & (100 * low >= percent * high)
 
 
 def spanning_forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, component: np.ndarray) -> np.ndarray:
@@ -151,21 +187,22 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """t, id, n, c and fame: the listed values of every class that two or more
     classes list, with the length of their lists and each class's mean list
     length."""
-    rows = classes.select("id", "n", F.explode("listed").alias("t"))
+    rows = classes.select("id", "n", F.explode("sketch").alias("t"))
     counts = stage(rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "bottomk-counts")
     total = counts.agg(F.sum("df")).first()[0] or 0
-    shared = counted_join(rows, counts.withColumn("c", F.col("df")), ["t"], total, "c")
+    # most values of one document only are left before the shuffle, by a bitmap
+    maybe = mark_absent(rows, counts, ["t"], BITMAP_BITS).filter(~F.col("_absent")).drop("_absent")
+    shared = counted_join(maybe, counts.withColumn("c", F.col("df")), ["t"], total, "c")
     # single values come first in the order: the rest of the prefix is left for shared ones
-    size = F.least("n", F.lit(LISTED))
-    bound = F.when(F.col("n") * 100 <= percent * LISTED, F.ceil(F.col("n") * percent / 100)).otherwise(LEAST_SHARED)
+    size = F.least("n", F.lit(SKETCH))
     own = Window.partitionBy("id")
     place = F.row_number().over(own.orderBy("df", "t"))
     several = F.count(F.lit(1)).over(own)
-    listed = shared.withColumn("place", place + size - several).filter(F.col("place") <= size - bound + 1)
-    listed = stage(listed.select("t", "id", "n", "df"), "bottomk-listed")
+    listed = shared.withColumn("place", place + size - several).filter(F.col("place") <= size - least_shared(percent) + 1)
+    listed = stage(listed.select("t", "id", "n"), "bottomk-listed")
     counts = stage(listed.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bottomk-lengths")
     total = counts.agg(F.sum("c")).first()[0] or 0
-    rows = counted_join(listed.select("t", "id", "n"), counts.withColumn("m", F.col("c")), ["t"], total, "m")
+    rows = counted_join(listed, counts.withColumn("m", F.col("c")), ["t"], total, "m")
     fame = F.avg("c").over(Window.partitionBy("id"))
     return stage(rows.withColumn("fame", fame), "bottomk-lists")
 
@@ -181,7 +218,7 @@ def centre_candidates(pairs: DataFrame, sketches: DataFrame, percent: int, share
         def found():
             for part in _shares(it):  # g, centre, share, id, n, sketch
                 n = np.array([r[4] for r in part])
-                keep = kept_pairs(union_estimates([np.array(r[5], np.float32) for r in part], _whole(n)),
+                keep = kept_pairs(union_estimates([np.array(r[5], np.int64).view(np.uint64) for r in part], _whole(n)),
                                   _whole(n), n, percent)[0]
                 yield from ((part[0][1], part[k][3]) for k in np.flatnonzero(keep).tolist() if k)
 
@@ -200,17 +237,22 @@ def _asked(table: DataFrame, pairs: DataFrame) -> DataFrame:
 PAIR = T.StructType([T.StructField("centre", T.LongType()), T.StructField("id", T.LongType())])
 
 
-def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """t, id, component: the lists that hold several components.  Lists of two
-    documents were compared in the first round; lists of the same documents
-    are compared once."""
+def open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """t, id, component, size: the lists that hold several components, cut by
+    set size into classes in two of which each document lies, so that sets that
+    may link share one.  Lists of two documents were compared in the first
+    round; lists of the same documents are compared once."""
     known = lists.filter("c > 2").join(labels, "id", "left").select(
-        "t", "id", "c", F.coalesce("component", "id").alias("component"))
-    several = known.groupBy("t").agg(
+        "t", "id", "n", F.coalesce("component", "id").alias("component"))
+    step = F.lit(math.log(100 / percent))
+    at = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
+    known = known.withColumn("at", F.explode(F.array(at, at + 1)))
+    several = known.groupBy("t", "at").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).filter("lo < hi")
-    chosen = several.groupBy("size", "x", "y").agg(F.min("t").alias("t"))
-    return known.join(chosen.select("t", "size"), "t")
+    chosen = several.groupBy("size", "x", "y").agg(F.min(F.struct("t", "at")).alias("s"))
+    rows = known.join(chosen.select("s.t", "s.at", "size"), ["t", "at"])
+    return rows.select(F.xxhash64("t", "at").alias("t"), "id", "component", "size")
 
 
 def _listed(sketches: DataFrame, rows: DataFrame) -> DataFrame:
@@ -236,7 +278,7 @@ def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: i
                 ids, component, n = (np.array([r[c] for r in group], np.int64) for c in (1, 2, 3))
                 if (component == component[0]).all():
                     continue
-                estimate = union_estimates([np.array(r[4], np.float32) for r in group], _whole(n))
+                estimate = union_estimates([np.array(r[4], np.int64).view(np.uint64) for r in group], _whole(n))
                 keep = kept_pairs(estimate, _whole(n), n, percent)
                 i, j = np.nonzero(np.triu(keep, 1) & (component[:, None] != component[None, :]))
                 if forest and len(i):
@@ -277,8 +319,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = stage(groups, "bottomk-classes")
     classes = some.join(groups.select("row"), "row", "left_semi")
     keys = classes.select(F.col("row").alias("id"), F.col("id").alias("doc"), "k1", "k2", "n")
-    classes = classes.select(F.col("row").alias("id"), "n", "listed", "sketch")
-    sketches = classes.select("id", "n", "sketch")
+    classes = classes.select(F.col("row").alias("id"), "n", "sketch")
+    sketches = classes
     lists = inverted_lists(classes, percent)
 
     # first round: every list's documents with its most widely shared one
@@ -294,7 +336,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     rounds, last = 0, False
     while True:
-        rows = open_lists(lists, labels)
+        rows = open_lists(lists, labels, percent)
         if not last:  # one list for each document, the longest
             best = Window.partitionBy("id").orderBy(F.desc("size"), "t")
             rows = rows.withColumn("at", F.row_number().over(best)).filter("at = 1")

@@ -246,3 +246,17 @@ def test_edits_of_odd_rows(odd, empty):
         assert r.text == "one two" if r.doc_id == 5 else r.text == "end "
     made = token_counts.build_trees(empty.withColumn("edits", token_counts.demo_edits(tag="text")))
     assert token_counts.apply_edits(made).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [8, bpe.CACHE_TOKENS])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_several_texts_at_once_equal_one_by_one(name, capacity):
+    """Pre-tokens learnt for many texts, through both generations of the table."""
+    path = public_tokenizers.path(name)
+    texts = [t or "" for _, t in TEXTS] + ["The cat, the dog.", "the dog's 12 cats", "", "naïve café", "ab " * 400]
+    many, one = bpe.ByteBpe(path, capacity), bpe.ByteBpe(path)
+    for at in range(0, len(texts), 3):
+        for text, ids in zip(texts[at:at + 3], many.encode_many(texts[at:at + 3])):
+            assert ids.tolist() == one.encode(text).tolist() == many.encode(text).tolist()
+            assert many.decode(ids) == text.encode()
+    assert len(many.known) <= capacity

@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from lectio.llm.common import stage, text_or_empty
 from lectio.llm.components import components
-from lectio.llm.ngram_join import _links, _ordered, _pair_batches, _shares, _streamed_groups, _dealt, shingle_sets
+from lectio.llm.ngram_join import _links, _ordered, _pair_batches, _shares, _streamed_groups, _dealt, _runs, shingle_sets
 from lectio.llm.skew import counted_join
 from lectio.llm.substring import _by_slices
 from lectio.operators.joins import lookup_join, mark_absent
@@ -245,14 +245,14 @@ def open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     known = lists.filter("c > 2").join(labels, "id", "left").select(
         "t", "id", "n", F.coalesce("component", "id").alias("component"))
     step = F.lit(math.log(100 / percent))
-    at = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
-    known = known.withColumn("at", F.explode(F.array(at, at + 1)))
+    own = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
+    known = known.withColumn("own", own).withColumn("at", F.explode(F.array(own, own + 1)))
     several = known.groupBy("t", "at").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).filter("lo < hi")
     chosen = several.groupBy("size", "x", "y").agg(F.min(F.struct("t", "at")).alias("s"))
     rows = known.join(chosen.select("s.t", "s.at", "size"), ["t", "at"])
-    return rows.select(F.xxhash64("t", "at").alias("t"), "id", "component", "size")
+    return rows.select("t", "at", "id", "own", "component", "size")
 
 
 def _listed(sketches: DataFrame, rows: DataFrame) -> DataFrame:
@@ -260,30 +260,46 @@ def _listed(sketches: DataFrame, rows: DataFrame) -> DataFrame:
     return lookup_join(sketches, ids, "id", "left_semi", skew_safe=False)
 
 
+def met_before(marks: list[np.ndarray], t: int) -> np.ndarray:
+    """Which pairs share a listed value below ``t``: they meet in its list."""
+    below = [m[m < t] for m in marks]
+    values, place = np.unique(np.concatenate(below), return_inverse=True)
+    held = np.zeros((len(marks), len(values)), np.float32)
+    held[np.repeat(np.arange(len(marks)), [len(m) for m in below]), place] = 1
+    return held @ held.T > 0
+
+
 def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: int, forest: bool) -> DataFrame:
-    """Pairs of different components in lists (t, id, component): all that the
-    estimate leaves, or a spanning forest of them.  A list of more than
-    ``share`` documents is dealt as pairs of its parts."""
-    sizes = rows.groupBy("t").agg(F.ceil(F.count(F.lit(1)) * 2 / share).cast("int").alias("parts"))
-    rows = rows.join(sizes, "t")
+    """Pairs of different components in lists (t, at, id, own, component): a
+    spanning forest of those that the estimate leaves, or all of them, each in
+    the first list and size class in which its documents meet.  ``sketches``:
+    id, n, sketch and marks (the values that a document lists).  A list of more
+    than ``share`` documents is dealt as pairs of its parts."""
+    sizes = rows.groupBy("t", "at").agg(F.ceil(F.count(F.lit(1)) * 2 / share).cast("int").alias("parts"))
+    rows = rows.join(sizes, ["t", "at"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("t", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
-                       "id", "component").join(_listed(sketches, rows), "id")
-    dealt = rows.select("g", "id", "component", "n", "sketch").repartition("g").sortWithinPartitions("g", "id")
+    rows = rows.select(F.xxhash64("t", "at", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
+                       "t", "at", "id", "own", "component").join(_listed(sketches, rows), "id")
+    rows = rows.select("g", "t", "at", "id", "own", "component", "n", "sketch", "marks")
+    dealt = rows.repartition("g").sortWithinPartitions("g", "t", "at", "id")
 
     def run(it):
         def found():
-            for group in _streamed_groups(it):
-                ids, component, n = (np.array([r[c] for r in group], np.int64) for c in (1, 2, 3))
+            for group in (part for same in _streamed_groups(it) for part in _runs(same, lambda r: r[1:3])):
+                ids, own, component, n = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5, 6))
                 if (component == component[0]).all():
                     continue
-                estimate = union_estimates([np.array(r[4], np.int64).view(np.uint64) for r in group], _whole(n))
+                estimate = union_estimates([np.array(r[7], np.int64).view(np.uint64) for r in group], _whole(n))
                 keep = kept_pairs(estimate, _whole(n), n, percent)
+                if not forest:
+                    t, at = group[0][1:3]
+                    keep &= np.maximum(own[:, None], own[None, :]) == at
+                    keep &= ~met_before([np.array(r[8], np.int64) for r in group], t)
                 i, j = np.nonzero(np.triu(keep, 1) & (component[:, None] != component[None, :]))
                 if forest and len(i):
-                    at = spanning_forest(i, j, estimate[i, j], component)
-                    i, j = i[at], j[at]
+                    chosen = spanning_forest(i, j, estimate[i, j], component)
+                    i, j = i[chosen], j[chosen]
                 yield from _ordered(ids[i], ids[j])
 
         yield from _pair_batches(found(), ["centre", "id"])
@@ -323,6 +339,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sketches = classes
     lists = inverted_lists(classes, percent)
 
+    marked = sketches.join(lists.groupBy("id").agg(F.collect_list("t").alias("marks")), "id")
+    marked = stage(marked, "bottomk-marked")
+
     # first round: every list's documents with its most widely shared one
     head = F.max(F.struct("fame", F.col("id").alias("centre"), F.col("n").alias("m"))).alias("s")
     heads = lists.groupBy("t", "c").agg(head).select("t", "s", "c")
@@ -338,9 +357,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     while True:
         rows = open_lists(lists, labels, percent)
         if not last:  # one list for each document, the longest
-            best = Window.partitionBy("id").orderBy(F.desc("size"), "t")
-            rows = rows.withColumn("at", F.row_number().over(best)).filter("at = 1")
-        found = stage(list_candidates(rows.select("t", "id", "component"), sketches, percent, share, not last),
+            best = Window.partitionBy("id").orderBy(F.desc("size"), "t", "at")
+            rows = rows.withColumn("nth", F.row_number().over(best)).filter("nth = 1")
+        found = stage(list_candidates(rows.drop("size", "nth"), marked, percent, share, not last),
                       "bottomk-candidates")
         more = _verified(found, named_src, keys, words, percent, share)
         new = not more.isEmpty()

@@ -30,6 +30,8 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 #: Pre-tokens kept per worker process (about 200 bytes each).
 CACHE_TOKENS = 500_000
+#: Fewer unknown pre-tokens than these are learnt by a call with less around it.
+FEW = 256
 #: Characters of the texts that are encoded together.
 SLICE_CHARS = 1 << 20
 #: Longer texts are encoded in pieces of about this many characters.
@@ -164,14 +166,18 @@ class ByteBpe:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of pre-tokens that the young generation lacks."""
-        fresh = {w: self.old[w] for w in words if w in self.old}
-        need = [w for w in words if w not in fresh]
+        fresh = {w: self.old[w] for w in words if w in self.old} if self.old else {}
+        need = [w for w in words if w not in fresh] if fresh else list(words)
         if need:
-            enc = self.tok.encode_batch_fast([need], is_pretokenized=True, add_special_tokens=False)[0]
-            ids = np.array(enc.ids, self.dtype)
-            # ids spell their pre-tokens, so bytes tell where each one's end
-            ends = np.cumsum([len(w.encode()) for w in need])
-            at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            if len(need) < FEW:
+                enc = self.tok.encode(need, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(enc.ids, self.dtype)
+                at = np.searchsorted(np.array(enc.word_ids, np.int64), np.arange(1, len(need) + 1))
+            else:  # a faster call that does not say where pre-tokens end; their bytes do
+                enc = self.tok.encode_batch_fast([need], is_pretokenized=True, add_special_tokens=False)[0]
+                ids = np.array(enc.ids, self.dtype)
+                ends = np.cumsum([len(w.encode()) for w in need])
+                at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
             raw = ids.tobytes()
             at = (np.concatenate([[0], at]) * self.dtype.itemsize).tolist()
             fresh.update(zip(need, (raw[a:b] for a, b in zip(at, at[1:]))))

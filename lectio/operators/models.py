@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 
 from lectio.functions.levels import N_LEVELS, from_model_label, score_to_level, to_model_label
 from lectio.functions.text import NOT_WS, UNICODE
-from lectio.session import scratch_path
 
 BATCH_ROWS = 128
 
@@ -42,14 +41,6 @@ def _fit(pipeline: Pipeline, data: DataFrame) -> PipelineModel:
         data.unpersist()
 
 
-def stored_rows(df: DataFrame) -> DataFrame:
-    """A training table written below the checkpoint folder: an optimiser
-    passes over it many times, and a lost executor re-reads files."""
-    path = scratch_path(df.sparkSession, "train-rows")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fit_feature_regressor(train: DataFrame, names: list[str], label_col: str = "label") -> PipelineModel:
     """M5 on feature columns: least squares in closed form (normal
     equations, one pass); the target is the 0-based level."""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from lectio.functions import text as T
+from lectio.session import stored_rows
 
 #: Probabilities below this count as this, so that a far-off row stays finite.
 LEAST_P = 1e-12
@@ -256,11 +257,9 @@ def fit_ordinal_text(train: DataFrame, text_col: str = "text", label_col: str =
     their mean) and the cut points.  Cut points stay in order: their distances
     are fitted as logarithms.  Rows without a label are left out; a null text
     has no words."""
-    from lectio.operators.models import stored_rows
-
     rows = train.select(F.col(label_col).cast("int").alias("_label"),
                         F.coalesce(hashed_words(text_col, features), F.array()).alias("_words")).filter("_label IS NOT NULL")
-    rows = stored_rows(rows)
+    rows = stored_rows(rows, "train-rows")
     counted = sorted((r["_label"], r["count"]) for r in rows.groupBy("_label").count().collect())
     levels = np.array([v for v, _ in counted], np.int64)
     if not len(levels):

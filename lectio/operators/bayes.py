@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lectio.functions import text as T
 from lectio.operators.features import ROW_KEYS, count_rows, explode_tokens, keyed, per_row, repeated
-from lectio.operators.joins import lookup_join
-from lectio.session import cut_lineage
+from lectio.operators.joins import hot_sample, lookup_join
+from lectio.session import cut_lineage, stored_rows
 
 #: Fixed point of the logarithms.
 SCALE = 1_000_000
@@ -52,10 +52,10 @@ def fit_bayes(train: DataFrame, text_col: str = "text", label_col: str = "label"
     Rows without a label are left out; a null text has no words."""
     rows = train.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")).filter("label IS NOT NULL")
     counts = word_rows(rows, "text", ["label"]).groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(counts)
+    counts = stored_rows(counts, "word-counts")
     if min_count > 1:
         common = counts.groupBy("word").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_count).select("word")
-        counts = cut_lineage(counts.join(common, "word"))
+        counts = stored_rows(counts.join(common, "word"), "word-counts")
     total = F.sum("rows").over(Window.partitionBy())  # over the classes: a few rows
     seen = counts.groupBy("label").agg(F.sum("n").alias("tokens"))
     size = counts.select("word").distinct().agg(F.count(F.lit(1)).alias("size"))
@@ -70,7 +70,7 @@ def fit_bayes(train: DataFrame, text_col: str = "text", label_col: str = "label"
     weights = F.array(*[fixed_log(n + F.lit(smoothing), F.lit(r["mass"])) for n, r in zip(per_class, found)])
     words = counts.groupBy("word").agg(weights.alias("weights")) if found else counts.select(
         "word", F.array().cast("array<bigint>").alias("weights"))
-    return BayesModel(classes.select("label", "prior"), cut_lineage(words), labels)
+    return BayesModel(classes.select("label", "prior"), stored_rows(words, "word-weights"), labels)
 
 
 def bayes_scores(model: BayesModel, df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -78,7 +78,8 @@ def bayes_scores(model: BayesModel, df: DataFrame, text_col: str, keep: list[str
     priors = {r["label"]: r["prior"] for r in model.classes.collect()}  # one row per class
     rows = keyed(df.select(*keep, F.col(text_col).alias("_text")), "_text")
     tokens = explode_tokens(rows, keep, "_text", tokenizer=lambda t: T.whitespace_tokens(F.lower(t)), keep=ROW_KEYS)
-    joined = lookup_join(tokens.withColumnRenamed("token", "word"), model.words, "word", "left")
+    probe = word_rows(hot_sample(df), text_col, [])
+    joined = lookup_join(tokens.withColumnRenamed("token", "word"), model.words, "word", "left", probe=probe)
     sums = joined.groupBy(*keep, *ROW_KEYS).agg(
         count_rows(), *[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0)).alias(f"_s{i}") for i in range(len(model.labels))])
     scores = [per_row(F.col(f"_s{i}")) + F.lit(priors[v]) for i, v in enumerate(model.labels)]

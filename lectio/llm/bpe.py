@@ -21,6 +21,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,12 +29,14 @@ import pyarrow as pa
 import tiktoken
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
+from lectio.llm.common import free_memory, keep
+
 #: Pre-tokens kept per worker process (about 200 bytes each).
 CACHE_TOKENS = 500_000
 #: Fewer unknown pre-tokens than these are learnt by a call with less around it.
 FEW = 256
 #: Characters of the texts that are encoded together.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 #: Longer texts are encoded in pieces of about this many characters.
 PIECE_CHARS = 1 << 18
 
@@ -44,11 +47,23 @@ _SIMPLE = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_L
 # Separators that only Python calls white space, numbers that are no digits,
 # and everything beyond the Latin blocks.
 _OTHER = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ʯ]")
+_OTHER_LATIN = "\x1c\x1d\x1e\x1f\xb2\xb3\xb9\xbc\xbd\xbe"
 #: A pre-token always ends between a character that is no white space and a
 #: blank or line feed, and what follows does not depend on what precedes.
 BOUNDARY = re.compile(r"(?<=\S)[ \n]")
 
 
+def needs_library(text: str) -> bool:
+    """Whether a text has a character of ``_OTHER``; in Latin-1, where most
+    texts end, a search for each of them is quicker."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _OTHER.search(text) is not None
+    return any(map(text.__contains__, _OTHER_LATIN))
+
+
 def byte_alphabet() -> dict[str, int]:
     """Byte-level BPE's character for each byte, as character -> byte:
     printable Latin-1 stands for itself, the rest follows from U+0100."""
@@ -132,19 +147,22 @@ class ByteBpe:
         """The ids of several texts; the pre-tokens that none of them has
         taught yet are learnt in one call."""
         cut = [pieces(t) if len(t) > PIECE_CHARS else [t] for t in texts]
-        words = [[None if _OTHER.search(p) else _SIMPLE.findall(p) for p in parts] for parts in cut]
-        found = [[None if w is None else list(map(self.known.get, w)) for w in parts] for parts in words]
-        fresh = self._learn({w for ws, fs in zip(words, found) for own, f in zip(ws, fs) if f is not None and None in f
-                             for w, x in zip(own, f) if x is None})
+        words = [[None if needs_library(p) else _SIMPLE.findall(p) for p in parts] for parts in cut]
+        # each distinct one is looked up once in the large table; the texts then use a small one
+        table = dict.fromkeys(chain.from_iterable(w for own in words for w in own if w is not None))
+        table = dict(zip(table, map(self.known.get, table)))
+        fresh = {w for w, ids in table.items() if ids is None}
+        if fresh:
+            table.update(self._learn(fresh))
+        ids_of = table.__getitem__
         out = []
-        for parts, ws, fs in zip(cut, words, found):
-            raw = [self._whole(p) if f is None else b"".join([fresh[w] if x is None else x for w, x in zip(own, f)])
-                   for p, own, f in zip(parts, ws, fs)]
-            out.append(np.frombuffer(b"".join(raw), self.dtype))
+        for parts, own in zip(cut, words):
+            raw = [self._whole(p) if w is None else b"".join(map(ids_of, w)) for p, w in zip(parts, own)]
+            out.append(np.frombuffer(raw[0] if len(raw) == 1 else b"".join(raw), self.dtype))
         return out
 
     def _piece(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if needs_library(text):
             return self._whole(text)
         words = _SIMPLE.findall(text)
         parts = list(map(self.known.get, words))
@@ -176,11 +194,11 @@ class ByteBpe:
             else:  # a faster call that does not say where pre-tokens end; their bytes do
                 enc = self.tok.encode_batch_fast([need], is_pretokenized=True, add_special_tokens=False)[0]
                 ids = np.array(enc.ids, self.dtype)
-                ends = np.cumsum([len(w.encode()) for w in need])
+                ends = np.cumsum(np.fromiter(map(len, map(str.encode, need)), np.int64, len(need)))
                 at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
             raw = ids.tobytes()
             at = (np.concatenate([[0], at]) * self.dtype.itemsize).tolist()
-            fresh.update(zip(need, (raw[a:b] for a, b in zip(at, at[1:]))))
+            fresh.update(zip(need, map(raw.__getitem__, map(slice, at, at[1:]))))
             if self.exact is not None:
                 for w in need:  # two equally ranked pairs that overlap may merge in another order
                     want = np.array(self.exact.encode_ordinary(w), self.dtype).tobytes()
@@ -226,10 +244,14 @@ def encoded(bpe: ByteBpe, it, column: int = 1) -> Iterator[tuple[pa.RecordBatch,
             for i, ids in enumerate(bpe.encode_many(texts[start:end]), start):
                 yield b, i, ids
             start = end
+    free_memory()
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, capacity: int = CACHE_TOKENS) -> ByteBpe:
     """One encoder per file and worker process; workers are reused, so what
-    it has learnt serves later tasks."""
+    it has learnt serves later tasks, until one that needs no encoder starts."""
     return ByteBpe(path, capacity)
+
+
+keep(encoder.cache_clear)

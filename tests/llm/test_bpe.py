@@ -68,6 +68,27 @@ def test_character_classes_of_the_shortcut():
     assert numbers & simple == set("0123456789")
 
 
+def test_the_shortcut_is_told_by_the_same_characters():
+    for c in [*map(chr, range(0x400)), "中", "😀"]:
+        assert bpe.needs_library(f"a{c}b") == bool(bpe._OTHER.search(c))
+
+
+def test_a_pretoken_is_looked_up_once_for_many_texts(library):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counting.asked += 1
+            return super().get(*key)
+
+    b = bpe.ByteBpe(JSON)
+    b.known = Counting()
+    texts = ["the cat the cat", "naïve the 中 the", "", " the"] * 30
+    got = b.encode_many(texts)
+    assert [x.tolist() for x in got] == [library[0].encode(t, add_special_tokens=False).ids for t in texts]
+    assert Counting.asked <= 4  # formerly once for each occurrence
+
+
 def test_encode_and_decode_rows(spark, odd, empty, library):
     _, tik = library
     rows = bytebpe.decode(bytebpe.encode(odd, RANKS, offsets=True).withColumn("decoded", F.lit(1)), RANKS)

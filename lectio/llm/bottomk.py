@@ -269,33 +269,52 @@ def met_before(marks: list[np.ndarray], t: int) -> np.ndarray:
     return held @ held.T > 0
 
 
+def dealt_parts(rows: DataFrame, share: int) -> DataFrame:
+    """g for every row of lists (t, at, id, component): a list of more than
+    ``share`` documents is dealt as pairs of its parts.  The documents of its
+    largest component are compared with the others only, so parts of them do
+    not meet each other, and the copies grow with the others' number."""
+    sizes = rows.groupBy("t", "at", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("t", "at").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("m"))
+    sizes = sizes.filter("size > m.c")  # lists of one component have no pairs
+    half = share // 2
+    sizes = sizes.select("t", "at", (F.col("size") <= share).alias("whole"), F.col("m.component").alias("main"),
+                         F.ceil(F.col("m.c") / half).cast("int").alias("mains"),
+                         F.ceil((F.col("size") - F.col("m.c")) / half).cast("int").alias("others"))
+    rows = rows.join(sizes, ["t", "at"])
+    # parts of the largest component are numbered after the others'
+    own, place = F.col("component") == F.col("main"), F.xxhash64("id")
+    part = F.when(own, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    last = F.when(own, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    met = F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last))
+    rows = rows.withColumn("part", F.when(F.col("whole"), F.lit(-1)).otherwise(part)).withColumn("other", F.explode(met))
+    g = F.xxhash64("t", "at", F.least("part", "other"), F.greatest("part", "other")).alias("g")
+    return rows.select(g, "t", "at", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+                       "id", "own", "component")
+
+
 def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: int, forest: bool) -> DataFrame:
     """Pairs of different components in lists (t, at, id, own, component): a
     spanning forest of those that the estimate leaves, or all of them, each in
     the first list and size class in which its documents meet.  ``sketches``:
-    id, n, sketch and marks (the values that a document lists).  A list of more
-    than ``share`` documents is dealt as pairs of its parts."""
-    sizes = rows.groupBy("t", "at").agg(F.ceil(F.count(F.lit(1)) * 2 / share).cast("int").alias("parts"))
-    rows = rows.join(sizes, ["t", "at"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("t", "at", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
-                       "t", "at", "id", "own", "component").join(_listed(sketches, rows), "id")
-    rows = rows.select("g", "t", "at", "id", "own", "component", "n", "sketch", "marks")
-    dealt = rows.repartition("g").sortWithinPartitions("g", "t", "at", "id")
+    id, n, sketch and marks (the values that a document lists).  Large lists
+    are dealt by :func:`dealt_parts`."""
+    rows = dealt_parts(rows, share).join(_listed(sketches, rows), "id")
+    rows = rows.select("g", "t", "at", "low", "high", "id", "own", "component", "n", "sketch", "marks")
+    dealt = rows.repartition("g").sortWithinPartitions("g", "t", "at", "low", "high", "id")
 
     def run(it):
         def found():
-            for group in (part for same in _streamed_groups(it) for part in _runs(same, lambda r: r[1:3])):
-                ids, own, component, n = (np.array([r[c] for r in group], np.int64) for c in (3, 4, 5, 6))
+            for group in (part for same in _streamed_groups(it) for part in _runs(same, lambda r: r[1:5])):
+                ids, own, component, n = (np.array([r[c] for r in group], np.int64) for c in (5, 6, 7, 8))
                 if (component == component[0]).all():
                     continue
-                estimate = union_estimates([np.array(r[7], np.int64).view(np.uint64) for r in group], _whole(n))
+                estimate = union_estimates([np.array(r[9], np.int64).view(np.uint64) for r in group], _whole(n))
                 keep = kept_pairs(estimate, _whole(n), n, percent)
                 if not forest:
                     t, at = group[0][1:3]
                     keep &= np.maximum(own[:, None], own[None, :]) == at
-                    keep &= ~met_before([np.array(r[8], np.int64) for r in group], t)
+                    keep &= ~met_before([np.array(r[10], np.int64) for r in group], t)
                 i, j = np.nonzero(np.triu(keep, 1) & (component[:, None] != component[None, :]))
                 if forest and len(i):
                     chosen = spanning_forest(i, j, estimate[i, j], component)

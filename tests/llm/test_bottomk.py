@@ -110,3 +110,22 @@ def test_counted_join_with_a_hot_key(spark):
     table = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 2 AS w")
     got = counted_join(rows, table, ["k"], 3000)
     assert got.columns == ["k", "v", "w"] and got.count() == 3000 and got.filter("w <> 2 * k").isEmpty()
+
+
+def test_copies_of_a_large_component_grow_with_the_others(spark):
+    sizes = {7: 400, 900: 30, 901: 10, 902: 1}  # component: documents
+    ids = [(c, 1000 * c + k) for c, n in sizes.items() for k in range(n)]
+    src = spark.createDataFrame([(1, 5, i, 5, c) for c, i in ids] + [(2, 5, i, 5, 7) for c, i in ids if c == 7]
+                                + [(3, 5, 7000, 5, 7), (3, 5, 900000, 5, 900)],
+                                "t long, at int, id long, own int, component long")
+    rows = bottomk.dealt_parts(src, 64).collect()
+    # formerly every document had a copy for each of 14 parts
+    assert sum(r.t == 1 for r in rows) <= 2 * 400 + 41 * 16
+    assert not [r for r in rows if r.t == 2] and len([r for r in rows if r.t == 3]) == 2
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.t, r.g), []).append(r)
+    met = {frozenset((a.id, b.id)) for (t, _), g in groups.items() if t == 1 for x, a in enumerate(g) for b in g[:x]
+           if a.component != b.component}
+    want = {frozenset((i, j)) for c, i in ids for d, j in ids if c != d}
+    assert met == want

@@ -52,3 +52,12 @@ def test_only_texts_of_pairs_are_packed(spark):
     pairs = spark.createDataFrame([(3, 7), (3, 9)], "centre long, id long")
     assert sorted(r.id for r in N._compressed(src, pairs).collect()) == [3, 7, 9]
     assert N._compressed(src, pairs.limit(0)).count() == 0
+
+
+def test_a_group_with_few_pairs_of_components_is_compared_at_once(spark):
+    # 20 documents, of which two have a component of their own: 37 pairs of 190
+    sets = N.shingle_sets([" ".join(f"w{i}" for i in range(200 + k)).encode() for k in range(20)])
+    rows = [(1, i, max(0, i - 17), 0, len(sets[i]), bytearray(N.signature(sets[i]))) for i in range(20)]
+    df = spark.createDataFrame(rows, "g long, id long, component long, part int, n long, sig binary")
+    found = N._block_candidates(df, N.PERCENT, True).collect()
+    assert len(found) == 37 and all(r.g is None for r in found)  # formerly opened again

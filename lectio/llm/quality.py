@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectio.llm.common import text_or_empty
+from lectio.llm.common import free_memory, make_room, text_or_empty
 from lectio.llm.spotsigs import ANCHORS
 from lectio.llm.substring import _by_slices
 from lectio.llm.wordhash import batch_hashes, word_hashes
@@ -292,6 +292,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, tex
     at = docs.columns.index(text_col)
 
     def run(it):
+        make_room()
         for b in it:
             kept = np.zeros(b.num_rows, bool)
             start = size = 0
@@ -304,6 +305,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, tex
                     kept[start:i + 1] = scorer.scores(texts, h, ends) >= threshold
                     start, size, texts = i + 1, 0, []
             yield b.filter(pa.array(kept))
+        free_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -3,11 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectio.llm import bpe, quality, queries
+from lectio.llm import bpe, quality, queries, substring
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.conftest import SCHEMA, TEXTS
 from tests.llm.test_bpe import JSON, _check_pieces
@@ -147,3 +148,13 @@ def test_other_text_of_a_near_copys_id_stays(spark):
     docs = [(1, " ".join(long)), (5, " ".join([*long[:-1], "new"])), (5, " ".join(f"v{i}" for i in range(60))), (None, " ".join(long))]
     kept = corpus_pipeline.dissimilar(spark, spark.createDataFrame(docs, SCHEMA), "")
     assert {tuple(r) for r in kept.collect()} == {docs[0], docs[2], docs[3]}
+
+
+def test_steps_without_an_encoder_drop_it(spark):
+    def run(it):
+        bpe.encoder(JSON).encode("a text")
+        rows = [r for part in substring._by_slices(it) for r in part]
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([bpe.encoder.cache_info().currsize])], ["n", "kept"])
+
+    src = spark.createDataFrame([(1, "one"), (2, "two")], "id long, text string").coalesce(1)
+    assert src.mapInArrow(run, "n long, kept long").collect() == [(2, 0)]

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectio.llm.common import stage, text_or_empty
-from lectio.llm.components import components
+from lectio.llm.components import components, joined
 from lectio.llm.ngram_join import _links, _ordered, _pair_batches, _shares, _streamed_groups, _dealt, _runs, shingle_sets
 from lectio.llm.skew import counted_join
 from lectio.llm.substring import _by_slices
@@ -383,8 +383,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         more = _verified(found, named_src, keys, words, percent, share)
         new = not more.isEmpty()
         if new:
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = joined(labels, more)
         if last:
             break
         rounds += 1
@@ -398,8 +397,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     repeated = named.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
     if not repeated.isEmpty():  # an id with texts in several components joins them
         bridges = named.join(repeated.select("id", "a"), "id").select("a", F.col("component").alias("b"))
-        joined = components(bridges).withColumnRenamed("id", "old").withColumnRenamed("component", "new")
-        named = named.join(joined, named["component"] == joined["old"], "left").select(
+        bridged = components(bridges).withColumnRenamed("id", "old").withColumnRenamed("component", "new")
+        named = named.join(bridged, named["component"] == bridged["old"], "left").select(
             "id", F.coalesce("new", "component").alias("component"))
     smallest = named.groupBy("component").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c"))
     size = named.count()

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+from lectio.llm import components as C
 from lectio.llm import ngram_join as N
 from lectio.llm.substring import _by_slices
 
@@ -61,3 +62,22 @@ def test_a_group_with_few_pairs_of_components_is_compared_at_once(spark):
     df = spark.createDataFrame(rows, "g long, id long, component long, part int, n long, sig binary")
     found = N._block_candidates(df, N.PERCENT, True).collect()
     assert len(found) == 37 and all(r.g is None for r in found)  # formerly opened again
+
+
+def test_further_links_join_labels(spark):
+    first = [(1, 2), (2, 3), (10, 11), (20, 21)]
+    more = [(3, 11), (11, 2), (21, 30), (40, 41), (5, 41), (20, 21)]
+    schema = "a long, b long"
+    labels = C.joined(C.components(spark.createDataFrame(first, schema)), spark.createDataFrame(more, schema))
+    want = C.components(spark.createDataFrame(first + more, schema))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_closed_classes_do_not_meet_their_documents_again(spark):
+    rows = [(t, 100 * t + k, 50, 6, 1.0) for t in (1, 2) for k in range(6)]
+    blocks = spark.createDataFrame(rows, "t long, id long, n long, c long, fame double")
+    labels = spark.createDataFrame([], "id long, component long")
+    every = N._open_groups(blocks, labels, N.PERCENT, 1).collect()
+    one = next(r.g for r in every if r.id >= 200)
+    left = N._open_groups(blocks, labels, N.PERCENT, 1, spark.createDataFrame([(one,)], "g long")).collect()
+    assert sorted(left) == sorted(r for r in every if r.g == one)

@@ -19,6 +19,11 @@ shared values among the union's smallest, up to the smaller of the two sketches'
 last values.  The same bound rules pairs out; sketches that hold whole sets give
 the Jaccard itself.
 
+*Signatures.*  A bitmap of a sketch's values bounds what two sketches share.  After
+the first round a document stays in a list only if the bitmaps let it link with a
+document of another component there; so sketches travel to lists of likely partners,
+not to lists that documents share by chance, of which a larger table has more.
+
 *Rounds.*  First every list compares its documents with the one that is most
 widely shared.  Then each document takes part in one list that still holds
 several components, and the list's members are joined by the likeliest pairs
@@ -36,6 +41,7 @@ of the smallest component among them.  Other columns are not read.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +53,11 @@ from pyspark.sql import types as T
 
 from lectio.llm.common import stage, text_or_empty
 from lectio.llm.components import components, joined
-from lectio.llm.ngram_join import _links, _ordered, _pair_batches, _shares, _streamed_groups, _dealt, _runs, shingle_sets
+from lectio.llm.ngram_join import (_cells, _dealt, _links, _ordered, _pair_batches, _runs, _shares, _streamed_groups,
+                                   shingle_sets)
 from lectio.llm.skew import counted_join
 from lectio.llm.substring import _by_slices
-from lectio.operators.joins import lookup_join, mark_absent
+from lectio.operators.joins import lookup_join, mark_absent, sized_broadcast
 
 WORDS = 2
 #: Threshold as 100 * shared >= PERCENT * union.
@@ -65,6 +72,8 @@ STEPS = (110, 120, 130, 145, 160, 180, 200, 230, 260, 300, 350, 420, 500, 700, 1
 SHARE = 512
 #: Bits of the bitmap of values that several documents retain.
 BITMAP_BITS = 1 << 24
+#: Bits of a sketch's signature: few values of two sketches fall on one bit by chance.
+SIGNATURE_BITS = 512
 #: Rounds of spanning forests.
 FOREST_ROUNDS = 2
 
@@ -90,10 +99,11 @@ def tail_bound(n: int | None, percent: int = PERCENT, sketch: int = SKETCH, miss
     return k
 
 
-def bounds(percent: int) -> list[tuple[int | None, int]]:
+@lru_cache
+def bounds(percent: int) -> tuple[tuple[int | None, int], ...]:
     """(largest set size, values that a linked set shares at least) beyond the
     sizes whose unions fit in a sketch."""
-    return [(n, tail_bound(n, percent)) for n in (*STEPS, None)]
+    return tuple((n, tail_bound(n, percent)) for n in (*STEPS, None))
 
 
 def least_shared(percent: int):
@@ -107,9 +117,18 @@ def least_shared(percent: int):
     return F.least(F.ceil(F.col("n") * percent / 100), large.otherwise(steps[-1][1]))
 
 
+def signatures(sketches: list[np.ndarray]) -> np.ndarray:
+    """One row of bytes for each sketch: the bitmap of its values' low bits."""
+    bits = np.zeros((len(sketches), SIGNATURE_BITS), bool)
+    at = np.concatenate(sketches).astype(np.uint64) & np.uint64(SIGNATURE_BITS - 1)
+    bits[np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), at.astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
+
+
 def sketched(src: DataFrame, words: int, texts: bool = False) -> DataFrame:
     """id, n, k1 and k2 (128 bits of the set) of every row, with sketch (the
-    smallest hash values, sorted), or with z (the text, compressed)."""
+    smallest hash values, sorted) and its signature sig, or with z (the text,
+    compressed)."""
 
     def run(it):
         z = zstandard.ZstdCompressor(level=3)
@@ -117,14 +136,19 @@ def sketched(src: DataFrame, words: int, texts: bool = False) -> DataFrame:
             raw = [t.encode() for _, t in rows]
             sets = shingle_sets(raw, words)
             key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
-            rest = [pa.array([z.compress(t) for t in raw], pa.binary())] if texts else [
-                pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            if texts:
+                rest = [pa.array([z.compress(t) for t in raw], pa.binary())]
+            else:
+                first = [s[:SKETCH] for s in sets]
+                rest = [pa.array([s.view(np.int64) for s in first], pa.list_(pa.int64())),
+                        pa.array([s.tobytes() for s in signatures(first)], pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(key[:, 0]), pa.array(key[:, 1]), *rest], schema.names)
 
-    kept = T.StructField("z", T.BinaryType()) if texts else T.StructField("sketch", T.ArrayType(T.LongType()))
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("id", "n", "k1", "k2")], kept])
+    kept = [T.StructField("z", T.BinaryType())] if texts else [
+        T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("id", "n", "k1", "k2")], *kept])
     return src.mapInArrow(run, schema)
 
 
@@ -149,16 +173,50 @@ def union_estimates(sketches: list[np.ndarray], whole: np.ndarray) -> np.ndarray
     return shared / np.maximum(upto + upto.T - shared, 1)
 
 
-def kept_pairs(estimate: np.ndarray, whole: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which pairs may be linked, by their estimate and their sizes."""
-    low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+def centre_estimates(centre: np.ndarray, others: list[np.ndarray], whole_centre: bool, whole: np.ndarray) -> np.ndarray:
+    """The estimates of :func:`union_estimates` of one sketch with others."""
+    size, values = np.array([len(s) for s in others]), np.concatenate(others)
+    row = np.repeat(np.arange(len(others)), size)
+    at = np.minimum(np.searchsorted(centre, values), len(centre) - 1)
+    shared = np.bincount(row[centre[at] == values], minlength=len(others))
+    last = values[np.cumsum(size) - 1]
+    upto = np.where(whole, len(centre), np.searchsorted(centre, last, side="right"))
+    own = size if whole_centre else np.bincount(row[values <= centre[-1]], minlength=len(others))
+    return shared / np.maximum(upto + own - shared, 1)
+
+
+def _kept(estimate: np.ndarray, whole: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be linked, by their estimate and their smaller and
+    larger size.  ``whole`` marks pairs of sketches that hold whole sets."""
     steps = bounds(percent)
     table = np.array([k for _, k in steps]) / SKETCH
     bound = table[np.searchsorted([s for s, _ in steps[:-1]], low)]
-    bound = np.where(whole[:, None] & whole[None, :], percent / 100, bound)
+    bound = np.where(whole, percent / 100, bound)
     return (estimate >= bound - 1e-6) & (100 * low >= percent * high)
 
 
+def kept_pairs(estimate: np.ndarray, whole: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which pairs may be linked, by their estimate and their sizes."""
+    low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    return _kept(estimate, whole[:, None] & whole[None, :], low, high, percent)
+
+
+def possible_pairs(maps: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which pairs the signatures (rows of 64-bit words) allow: all that
+    :func:`kept_pairs` keeps, whatever their sketches hold."""
+    bits = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    size = np.minimum(n, SKETCH)
+    shared = np.zeros((len(n), len(n)), np.int64)
+    for column in maps.T:
+        shared += np.bitwise_count(column[:, None] & column[None, :])
+    excess = size - bits  # shared values may fall on one bit
+    shared = np.minimum(shared + np.minimum(excess[:, None], excess[None, :]), np.minimum(size[:, None], size[None, :]))
+    # a union that no sketch holds whole counts a sketch's values at least
+    both = _whole(n)[:, None] & _whole(n)[None, :]
+    union = np.where(both, n[:, None] + n[None, :] - shared, SKETCH)
+    return kept_pairs(shared / np.maximum(union, 1), _whole(n), n, percent)
+
+
 def spanning_forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, component: np.ndarray) -> np.ndarray:
     """Places of the pairs of a maximum spanning forest over components, the
     heaviest first (Kruskal)."""
@@ -187,18 +245,18 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """t, id, n, c and fame: the listed values of every class that two or more
     classes list, with the length of their lists and each class's mean list
     length."""
-    rows = classes.select("id", "n", F.explode("sketch").alias("t"))
+    rows = classes.select("id", F.explode("sketch").alias("t"))
     counts = stage(rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "bottomk-counts")
     total = counts.agg(F.sum("df")).first()[0] or 0
     # most values of one document only are left before the shuffle, by a bitmap
     maybe = mark_absent(rows, counts, ["t"], BITMAP_BITS).filter(~F.col("_absent")).drop("_absent")
     shared = counted_join(maybe, counts.withColumn("c", F.col("df")), ["t"], total, "c")
     # single values come first in the order: the rest of the prefix is left for shared ones
-    size = F.least("n", F.lit(SKETCH))
     own = Window.partitionBy("id")
     place = F.row_number().over(own.orderBy("df", "t"))
     several = F.count(F.lit(1)).over(own)
-    listed = shared.withColumn("place", place + size - several).filter(F.col("place") <= size - least_shared(percent) + 1)
+    placed = shared.select("t", "id", place.alias("place"), several.alias("several")).join(classes.select("id", "n"), "id")
+    listed = placed.filter(F.col("place") - F.col("several") <= 1 - least_shared(percent))
     listed = stage(listed.select("t", "id", "n"), "bottomk-listed")
     counts = stage(listed.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bottomk-lengths")
     total = counts.agg(F.sum("c")).first()[0] or 0
@@ -216,11 +274,12 @@ def centre_candidates(pairs: DataFrame, sketches: DataFrame, percent: int, share
 
     def run(it):
         def found():
-            for part in _shares(it):  # g, centre, share, id, n, sketch
+            for part in _shares(it, _cells):  # g, centre, share, id, n, sketch
                 n = np.array([r[4] for r in part])
-                keep = kept_pairs(union_estimates([np.array(r[5], np.int64).view(np.uint64) for r in part], _whole(n)),
-                                  _whole(n), n, percent)[0]
-                yield from ((part[0][1], part[k][3]) for k in np.flatnonzero(keep).tolist() if k)
+                whole, first = _whole(n), [r[5].view(np.uint64) for r in part]
+                estimate = centre_estimates(first[0], first[1:], whole[0], whole[1:])
+                keep = _kept(estimate, whole[0] & whole[1:], np.minimum(n[0], n[1:]), np.maximum(n[0], n[1:]), percent)
+                yield from ((part[0][1], part[k + 1][3]) for k in np.flatnonzero(keep).tolist())
 
         yield from _pair_batches(found(), ["centre", "id"])
 
@@ -235,18 +294,23 @@ def _asked(table: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 PAIR = T.StructType([T.StructField("centre", T.LongType()), T.StructField("id", T.LongType())])
+LISTED = T.StructType([T.StructField(c, T.LongType()) for c in ("t", "at", "id", "own")])
 
 
-def open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """t, id, component, size: the lists that hold several components, cut by
-    set size into classes in two of which each document lies, so that sets that
-    may link share one.  Lists of two documents were compared in the first
-    round; lists of the same documents are compared once."""
-    known = lists.filter("c > 2").join(labels, "id", "left").select(
-        "t", "id", "n", F.coalesce("component", "id").alias("component"))
+def size_classes(lists: DataFrame, percent: int) -> DataFrame:
+    """t, at, id, own: lists cut by set size into classes in two of which each
+    document lies, so that sets that may link share one.  Lists of two
+    documents were compared in the first round."""
     step = F.lit(math.log(100 / percent))
     own = F.floor(F.log("n") / step + F.lit(1e-9)).cast("int")
-    known = known.withColumn("own", own).withColumn("at", F.explode(F.array(own, own + 1)))
+    rows = lists.filter("c > 2").select("t", "id", own.alias("own"))
+    return rows.select("t", F.explode(F.array("own", F.col("own") + 1)).alias("at"), "id", "own")
+
+
+def open_lists(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """t, at, id, own, component, size: of lists (t, at, id, own) those that
+    hold several components.  Lists of the same documents are compared once."""
+    known = rows.join(labels, "id", "left").select("t", "at", "id", "own", F.coalesce("component", "id").alias("component"))
     several = known.groupBy("t", "at").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).filter("lo < hi")
@@ -293,28 +357,58 @@ def dealt_parts(rows: DataFrame, share: int) -> DataFrame:
                        "id", "own", "component")
 
 
+def _groups(rows: DataFrame, table: DataFrame, columns: list[str], share: int) -> DataFrame:
+    """The rows of lists (t, at, id, own, component) with ``columns`` of their
+    documents, dealt by :func:`dealt_parts` and group by group."""
+    rows = dealt_parts(rows, share).join(table.select("id", *columns), "id")
+    rows = rows.select("g", "t", "at", "low", "high", "id", "own", "component", *columns)
+    return rows.repartition("g").sortWithinPartitions("g", "t", "at", "low", "high", "id")
+
+
+def _streamed_parts(it):
+    return (part for same in _streamed_groups(it, _cells) for part in _runs(same, lambda r: r[1:5]))
+
+
+def likely_rows(rows: DataFrame, classes: DataFrame, percent: int, share: int) -> DataFrame:
+    """t, at, id, own: the rows of lists (t, at, id, own, component) whose
+    document may link, by the signatures, with one of another component in the
+    list.  ``classes``: id, n, sig."""
+
+    def run(it):
+        def found():
+            for group in _streamed_parts(it):
+                ids, own, component, n = (np.array([r[c] for r in group], np.int64) for c in (5, 6, 7, 8))
+                maps = np.frombuffer(b"".join([r[9] for r in group]), np.uint64).reshape(len(group), -1)
+                keep = (possible_pairs(maps, n, percent) & (component[:, None] != component[None, :])).any(axis=1)
+                yield from ((*group[0][1:3], *row) for row in zip(ids[keep].tolist(), own[keep].tolist()))
+
+        yield from _pair_batches(found(), LISTED.names)
+
+    # a document that was dealt to several parts may come from each
+    dealt = _groups(rows, classes, ["n", "sig"], share).mapInArrow(run, LISTED).distinct()
+    return dealt.select("t", F.col("at").cast("int").alias("at"), "id", F.col("own").cast("int").alias("own"))
+
+
 def list_candidates(rows: DataFrame, sketches: DataFrame, percent: int, share: int, forest: bool) -> DataFrame:
     """Pairs of different components in lists (t, at, id, own, component): a
     spanning forest of those that the estimate leaves, or all of them, each in
     the first list and size class in which its documents meet.  ``sketches``:
     id, n, sketch and marks (the values that a document lists).  Large lists
     are dealt by :func:`dealt_parts`."""
-    rows = dealt_parts(rows, share).join(_listed(sketches, rows), "id")
-    rows = rows.select("g", "t", "at", "low", "high", "id", "own", "component", "n", "sketch", "marks")
-    dealt = rows.repartition("g").sortWithinPartitions("g", "t", "at", "low", "high", "id")
+    dealt = _groups(rows, _listed(sketches, rows), ["n", "sketch", "marks"], share)
 
     def run(it):
         def found():
-            for group in (part for same in _streamed_groups(it) for part in _runs(same, lambda r: r[1:5])):
+            for group in _streamed_parts(it):
                 ids, own, component, n = (np.array([r[c] for r in group], np.int64) for c in (5, 6, 7, 8))
                 if (component == component[0]).all():
                     continue
-                estimate = union_estimates([np.array(r[9], np.int64).view(np.uint64) for r in group], _whole(n))
+                estimate = union_estimates([r[9].view(np.uint64) for r in group], _whole(n))
                 keep = kept_pairs(estimate, _whole(n), n, percent)
                 if not forest:
                     t, at = group[0][1:3]
                     keep &= np.maximum(own[:, None], own[None, :]) == at
-                    keep &= ~met_before([np.array(r[10], np.int64) for r in group], t)
+                    keep &= ~met_before([r[10] for r in group], t)
                 i, j = np.nonzero(np.triu(keep, 1) & (component[:, None] != component[None, :]))
                 if forest and len(i):
                     chosen = spanning_forest(i, j, estimate[i, j], component)
@@ -352,14 +446,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = some.groupBy("k1", "k2", "n").agg(F.min("row").alias("row"))
     # a class goes by its first row's number: one id may hold several texts
     groups = stage(groups, "bottomk-classes")
-    classes = some.join(groups.select("row"), "row", "left_semi")
-    keys = classes.select(F.col("row").alias("id"), F.col("id").alias("doc"), "k1", "k2", "n")
-    classes = classes.select(F.col("row").alias("id"), "n", "sketch")
-    sketches = classes
-    lists = inverted_lists(classes, percent)
-
-    marked = sketches.join(lists.groupBy("id").agg(F.collect_list("t").alias("marks")), "id")
-    marked = stage(marked, "bottomk-marked")
+    members = some.select("id", "row", "k1", "k2", "n").join(groups.withColumnRenamed("row", "class"), ["k1", "k2", "n"])
+    members = stage(members.select("id", "row", "class"), "bottomk-members")
+    # the rows of equal sets are few: the sketches of the others need no shuffle, or one
+    equal = members.filter(F.col("row") != F.col("class")).select("row")
+    few = sized_broadcast(equal)
+    classes = some.join(equal if few is None else few, "row", "left_anti").select(
+        F.col("row").alias("id"), F.col("id").alias("doc"), "k1", "k2", "n", "sketch", "sig")
+    if few is None:
+        classes = stage(classes, "bottomk-classes")
+    keys = classes.select("id", "doc", "k1", "k2", "n")
+    sketches = classes.select("id", "n", "sketch")
+    lists = inverted_lists(sketches, percent)
 
     # first round: every list's documents with its most widely shared one
     head = F.max(F.struct("fame", F.col("id").alias("centre"), F.col("n").alias("m"))).alias("s")
@@ -372,9 +470,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = _verified(pairs, named_src, keys, words, percent, share)
     labels = components(links)
 
+    rows = open_lists(size_classes(lists, percent), labels).drop("size")
+    likely = stage(likely_rows(rows, classes, percent, share), "bottomk-likely")
+    ids = likely.select("id").distinct()
+    marks = lookup_join(lists.select("id", "t"), ids, "id", "left_semi", skew_safe=False).groupBy("id").agg(F.collect_list("t").alias("marks"))
+    marked = stage(_listed(sketches, likely).join(marks, "id"), "bottomk-marked")
     rounds, last = 0, False
     while True:
-        rows = open_lists(lists, labels, percent)
+        rows = open_lists(likely, labels)
         if not last:  # one list for each document, the longest
             best = Window.partitionBy("id").orderBy(F.desc("size"), "t", "at")
             rows = rows.withColumn("nth", F.row_number().over(best)).filter("nth = 1")
@@ -390,9 +493,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         last = not new or rounds == FOREST_ROUNDS
 
     # classes to ids: a component's smallest id, over repeated ids as well
-    named = some.select("id", "k1", "k2", "n").join(groups, ["k1", "k2", "n"]).join(
-        labels.withColumnRenamed("id", "row"), "row", "left")
-    named = named.select("id", F.coalesce("component", "row").alias("component")).distinct()
+    named = members.select("id", "class").join(labels.withColumnRenamed("id", "class"), "class", "left")
+    named = named.select("id", F.coalesce("component", "class").alias("component")).distinct()
     named = stage(named, "bottomk-named")
     repeated = named.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
     if not repeated.isEmpty():  # an id with texts in several components joins them

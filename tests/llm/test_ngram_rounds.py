@@ -81,3 +81,15 @@ def test_closed_classes_do_not_meet_their_documents_again(spark):
     one = next(r.g for r in every if r.id >= 200)
     left = N._open_groups(blocks, labels, N.PERCENT, 1, spark.createDataFrame([(one,)], "g long")).collect()
     assert sorted(left) == sorted(r for r in every if r.g == one)
+
+
+def test_the_shingles_of_all_documents_are_counted(spark):
+    # more documents than formerly were counted at most: half of these were not read
+    src = spark.range(60_000, numPartitions=4).selectExpr("id", "concat('own', id, ' a b c d common words at the end') AS text")
+    counts = N._slot_counts(src, N.WORDS)
+    sets = N.shingle_sets([f"own{i} a b c d common words at the end".encode() for i in range(60_000)])
+    want = np.bincount(N._slots(np.concatenate(sets)), minlength=N.SLOTS)
+    assert counts.dtype == np.uint32 and (counts == want).all()
+    row = N._set_table(src.filter("id = 7"), N.WORDS, N.PERCENT, np.empty(0, np.uint64), counts).first()
+    own = N.shingle_sets([b"own7 a b c d"])[0]
+    assert row.prefix[0] == own.view(np.int64)[0]  # the only shingle of one document comes first
